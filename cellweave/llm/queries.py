@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, mixing
+from cellweave.llm import bpe, media, mixing, secrets, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_media_columns": media.op10_media_columns,
 }
 
 ORACLES = {
