@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, media, mixing, secrets, token_counts
+from cellweave.llm import bpe, html_extract, media, merkle, mixing, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_media_columns": media.op10_media_columns,
 }
 
 ORACLES = {
+    "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_source_mixing": mixing.ORACLE,
 }
