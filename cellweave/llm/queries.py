@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, html_extract, media, merkle, mixing, secrets, token_counts
+from cellweave.llm import bpe, html_extract, media, merkle, mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_source_mixing": mixing.op7_source_mixing,
@@ -15,6 +16,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_source_mixing": mixing.ORACLE,
 }
