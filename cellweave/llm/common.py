@@ -6,8 +6,10 @@ by bytes, so one batch of very long texts never sits in a Python worker at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,3 +93,69 @@ def placed_labels(spark: SparkSession, n: int) -> list[int]:
             found.setdefault(r["p"], r["x"])
         at += step
     return [found[i] for i in range(n)]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: no lineage, no partitioning."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cellweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, partitions: int | None = None) -> DataFrame:
+    """fn over each group of rows with one value of `key` (a long), rows sorted by `order`.
+
+    Groups of a partition are read as they come; only one is held at a time.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        made: list[pa.Table] = []
+        rows = 0
+        last = None
+
+        def close():
+            got = fn(pa.Table.from_batches(held))
+            held.clear()
+            return got
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column(key).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and k[a] != last and (got := close()) is not None:
+                    made.append(got)
+                    rows += got.num_rows
+                last = k[a]
+                held.append(batch.slice(a, b - a))
+            if rows > 5000:
+                yield from pa.concat_tables(made).to_batches()
+                made, rows = [], 0
+        if held and (got := close()) is not None:
+            made.append(got)
+        if made:
+            yield from pa.concat_tables(made).to_batches()
+
+    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): connected components of edges (a, b), labelled by their least node.
+
+    Each round takes the least label of a node's neighbours, then that of its label;
+    rounds are written to the shared folder and end when no label changes.
+    """
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        via = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = stored(step.join(via, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        labels = step.select("node", "label")
+        if not step.filter("was <> label").limit(1).count():
+            return labels
