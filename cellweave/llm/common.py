@@ -159,3 +159,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if not step.filter("was <> label").limit(1).count():
             return labels
+
+
+def collect_garbage(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of steps that are done: it does so when their plans are collected."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

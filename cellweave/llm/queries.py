@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, html_extract, jaccard_join, media, merkle, mixing, quality, secrets, token_counts
+from cellweave.llm import bpe, html_extract, jaccard_join, media, merkle, mixing, quality, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
