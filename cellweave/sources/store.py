@@ -18,9 +18,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return held
 
 
+#: Whether Spark drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: no lineage, no partitioning."""
+    """df written as Parquet in the shared folder and read again: no lineage, no partitioning.
+
+    The shuffle files of the write are dropped when it ends; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cellweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
