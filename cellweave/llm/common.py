@@ -6,7 +6,6 @@ by bytes, so one batch of very long texts never sits in a Python worker at once.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.sources.store import checkpoint_dir, stored
+
+__all__ = ["checkpoint_dir", "components", "cut", "documents", "map_groups", "map_texts", "placed_labels", "row_key", "slices", "stored", "text_of"]
+
 #: Bytes of text that one step of a Python operator holds at a time (a single longer text is one step).
 SLICE_BYTES = 4 << 20
 
@@ -59,17 +62,6 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], fie
     return df.mapInArrow(run, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held:
-        import tempfile
-
-        held = tempfile.mkdtemp(prefix="cellweave-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -95,14 +87,6 @@ def placed_labels(spark: SparkSession, n: int) -> list[int]:
     return [found[i] for i in range(n)]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: no lineage, no partitioning."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cellweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, partitions: int | None = None) -> DataFrame:
     """fn over each group of rows with one value of `key` (a long), rows sorted by `order`.
 
@@ -159,11 +143,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if not step.filter("was <> label").limit(1).count():
             return labels
-
-
-def collect_garbage(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of steps that are done: it does so when their plans are collected."""
-    import gc
-
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()

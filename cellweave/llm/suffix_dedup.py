@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import collect_garbage, documents, map_groups, slices, stored, text_of
+from cellweave.llm.common import documents, map_groups, slices, stored, text_of
 from cellweave.llm.jaccard_join import _P, _PINV, _mix, _powers
 
 LENGTH, GRAM = 50, 16
@@ -264,7 +264,8 @@ def _in_several(rows: DataFrame) -> DataFrame:
 def _spans(docs: DataFrame) -> DataFrame:
     """docs: rid, ord, __text, ats (anchors that several hold) -> (h, sd, off, span, ord, rid, first).
 
-    sd is the span's digest; the span itself comes with its first occurrence in a slice only.
+    A span is known by its anchor's hash and its own, sd; the span itself comes with its
+    first occurrence in a slice only.
     """
 
     def run(batches):
@@ -279,17 +280,17 @@ def _spans(docs: DataFrame) -> DataFrame:
                 if not len(keep):
                     continue
                 k, h, at, first, last = (x[keep] for x in (k, h, at, first, last))
-                seen: set[bytes] = set()
+                seen: set[tuple[int, int]] = set()
                 sds, spans = [], []
                 for q, a, b, e, g in zip(k.tolist(), at.tolist(), first.tolist(), last.tolist(), h.tolist(), strict=True):
                     span = raw[q][b : e + LENGTH]
-                    sd = xxhash.xxh3_128_digest(span, (a - b) ^ (g & 0xFFFFFFFF))
+                    sd = xxhash.xxh3_64_intdigest(span, a - b) - (1 << 63)
                     sds.append(sd)
-                    spans.append(None if sd in seen else span)
-                    seen.add(sd)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sds, pa.binary()), pa.array((at - first).astype(np.int32)), pa.array(spans, pa.binary()), part.column("ord").take(pa.array(k)), part.column("rid").take(pa.array(k)), pa.array(first.astype(np.int32))], names=["h", "sd", "off", "span", "ord", "rid", "first"])
+                    spans.append(None if (g, sd) in seen else span)
+                    seen.add((g, sd))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sds, pa.int64()), pa.array((at - first).astype(np.int32)), pa.array(spans, pa.binary()), part.column("ord").take(pa.array(k)), part.column("rid").take(pa.array(k)), pa.array(first.astype(np.int32))], names=["h", "sd", "off", "span", "ord", "rid", "first"])
 
-    return docs.mapInArrow(run, "h long, sd binary, off int, span binary, ord long, rid long, first int")
+    return docs.mapInArrow(run, "h long, sd long, off int, span binary, ord long, rid long, first int")
 
 
 def around(span: bytes, off: int) -> list[tuple[int, bytes]]:
@@ -305,7 +306,7 @@ def around(span: bytes, off: int) -> list[tuple[int, bytes]]:
 
 def _owners(table: pa.Table) -> pa.Table | None:
     """Least ids of the windows of a group's spans; only spans in which one is lower than the span's own."""
-    spans, own, offs, sds = (table.column(c).to_pylist() for c in ("span", "own", "off", "sd"))
+    spans, own, offs, sds, hs = (table.column(c).to_pylist() for c in ("span", "own", "off", "sd", "h"))
     if len(spans) < 2:
         return None
     seen: dict[tuple[int, bytes], int] = {}
@@ -317,16 +318,16 @@ def _owners(table: pa.Table) -> pa.Table | None:
     if len(met) < 2:
         return None
     got = least_owner([spans[i] for i in met], [own[i] for i in met])
-    rows = [(sds[i], x) for i, x in zip(met, got, strict=True) if min(x) < own[i]]
-    return pa.table({"sd": pa.array([r[0] for r in rows], pa.binary()), "least": pa.array([r[1] for r in rows], pa.list_(pa.int64()))}) if rows else None
+    rows = [(hs[i], sds[i], x) for i, x in zip(met, got, strict=True) if min(x) < own[i]]
+    return pa.table({"h": pa.array([r[0] for r in rows], pa.int64()), "sd": pa.array([r[1] for r in rows], pa.int64()), "least": pa.array([r[2] for r in rows], pa.list_(pa.int64()))}) if rows else None
 
 
-def _grouped(distinct: DataFrame) -> DataFrame:
-    """distinct spans with the group that each goes to: its anchor's, or where that is too large one for each longer gram."""
+def _grouped(distinct: DataFrame) -> tuple[DataFrame, bool]:
+    """distinct spans with the group that each goes to: its anchor's, or where that is too large one for each longer gram; and whether any is."""
 
     many = stored(distinct.groupBy("h").agg(F.count("*").alias("spans")).filter(F.col("spans") > MANY))
     if not many.limit(1).count():
-        return distinct.withColumn("gid", F.col("h"))
+        return distinct.withColumn("gid", F.col("h")), False
     marked = distinct.join(many, "h", "left")
 
     def run(batches):
@@ -340,8 +341,8 @@ def _grouped(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(gids, pa.int64())], names=[*kept.schema.names, "gid"])
 
     few = marked.filter("spans IS NULL").drop("spans").withColumn("gid", F.col("h"))
-    split = marked.filter("spans IS NOT NULL").drop("spans").mapInArrow(run, "h long, sd binary, off int, span binary, own long, gid long")
-    return few.union(split.select(*few.columns))
+    split = marked.filter("spans IS NOT NULL").drop("spans").mapInArrow(run, "h long, sd long, off int, span binary, own long, gid long")
+    return few.union(split.select(*few.columns)), True
 
 
 def _removed(rows: DataFrame) -> DataFrame:
@@ -386,18 +387,17 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "__text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     several = stored(_in_several(_anchored(docs.select("rid", "ord", "__text"))).groupBy("rid").agg(F.collect_set("at").alias("ats")))
-    collect_garbage(df)
     spans = stored(_spans(docs.select("rid", "ord", "__text").join(several, "rid")))
-    collect_garbage(df)
     distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own")).select("h", "sd", "off", "span", "own"))
-    least = stored(map_groups(_grouped(distinct), "gid", ["sd"], _owners, "sd binary, least array<bigint>"))
-    # a span in several groups (by longer grams) takes the least of each window
-    size = F.size("least")
-    least = least.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1))).select("sd", "i", F.element_at("least", F.col("i") + 1).alias("x")).groupBy("sd", "i").agg(F.min("x").alias("x")).groupBy("sd").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("least"))
-    known = stored(distinct.select("sd", "own", (F.octet_length("span") - LENGTH + 1).alias("windows")).join(least, "sd", "left"))
-    rows = spans.select("sd", "ord", "rid", "first").join(known, "sd").filter("ord > own OR least IS NOT NULL")
+    groups, split = _grouped(distinct)
+    least = map_groups(groups, "gid", ["sd"], _owners, "h long, sd long, least array<bigint>")
+    if split:  # a span in several groups takes the least of each window
+        each = least.select("h", "sd", F.posexplode("least").alias("i", "x")).groupBy("h", "sd", "i").agg(F.min("x").alias("x"))
+        least = each.groupBy("h", "sd").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("least"))
+    least = stored(least)
+    known = stored(distinct.select("h", "sd", "own", (F.octet_length("span") - LENGTH + 1).alias("windows")).join(least, ["h", "sd"], "left"))
+    rows = spans.select("h", "sd", "ord", "rid", "first").join(known, ["h", "sd"]).filter("ord > own OR least IS NOT NULL")
     gone = stored(_removed(rows).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    collect_garbage(df)
     return docs.join(gone, "rid", "left").select("doc_id", "rid", "__text", "spans")
 
 
