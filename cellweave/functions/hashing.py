@@ -98,13 +98,22 @@ def minhash(values: Column, permutations: list[tuple[int, int]]) -> Column:
 
         return col.map(one)
 
-    return F.pandas_udf(run, "array<bigint>", F.PandasUDFType.SCALAR)(values)
+    return F.pandas_udf(run, "array<bigint>")(values)
 
 
 def compatible_values(tokens: str) -> Column:
     """array<string> -> array<long> of token values."""
-    return F.pandas_udf(lambda s: s.map(lambda ts: [compatible_token(t) for t in ts]), "array<bigint>", F.PandasUDFType.SCALAR)(F.col(tokens))
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda ts: [compatible_token(t) for t in ts])
+
+    return F.pandas_udf(run, "array<bigint>")(F.col(tokens))
 
 
 def compatible_buckets(sig: str) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda v: compatible_bands([int(x) for x in v])), "array<string>", F.PandasUDFType.SCALAR)(F.col(sig))
+    """array<long> -> array<string> of band keys."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: compatible_bands([int(x) for x in v]))
+
+    return F.pandas_udf(run, "array<string>")(F.col(sig))

@@ -60,7 +60,7 @@ def largest_cluster(points: str) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda ps: 0 if ps is None else largest_cluster_of({(int(p["x"]), int(p["y"]), int(p["z"])) for p in ps})).astype("int32")
 
-    return F.pandas_udf(run, "int", F.PandasUDFType.SCALAR)(F.col(points))
+    return F.pandas_udf(run, "int")(F.col(points))
 
 
 def aligned_cluster(anchors: DataFrame) -> DataFrame:

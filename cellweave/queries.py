@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import hashing, text
-from cellweave.operators import catalog, grid, overlay, postings, rank, search, semantics, sketch
+from cellweave.operators import catalog, grid, overlay, postings, rank, report, search, semantics, sketch
 from cellweave.plans import scan as plan
+from cellweave.sources import folders
 from cellweave.streaming import catalog_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,3 +646,69 @@ def event_windows(spark, d):
 def event_sessions(spark, d):
     s = catalog_stream.sessions(table(spark, d, "events"))
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# -- reports and small rules
+
+
+@query("WITH k AS (SELECT l_orderkey, l_shipdate, l_returnflag, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS f FROM lineitem) SELECT l_orderkey, l_returnflag, (dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f, l_returnflag) - 1)::INT AS code FROM k QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag) = 1")
+def kind_interning(spark, d):
+    """Kinds numbered as they first appear in an order."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return report.kind_codes(li, ["l_orderkey"], "l_returnflag", "l_linenumber").select("l_orderkey", "l_returnflag", "code").distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, round(x * cos(0.5) - z * sin(0.5), 6) AS u, round(y * cos(0.25) - (x * sin(0.5) + z * cos(0.5)) * sin(0.25), 6) AS v, round(y * sin(0.25) + (x * sin(0.5) + z * cos(0.5)) * cos(0.25), 6) AS depth FROM (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_linenumber::DOUBLE AS y, l_discount AS z FROM lineitem)")
+def projection(spark, d):
+    p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"), F.col("l_discount").alias("z"))
+    r = report.projected(p, "3d", 0.5, 0.25)
+    return r.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("u", "v", "depth")])
+
+
+@query(f"{_COVER} SELECT query_id, doc_id, 'Winnowing: ' || format('{{:,}}', shared) || ' (' || printf('%.1f', query_pct) || '% of input)' AS matched FROM cv")
+def matched_data(spark, d):
+    return report.matched_data(rank.containment(*bags(spark, d)))
+
+
+@query("WITH f AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 50 = 1 THEN 'q' ELSE 'g' END AS channel, CASE WHEN o_orderkey % 40 = 3 THEN 'short' ELSE substr(sha256(o_orderkey::VARCHAR), 1, 24) END AS hash, o_orderkey % 30 AS cnt, o_orderkey * 70000 AS x FROM orders), b AS (SELECT doc_id, min(CASE WHEN channel NOT IN ('g') THEN 'channel' WHEN NOT regexp_full_match(hash, '[0-9a-f]{24}') THEN 'hash' WHEN cnt NOT BETWEEN 1 AND 500000 THEN 'count' WHEN abs(x) > 1000000000 THEN 'position' END) AS bad, count(*) - count(DISTINCT (channel, hash)) AS repeats FROM f GROUP BY 1) SELECT doc_id, coalesce(bad, CASE WHEN repeats > 0 THEN 'repeats' END) AS error FROM b WHERE bad IS NOT NULL OR repeats > 0")
+def payload_validation(spark, d):
+    """Fingerprints made of a customer's orders, some of them broken."""
+    k = F.col("o_orderkey")
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(k % 50 == 1, "q").otherwise("g").alias("channel"), F.when(k % 40 == 3, "short").otherwise(hashing.digest(k.cast("string"))).alias("hash"), (k % 30).alias("cnt"), (k * 70000).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"))
+    return report.fingerprint_errors(f)
+
+
+@query("WITH t AS (SELECT user_id AS batch, string_agg(CASE WHEN event_type = 'error' THEN 'ERROR! Download item ' || event_id || ' failed' ELSE 'Success. Downloaded item ' || event_id || ' to x' END, chr(10) ORDER BY event_id) AS text FROM events GROUP BY 1) SELECT user_id AS batch, event_id::VARCHAR AS id, event_type <> 'error' AS ok FROM events")
+def tool_output_parse(spark, d):
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_type") == "error", F.format_string("ERROR! Download item %d failed", "event_id")).otherwise(F.format_string("Success. Downloaded item %d to x", "event_id"))
+    t = e.groupBy(F.col("user_id").alias("batch")).agg(F.concat_ws("\n", F.collect_list(line)).alias("text"))
+    return report.tool_outcomes(t)
+
+
+@query("SELECT '/data/' || (o_custkey % 3) AS ancestor, count(*) AS files FROM orders GROUP BY 1 ORDER BY files DESC, ancestor LIMIT 1")
+def folder_autodetect(spark, d):
+    """The folder that most indexed paths lie in."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.format_string("/data/%d/%d/v.xml", F.col("o_custkey") % 3, "o_orderkey").alias("path"))
+    return folders.common_ancestor(o)
+
+
+@query(f"WITH {TAG_SQL} SELECT tag_key, min(tag) AS tag, count(*) AS items FROM tg WHERE contains(lower(tag), 'cl') OR contains(lower(tag), 'err') GROUP BY 1")
+def tag_substring(spark, d):
+    t = F.lower("tag")
+    return catalog.tag_histogram(tags_of(spark, d)).filter(t.contains("cl") | t.contains("err"))
+
+
+@query(f"WITH {ITEM_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY size_bytes NULLS LAST, id)::INT AS place, count(*) OVER () AS n FROM it) SELECT id, place, floor((place - 1) / least(20, greatest(1, n // 4)))::INT AS batch FROM b")
+def batch_formation(spark, d):
+    from pyspark.sql import Window
+
+    i = items_of(spark, d).withColumn("place", F.row_number().over(Window.orderBy(F.col("size_bytes").asc_nulls_last(), "id")))
+    return catalog.batches(i, 20, 4).select("id", "place", "batch")
+
+
+@query("WITH c AS (SELECT event_id, value > 10 AS has, event_type AS status, event_id % 4 AS searched, event_id % 3 AS indexed, event_id % 2 AS micro, event_id % 5 AS geometry, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'odd' END AS conf FROM events) SELECT event_id, CASE WHEN NOT has THEN CASE WHEN status = 'no index' OR searched = 0 OR searched < indexed THEN 'Uncertain' ELSE 'No match found' END WHEN micro > 0 AND geometry = 0 THEN 'Holds some matched microcontrollers' WHEN conf = 'odd' THEN 'Uncertain' ELSE upper(conf[1]) || conf[2:] END AS certainty FROM c")
+def certainty_label(spark, d):
+    k = F.col("event_id")
+    conf = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (k % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", rank.certainty(F.col("value") > 10, F.col("event_type"), k % 4, k % 3, k % 2, k % 5, conf).alias("certainty"))
