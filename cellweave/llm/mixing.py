@@ -38,13 +38,13 @@ def size_of(text: Column) -> Column:
 
 
 def _hash32(text: Column) -> Column:
-    """A portable 32-bit hash (any SQL engine with md5 gives the same)."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    """A portable 32-bit hash (any SQL engine with md5 gives the same), never null: no filter is inferred that computes it again."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(0))
 
 
 def size_class(size: Column) -> Column:
     """Sixteen classes an octave: the whole part of 16 log2(size + 1)."""
-    return F.floor(16 * F.log2(size.cast("double") + 1)).cast("long")
+    return F.coalesce(F.floor(16 * F.log2(size.cast("double") + 1)).cast("long"), F.lit(0))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -68,16 +68,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken, and df's columns in `keep` as struct `row`."""
     hashed = F.pmod(_hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(PARTS))
-    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")]
+    # a source's key is never null, so that the join finds the rows dealt as the window left them
+    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("key"), size_of(F.col(text_col)).alias("size")]
     celled = lambda x: x.withColumn("cls", size_class(F.col("size"))).withColumn("part", hashed)
     d = celled(df.select(*named, *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else [])))
-    cells = celled(df.select(*named)).groupBy("source", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    aims = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).select(F.col("source").alias("t"), "source_size", "target")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = cells.withColumn("before", before).join(aims, F.col("source").eqNullSafe(F.col("t")), "inner").select(F.col("source").alias("s"), F.col("cls").alias("c"), F.col("part").alias("p"), "before", "source_size", "target")
-    inside = F.row_number().over(Window.partitionBy("source", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
+    cells = celled(df.select(*named)).groupBy("key", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    aims = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30))), weights, most).select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("t"), "source_size", "target")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = cells.withColumn("before", before).join(aims, F.col("key") == F.col("t"), "inner").select(F.col("key").alias("s"), F.col("cls").alias("c"), F.col("part").alias("p"), "before", "source_size", "target")
+    inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
     ranked = d.withColumn("inside", inside)
-    m = ranked.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col("cls") == F.col("c")) & (F.col("part") == F.col("p")), "inner")
+    m = ranked.join(s, (F.col("key") == F.col("s")) & (F.col("cls") == F.col("c")) & (F.col("part") == F.col("p")), "inner")
     offset = _hash32(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))) / F.lit(4294967296.0)
     rho = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = lambda rank: F.floor(rank * rho + offset)
