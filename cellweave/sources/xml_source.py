@@ -12,7 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,20 +179,20 @@ def rows_of(data: bytes, old: bool = False) -> list[dict]:
 
 def parse_rows(files: DataFrame, key: str = "path", old: bool = False) -> DataFrame:
     """(doc_id, error, rows...): one row for each part of each document; a document that can't be read gives one row with its error."""
-    names = [f.strip().split(" ")[0] for f in ROWS.split(",")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    fields = [tuple(f.strip().split(" ")) for f in f"doc_id string, error string, {ROWS}".split(",")]
+    schema = pa.schema([(name, types[t]) for name, t in fields])
 
-    def run(frames):
-        for f in frames:
-            for k, data in zip(f[key], f["content"], strict=True):
+    def run(batches):
+        for batch in batches:
+            for k, data in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    got = pd.DataFrame(rows_of(bytes(data), old), columns=names)
-                    got.insert(0, "error", None)
+                    got = [{"doc_id": k, **r} for r in rows_of(data, old)]
                 except ValueError as e:
-                    got = pd.DataFrame([{"error": str(e)}], columns=["error", *names])
-                got.insert(0, "doc_id", k)
-                yield got.astype({c: "Int64" for c in ("body", "ord", "x", "y", "z", "x1", "y1", "z1", "def_id", "node_id", "source")})
+                    got = [{"doc_id": k, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(got, schema)
 
-    return files.select(key, "content").mapInPandas(run, f"doc_id string, error string, {ROWS}")
+    return files.select(key, "content").mapInArrow(run, f"doc_id string, error string, {ROWS}")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -215,34 +215,37 @@ def semantic_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.logic_features(links, placed), micro.select("doc_id", "hash", "cnt", "at.x", "at.y", "at.z")
 
 
+def points_of(data: bytes, key: str) -> list[tuple]:
+    """(key, idx, x, y, z, kind) of a document's places; none if it can't be read."""
+    parser = ET.XMLPullParser(("start", "end"))
+    out: list[tuple] = []
+    open_: list[str] = []
+    try:
+        parser.feed(repaired(data))
+        for event, e in parser.read_events():
+            tag = local(e.tag).lower()
+            if tag == "c" and event == "start":
+                open_.append(next((e.get(a) for a in ("d", "type", "t") if e.get(a)), "")[:80].casefold())
+            elif tag == "c":
+                open_.pop()
+            elif tag == "vp" and event == "start" and open_ and (at := place(e)):
+                out.append((key, len(out), *at, open_[-1]))
+    except ET.ParseError:
+        return []
+    return out
+
+
 def geometry(files: DataFrame, key: str = "path") -> DataFrame:
     """(doc_id, idx, x, y, z, category, kind): a point for every place of every component, in document order."""
     from cellweave.functions.text import category
 
-    def run(frames):
-        for f in frames:
-            for k, data in zip(f[key], f["content"], strict=True):
-                out: list[tuple] = []
-                stack: list[str] = []
-                try:
-                    for event, e in _events(bytes(data)):
-                        tag = local(e.tag).lower()
-                        if tag == "c":
-                            if event == "start":
-                                stack.append(next((e.get(a) for a in ("d", "type", "t") if e.get(a)), "")[:80].casefold())
-                            elif stack:
-                                stack.pop()
-                        elif tag == "vp" and event == "start" and stack and (at := place(e)):
-                            out.append((k, len(out), *at, stack[-1]))
-                except ET.ParseError:
-                    out = []
-                yield pd.DataFrame(out, columns=["doc_id", "idx", "x", "y", "z", "kind"])
-
-    d = files.select(key, "content").mapInPandas(run, "doc_id string, idx long, x long, y long, z long, kind string")
-    return d.withColumn("category", category(F.col("kind")))
+    schema = pa.schema([("doc_id", pa.string()), ("idx", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("kind", pa.string())])
 
+    def run(batches):
+        for batch in batches:
+            for k, data in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist(), strict=True):
+                cols = list(zip(*points_of(data, k), strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-def _events(data: bytes):
-    parser = ET.XMLPullParser(("start", "end"))
-    parser.feed(repaired(data))
-    return parser.read_events()
+    d = files.select(key, "content").mapInArrow(run, "doc_id string, idx long, x long, y long, z long, kind string")
+    return d.withColumn("category", category(F.col("kind")))
