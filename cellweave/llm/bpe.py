@@ -17,6 +17,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -196,11 +197,10 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", coder: Codec
     """df plus the text of its ids (bytes that are no UTF-8 become U+FFFD)."""
     held = df.sparkSession.sparkContext.broadcast(coder or default_codec())
 
-    @F.pandas_udf("string")
-    def back(s: "pd.Series") -> "pd.Series":  # noqa: F821
+    def back(s: pd.Series) -> pd.Series:
         return s.map(lambda x: held.value.decode_bytes(np.asarray(x if x is not None else [], "<u4").tobytes()).decode("utf-8", "replace"))
 
-    return df.withColumn(out, back(F.col(ids_col)))
+    return df.withColumn(out, F.pandas_udf(back, "string")(F.col(ids_col)))
 
 
 def encoded_digests(df: DataFrame, text_col: str = "text", coder: Codec | None = None) -> DataFrame:
