@@ -29,6 +29,12 @@ def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return d.select("query_id", "doc_id", "channel", "shared", "distinct_shared", (100.0 * F.col("shared") / F.col("own")).alias("query_pct"), (100.0 * F.col("shared") / F.col("their")).alias("doc_pct"))
 
 
+def same_bags(queries: DataFrame, docs: DataFrame, channel: str = "g") -> DataFrame:
+    """(query_id, doc_id): pairs whose bags of a channel are equal; compared by the digest of the sorted bag."""
+    whole = lambda d, key: d.filter(F.col("channel") == channel).groupBy(key).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "hash", F.col("cnt").cast("string"))))), 256).alias("bag"))
+    return whole(queries, "query_id").join(whole(docs, "doc_id"), "bag").select("query_id", "doc_id")
+
+
 def rare_shared(shared: DataFrame, df: DataFrame, n: int) -> DataFrame:
     """Shared features that few sampled postings hold; one that isn't sampled isn't rare."""
     return shared.join(df, ["channel", "hash"]).filter((F.col("df") > 0) & (F.col("df") <= rare_limit(n)))

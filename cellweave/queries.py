@@ -712,3 +712,72 @@ def certainty_label(spark, d):
     k = F.col("event_id")
     conf = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (k % 4 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", rank.certainty(F.col("value") > 10, F.col("event_type"), k % 4, k % 3, k % 2, k % 5, conf).alias("certainty"))
+
+
+@query(f"{_BAG}, df AS (SELECT hash, count(DISTINCT doc_id) AS df FROM wf GROUP BY 1), lim AS (SELECT greatest(20, count(*) // 10) AS lim, count(*) AS n FROM documents), kn AS (SELECT q.doc_id AS query_id, hash, df, df <= lim AS rare, n FROM (SELECT DISTINCT doc_id, hash FROM qwf) q JOIN df USING (hash), lim), rk AS (SELECT *, bool_or(rare) OVER (PARTITION BY query_id) AS anyr, row_number() OVER (PARTITION BY query_id ORDER BY rare DESC, df, hash) AS k FROM kn), tm AS (SELECT * FROM rk WHERE (anyr AND rare AND k <= 300) OR (NOT anyr AND k <= 100)), v AS (SELECT query_id, w.doc_id, sum(1 + ln((n + 1) / (df + 1)::DOUBLE)) AS votes FROM tm JOIN wf w USING (hash) GROUP BY 1, 2) SELECT query_id, doc_id, round(votes, 6) AS votes FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, doc_id) <= 80")
+def legacy_candidates(spark, d):
+    q, docs = bags(spark, d)
+    return search.older_candidates(q, docs, n_docs(spark, d)).select("query_id", "doc_id", F.round("votes", 6).alias("votes"))
+
+
+@query(f"WITH {tok()}, {win()}, bg AS (SELECT doc_id, sha256(string_agg(hash || ':' || cnt, ',' ORDER BY hash || ':' || cnt)) AS bag FROM wf GROUP BY 1) SELECT a.doc_id AS query_id, b.doc_id FROM bg a JOIN bg b USING (bag) WHERE a.doc_id <> b.doc_id AND a.doc_id % 100 = 0")
+def small_exact_copy(spark, d):
+    """Documents with the bag of one whose id is divisible by 100."""
+    docs = runs_of(spark, d).select("doc_id", F.lit("w").alias("channel"), "hash", "cnt")
+    q = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return rank.same_bags(q, docs, "w").filter("query_id <> doc_id")
+
+
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS query_id, CASE l_returnflag WHEN 'A' THEN 'g' WHEN 'N' THEN 'w' ELSE 'm' END AS channel, l_partkey::VARCHAR AS hash FROM lineitem), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY hash) AS turn FROM p) SELECT query_id, hash, channel, row_number() OVER (PARTITION BY query_id ORDER BY turn, CASE channel WHEN 'g' THEN 0 WHEN 'w' THEN 1 ELSE 3 END)::INT AS place FROM t")
+def interleaved_postings(spark, d):
+    f = F.col("l_returnflag")
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.when(f == "A", "g").when(f == "N", "w").otherwise("m").alias("channel"), F.col("l_partkey").cast("string").alias("hash")).distinct()
+    return search.interleaved(p).select("query_id", "hash", "channel", "place")
+
+
+@query("SELECT l_orderkey AS pair_id, l_linenumber::BIGINT AS x, arg_max(l_returnflag, l_partkey) AS kind FROM (SELECT l_orderkey, l_linenumber, l_partkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def last_wins_dedupe(spark, d):
+    """The last component at each place."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_returnflag").alias("kind"))
+    p = li.select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").cast("long").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.col("l_partkey").alias("idx"), "kind")
+    return overlay.last_at_each_place(p).select("pair_id", "x", "kind")
+
+
+@query(f"WITH {_PTS}, ek AS (SELECT pair_id, x, y, kind, sum((side = 'input')::INT) AS a, sum((side = 'match')::INT) AS b FROM pt GROUP BY 1, 2, 3, 4), s AS (SELECT pair_id, sum(least(a, b))::BIGINT AS m, sum(a) AS n, sum(b) AS k FROM ek GROUP BY 1) SELECT pair_id, m AS matched, m > 0 AND (pair_id % 2 = 0 OR (m >= 4 AND m >= ceil(0.8 * n) AND m >= ceil(0.8 * k))) AS verified FROM s")
+def overlay_acceptance(spark, d):
+    l, r = _points(spark, d, 1), _points(spark, d, 0)
+    return overlay.accepted(overlay.labels(l, r), l.filter("pair_id % 2 = 0").select("pair_id").distinct())
+
+
+@query(f"WITH {_PTS}, b AS (SELECT pair_id, side, count(*) AS n, bool_and(coalesce(kind, '') <> '') AS typed, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM pt GROUP BY 1, 2) SELECT l.pair_id, l.ax - r.ax AS ox, l.ay - r.ay AS oy, 0::BIGINT AS oz FROM b l JOIN b r USING (pair_id) WHERE l.side = 'input' AND r.side = 'match' AND l.n >= 4 AND r.n >= 4 AND l.typed AND r.typed AND l.bx - l.ax = r.bx - r.ax AND l.by_ - l.ay = r.by_ - r.ay")
+def extent_offset(spark, d):
+    return overlay.extent_offset(_points(spark, d, 1), _points(spark, d, 0))
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) ELSE printf('%.1f GiB', b / 1073741824.0) END AS size, format('{:,}', b) AS told, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 3 + 7 AS b, o_orderkey % 9000 AS s FROM orders)")
+def formatters(spark, d):
+    k = F.col("o_orderkey")
+    b = k * k * 3 + 7
+    return table(spark, d, "orders").select("o_orderkey", text.bytes_text(b).alias("size"), text.thousands(b).alias("told"), text.duration_text(k % 9000).alias("took"))
+
+
+@query("WITH m AS (SELECT l_suppkey AS query_id, l_partkey % 7 AS item_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)::INT AS place FROM lineitem), f AS (SELECT query_id, item_id, min(place) AS place FROM m GROUP BY 1, 2), r AS (SELECT query_id, item_id, place, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank FROM f) SELECT query_id, item_id, place, rank FROM r WHERE rank BETWEEN 2 AND 4")
+def candidate_rows(spark, d):
+    """The next three items after the best, each by its first match."""
+    from pyspark.sql import Window
+
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 7).alias("item_id"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")).alias("place"))
+    return rank.candidate_rows(m)
+
+
+@query(f"WITH {ITEM_SQL}, c AS (SELECT id, size_bytes, (id::BIGINT % 4) * {4 * DAY} + CASE WHEN id::BIGINT % 4 = 0 THEN 0 ELSE {NOW} - {14 * DAY} END AS tag_checked, {NOW} - (id::BIGINT % 3) * {DAY} AS tried FROM it) SELECT id, (tag_checked = 0 AND tried <= {NOW - DAY}) OR (tag_checked > 0 AND tag_checked < {NOW - 7 * DAY}) AS tags, id::BIGINT % 5 = 0 AND tried <= {NOW - DAY} AS sizes FROM c")
+def recheck_schedule(spark, d):
+    k = F.col("id").cast("long")
+    i = items_of(spark, d).withColumn("tag_checked", k % 4 * (4 * DAY) + F.when(k % 4 == 0, 0).otherwise(NOW - 14 * DAY)).withColumn("tag_tried", NOW - k % 3 * DAY).withColumn("size_checked", F.col("tag_tried")).withColumn("size_bytes", F.when(k % 5 != 0, 1))
+    return i.select("id", catalog.recheck_tags(NOW).alias("tags"), catalog.recheck_sizes(NOW).alias("sizes"))
+
+
+@query("SELECT event_id, event_id % 3 = 1 AND (event_id % 4 = 0 OR (event_id % 5)::VARCHAR = '2') AS valid FROM events")
+def valid_detail_rows(spark, d):
+    k = F.col("event_id")
+    return table(spark, d, "events").select("event_id", catalog.valid_detail(k % 3, k, F.when(k % 4 != 0, k % 5), "2").alias("valid"))
