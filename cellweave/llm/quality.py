@@ -10,7 +10,7 @@ near the prior.  A document's posterior joins its evidence with its path's rate.
 
 Defined cases: null text is empty text; null host or path are groups of their own;
 labels that are null, repeated or without a document don't count; without any usable
-labels all evidence is 0 and every document is kept; repeated rows are scored alike.
+labels all evidence is 0, priors are UNKNOWN and every document is kept; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, documents, map_texts, slices, text_of
+from cellweave.llm.common import cut, documents, map_texts, slices, stored, text_of
 
 #: Most labelled rows that the models are fitted on.
 MAX_FIT = 6000
@@ -32,8 +32,12 @@ MAX_FIT = 6000
 BITS, LEAST, DEVIATIONS = 20, 12, 4.0
 MAX_WORDS = 4000
 HEADS = ("quality", "toxic")
+#: Prior log-odds of a head without labels of both kinds: documents are taken to be good.
+UNKNOWN = {"quality": 4.0, "toxic": -4.0}
 #: A document is kept if it is more likely good than not, and not likely to be toxic.
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.3
+#: Paths up to which their rates are broadcast (a row has some 100 bytes); more are joined by a shuffle.
+BROADCAST_PATHS = 100_000
 #: Bounds of a group's prior strength, in documents.
 STRENGTH = (5.0, 5000.0)
 
@@ -141,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = d.mapInArrow(run, "quality double, toxic double, words array<int>, dense array<double>").toArrow().to_pydict()
     words = [np.array(w, np.int64) for w in got["words"]]
-    heads, priors = {}, dict.fromkeys(HEADS, 0.0)
+    heads, priors = {}, dict(UNKNOWN)
     if words:
         dense = np.array(got["dense"])
         ids, n = np.unique(np.concatenate(words), return_counts=True)
@@ -208,6 +212,9 @@ def path_rates(scores: DataFrame, prior: float, host: str, path: str) -> DataFra
 
 def with_posteriors(scores: DataFrame, rates: DataFrame, host: str, path: str, toxic_prior: float) -> DataFrame:
     """scores plus host_rate, path_rate, p_quality, p_toxic and keep."""
+    rates = stored(rates)
+    if rates.count() <= BROADCAST_PATHS:
+        rates = F.broadcast(rates)
     d = scores.join(rates, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     d = d.withColumn("p_quality", _sigmoid(F.col("__q") + _logit(F.col("path_rate")))).withColumn("p_toxic", _sigmoid(F.col("__t") + F.lit(toxic_prior)))
     return d.withColumn("keep", (F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") < KEEP_TOXIC)).drop("__host", "__path")
