@@ -305,11 +305,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = leaves.groupBy("sid").agg(F.map_from_entries(F.collect_set(F.struct("slot", "bucket"))).alias("m")).select("sid", in_slot(F.col("m")).alias("slots"))
     known = sets.join(of, "sid").select("sid", "n", "sig", "slots")
     groups = blocked(leaves, block).join(known, "sid")
-    found = stored(map_groups(groups, "gid", ["sid"], candidates, "gid long, sid binary, slot int, side int, slots binary"))
+    found = stored(map_groups(groups, "gid", [], candidates, "gid long, sid binary, slot int, side int, slots binary"))
     needed = stored(found.select("sid").distinct().join(sets.select("sid", "rep", "copies"), "sid"))
-    shingles = _shingled(docs.join(needed.select(F.col("rep").alias("__key")).distinct(), "__key", "left_semi"))
+    # texts are dealt by key at every size: a broadcast would stop being possible as the corpus grows
+    shingles = _shingled(docs.join(needed.select(F.col("rep").alias("__key")).distinct().hint("merge"), "__key", "left_semi"))
     full = found.join(shingles.join(needed, "sid"), "sid")
-    links = stored(map_groups(full, "gid", ["sid"], verified, "sid binary, rep long, parent long, links long"))
+    links = stored(map_groups(full, "gid", [], verified, "sid binary, rep long, parent long, links long"))
     labels = components(links.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = stored(sets.join(counted, "sid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
@@ -320,7 +321,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """df with one document of each class, that with the least id; df's columns."""
     classes = stored(near_classes(df, id_col, text_col, **options))
     gone = classes.filter("key <> class_id").select(F.col("key").alias("__key")).distinct()
-    kept = df.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left_anti")
+    kept = df.withColumn("__key", row_key(id_col, text_col)).join(gone.hint("merge"), "__key", "left_anti")
     if classes.groupBy("key").count().filter("count > 1").limit(1).count():  # repeated rows
         kept = kept.dropDuplicates(["__key"])
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
