@@ -4,7 +4,9 @@ Every document of a source has the same number of expected copies,
 target / source_size.  Within the source the copies are summed in a fixed order,
 one offset from [0, 1) is added for the source, and a document is emitted once for
 each whole number that its part of the sum crosses.  The order is by size, so that
-the emitted words follow the target closely: the error telescopes over sizes.
+the emitted words follow the target closely: the error telescopes over sizes.  The
+offset is one of OFFSETS random ones, that whose words come nearest to the target; this
+matters where a few documents are most of a source.
 
 The prefix sum has two levels.  A source is dealt into (size class, hash part)
 cells; the cells' counts are summed over the source (at most CLASSES x PARTS rows),
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents
+from cellweave.llm.common import documents, stored
 
 #: Weights that sources get in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,6 +32,8 @@ MOST = 3
 #: Hash parts of a size class.
 PARTS = 64
 SEED = 7
+#: Random offsets of which a source takes one.
+OFFSETS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -71,19 +75,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # a source's key is never null, so that the join finds the rows dealt as the window left them
     named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("key"), size_of(F.col(text_col)).alias("size")]
     celled = lambda x: x.withColumn("cls", size_class(F.col("size"))).withColumn("part", hashed)
-    d = celled(df.select(*named, *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else [])))
-    cells = celled(df.select(*named)).groupBy("key", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    aims = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30))), weights, most).select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("t"), "source_size", "target")
+    slim = celled(df.select(*named))
+    cells = stored(slim.groupBy("key", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    aims = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30))), weights, most)
+    aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rho"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = cells.withColumn("before", before).join(aims, F.col("key") == F.col("t"), "inner").select(F.col("key").alias("s"), F.col("cls").alias("c"), F.col("part").alias("p"), "before", "source_size", "target")
-    inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
-    ranked = d.withColumn("inside", inside)
-    m = ranked.join(s, (F.col("key") == F.col("s")) & (F.col("cls") == F.col("c")) & (F.col("part") == F.col("p")), "inner")
-    offset = _hash32(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))) / F.lit(4294967296.0)
-    rho = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    at = lambda rank: F.floor(rank * rho + offset)
-    rank = F.col("before") + F.col("inside")
-    m = m.withColumn("copies", (at(rank) - at(rank - 1)).cast("long"))
+    starts = stored(cells.withColumn("before", before).join(aims, "key").select("key", "cls", "part", "before", "source_size", "target", "rho"))
+
+    def ranked(d: DataFrame, s: DataFrame) -> DataFrame:
+        inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
+        return d.withColumn("inside", inside).join(s, ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+
+    copies = lambda u: (F.floor(F.col("rank") * F.col("rho") + u) - F.floor((F.col("rank") - 1) * F.col("rho") + u)).cast("long")
+    offset = lambda k: _hash32(F.concat(F.lit(f"{seed}:{k}:"), F.col("key"))) / F.lit(4294967296.0)
+    sums = ranked(slim, starts).groupBy("key").agg(F.max("target").alias("target"), *[F.sum(copies(offset(k)) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset(k).alias("u")) for k in range(OFFSETS)]))
+    starts = starts.join(sums.select("key", best.getField("u").alias("u")), "key")
+    d = celled(df.select(*named, *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else [])))
+    m = ranked(d, stored(starts)).withColumn("copies", copies(F.col("u")))
     return m.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if keep else []))
 
 
@@ -109,9 +118,11 @@ f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ro LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(room::DOUBLE, coalesce(weight * (SELECT level FROM f), room::DOUBLE)) END AS target FROM l),
 c AS (SELECT d.*, floor(16 * log2(size::DOUBLE + 1))::BIGINT AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS part FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id NULLS LAST) AS rank FROM c),
-m AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.rank,
-       CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rho,
-       ('0x' || substr(md5('7:' || coalesce('s' || r.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size)::BIGINT AS taken FROM m
+m AS (SELECT r.*, t.source_size, t.target, coalesce('s' || r.source, 'null') AS key,
+       CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rho
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT key, k, ('0x' || substr(md5('7:' || k || ':' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT key FROM m), (SELECT unnest(range(16)) AS k)),
+g AS (SELECT m.key, k.k, any_value(u) AS u, abs(sum((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size) - any_value(target)) AS off FROM m JOIN k USING (key) GROUP BY 1, 2),
+b AS (SELECT key, arg_min(u, (off, k)) AS u FROM g GROUP BY 1)
+SELECT doc_id, size, source_size, target, ((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size)::BIGINT AS taken FROM m JOIN b USING (key)
 """
