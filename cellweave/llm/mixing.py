@@ -84,7 +84,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def ranked(d: DataFrame, s: DataFrame) -> DataFrame:
         inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
-        return d.withColumn("inside", inside).join(s, ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+        return d.withColumn("inside", inside).join(s.hint("merge"), ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
 
     copies = lambda u: (F.floor(F.col("rank") * F.col("rho") + u) - F.floor((F.col("rank") - 1) * F.col("rho") + u)).cast("long")
     offset = lambda k: _hash32(F.concat(F.lit(f"{seed}:{k}:"), F.col("key"))) / F.lit(4294967296.0)
