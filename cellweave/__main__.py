@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import catalog, grid
+from cellweave.operators import catalog
 from cellweave.plans import scan as plan
 from cellweave.session import session
 from cellweave.sources import xml_source
