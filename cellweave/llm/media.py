@@ -19,7 +19,6 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellweave.llm.common import documents, map_texts, text_of
 
