@@ -30,12 +30,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part has about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each part has about `limit` bytes of text."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)

@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, map_groups, slices, stored, text_of
+from cellweave.llm.common import documents, slices, stored, text_of
 from cellweave.llm.jaccard_join import _P, _PINV, _mix, _powers
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 #: Spans of one anchor that meet in one group at most; beyond, they meet by longer grams.
 MANY = 4000
+#: Bytes of text whose grams a worker holds at a time (about 100 bytes for each).
+SLICE = 1 << 20
 #: Steps by which the longer grams around an anchor differ; they have LENGTH - STEP + 1 bytes.
 STEP = 6
 
@@ -179,66 +181,102 @@ def least_owner(spans: list[bytes], owners: list[int], length: int = LENGTH) ->
 # -- anchors
 
 
-def spans_of(raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Spans of all texts: text number, anchor's hash, anchor, first window, last window (positions in the text)."""
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    n = int(sizes.sum())
-    none = (np.empty(0, np.int64),) * 5
-    if n < LENGTH:
-        return none
-    x = np.frombuffer(b"".join(raw), np.uint8)
-    of = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(_P, n), out=sums[1:])
-    h = _mix((sums[GRAM:] - sums[:-GRAM]) * _powers(_PINV, n)[: n - GRAM + 1])
-    v, a, size = h, np.arange(len(h), dtype=np.int32), 1
-
-    def lower(v, a, d):
-        take = v[d:] < v[:-d]
-        return np.where(take, v[d:], v[:-d]), np.where(take, a[d:], a[:-d])
-
-    while size * 2 <= SPREAD:
-        v, a = lower(v, a, size)
-        size *= 2
-    if size < SPREAD:
-        v, a = lower(v, a, SPREAD - size)
-    start = np.flatnonzero(of[: n - LENGTH + 1] == of[LENGTH - 1 :])
-    if not len(start):
-        return none
-    a = a[start]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)])
-    first = start[new]
-    last = start[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
-    anchor = a[new].astype(np.int64)
-    base = (np.cumsum(sizes) - sizes)[of[first]]
-    return of[first].astype(np.int64), h[anchor].view(np.int64), anchor - base, first - base, last - base
+_held: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """Powers up to the n-th; those that most slices need are kept."""
+    if n > 2 * SLICE:
+        return _powers(base, n)
+    if base not in _held or len(_held[base]) < n:
+        _held[base] = _powers(base, 2 * SLICE)
+    return _held[base][:n]
+
+
+def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One number for a text of a slice and a hash (an odd multiple is told apart from others by all bits)."""
+    return h ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Grams:
+    """GRAM-grams of some texts by hash, and the least hash in each window of LENGTH bytes that lies in one text."""
+
+    def __init__(self, raw: list[bytes]):
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.begin = np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
+        self.start = np.empty(0, np.int64)
+        if n < LENGTH:
+            return
+        x = np.frombuffer(b"".join(raw), np.uint8)
+        self.of = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers_of(_P, n), out=self.sums[1:])
+        self.h = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * _powers_of(_PINV, n)[: n - GRAM + 1])
+        m, size = self.h, 1
+        while size * 2 <= SPREAD:
+            m = np.minimum(m[:-size], m[size:])
+            size *= 2
+        if size < SPREAD:
+            m = np.minimum(m[: size - SPREAD], m[SPREAD - size :])
+        self.start = np.flatnonzero(self.of[: n - LENGTH + 1] == self.of[LENGTH - 1 :])
+        if not len(self.start):
+            return
+        self.least = m[self.start]
+        doc = self.of[self.start]
+        new = np.flatnonzero(np.concatenate([[True], (self.least[1:] != self.least[:-1]) | (doc[1:] != doc[:-1])]))
+        #: runs of windows with one least hash in one text
+        self.first, self.last = self.start[new], self.start[np.concatenate([new[1:], [len(doc)]]) - 1]
+        self.doc, self.hash = doc[new].astype(np.int64), self.least[new]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the distinct anchors of each text."""
+        _, new = np.unique(_key(self.doc, self.hash), return_index=True)
+        return self.doc[new], self.hash[new].view(np.int64)
+
+    def spans(self, doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Spans whose anchor is among (doc, hashes): text, hash, anchor, first and last window (places in the joined texts)."""
+        keep = np.isin(_key(self.doc, self.hash), _key(doc, hashes.view(np.uint64)))
+        d, h, at, last = self.doc[keep], self.hash[keep], self.first[keep], self.last[keep]
+        found = []
+        while len(at):  # again only where a run goes on after its first anchor, that is, where a gram repeats
+            p = at + np.argmax(self.h[at[:, None] + np.arange(SPREAD)] == h[:, None], axis=1)
+            found.append((d, h, p, at, np.minimum(last, p)))
+            on = p < last
+            d, h, at, last = d[on], h[on], p[on] + 1, last[on]
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 5
+
+    def hash_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from a to b."""
+        return (self.sums[b] - self.sums[a]) * _powers_of(_PINV, len(self.sums))[a]
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """docs: rid, ord, __text -> (h, ord, rid, at) for every span's anchor."""
+    """docs: rid, td, __text -> (h, td, rid) for every distinct anchor of a text."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                k, h, at, _, _ = spans_of([t.encode() for t in part.column("__text").to_pylist()])
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column("ord").take(pa.array(k)), part.column("rid").take(pa.array(k)), pa.array(at.astype(np.int32))], names=["h", "ord", "rid", "at"])
+            for part in slices(batch, "__text", SLICE):
+                g = Grams([t.encode() for t in part.column("__text").to_pylist()])
+                if len(g.start):
+                    k, h = g.anchors()
+                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column("td").take(pa.array(k)), part.column("rid").take(pa.array(k))], names=["h", "td", "rid"])
 
-    return docs.mapInArrow(run, "h long, ord long, rid long, at int")
+    return docs.mapInArrow(run, "h long, td long, rid long")
 
 
 def _in_several(rows: DataFrame) -> DataFrame:
-    """The rows whose anchor more than one ord holds; rows come sorted and are never held beyond a batch."""
+    """The rows whose anchor more than one text holds; rows come sorted by anchor, and those of an anchor are held only as long as they are all of one text."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the last anchor, as long as one ord only has it
+        held: list[pa.RecordBatch] = []  # rows of the last anchor, as long as one text only has it
         last = owner = None
         several = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, o = batch.column("h").to_numpy(), batch.column("ord").to_numpy()
+            h, o = batch.column("h").to_numpy(), batch.column("td").to_numpy()
             new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
             starts, group = np.flatnonzero(new), np.cumsum(new)  # group 0 goes on from the batch before
             first = np.concatenate([[o[0] if owner is None else owner], o[starts]])
@@ -258,11 +296,11 @@ def _in_several(rows: DataFrame) -> DataFrame:
                 held.append(batch.filter(pa.array(group == end)))
             last, owner, several = h[-1], first[end], bool(shared[end])
 
-    return rows.repartition(n, "h").sortWithinPartitions("h", "ord").mapInArrow(run, "h long, ord long, rid long, at int")
+    return rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, td long, rid long")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """docs: rid, ord, __text, ats (anchors that several hold) -> (h, sd, off, span, ord, rid, first).
+    """docs: rid, ord, __text, hashes (anchors that several hold) -> (h, sd, off, span, ord, rid, first).
 
     A span is known by its anchor's hash and its own, sd; the span itself comes with its
     first occurrence in a slice only.
@@ -270,25 +308,23 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 raw = [t.encode() for t in part.column("__text").to_pylist()]
-                k, h, at, first, last = spans_of(raw)
-                ats = part.column("ats")
-                flat = ats.flatten().to_numpy().astype(np.int64)
-                owner = np.repeat(np.arange(len(raw)), ats.value_lengths().to_numpy())
-                keep = np.flatnonzero(np.isin(k << 40 | at, owner << 40 | flat))
-                if not len(keep):
+                g, held = Grams(raw), part.column("hashes")
+                if not len(g.start):
                     continue
-                k, h, at, first, last = (x[keep] for x in (k, h, at, first, last))
-                seen: set[tuple[int, int]] = set()
-                sds, spans = [], []
-                for q, a, b, e, g in zip(k.tolist(), at.tolist(), first.tolist(), last.tolist(), h.tolist(), strict=True):
-                    span = raw[q][b : e + LENGTH]
-                    sd = xxhash.xxh3_64_intdigest(span, a - b) - (1 << 63)
-                    sds.append(sd)
-                    spans.append(None if (g, sd) in seen else span)
-                    seen.add((g, sd))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sds, pa.int64()), pa.array((at - first).astype(np.int32)), pa.array(spans, pa.binary()), part.column("ord").take(pa.array(k)), part.column("rid").take(pa.array(k)), pa.array(first.astype(np.int32))], names=["h", "sd", "off", "span", "ord", "rid", "first"])
+                doc = np.repeat(np.arange(len(raw)), held.value_lengths().to_numpy())
+                k, h, p, first, last = g.spans(doc, held.flatten().to_numpy())
+                if not len(k):
+                    continue
+                off = p - first
+                sd = _mix(_mix(g.hash_of(first, last + LENGTH)) + (off * 64 + last - first).astype(np.uint64))
+                _, new = np.unique(_mix(h) + sd, return_index=True)
+                at = first - g.begin[k]
+                texts: list[bytes | None] = [None] * len(k)
+                for i, q, a, n in zip(new.tolist(), k[new].tolist(), at[new].tolist(), (last - first)[new].tolist(), strict=True):
+                    texts[i] = raw[q][a : a + n + LENGTH]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sd.view(np.int64)), pa.array(off.astype(np.int32)), pa.array(texts, pa.binary()), part.column("ord").take(pa.array(k)), part.column("rid").take(pa.array(k)), pa.array(at.astype(np.int32))], names=["h", "sd", "off", "span", "ord", "rid", "first"])
 
     return docs.mapInArrow(run, "h long, sd long, off int, span binary, ord long, rid long, first int")
 
@@ -304,30 +340,134 @@ def around(span: bytes, off: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _owners(table: pa.Table) -> pa.Table | None:
-    """Least ids of the windows of a group's spans; only spans in which one is lower than the span's own."""
-    spans, own, offs, sds, hs = (table.column(c).to_pylist() for c in ("span", "own", "off", "sd", "h"))
-    if len(spans) < 2:
-        return None
-    seen: dict[tuple[int, bytes], int] = {}
+def _lengthened(members: list[int], text_at) -> dict[int, int]:
+    """By how many bytes, under STEP, the members' common text can be lengthened with another member going along."""
+    extra = dict.fromkeys(members, 0)
+    live = members
+    for more in range(1, STEP):
+        grown: dict[bytes, list[int]] = {}
+        for i in live:
+            if (x := text_at(i, more)) is not None:
+                grown.setdefault(x, []).append(i)
+        live = [i for g in grown.values() if len(g) > 1 for i in g]
+        if not live:
+            break
+        for i in live:
+            extra[i] = more
+    return extra
+
+
+def _reach(spans: list[bytes], offs: list[int]) -> dict[int, tuple[int, int]]:
+    """How far left and right of its anchor a span may have bytes in common windows; only spans that may have one.
+
+    The leftmost gram that a span shares bounds what it has in common on the left up to
+    STEP - 1 bytes, and its rightmost gram on the right; those bytes are compared.
+    """
+    holders: dict[tuple[int, bytes], list[int]] = {}
     grams = [around(x, o) for x, o in zip(spans, offs, strict=True)]
-    for g in grams:
+    for i, g in enumerate(grams):
         for x in g:
-            seen[x] = seen.get(x, 0) + 1
-    met = [i for i, g in enumerate(grams) if any(seen[x] > 1 for x in g)]
-    if len(met) < 2:
-        return None
-    got = least_owner([spans[i] for i in met], [own[i] for i in met])
-    rows = [(hs[i], sds[i], x) for i, x in zip(met, got, strict=True) if min(x) < own[i]]
-    return pa.table({"h": pa.array([r[0] for r in rows], pa.int64()), "sd": pa.array([r[1] for r in rows], pa.int64()), "least": pa.array([r[2] for r in rows], pa.list_(pa.int64()))}) if rows else None
+            holders.setdefault(x, []).append(i)
+    ends = {i: (g[-1], g[0]) for i, g in enumerate([x for x in g if len(holders[x]) > 1] for g in grams) if g}
+
+    def left(key):
+        j, r = key[0], len(key[1]) - key[0] - GRAM
+        return _lengthened(holders[key], lambda i, more: spans[i][offs[i] - j - more : offs[i] + GRAM + r] if offs[i] >= j + more else None)
+
+    def right(key):
+        j, r = key[0], len(key[1]) - key[0] - GRAM
+        return _lengthened(holders[key], lambda i, more: spans[i][offs[i] - j : offs[i] + GRAM + r + more] if len(spans[i]) - offs[i] - GRAM >= r + more else None)
+
+    lefts = {k: left(k) for k in {a for a, _ in ends.values()}}
+    rights = {k: right(k) for k in {b for _, b in ends.values()}}
+    return {i: (a[0] + lefts[a][i], len(b[1]) - b[0] - GRAM + rights[b][i]) for i, (a, b) in ends.items()}
+
+
+def _owners(spans: list[bytes], offs: list[int], own: list[int]) -> list[tuple[int, list[int]]]:
+    """Least ids of the windows of a group's spans: (span's number, ids) where one is lower than the span's own."""
+    # what no other span has in common goes, and spans that are then equal are one
+    met: dict[tuple[int, bytes], list[int]] = {}
+    for i, (left, right) in _reach(spans, offs).items():
+        if left + GRAM + right >= LENGTH:
+            met.setdefault((left, spans[i][offs[i] - left : offs[i] + GRAM + right]), []).append(i)
+    if not met:
+        return []
+    keys = list(met)
+    lows = [min(own[i] for i in met[k]) for k in keys]
+    if len(keys) > 1:
+        got = least_owner([k[1] for k in keys], lows)
+    else:  # one text: there is nothing to sort against
+        got = [[lows[0]] * (len(keys[0][1]) - LENGTH + 1)]
+    rows = []
+    for (reach, _), least, members in zip(keys, got, met.values(), strict=True):
+        low = min(least)
+        for i in members:
+            if low < own[i]:
+                whole = [own[i]] * (len(spans[i]) - LENGTH + 1)
+                at = offs[i] - reach
+                whole[at : at + len(least)] = [min(x, own[i]) for x in least]
+                rows.append((i, whole))
+    return rows
+
 
+def _window_owners(groups: DataFrame) -> DataFrame:
+    """groups (gid, h, sd, off, span, own) -> (h, sd, least): dealt by gid, one group at a time; a lone span takes no time."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = ("h", "sd", "off", "span", "own")
 
-def _grouped(distinct: DataFrame) -> tuple[DataFrame, bool]:
-    """distinct spans with the group that each goes to: its anchor's, or where that is too large one for each longer gram; and whether any is."""
+    def run(batches):
+        held: list[list] = [[] for _ in cols]  # the group that the last batch ended in
+        last = None
+        out: list[tuple] = []
+
+        def close(group):
+            h, sd, offs, spans, own = group
+            out.extend((h[i], sd[i], x) for i, x in _owners(spans, offs, own))
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["h", "sd", "least"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column("gid").to_numpy()
+            rows = [batch.column(c).to_pylist() for c in cols]
+            ends = [*(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
+            start = 0
+            for end in ends:
+                if start == 0 and last == gid[0]:
+                    for kept, new in zip(held, rows, strict=True):
+                        kept.extend(new[:end])
+                elif start == 0:
+                    if len(held[0]) > 1:
+                        close(held)
+                    held = [x[:end] for x in rows]
+                elif end == len(gid):
+                    if len(held[0]) > 1:
+                        close(held)
+                    held = [x[start:end] for x in rows]
+                elif end - start > 1:
+                    close([x[start:end] for x in rows])
+                start = end
+            last = gid[-1]
+            if len(out) > 5000:
+                yield flush()
+        if len(held[0]) > 1:
+            close(held)
+        if out:
+            yield flush()
+
+    return groups.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(run, "h long, sd long, least array<bigint>")
+
+
+def _grouped(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """distinct spans with the group that each goes to: that of its anchor, and apart, where that is too large, those of its longer grams."""
 
     many = stored(distinct.groupBy("h").agg(F.count("*").alias("spans")).filter(F.col("spans") > MANY))
     if not many.limit(1).count():
-        return distinct.withColumn("gid", F.col("h")), False
+        return distinct.withColumn("gid", F.col("h")), None
     marked = distinct.join(many, "h", "left")
 
     def run(batches):
@@ -342,7 +482,7 @@ def _grouped(distinct: DataFrame) -> tuple[DataFrame, bool]:
 
     few = marked.filter("spans IS NULL").drop("spans").withColumn("gid", F.col("h"))
     split = marked.filter("spans IS NOT NULL").drop("spans").mapInArrow(run, "h long, sd long, off int, span binary, own long, gid long")
-    return few.union(split.select(*few.columns)), True
+    return few, split
 
 
 def _removed(rows: DataFrame) -> DataFrame:
@@ -386,18 +526,23 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """df's rows as (doc_id, rid, __text, spans): spans are the byte ranges (a, b) to remove, unmerged; null for none."""
     docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "__text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    several = stored(_in_several(_anchored(docs.select("rid", "ord", "__text"))).groupBy("rid").agg(F.collect_set("at").alias("ats")))
+    # a copy of a whole text goes whole, and takes no part in what follows
+    whole = docs.select("rid", "ord", F.md5("__text").alias("sum"), F.octet_length("__text").alias("n"))
+    firsts = stored(whole.groupBy("sum").agg(F.min("ord").alias("least"), F.max("ord").alias("last")).filter("last > least"))
+    copies = stored(whole.join(firsts, "sum").filter("ord > least").select("rid", "n").distinct())
+    several = _in_several(_anchored(docs.select("rid", F.xxhash64("__text").alias("td"), "__text"))).groupBy("rid").agg(F.collect_list("h").alias("hashes"))
+    several = stored(several.join(copies.select("rid"), "rid", "left_anti"))
     spans = stored(_spans(docs.select("rid", "ord", "__text").join(several, "rid")))
     distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own")).select("h", "sd", "off", "span", "own"))
-    groups, split = _grouped(distinct)
-    least = map_groups(groups, "gid", ["sd"], _owners, "h long, sd long, least array<bigint>")
-    if split:  # a span in several groups takes the least of each window
-        each = least.select("h", "sd", F.posexplode("least").alias("i", "x")).groupBy("h", "sd", "i").agg(F.min("x").alias("x"))
-        least = each.groupBy("h", "sd").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("least"))
-    least = stored(least)
+    few, split = _grouped(distinct)
+    least = stored(_window_owners(few))
+    if split is not None:  # a span in several groups takes the least of each window
+        each = _window_owners(split).select("h", "sd", F.posexplode("least").alias("i", "x")).groupBy("h", "sd", "i").agg(F.min("x").alias("x"))
+        least = least.union(stored(each.groupBy("h", "sd").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("least"))))
     known = stored(distinct.select("h", "sd", "own", (F.octet_length("span") - LENGTH + 1).alias("windows")).join(least, ["h", "sd"], "left"))
     rows = spans.select("h", "sd", "ord", "rid", "first").join(known, ["h", "sd"]).filter("ord > own OR least IS NOT NULL")
-    gone = stored(_removed(rows).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    entire = copies.filter(F.col("n") >= LENGTH).select("rid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
+    gone = stored(_removed(rows).union(entire).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     return docs.join(gone, "rid", "left").select("doc_id", "rid", "__text", "spans")
 
 
