@@ -486,17 +486,20 @@ def _grouped(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """rows: ord, rid, first, own, windows, least (null: all windows are the span's own) -> (rid, a, b): bytes to remove."""
+    """rows: ord, rid, first, own, windows, least -> (rid, a, b): bytes to remove.
+
+    own is null for a span that one ord only holds; least is null for one whose windows
+    are all its own, and then own is lower than ord.
+    """
 
     def run(batches):
         for batch in batches:
             rids, starts, ends = [], [], []
             for o, rid, first, own, n, least in zip(*[batch.column(c).to_pylist() for c in ("ord", "rid", "first", "own", "windows", "least")], strict=True):
-                if least is None or own < o:
-                    if own < o:
-                        rids.append(rid)
-                        starts.append(first)
-                        ends.append(first + n - 1 + LENGTH)
+                if own is not None and own < o:
+                    rids.append(rid)
+                    starts.append(first)
+                    ends.append(first + n - 1 + LENGTH)
                     continue
                 end = -1
                 for i, x in enumerate(least):
@@ -533,16 +536,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = _in_several(_anchored(docs.select("rid", F.xxhash64("__text").alias("td"), "__text"))).groupBy("rid").agg(F.collect_list("h").alias("hashes"))
     several = stored(several.join(copies.select("rid"), "rid", "left_anti"))
     spans = stored(_spans(docs.select("rid", "ord", "__text").join(several, "rid")))
-    distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own")).select("h", "sd", "off", "span", "own"))
-    few, split = _grouped(distinct)
+    distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own"), F.max("ord").alias("top")).select("h", "sd", "off", "span", "own", "top"))
+    few, split = _grouped(distinct.drop("top"))
     least = stored(_window_owners(few))
     if split is not None:  # a span in several groups takes the least of each window
         each = _window_owners(split).select("h", "sd", F.posexplode("least").alias("i", "x")).groupBy("h", "sd", "i").agg(F.min("x").alias("x"))
         least = least.union(stored(each.groupBy("h", "sd").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("least"))))
-    known = stored(distinct.select("h", "sd", "own", (F.octet_length("span") - LENGTH + 1).alias("windows")).join(least, ["h", "sd"], "left"))
+    # a span without lower windows of other spans matters only where a later text holds it too
+    later = distinct.filter("top > own").select("h", "sd", "own", (F.octet_length("span") - LENGTH + 1).alias("windows"))
+    known = stored(later.join(least, ["h", "sd"], "full_outer"))
     rows = spans.select("h", "sd", "ord", "rid", "first").join(known, ["h", "sd"]).filter("ord > own OR least IS NOT NULL")
     entire = copies.filter(F.col("n") >= LENGTH).select("rid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
-    gone = stored(_removed(rows).union(entire).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    gone = stored(_removed(rows).union(entire).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     return docs.join(gone, "rid", "left").select("doc_id", "rid", "__text", "spans")
 
 
