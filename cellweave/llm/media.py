@@ -5,8 +5,13 @@ short-time Fourier transform gives spectra, local maxima of a spectrum are its
 peaks, and each peak is paired with the peaks of the next frames.  A pair is stored
 with the frame of its anchor: a time-coded array of (time, code).
 
-Defined cases: null media has no samples and an empty fingerprint; media of any
-length is transformed whole, in blocks of FRAMES; equal bytes give equal features.
+Media without such a pair (all that one frame holds, 512 samples or fewer) is read
+again with half a frame of silence on each side, so that its ends lie in the middle
+of frames, and peaks of one frame are paired too.
+
+Defined cases: null media has no samples and an empty fingerprint, as has silence;
+any other text has pairs; media of any length is transformed whole, in blocks of
+FRAMES; equal bytes give equal features.
 """
 
 from __future__ import annotations
@@ -66,19 +71,23 @@ def peaks(magnitudes: np.ndarray) -> np.ndarray:
     return np.sort(np.where(held, best + 1, 0), axis=1)
 
 
-def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time-coded pairs: frames of anchors and codes (bin, other bin, frames between)."""
+def frame_peaks(samples: np.ndarray) -> np.ndarray:
+    """Peaks of all frames, a block of FRAMES at a time."""
     found = []
     for at in range(0, max(1, len(samples)), FRAMES * HOP):
         block = samples[at : at + (FRAMES - 1) * HOP + FRAME]
         p = peaks(spectra(block))
         found.append(p[:FRAMES] if at + FRAMES * HOP < len(samples) else p)
-    p = np.concatenate(found)
+    return np.concatenate(found)
+
+
+def pairs(p: np.ndarray, gaps: range) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of peaks that are so many frames apart; in one frame (gap 0) a peak with itself and those above it."""
     n, times, codes = len(p), [], []
-    for gap in range(1, AHEAD + 1):
+    for gap in gaps:
         if n > gap:
-            a, b = p[:-gap, :, None], p[gap:, None, :]
-            both = (a > 0) & (b > 0)
+            a, b = p[: n - gap, :, None], p[gap:, None, :]
+            both = (a > 0) & (b > 0) & ((a <= b) | (gap > 0))
             code = (a << 18) | (b << 8) | gap
             t = np.broadcast_to(np.arange(n - gap)[:, None, None], code.shape)
             times.append(t[both])
@@ -90,6 +99,14 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
+def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time-coded pairs: frames of anchors and codes (bin, other bin, frames between)."""
+    times, codes = pairs(frame_peaks(samples), range(1, AHEAD + 1))
+    if not len(codes):
+        times, codes = pairs(frame_peaks(np.pad(samples, FRAME // 2)), range(AHEAD + 1))
+    return times, codes
+
+
 def samples_of(frames: bytes) -> np.ndarray:
     return np.frombuffer(frames, np.uint8).astype(np.float32) - 128
 

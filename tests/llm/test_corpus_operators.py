@@ -399,6 +399,16 @@ def test_fingerprint_finds_a_tone():
     assert {c >> 18 for c in codes.tolist()} == {64}
 
 
+def test_short_media_have_features():
+    """Texts that one frame holds: none is empty, and different ones differ."""
+    r = random.Random(12)
+    short = ["", "A.", "Avec.", "De.", "q" * 500] + ["".join(r.choice("abcdefghij klmnop") for _ in range(n)) for n in range(20, 512, 6)]
+    made = [media.fingerprint(media.samples_of(media.payload_of(x)[1])) for x in short]
+    assert all(len(t) == len(c) > 0 for t, c in made)
+    assert len({(*t.tolist(), *c.tolist()) for t, c in made}) == len(short)
+    assert not len(media.fingerprint(np.zeros(64, np.float32))[0])
+
+
 def test_media_odd(odd):
     d = media.text_media(odd)
     got = media.fingerprints(d.withColumn("media", F.when(F.col("doc_id") != 5, F.col("media")))).collect()
