@@ -4,7 +4,12 @@ The patterns find assignments, access keys and hexadecimal runs.  The method the
 looks at every run of token characters: under a BPE vocabulary learned from prose,
 words take few tokens while random strings take about one for each one or two
 characters.  A run with a low ratio of characters to tokens is a secret, unless it
-is a known digest or an identifier.
+is a known digest or an identifier.  Readable text joined to a secret raises the
+ratio of the whole, so a run that isn't one itself is also tested in parts: what lies
+between separators, and neighbours that aren't identifiers taken together.
+
+Not found as random: letters of one case alone, which the ratio doesn't tell from rare
+words, and a secret joined to readable text without a separator.
 
 Defined cases: null text is empty and has no spans; offsets are code points, ends
 exclusive; a text of any length is scanned whole; repeated rows stay.
@@ -26,6 +31,8 @@ from cellweave.llm.common import documents, map_texts, text_of
 KINDS = ("assign", "access", "hex", "random")
 #: Least length of a candidate, and characters a token under which it counts as random.
 LEAST, RATIO = 20, 2.1
+#: Least length of a candidate without separators; characters between parts of one candidate.
+SHORT, APART = 12, 8
 #: Lengths of digests in hexadecimal (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = (32, 40, 56, 64, 96, 128)
 
@@ -38,8 +45,11 @@ _NAMES = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")), _
 ASSIGN = re.compile(r"(" + _NAMES + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_LONG = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORT)
+_ALNUM = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_INNER_UUID = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])")
+_STAMP = re.compile(r"[0-9]{8}T[0-9]{4,9}Z?")
 _HEXRUN = re.compile(r"[0-9A-Fa-f]+")
 #: Parts of identifiers, paths and versions: words in any usual spelling with digits only at the end, or numbers.
 _PART = re.compile(r"(?:[A-Z]*[a-z]*|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)*)[0-9]{0,4}|[0-9]+")
@@ -56,17 +66,46 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def is_random(s: str, tokens: int) -> bool:
+def _known(s: str) -> bool:
+    """Whether a part between separators is an identifier, a number, a time or a digest."""
+    return bool(_PART.fullmatch(s) or _STAMP.fullmatch(s) or _HEXRUN.fullmatch(s) and len(s) in DIGESTS)
+
+
+def is_random(s: str, tokens: int, least: int = LEAST) -> bool:
     """Whether a candidate of so many tokens is a random string and neither digest nor identifier."""
-    if len(s) < LEAST or len(s) >= RATIO * tokens:
-        return False
-    if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+    if len(s) < least or len(s) >= RATIO * tokens:
         return False
     if _UUID.fullmatch(s) or _HEXRUN.fullmatch(s) and len(s) in DIGESTS:
         return False
     return not all(_PART.fullmatch(p) for p in re.split(r"[-+/_.=]+", s))
 
 
+def random_spans(s: str, count) -> list[tuple[int, int]]:
+    """The random strings of a run: all of it, or else those of its parts; count gives a string's tokens."""
+    parts = [(m.start(), m.end(), _PART.fullmatch(m[0])) for m in _ALNUM.finditer(s)]
+    if all(p for _, _, p in parts):
+        return []
+    a, b = len(s) - len(s.lstrip("=.-/_+")), len(s.rstrip("=.-/_+"))
+    if b - a >= LEAST and is_random(s[a:b], count(s[a:b])):
+        return [(a, b)]
+    bare = _INNER_UUID.sub(lambda m: " " * len(m[0]), s)
+    near: list[list[tuple[int, int]]] = []
+    for m in _ALNUM.finditer(bare):
+        if not _known(m[0]):
+            if near and m.start() - near[-1][-1][1] < APART:
+                near[-1].append(m.span())
+            else:
+                near.append([m.span()])
+    found = []
+    for group in near:
+        a, b = group[0][0], group[-1][1]
+        if b - a >= LEAST and is_random(s[a:b], count(s[a:b])):
+            found.append((a, b))
+        else:
+            found += [(a, b) for a, b in group if b - a >= SHORT and is_random(s[a:b], count(s[a:b]), SHORT)]
+    return found
+
+
 class Scanner:
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern = path, pattern
@@ -81,14 +120,10 @@ class Scanner:
             found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
         if b"h" * 16 in raw.translate(_TO_HEX):
             found += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-        if b"h" * LEAST in raw.translate(_TO_RUN):
+        if b"h" * SHORT in raw.translate(_TO_RUN):
             enc = _encoding(self.path, self.pattern)
-            for m in RUN.finditer(text):
-                if m.end() - m.start() >= LEAST:
-                    s = m[0].strip("=.-/_+")
-                    at = m.start() + m[0].index(s) if s else m.start()
-                    if is_random(s, len(enc.encode_ordinary(s))):
-                        found.append(("random", at, at + len(s)))
+            for m in _LONG.finditer(text):
+                found += [("random", m.start() + a, m.start() + b) for a, b in random_spans(m[0], lambda x: len(enc.encode_ordinary(x)))]
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
     def redact(self, text: str) -> str:

@@ -106,6 +106,21 @@ def test_secret_spans():
     assert s.redact("a password=abcdefghijkl1 b") == "a <assign> b"
 
 
+@pytest.mark.parametrize("before", ["", "//hooks.example.com/services/notifications/incoming/", "storage.account.connection.key="])
+def test_random_parts(before):
+    """Random strings are found behind readable text, without digits and from 12 characters on."""
+    s, r = secrets.default_scanner(), random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, n, most in ((letters + "0123456789", 12, 3), (letters + "0123456789", 20, 0), (letters + "0123456789", 32, 0), (letters, 12, 12), (letters, 20, 3)):
+        missed = 0
+        for _ in range(100):
+            secret = "".join(r.choice(alphabet) for _ in range(n))
+            missed += secret in s.redact(f"see {before}{secret}/index.html now")
+        assert missed <= most
+    known = "objects/notifications/incoming/services/collections/administration/3f2504e0-4f89-41d3-9a0c-0305e82c3301/versions/of/notifications 20240102T102030Z getHTTPResponseCode /org/apache/SparkContext.scala base64encode x86_64-unknown-linux-gnu"
+    assert s.spans(known) == []
+
+
 def test_secrets_odd(odd):
     got = secrets.redacted(odd)
     assert got.columns == odd.columns and got.count() == 8
