@@ -20,7 +20,8 @@ each linked part, at most one for a set; classes are the connected components.
 Defined cases: words are runs without ASCII white space, in lower case; a text of one
 to four words is one shingle; a text without words has no shingles, no links and a
 class of its own; a row without id is known by its text (a negative number); repeated
-rows are copies; an empty table gives no rows.
+rows are copies; different texts under one id are documents of their own; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -272,16 +273,16 @@ def verified(table: pa.Table) -> pa.Table | None:
     linked = np.flatnonzero(links)
     if not len(linked):
         return None
-    reps = table.column("rep").to_numpy()
+    reps, sids = table.column("rep").to_numpy(), table.column("sid").to_pylist()
     parts: dict[int, list[int]] = {}
     for i in linked.tolist():
         parts.setdefault(top(i), []).append(i)
-    parent = np.zeros(len(n), np.int64)
+    parent = np.zeros(len(n), np.int64)  # its place in the group
     for members in parts.values():  # a tree in which a node has at most 32 children, the least document on top
-        members.sort(key=lambda i: int(reps[i]))
+        members.sort(key=lambda i: (int(reps[i]), sids[i]))
         for k, i in enumerate(members):
-            parent[i] = reps[members[(k - 1) // 32 if k else 0]]
-    return pa.table({"sid": table.column("sid").take(pa.array(linked)), "rep": pa.array(reps[linked], pa.int64()), "parent": pa.array(parent[linked], pa.int64()), "links": pa.array(links[linked], pa.int64())})
+            parent[i] = members[(k - 1) // 32 if k else 0]
+    return pa.table({"sid": table.column("sid").take(pa.array(linked)), "rep": pa.array(reps[linked], pa.int64()), "parent": pa.array(reps[parent[linked]], pa.int64()), "parent_sid": table.column("sid").take(pa.array(parent[linked])), "links": pa.array(links[linked], pa.int64())})
 
 
 def _shingled(docs: DataFrame) -> DataFrame:
@@ -294,8 +295,28 @@ def _shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sid binary, shingles binary")
 
 
+def _with_sid(df: DataFrame) -> DataFrame:
+    """df (with __key and __text) with __sid, the digest of its set, for the text."""
+    keep = [c for c in df.columns if c != "__text"]
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes if c != "__text"], "__sid binary"])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                sets = shingle_sets(part.column("__text").to_pylist())
+                sids = [set_id(s, k) for s, k in zip(sets, part.column("__key").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sids, pa.binary())], names=[*keep, "__sid"])
+
+    return df.mapInArrow(run, schema)
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), copy_of (least id of its copies), class_id (least id of its class), n_links (documents at 0.8 or more)."""
+    return _classes(df, id_col, text_col, limit, block).select("key", "copy_of", "class_id", "n_links")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """near_classes with the digests of the document's set (sid) and of its class's least one (class_sid): different texts may have one id."""
     docs = df.select(row_key(id_col, text_col).alias("__key"), text_of(text_col).alias("__text"))
     rows = stored(described(docs))
     sets = stored(rows.groupBy("sid").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig")))
@@ -310,21 +331,27 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts are dealt by key at every size: a broadcast would stop being possible as the corpus grows
     shingles = _shingled(docs.join(needed.select(F.col("rep").alias("__key")).distinct().hint("merge"), "__key", "left_semi"))
     full = found.join(shingles.join(needed, "sid"), "sid")
-    links = stored(map_groups(full, "gid", [], verified, "sid binary, rep long, parent long, links long"))
-    labels = components(links.select(F.col("rep").alias("a"), F.col("parent").alias("b")))
+    links = stored(map_groups(full, "gid", [], verified, "sid binary, rep long, parent long, parent_sid binary, links long"))
+    labels = components(links.select(F.struct("rep", "sid").alias("a"), F.struct(F.col("parent").alias("rep"), F.col("parent_sid").alias("sid")).alias("b")))
+    labels = labels.select(F.col("node.sid").alias("sid"), "label")
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = stored(sets.join(counted, "sid", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return rows.select("key", "sid").join(classes, "sid").select("key", "copy_of", "class_id", "n_links")
+    first = F.coalesce("label", F.struct("rep", "sid"))
+    classes = stored(sets.join(counted, "sid", "left").join(labels, "sid", "left").select("sid", F.col("rep").alias("copy_of"), first["rep"].alias("class_id"), first["sid"].alias("class_sid"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return rows.select("key", "sid").join(classes, "sid").select("key", "sid", "copy_of", "class_id", "class_sid", "n_links")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with one document of each class, that with the least id; df's columns."""
-    classes = stored(near_classes(df, id_col, text_col, **options))
-    gone = classes.filter("key <> class_id").select(F.col("key").alias("__key")).distinct()
-    kept = df.withColumn("__key", row_key(id_col, text_col)).join(gone.hint("merge"), "__key", "left_anti")
-    if classes.groupBy("key").count().filter("count > 1").limit(1).count():  # repeated rows
-        kept = kept.dropDuplicates(["__key"])
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    """df with one document of each class, that with the least id and then the least digest of its set; df's columns."""
+    classes = stored(_classes(df, id_col, text_col, **options))
+    gone = classes.filter("key <> class_id OR sid <> class_sid").select(F.col("key").alias("__key"), F.col("sid").alias("__sid")).distinct()
+    keyed = df.withColumn("__key", row_key(id_col, text_col))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    if not classes.groupBy("key").count().filter("count > 1").limit(1).count():
+        return keyed.join(gone.select("__key").hint("merge"), "__key", "left_anti").select(*cols)
+    # repeated ids: texts under one id are told apart, and of rows with one id and one set the least stays
+    d = _with_sid(keyed.withColumn("__text", text_of(text_col))).join(gone.hint("merge"), ["__key", "__sid"], "left_anti")
+    one = d.groupBy("__key", "__sid").agg(F.min_by(F.struct(*cols), F.to_json(F.struct(*cols))).alias("__row"))
+    return one.select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,18 @@ def test_join_odd(odd):
     assert jaccard_join.near_classes(odd.limit(0)).count() == 0
 
 
+def test_two_texts_under_one_id(spark):
+    """Of two texts with one id each is kept or dropped by itself, whatever the order of rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, c.upper()), (6, a + " end"), (7, b + " more")]
+    for k in range(3):
+        d = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(3)
+        kept = jaccard_join.one_of_each(d)
+        assert sorted(map(tuple, kept.collect())) == [(1, a), (5, b), (6, c.upper())]
+    got = {(r.key, r.class_id, r.n_links) for r in jaccard_join.near_classes(d).collect()}
+    assert got == {(1, 1, 2), (5, 1, 2), (6, 1, 2), (5, 5, 1), (7, 5, 1), (6, 6, 1)}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(30, 31), (40, 40)], "a long, b long")
     assert {r.node: r.label for r in components(e).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
