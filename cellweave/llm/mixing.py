@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling (DataFrame functions only).
 
-Every document of a source has the same number of expected copies,
-target / source_size.  Within the source the copies are summed in a fixed order,
+Every document of a source has the same rate of copies, target / source_size, which
+would be its expected copies if the offset were uniform.  Within the source the copies are summed in a fixed order,
 one offset from [0, 1) is added for the source, and a document is emitted once for
 each whole number that its part of the sum crosses.  The order is by size, so that
 the emitted words follow the target closely: the error telescopes over sizes.  The
