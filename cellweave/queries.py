@@ -183,10 +183,18 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.plain_html(F.col("html")).alias("text"))
 
 
-@query()
-def html_to_text_exact(spark, d):
-    """Plain text of pages by a parser (no SQL has one)."""
-    return table(spark, d, "pages").select("page_id", text.description(F.col("html")).alias("text"))
+_PLAIN = r"replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')".replace('\\"', '"')
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '\[img\].*?\[/img\]', '', 'gis'), '\[/?(?:[a-z]\w*|\*)(?:=[^\]\r\n]*)?\]', '', 'gi')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '<script\b[^>]*>.*?</script\b[^>]*>', '', 'gis'), '<style\b[^>]*>.*?</style\b[^>]*>', '', 'gis')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '<!--.*?-->|<[!?][^<>]*>', '', 'gs'), '<br\b[^<>]*>|</?(?:p|div|li|h1|h2|h3)\b[^<>]*>', chr(10), 'gi')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '</?[A-Za-z][^<>]*>', '', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, nullif({_PLAIN}, '') AS text FROM pages")
+def item_description(spark, d):
+    """Whole descriptions in BBCode and HTML as plain text (the SQL decodes the references that these pages hold)."""
+    return table(spark, d, "pages").select("page_id", text.description(F.col("html"), limit=None).alias("text"))
 
 
 # -- features
@@ -559,11 +567,20 @@ def tag_any(spark, d):
     return catalog.with_tags(items_of(spark, d), tags_of(spark, d), ["error", "purchase"], match_all=False).select("id", "updated")
 
 
-@query("SELECT id FROM (SELECT DISTINCT user_id::VARCHAR AS id FROM events) WHERE id NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' AND event_id % 7 = 0)")
+def _daily(spark, d):
+    """Tags of a user's days: a day is a row with the tags that it saw."""
+    day = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, d, "events").groupBy(day.alias("item_id")).agg(F.array_sort(F.collect_set("event_type")).alias("tags"))
+
+
+_DAILY = "WITH t AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS item_id, list(DISTINCT event_type) AS tags FROM events GROUP BY 1)"
+
+
+@query(f"{_DAILY} SELECT item_id AS id FROM t WHERE NOT list_contains(tags, 'error')")
 def tag_exclude(spark, d):
-    """Items without a tag (errors of every seventh event)."""
-    tags = table(spark, d, "events").filter("event_type <> 'error' OR event_id % 7 = 0").groupBy(F.col("user_id").cast("string").alias("item_id")).agg(F.array_sort(F.collect_set("event_type")).alias("tags"))
-    return catalog.with_tags(items_of(spark, d), catalog.normalised_tags(tags), excluded=["error"]).select("id")
+    """Days without an error."""
+    t = _daily(spark, d)
+    return catalog.with_tags(t.select(F.col("item_id").alias("id")), catalog.normalised_tags(t), excluded=["error"]).select("id")
 
 
 @query(f"WITH {TAG_SQL} SELECT tag_key, min(tag) AS tag, count(*) AS items FROM tg GROUP BY 1")
@@ -571,10 +588,9 @@ def tag_histogram(spark, d):
     return catalog.tag_histogram(tags_of(spark, d))
 
 
-@query("WITH t AS (SELECT user_id, list(DISTINCT event_type) AS tags FROM events WHERE event_id % 5 = 0 GROUP BY 1) SELECT user_id, len(list_filter(['click', 'view'], lambda r: NOT list_contains(tags, r))) = 0 AND NOT list_contains(tags, 'error') AS ok FROM t")
+@query(f"{_DAILY} SELECT item_id, len(list_filter(['click', 'view'], lambda r: NOT list_contains(tags, r))) = 0 AND NOT list_contains(tags, 'error') AS ok FROM t")
 def row_tag_recheck(spark, d):
-    t = table(spark, d, "events").filter("event_id % 5 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    return t.select("user_id", catalog.row_matches(F.col("tags"), ["click", "view"], ["error"]).alias("ok"))
+    return _daily(spark, d).select("item_id", catalog.row_matches(F.col("tags"), ["click", "view"], ["error"]).alias("ok"))
 
 
 @query(f"WITH {ITEM_SQL} SELECT id, size_bytes, row_number() OVER (ORDER BY size_bytes NULLS LAST, id)::INT AS place FROM it WHERE regexp_full_match(id, '[0-9]+') AND retry_after <= {NOW} AND (downloaded = 0 OR updated > downloaded) QUALIFY place <= 50")

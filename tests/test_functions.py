@@ -51,10 +51,12 @@ def test_text_rules(spark):
     assert one(spark, text.request_wait(F.lit(1), F.lit(1), F.lit("7"))) == 7 and one(spark, text.request_wait(F.lit(9), F.lit(1), F.lit("x"))) == 120
 
 
-def test_description():
-    assert text.plain_description("[b]Hi[/b] [img]http://x[/img]<p>a &amp; b</p><script>no</script>\n\n\n\nend") == "Hi\na & b\n\nend"
-    assert text.plain_description("  ") is None and text.plain_description(None) is None
-    assert len(text.plain_description("x" * 5000)) == text.MAX_DESCRIPTION + 1
+def test_description(spark):
+    told = lambda x, **k: one(spark, text.description(F.col("t"), **k), t=x)
+    assert told("[b]Hi[/b] [img]http://x[/img]<p>a &amp; b</p><script>no</script>\n\n\n\nend") == "Hi\na & b\n\nend"
+    assert told("  ") is None and told("<style>x") is None and told("&lt;b&gt;x&lt;/b&gt; 1 &amp;lt; 2<!-- y") == "x 1 < 2"
+    assert len(told("x" * 5000)) == text.MAX_DESCRIPTION + 1 and len(told("x" * 5000, limit=None)) == 5000
+    assert told("<a " * 20_000, limit=None) == ("<a " * 20_000).strip()
 
 
 def test_pass_mode():
