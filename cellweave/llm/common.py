@@ -13,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.sources.store import checkpoint_dir, stored
 
-__all__ = ["checkpoint_dir", "components", "cut", "documents", "map_groups", "map_texts", "placed_labels", "row_key", "slices", "stored", "text_of"]
+__all__ = ["checkpoint_dir", "components", "cut", "documents", "map_groups", "map_texts", "packed", "placed_labels", "slices", "stored", "text_of"]
 
 #: Bytes of text that one step of a Python operator holds at a time (a single longer text is one step).
 SLICE_BYTES = 4 << 20
@@ -43,23 +44,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], fields: str, text: str = "__text", barrier: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], fields: str, text: str = "__text") -> DataFrame:
     """Adds the columns that fn makes from each slice of texts and drops the text.
 
-    df holds a string column named by `text`; its other columns pass through.
-    fn must be picklable and gives one pa.Array for each name in fields ("a long, b string").
+    df holds a string column named by `text`; its other columns pass through, but one
+    that has the name of a new column (in any case) is replaced by it.
+    fn must be picklable and gives one pa.Array for each name of the schema `fields`.
     """
-    keep = [c for c in df.columns if c != text]
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != text] + [fields])
+    new = T.StructType.fromDDL(fields)
+    taken = {n.lower() for n in new.names} | {text.lower()}
+    keep = [c for c in df.columns if c.lower() not in taken]
+    schema = T.StructType([*(df.schema[c] for c in keep), *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 made = fn(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [made[n] for n in names], names=keep + names)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [made[n] for n in new.names], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(run, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,9 +73,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """The document's id; a row without one is known by its text, as a negative number."""
-    return F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 1))
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """df as one column, the struct __row of all its columns, and further ones: no name of df's can clash with an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[c.alias(name) for name, c in more.items()])
 
 
 def placed_labels(spark: SparkSession, n: int) -> list[int]:

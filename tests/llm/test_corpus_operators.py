@@ -152,10 +152,10 @@ def brute_links(rows):
     return {d: (n[i], rows[find(i)][0]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("limit", "block"), [(500, 800), (4, 3)])
-def test_links_and_classes(corpus, texts, limit, block):
+@pytest.mark.parametrize(("limit", "block", "block_bytes"), [(400, 400, 4 << 20), (4, 3, 5000)])
+def test_links_and_classes(corpus, texts, limit, block, block_bytes):
     want = brute_links(sorted(texts))
-    got = {r.key: (r.n_links, r.class_id) for r in jaccard_join.near_classes(corpus, limit=limit, block=block).collect()}
+    got = {r.key: (r.n_links, r.class_id) for r in jaccard_join.near_classes(corpus, limit=limit, block=block, block_bytes=block_bytes).collect()}
     assert got == want
 
 
@@ -169,10 +169,49 @@ def test_dense_group(spark):
         for _ in range(r.randint(0, 3)):
             t[r.randrange(150)] = f"x{r.randrange(9)}"
         rows.append((i, " ".join(t)))
-    got = {x.key: (x.n_links, x.class_id) for x in jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), limit=10, block=7).collect()}
+    got = {x.key: (x.n_links, x.class_id) for x in jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), limit=10, block=7, block_bytes=20_000).collect()}
     assert got == brute_links(rows)
 
 
+def test_recall_ends_the_runs(spark):
+    """One run misses links at 0.8 to 0.9; runs are doubled until the estimate is at the target, and then nothing is missed."""
+    r = random.Random(8)
+    rows = []
+    for f in range(80):
+        base = [f"w{f}x{i}" for i in range(100)]
+        rows.append((2 * f, " ".join(base)))
+        rows.append((2 * f + 1, " ".join(base[: r.randint(82, 92)])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows)
+    few, low = jaccard_join._classes(d, "doc_id", "text", runs=2, target=0.0)
+    full, high = jaccard_join._classes(d, "doc_id", "text", runs=2)
+    found = lambda x: sum(y.n_links for y in x.collect())
+    share = found(few) / sum(n for n, _ in want.values())
+    assert low < 0.999 <= high and share < 1 and abs(low - share) < 0.1
+    assert {x.key: (x.n_links, x.class_id) for x in full.collect()} == want
+    assert jaccard_join.estimated_recall(0, 0, 0, 6) == 1.0 and jaccard_join.estimated_recall(100, 10, 20, 6) < 1
+
+
+def test_shingles_in_parts(monkeypatch):
+    """Words are hashed alike wherever a part begins, also those longer than a part."""
+    texts = ["a bb " * 700 + "q" * 3000 + " end of it all", "x", "", "\t q w e r"]
+    whole = [x.tolist() for x in jaccard_join.shingle_sets(texts)]
+    jaccard_join._word_powers.cache_clear()
+    monkeypatch.setattr(jaccard_join, "SLICE", 64)
+    parts = [x.tolist() for x in jaccard_join.shingle_sets(texts)]
+    jaccard_join._word_powers.cache_clear()
+    assert parts == whole and [len(x) for x in whole[1:]] == [1, 0, 1]
+
+
+def test_join_of_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "ONE two three four five six"), (None, "one two three four five six"), (None, "other"), ("c", None)]
+    d = spark.createDataFrame(rows, "name string, body string").withColumn("__key", F.lit(1)).withColumn("sid", F.lit("x"))
+    got = sorted((str(x.key), str(x.class_id), x.n_links) for x in jaccard_join.near_classes(d, "name", "body").collect())
+    assert got == [("None", "None", 0), ("None", "a", 2), ("a", "a", 2), ("b", "a", 2), ("c", "c", 0)]
+    kept = jaccard_join.one_of_each(d, "name", "body")
+    assert kept.columns == d.columns and sorted((str(x.name), str(x.body)) for x in kept.collect()) == [("None", "other"), ("a", "ONE two three four five six"), ("c", "None")]
+
+
 def test_join_odd(odd):
     got = jaccard_join.near_classes(odd).collect()
     assert len(got) == 8
