@@ -5,14 +5,20 @@ every pre-token that is itself a token.  Tier two: any other pre-token is merged
 a heap of (rank, position) over a doubly linked list of its bytes.  Tables are built
 once on the driver and broadcast; their size is that of the vocabulary.
 
+The pattern's classes (letters, numbers, white space) are those of the library's own
+tables, which are older or newer than those of Python's regex: texts that hold a code
+point on which both differ are split with the library's classes spelled out.
+
 Defined cases: null text is empty text: no ids, both digests those of no bytes.
-Special tokens are ordinary text.  Repeated rows and any ids pass through.
+Special tokens are ordinary text.  Repeated rows and any ids pass through.  A column
+with the name of an output is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import lru_cache
 from hashlib import sha256
 
@@ -109,6 +115,38 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Classes that a pattern may name.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+_ALL = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def _ranges(chars: str) -> str:
+    """Code points (in order) as the inside of a set in a pattern."""
+    points = np.frombuffer(chars.encode("utf-32-le"), np.uint32).astype(np.int64)
+    new = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    last = points[np.append(new[1:], len(points)) - 1] if len(points) else points
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(points[new].tolist(), last.tolist(), strict=True))
+
+
+@lru_cache(4)
+def spelled_out(pattern: str) -> tuple[str, str]:
+    """The pattern with its classes as the library has them, and a pattern for code points that Python's regex has otherwise ("" for none)."""
+    import tiktoken
+
+    odd: set[str] = set()
+    for name in CLASSES:
+        if name in pattern:
+            # a library's encoder of single bytes gives back what its pattern matches
+            own = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            held = own.decode_bytes(own.encode_ordinary(_ALL)).decode()
+            odd |= set(held) ^ set(regex.findall(name, _ALL))
+            inside = _ranges(held)
+            pattern = re.sub(r"\[\^?[^]]*\]", lambda m, n=name, i=inside: m[0].replace(n, i), pattern).replace(name, f"[{inside}]")
+            if name == r"\s":
+                pattern = pattern.replace(r"\S", f"[^{inside}]")
+    return pattern, f"[{_ranges(''.join(sorted(odd)))}]" if odd else ""
+
+
 class Codec:
     """Encoder and decoder for one rank file."""
 
@@ -116,6 +154,8 @@ class Codec:
         keys = list(ranks)
         self.keys, self.ids = keys, np.array([ranks[k] for k in keys], np.uint32)
         self.table, self.pattern = PerfectHash(keys), pattern
+        self.exact, self.odd = spelled_out(pattern)
+        self.first_odd = int(self.odd[3:11], 16) if self.odd else 1 << 21
         self._ready = None
 
     def __getstate__(self):
@@ -127,12 +167,12 @@ class Codec:
             by_id = [b""] * (max(ranks.values(), default=-1) + 1)
             for k, i in ranks.items():
                 by_id[i] = k
-            self._ready = ranks, by_id, regex.compile(self.pattern), {}
+            self._ready = ranks, by_id, regex.compile(self.pattern), {}, regex.compile(self.odd or r"(?!)"), regex.compile(self.exact)
         return self._ready
 
     def resolve(self, pieces: list[str]) -> dict[str, bytes]:
         """Each distinct pre-token's ids as little-endian 32-bit integers."""
-        ranks, _, _, memo = self.ready()
+        ranks, memo = self.ready()[0], self.ready()[3]
         raw = [p.encode() for p in pieces]
         at = self.table.find(raw)
         first = self.ids[at].astype("<u4")
@@ -151,9 +191,16 @@ class Codec:
             out[p] = ids
         return out
 
+    def low(self, text: str) -> bool:
+        """Whether the text is quickly seen to hold no code point on which the tables differ: all are beyond Latin-1."""
+        try:
+            return text.isascii() or self.first_odd > 255 and bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = self.ready()[2].findall
-        cut = [split(t) for t in texts]
+        _, _, usual, _, odd, exact = self.ready()
+        cut = [usual.findall(t) if self.low(t) or not odd.search(t) else exact.findall(t) for t in texts]
         known = self.resolve(list({p for c in cut for p in c}))
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
@@ -182,7 +229,7 @@ def default_codec() -> Codec:
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", coder: Codec | None = None) -> DataFrame:
-    """df plus its ids as array<int>; the text stays."""
+    """df plus its ids as array<int>, which replace a column of that name; the text stays."""
     held = df.sparkSession.sparkContext.broadcast(coder or default_codec())
 
     def fn(texts):
@@ -190,11 +237,11 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", coder: Codec
         ends = np.cumsum([0, *map(len, got)])
         return {out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(got) if got else [], pa.int32()))}
 
-    return map_texts(df.withColumn("__text", text_of(text_col)), fn, f"`{out}` array<int>".replace("`", ""))
+    return map_texts(df.withColumn("__text", text_of(text_col)), fn, f"`{out}` array<int>")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", coder: Codec | None = None) -> DataFrame:
-    """df plus the text of its ids (bytes that are no UTF-8 become U+FFFD)."""
+    """df plus the text of its ids (bytes that are no UTF-8 become U+FFFD), which replaces a column of that name."""
     held = df.sparkSession.sparkContext.broadcast(coder or default_codec())
 
     def back(s: pd.Series) -> pd.Series:
@@ -204,7 +251,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", coder: Codec
 
 
 def encoded_digests(df: DataFrame, text_col: str = "text", coder: Codec | None = None) -> DataFrame:
-    """df's columns but the text, plus n_tokens and the digests of ids and of the decoded bytes."""
+    """df's columns but the text, plus n_tokens and the digests of ids and of the decoded bytes, which replace columns of those names."""
     held = df.sparkSession.sparkContext.broadcast(coder or default_codec())
 
     def fn(texts):

@@ -50,18 +50,50 @@ def test_token_counts_of_the_library(texts):
         assert m.counts(xs, chunk) == want
 
 
+def between_odd_points(n, seed):
+    """Texts of code points on which tables of Unicode differ, next to others of every class."""
+    points = __import__("regex").findall(bpe.spelled_out(P.PATTERN)[1], bpe._ALL)
+    r = random.Random(seed)
+    assert len(points) > 1000
+    return ["".join(r.choice(points) if r.random() < 0.5 else r.choice(ALPHABET) for _ in range(r.randint(1, 12))) for _ in range(n)] + [a + c + b for c in points for a, b in (("a", "1"), ("1", "a"), ("!", " "), ("'", "s"))]
+
+
+def test_token_counts_of_every_class():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    m = token_counts.machine(P.path("byte_bpe_50k.json"))
+    xs = between_odd_points(6000, 21) + ["\U00011dc8聮", "\u088f\u0c5c"] + ["".join(map(chr, range(a, a + 500))) for a in range(0x400, 0xD000, 500)]
+    assert m.counts(xs) == [len(e.ids) for e in t.encode_batch(xs, add_special_tokens=False)]
+
+
+def test_maps_without_white_space():
+    """Chunks of texts without white space are read from guessed states and composed all the same."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    m = token_counts.machine(P.path("byte_bpe_50k.json"))
+    r = random.Random(22)
+    xs = ["".join(r.choice("abcdeghi") for _ in range(3000)), "q" * 2000, "=-" * 900, "中文字" * 500, "don't" * 400, "abc " * 5 + "x" * 999]
+    want = [len(e.ids) for e in t.encode_batch(xs, add_special_tokens=False)]
+    assert all(m.totals(xs, chunk, look).tolist() == want for chunk, look in ((1, 0), (5, 1), (64, 3), (384, 48)))
+
+
 def test_token_counts_survive_a_full_table(texts, monkeypatch):
     m = token_counts.load(P.path("byte_bpe_50k.json"))
     whole = m.counts([x for _, x in texts])
     monkeypatch.setattr(token_counts, "MAX_STATES", 500)
     assert [m.counts([x])[0] for _, x in texts] == whole
-    assert m.prefix_counts(texts[0][1])[-1] == whole[0]
 
 
 def test_token_counts_odd(odd):
-    got = token_counts.token_counts(odd.drop("n_tokens")).collect()
-    assert len(got) == 8 and {r.n_tokens for r in got if r.n_bytes == 0} == {0}
-    assert token_counts.token_counts(odd.drop("n_tokens").limit(0)).count() == 0
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    d = odd.withColumn("__kept", F.col("text")).withColumn("over_limit", F.lit(3))
+    got = token_counts.token_counts(d).collect()
+    assert len(got) == 8 and all((r.n_tokens, r.n_bytes) == (len(t.encode(r["__kept"] or "", add_special_tokens=False).ids), len((r["__kept"] or "").encode())) and r.over_limit == (r.n_tokens > 512) for r in got)
+    assert token_counts.token_counts(odd.limit(0)).count() == 0
 
 
 # -- 2 quality
@@ -387,6 +419,16 @@ def test_ids_of_the_library(texts):
         assert c.decode_bytes(np.array(ids, "<u4").tobytes()).decode() == x
 
 
+def test_ids_of_every_class():
+    import tiktoken
+
+    c = bpe.default_codec()
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    xs = between_odd_points(6000, 23)
+    got = c.encode_all(xs)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode_ordinary(x) for x in xs]
+
+
 def test_perfect_hash():
     keys = [b"%d" % i for i in range(3000)]
     t = bpe.PerfectHash(keys)
@@ -395,9 +437,12 @@ def test_perfect_hash():
 
 
 def test_codec_odd(odd):
-    d = bpe.encode(odd.drop("ids"))
+    d = bpe.encode(odd)
     back = bpe.decode(d, out="again")
-    assert back.filter("coalesce(text, '') <> again").count() == 0 and back.count() == 8
+    assert back.filter("coalesce(text, '') <> again").count() == 0 and back.count() == 8 and dict(d.dtypes)["ids"] == "array<int>"
+    e = bpe.encoded_digests(odd.withColumn("ids_sha256", F.lit(1)).withColumn("kept", F.col("text"))).collect()
+    assert len(e) == 8 and all(r.decoded_sha256 == sha256((r.kept or "").encode()).hexdigest() for r in e)
+    assert bpe.encoded_digests(odd.limit(0)).count() == 0
 
 
 # -- 9 HTML
