@@ -9,15 +9,22 @@ change in the token count; changes add up to the count.  The split into pre-toke
 is part of the state.  Transitions are compiled when they are first taken, into one
 flat table; at most MAX_STATES are held, then the table starts anew.
 
-A text is cut into chunks.  Between a character that is no white space and one that
-is, every state closes its pre-token and starts afresh.  A chunk's state map is thus
-constant after its first such place: a head, to be read from whatever state comes in;
-a count; the state it ends in.  All chunks of a slice of texts are read in lock step,
-then all heads from the states before them; a prefix scan adds the composed maps up.
+A text is cut into chunks.  A chunk's map takes the state that comes in to the state
+that goes out and a count.  Maps are worked out for the states that can come in: first
+for that which the last LOOK code points before the chunk lead to (exactly so from a
+place where white space begins, as every state closes its pre-token and starts afresh
+there), and then, where the chunk before goes out with another state, for that one,
+until every map that is met is known.  All chunks of a slice are read in lock step, so
+a text without white space is read in parallel too.  The maps of a text are composed
+by a parallel prefix scan: each (chunk, state) points to the one that follows it, and
+pointers are doubled.
+
+Classes of code points (letter, number, white space, other) are asked from the
+tokenizer's own splitter once and are part of the compiled tables.
 
 Defined cases: null text is empty, 0 tokens.  Strings of added tokens inside a text
 count as one token each, as the library takes them by default.  Repeated rows stay.
-A text without white space is one chunk and is read by itself.
+A column of the table with the name of an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,23 +34,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import merge
 from cellweave.llm.common import documents, map_texts, text_of
 
-#: Code points of a chunk; states that a worker holds; columns of the table (the last is for code points that got none).
-CHUNK, MAX_STATES, COLUMNS = 384, 250_000, 128
+#: Code points of a chunk, and before it that lead to the state that is tried first; states that a worker holds; columns of the table (the last is for code points that got none).
+CHUNK, LOOK, MAX_STATES, COLUMNS = 384, 48, 250_000, 128
 #: Rows by which the table grows.
 ROWS = 1 << 15
 LIMIT = 512
 #: A table's entry holds the next state and, in the low byte, the change in the count plus MIDDLE.
 MIDDLE = 128
 
-_LETTER, _NUMBER, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
-
 #: Contractions that are pre-tokens of their own after an apostrophe: by first letter, the letters that must follow.
 ENDINGS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 
@@ -51,21 +55,34 @@ ENDINGS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
 EMPTY = (b"", ((0, -1, 0),))
 
 
-@lru_cache(100_000)
-def kind_of(ch: str) -> str:
-    """Class of a code point: Letter, Number, White space, Other."""
-    return "L" if _LETTER.match(ch) else "N" if _NUMBER.match(ch) else "W" if _SPACE.match(ch) else "O"
+#: Planes that hold characters (fixed by Unicode); those between are unassigned, the last two for private use: other.
+PLANES = (0, 1, 2, 3, 14)
+
+
+def classes(split) -> bytes:
+    """L, N, W or O for each code point, as split (a function from a text to its pre-tokens as (piece, (start, end))) has it."""
+    out = bytearray(b"O" * 0x110000)
+    one = lambda text: len(split(text)) == 1
+    for plane in PLANES:
+        points = [c for c in range(plane << 16, plane + 1 << 16) if not 0xD800 <= c < 0xE000 and c not in (0x20, 0x27)]
+        for _, (a, b) in split("".join(map(chr, points))):  # a pre-token holds code points of one class
+            first = chr(points[a])
+            kind = b"L" if one("a" + first) else b"N" if one("1" + first) else b"O" if one("!" + first) else b"W"
+            for c in points[a:b]:
+                out[c] = kind[0]
+    out[0x20] = b"W"[0]
+    return bytes(out)
 
 
 class Machine:
     """The transducer of one byte-level BPE vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], added: list[str]):
-        self.ranks, self.added = ranks, [a for a in added if a]
+    def __init__(self, ranks: dict[bytes, int], added: list[str], kinds: bytes):
+        self.ranks, self.added, self.kinds = ranks, [a for a in added if a], kinds
         self._begin()
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "added": self.added}
+        return {"ranks": self.ranks, "added": self.added, "kinds": self.kinds}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -77,9 +94,7 @@ class Machine:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.column_of = np.zeros(0x110000, np.uint8)
         self.columns = 0
-        spaces = regex.compile(r"\s")
-        self.is_space = np.zeros(0x110000, bool)
-        self.is_space[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and spaces.match(chr(c))]] = True
+        self.is_space = np.frombuffer(self.kinds, np.uint8) == ord("W")
         self._clear()
 
     def _clear(self):
@@ -126,7 +141,7 @@ class Machine:
     def step(self, state: tuple, ch: str) -> tuple[tuple, int]:
         """state: kind of the open pre-token, its merges so far, and what waits to be decided."""
         kind, merged, waits = state
-        now = kind_of(ch)
+        now = chr(self.kinds[ord(ch)])
         if kind == now and kind in "LNO":
             merged, n = self.add(merged, ch)
             return (kind, merged, ""), n
@@ -156,7 +171,7 @@ class Machine:
         return self.opened(ch)
 
     def opened(self, ch: str) -> tuple[tuple, int]:
-        now = kind_of(ch)
+        now = chr(self.kinds[ord(ch)])
         if ch == "'" or now == "W":
             return ("'" if ch == "'" else "W", EMPTY, ch), 0
         merged, n = self.add(EMPTY, ch)
@@ -229,8 +244,8 @@ class Machine:
 
     # -- texts
 
-    def chunk_ends(self, texts: list[str], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-        """Running token counts at chunk ends (of texts cut at added tokens already), and each text's last chunk."""
+    def totals(self, texts: list[str], chunk: int = CHUNK, look: int = LOOK) -> np.ndarray:
+        """Token counts of texts (cut at added tokens already)."""
         if len(self.states) > MAX_STATES:
             self._clear()
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -240,48 +255,46 @@ class Machine:
         of = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = begins[of] + number * chunk
-        to = np.minimum(at + chunk, ends[of])
+        size = np.minimum(at + chunk, ends[of]) - at
+        goes_on = np.concatenate([number[1:] > 0, [False]])
+        # the state that comes in, as far as the code points before tell
         space = self.is_space[points]
         sure = np.flatnonzero(space[1:] & ~space[:-1]) + 1 if len(points) else np.empty(0, np.int64)
-        k = np.searchsorted(sure, at + 1)
-        body = np.where(k < len(sure), sure[np.minimum(k, len(sure) - 1)] if len(sure) else 0, np.iinfo(np.int64).max)
-        body = np.where(number == 0, at, body)
-        whole = body < to  # else the chunk is all head: it joins the one before it
-        whole |= number == 0
-        first = np.flatnonzero(whole)
-        last = np.concatenate([first[1:], [len(of)]]) - 1
-        # maps: from START over the body up to where the next chunk that has a body begins
-        n, state = self.read_all(points, body[first], to[first] - body[first], np.full(len(first), self.start))
-        # heads, read from the state before them: up to the next body of the same text, else to the text's end
-        nxt = np.concatenate([first[1:], [len(of)]])
-        same = (nxt < len(of)) & (number[np.minimum(nxt, len(of) - 1)] > 0)
-        stop = np.where(same, body[np.minimum(nxt, len(of) - 1)], to[last])
-        more, state = self.read_all(points, to[first], stop - to[first], state)
-        closed = np.array(self.closing)[state]
-        return n + more + closed, of[first]
-
-    def read_all(self, points, starts, lengths, state):
-        """Lanes of usual length together, each that is much longer by itself."""
-        n, after = np.zeros(len(starts), np.int64), np.asarray(state, np.int64).copy()
-        usual = lengths <= 4 * CHUNK
-        if usual.any():
-            n[usual], after[usual] = self.lanes(points, starts[usual], lengths[usual], after[usual])
-        for k in np.flatnonzero(~usual).tolist():
-            n[k], after[k] = self.read(points[starts[k] : starts[k] + lengths[k]], int(after[k]))
-        return n, after
-
-    def read(self, points: np.ndarray, state: int) -> tuple[int, int]:
-        n, cols = 0, self.columns_of(points).tolist()
-        for c, p in zip(cols, points.tolist(), strict=True):
-            got = int(self.table[state, c]) if c < COLUMNS - 1 else self.odd.get((state, p), -1)
-            if got < 0:
-                got = self.entry(state, chr(p))
-                if c < COLUMNS - 1:
-                    self.table[state, c] = got
-                else:
-                    self.odd[state, p] = got
-            state, n = got >> 8, n + (got & 255) - MIDDLE
-        return n, state
+        k = np.searchsorted(sure, at) - 1
+        low = np.maximum(at - look, begins[of])
+        since = np.maximum(low, sure[np.maximum(k, 0)]) if len(sure) else low
+        since = np.where((k >= 0) & (since < at), since, low)
+        fresh = np.full(len(of), self.start)
+        _, entry = self.lanes(points, since, at - since, fresh)
+        # maps: (chunk, entry) -> (exit, count), and the map that follows
+        n, exit_ = self.lanes(points, at, size, entry)
+        maps = [np.arange(len(of)), entry, exit_, n]
+        then = np.where(goes_on, np.arange(1, len(of) + 1), -1)
+        known = None
+        new = np.flatnonzero(goes_on & (exit_ != np.concatenate([entry[1:], [0]])))
+        while len(new):
+            if known is None:
+                known = {x: i for i, x in enumerate(zip(maps[0].tolist(), maps[1].tolist(), strict=True))}
+            wanted: dict[tuple[int, int], int] = {}
+            for i, c, x in zip(new.tolist(), (maps[0][new] + 1).tolist(), maps[2][new].tolist(), strict=True):
+                if (c, x) not in known:
+                    known[c, x] = len(maps[0]) + len(wanted)
+                    wanted[c, x] = i
+                then[i] = known[c, x]
+            if not wanted:
+                break
+            c, x = (np.array(v, np.int64) for v in zip(*wanted, strict=True))
+            n, exit_ = self.lanes(points, at[c], size[c], x)
+            new = len(maps[0]) + np.flatnonzero(goes_on[c])
+            maps = [np.concatenate(v) for v in zip(maps, (c, x, exit_, n), strict=True)]
+            then = np.concatenate([then, np.full(len(c), -1)])
+        # the scan: a map composed with those that follow, twice as many in each round
+        total, exit_ = maps[3].astype(np.int64), maps[2]
+        while (on := then >= 0).any():
+            total = total + np.where(on, total[then], 0)
+            exit_, then = np.where(on, exit_[then], exit_), np.where(on, then[then], -1)
+        first = np.cumsum(counts) - counts
+        return total[first] + np.array(self.closing)[exit_[first]]
 
     def counts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
         """Tokens of each text."""
@@ -293,12 +306,8 @@ class Machine:
             extra.append(len(cut) - 1)
         if not parts:
             return []
-        n, part = self.chunk_ends(parts, chunk)
-        return (np.bincount(np.array(of)[part], weights=n, minlength=len(texts)).astype(np.int64) + np.array(extra)).tolist()
-
-    def prefix_counts(self, text: str, chunk: int = CHUNK) -> list[int]:
-        """Tokens closed by the end of each chunk's head in the next, the last: of the whole text."""
-        return np.cumsum(self.chunk_ends([text], chunk)[0]).tolist()
+        n = self.totals(parts, chunk)
+        return (np.bincount(np.array(of), weights=n, minlength=len(texts)).astype(np.int64) + np.array(extra)).tolist()
 
     def segments(self, text: str) -> list[str]:
         """Text between added tokens, which stand for themselves."""
@@ -323,7 +332,9 @@ def load(path: str) -> Machine:
         spec["model"]["merges"][k] = ranks[raw(a + b)]
     if any(x >= y for x, y in zip(spec["model"]["merges"], spec["model"]["merges"][1:], strict=False)):
         raise ValueError("ids of merged tokens don't follow the order of the merges")
-    return Machine(ranks, sorted(added, key=len, reverse=True))
+    from tokenizers import Tokenizer
+
+    return Machine(ranks, sorted(added, key=len, reverse=True), classes(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str))
 
 
 @lru_cache(4)
@@ -332,7 +343,7 @@ def machine(path: str) -> Machine:
 
 
 def token_counts(df: DataFrame, text_col: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
-    """df's columns but the text, plus n_bytes, n_tokens and over_limit (n_tokens > limit)."""
+    """df's columns but the text, plus n_bytes, n_tokens and over_limit (n_tokens > limit), which replace columns of those names."""
     if path is None:
         import public_tokenizers
 
@@ -342,9 +353,7 @@ def token_counts(df: DataFrame, text_col: str = "text", limit: int = LIMIT, path
     def fn(texts):
         return {"n_tokens": pa.array(held.value.counts(texts), pa.int64())}
 
-    keep = [c for c in df.columns if c != text_col]
-    d = df.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias("__text"))
-    d = d.withColumn("n_bytes", F.octet_length("__text").cast("long"))
+    d = df.withColumn("__text", text_of(text_col)).drop(text_col).withColumn("n_bytes", F.octet_length("__text").cast("long"))
     return map_texts(d, fn, "n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
