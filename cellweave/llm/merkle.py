@@ -1,121 +1,190 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and their pieces.
 
-Sections end at blank lines, paragraphs at line ends, and a paragraph is cut into
-pieces of a few words where the words themselves say so, so that an edit changes the
-pieces it touches and no others.  A node's hash is that of its children's hashes.
-The root has one more child, the digest of the exact text, so that white space counts.
-The fingerprint is the root and the leaves in their tree: equal roots mean equal
-texts, and from differing roots the comparison goes down into differing branches.
-
-Defined cases: null text is empty and has an empty tree; documents are ordered by
-descending id, rows of one id by text, rows without an id last; the last one's next
-is the first; a table of one row is its own next; an empty table gives no rows.
+Paragraphs are lines, sections end at blank lines, and a paragraph is cut into pieces
+where its own characters say so, so that an edit changes the pieces it touches and no
+others.  A piece's hash is over its characters, white space too, and a node's over its
+children's in order.  The root is over the sections and the digest of the whole text.
+The fingerprint is the tree: root, and each section's and paragraph's hash before what
+it holds.  Equal roots mean equal texts; from differing roots the comparison goes down
+into the branches that differ and into no others.
+
+Defined cases: null text is empty and has an empty tree; ids are of any type that can
+be ordered; documents are in descending order of ids, rows of one id and rows without
+one (last) by a hash of their text; the last one's next is the first; a table of one
+row is its own next; an empty table gives no rows; all lengths are treated alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from hashlib import sha256
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, placed_labels, slices, text_of
-
-#: A piece ends at about every CUT-th word and has at most MOST.
-CUT, MOST = 4, 12
-#: Texts under so many code points have each word as a piece.
-SHORT = 400
-#: Hexadecimal digits of a leaf and of an inner node.
-LEAF, INNER = 8, 16
-
-_SECTION = re.compile(r"\n[^\S\n]*\n\s*")
-
-
-def pieces(paragraph: str, single: bool = False) -> list[str]:
-    if single:
-        return paragraph.split()
-    out, held = [], []
-    for w in paragraph.split():
-        held.append(w)
-        if not (ord(w[0]) * 31 + ord(w[-1]) * 7 + len(w)) % CUT or len(held) == MOST:
-            out.append(" ".join(held))
-            held = []
-    if held:
-        out.append(" ".join(held))
-    return out
+from cellweave.llm.common import documents, map_texts, placed_labels, slices, text_of
+from cellweave.llm.jaccard_join import _P, _PINV, _mix, _powers
 
+#: A piece ends where a hash of three characters is a multiple of CUT, and after MOST characters.
+CUT, MOST = 8, 32
+#: Hexadecimal digits of a piece, of a section or paragraph, and of the root.
+LEAF, INNER, ROOT = 8, 16, 32
+#: Characters whose trees are made at once; ids sampled for each range.
+SLICE, SAMPLE = 1 << 19, 100
 
-def _leaf(piece: str) -> str:
-    return "%08x" % xxhash.xxh32_intdigest(piece)
+_held: dict[int, np.ndarray] = {}
 
 
-def _inner(children: list[str]) -> str:
-    return "%016x" % xxhash.xxh3_64_intdigest("".join(children))
+def _powers_of(base: int, n: int) -> np.ndarray:
+    if base not in _held or len(_held[base]) < n:
+        _held[base] = _powers(base, max(n, 1 << 20))
+    return _held[base][:n]
 
 
-def tree(text: str) -> list[list[list[str]]]:
-    """Leaves by section and paragraph."""
-    single = len(text) < SHORT
-    return [[[_leaf(x) for x in pieces(p, single)] for p in s.split("\n") if p.strip()] for s in _SECTION.split(text) if s.strip()]
+def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of values, whatever stands before it."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values + np.uint64(1)) * _powers_of(_P, n), out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _powers_of(_PINV, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def fingerprint(text: str) -> str:
-    """root:leaves, with / between sections and ; between paragraphs."""
-    t = tree(text)
-    root = _inner([_leaf(text), *("s" + _inner(["p" + _inner(p) for p in s]) for s in t)])
-    return root + ":" + "/".join(";".join("".join(p) for p in s) for s in t)
+class Tree:
+    """root: digits; sections: (hash, paragraphs), paragraphs: (hash, pieces), pieces: 32 bits each."""
+
+    __slots__ = ("root", "sections", "leaves")
+
+    def __init__(self, root: str, sections: list[tuple[str, list[tuple[str, bytes]]]]):
+        self.root, self.sections = root, sections
+        self.leaves = sum(len(p[1]) for s in sections for p in s[1]) // 4
 
+    def __str__(self) -> str:
+        return self.root + ":" + "/".join(s + "," + ";".join(p + "=" + x.hex() for p, x in ps) for s, ps in self.sections)
 
-def parse(print_: str) -> tuple[str, list[list[list[str]]]]:
+
+def parse(print_: str) -> Tree:
     root, _, rest = print_.partition(":")
-    return root, [[[p[i : i + LEAF] for i in range(0, len(p), LEAF)] for p in s.split(";")] for s in rest.split("/")] if rest else []
+    return Tree(root, [(s[:INNER], [(p[:INNER], bytes.fromhex(p[INNER + 1 :])) for p in s[INNER + 1 :].split(";")]) for s in rest.split("/")] if rest else [])
+
+
+def trees(texts: list[str]) -> list[Tree]:
+    """The trees of some texts."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    digests = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    n = len(c)
+    if not n:
+        return [Tree(d.hex(), []) for d in digests]
+    before = np.concatenate([[0], c[:-1]]).astype(np.uint64)
+    further = np.concatenate([[0, 0], c[:-2]])[:n].astype(np.uint64)
+    starts = (ends - lengths)[lengths > 0]  # nothing stands before a text
+    before[starts] = further[starts] = 0
+    further[(starts + 1)[lengths[lengths > 0] > 1]] = 0
+    cut = _mix(c * np.uint64(0x9E3779B1) + before * np.uint64(0x85EBCA77) + further * np.uint64(0xC2B2AE3D)) % np.uint64(CUT) == 0
+    line = c == 10
+    stop = line.copy()
+    stop[ends[lengths > 0] - 1] = True
+    last = cut | stop
+    # no piece is longer than MOST
+    at = np.flatnonzero(last)
+    size = np.diff(at, prepend=-1)
+    for p, k in zip(at[size > MOST].tolist(), size[size > MOST].tolist(), strict=True):
+        last[np.arange(p - k + MOST, p, MOST)] = True
+    end = np.flatnonzero(last) + 1
+    begin = np.concatenate([[0], end[:-1]])
+    leaf = _rolled(c, begin, end)
+    # lines, and whether they are blank
+    line_end = np.flatnonzero(stop) + 1
+    line_begin = np.concatenate([[0], line_end[:-1]])
+    inked = np.concatenate([[0], np.cumsum((c > 32) & (c != 160) & (c != 0x3000))])
+    blank = inked[line_end] == inked[line_begin]
+    first_leaf = np.searchsorted(begin, line_begin)
+    leaf_end = np.concatenate([first_leaf[1:], [len(leaf)]])
+    paragraph = _rolled(leaf, first_leaf, leaf_end)
+    # a section begins with a text, and with a line that isn't blank after one that is
+    of = np.searchsorted(ends, line_begin, side="right")
+    opens = np.concatenate([[True], (of[1:] != of[:-1]) | (blank[:-1] & ~blank[1:])])
+    first_line = np.flatnonzero(opens)
+    end_line = np.concatenate([first_line[1:], [len(line_begin)]])
+    section = _rolled(paragraph, first_line, end_line)
+    shown, lines = leaf.astype(">u4").tobytes(), ["%016x" % x for x in paragraph.tolist()]
+    a, b = (first_leaf * 4).tolist(), (leaf_end * 4).tolist()
+    made = [("%016x" % h, [(lines[k], shown[a[k] : b[k]]) for k in range(i, j)]) for h, i, j in zip(section.tolist(), first_line.tolist(), end_line.tolist(), strict=True)]
+    held, out = np.searchsorted(of[first_line], np.arange(len(texts) + 1)).tolist(), []
+    for k, digest in enumerate(digests):
+        sections = made[held[k] : held[k + 1]]
+        out.append(Tree(xxhash.xxh3_128_hexdigest(digest + "".join(h for h, _ in sections).encode()) if sections else digest.hex(), sections))
+    return out
+
+
+def fingerprint(text: str) -> str:
+    return str(trees([text])[0])
 
 
-def _leaves(print_: str) -> list[str]:
-    rest = print_.partition(":")[2].replace(";", "").replace("/", "")
-    return [rest[i : i + LEAF] for i in range(0, len(rest), LEAF)]
+def _apart(a: list[tuple], b: list[tuple]) -> tuple[list, list]:
+    """Children (hash, below) of both sides without those that have a partner of the same hash."""
+    left, right = Counter(h for h, _ in a), Counter(h for h, _ in b)
+    both = left & right
+    if not both:
+        return a, b
+    out = []
+    for side in (a, b):
+        skip, rest = Counter(both), []
+        for x in side:
+            if skip[x[0]]:
+                skip[x[0]] -= 1
+            else:
+                rest.append(x)
+        out.append(rest)
+    return out[0], out[1]
+
+
+def compare(a: Tree, b: Tree) -> tuple[float, list[str], list[str]]:
+    """Likeness (1 for equal roots, else twice the pieces in common by those of both), and the hashes of paragraphs that only a or b has."""
+    if a.root == b.root:
+        return 1.0, [], []
+    if not a.leaves or not b.leaves:
+        return 0.0, [p for _, s in a.sections for p, _ in s], [p for _, s in b.sections for p, _ in s]
+    x, y = _apart(a.sections, b.sections)
+    x, y = _apart(list(chain.from_iterable(s for _, s in x)), list(chain.from_iterable(s for _, s in y)))
+    apart = [np.sort(np.frombuffer(b"".join(p for _, p in side), ">u4").astype(np.uint32)) for side in (x, y)]
+    return 2.0 * (a.leaves - len(apart[0]) + _common(*apart)) / (a.leaves + b.leaves), [h for h, _ in x], [h for h, _ in y]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    if not len(a) or not len(b):
+        return 0
+    (x, m), (y, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the share of leaves in common (Dice over multisets)."""
-    if a == b or a[:INNER] == b[:INNER]:
-        return 1.0
-    x, y = _leaves(a), _leaves(b)
-    if not x or not y:
-        return 0.0
-    held = Counter(x)
-    common = 0
-    for leaf in y:
-        if held.get(leaf, 0) > 0:
-            held[leaf] -= 1
-            common += 1
-    return 2.0 * common / (len(x) + len(y))
+    return compare(parse(a), parse(b))[0]
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
-    """Where b differs from a: (section, paragraph) of b whose hashes a doesn't hold at that section."""
-    (ra, ta), (rb, tb) = parse(a), parse(b)
-    if ra == rb:
-        return []
-    whole = {_inner(["p" + _inner(p) for p in s]) for s in ta}
+    """Where b differs from a: (section, paragraph) of b that a has no partner for."""
+    tree = parse(b)
+    missing = Counter(compare(parse(a), tree)[2])
     out = []
-    for i, s in enumerate(tb):
-        if _inner(["p" + _inner(p) for p in s]) in whole:
-            continue
-        held = {_inner(p) for p in ta[i]} if i < len(ta) else set()
-        out += [(i, j) for j, p in enumerate(s) if _inner(p) not in held]
+    for i, (_, paragraphs) in enumerate(tree.sections):
+        for j, (h, _) in enumerate(paragraphs):
+            if missing[h]:
+                missing[h] -= 1
+                out.append((i, j))
     return out
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """df plus its text's fingerprint."""
-    from cellweave.llm.common import map_texts
-
-    return map_texts(df.withColumn("__text", text_of(text_col)), lambda texts: {out: pa.array(list(map(fingerprint, texts)), pa.string())}, f"{out} string")
+    """df plus its text's fingerprint, which replaces a column of that name."""
+    return map_texts(df.withColumn("__text", text_of(text_col)), lambda texts: {out: pa.array(list(map(str, trees(texts))), pa.string())}, f"`{out}` string")
 
 
 def edited(text: str, following: str) -> str:
@@ -124,81 +193,81 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
+def _at_most(bounds: list, value: Column) -> Column:
+    """How many of the ascending bounds are at most the value, by halving; the plan holds the bounds as one literal."""
+    held = F.array(*map(F.lit, bounds))
+    both = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        return F.when(s["lo"] >= s["hi"], s).when(F.get(held, mid) <= value, both(mid + 1, s["hi"])).otherwise(both(s["lo"], mid))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), both(F.lit(0), F.lit(len(bounds))), halve, lambda s: s["lo"])
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text, bucket, ahead) dealt by descending id: each partition holds
+    """Rows (doc_id, text, number, ahead) dealt by descending id: each partition holds
     whole ranges in order, each followed by the first row of the next range (ahead = 1).
 
-    Bounds are quantiles; their number is that of shuffle partitions, and so is that of
-    the rows that are sent twice.  Texts are shuffled once.
+    Bounds come from a sample of SAMPLE ids a range; there are as many ranges as shuffle
+    partitions, and as many again for rows without id.  Texts are shuffled once.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ids = d.select("doc_id")
-    bounds = sorted({int(x) for x in ids.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))}, reverse=True) if n > 1 else []
-    # range 0 holds ids from the highest bound up; ids below all bounds and null ids come last
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _below(bounds))
-    held = {r["number"]: r["top"] for r in ids.withColumn("number", number).groupBy("number").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(held)
-    before = {held[k]: order[i - 1] for i, k in enumerate(order)}  # a range's first id -> the range before it
+    d = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    ids = d.select("doc_id").filter("doc_id IS NOT NULL")
+    rows = ids.count()
+    sample = sorted(r[0] for r in ids.sample(min(1.0, SAMPLE * n / max(rows, 1)), 7).collect()) if n > 1 else []
+    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    # range 0 holds the highest ids; rows without id come last, in the order of their texts' hashes
+    hashed = F.xxhash64("text")
+    above = F.lit(len(bounds)) - _at_most(bounds, F.col("doc_id")) if bounds else F.lit(0)
+    d = d.withColumn("hash", hashed).withColumn("number", F.when(F.col("doc_id").isNotNull(), above).otherwise(len(bounds) + 1 + F.shiftright((F.shiftright("hash", 32) + (1 << 31)) * n, 32)).cast("int"))
+    tops = d.groupBy("number").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("hash"))).alias("top"))
+    held = sorted((r["number"], r["top"]["doc_id"], ~r["top"]["hash"]) for r in tops.collect())
     labels = placed_labels(spark, n)
-    label_of = F.element_at(F.array(*[F.lit(labels[i % n]) for i in range(len(bounds) + 2)]), F.col("number") + 1)
-    heads = spark.createDataFrame([(k, v) for k, v in before.items()], "top long, back int") if before else spark.createDataFrame([], "top long, back int")
-    d = d.withColumn("number", number).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top")), "left")
-    copies = F.when(F.col("back").isNull(), F.array(F.struct("number", F.lit(0).alias("ahead")))).otherwise(F.array(F.struct("number", F.lit(0).alias("ahead")), F.struct(F.col("back").alias("number"), F.lit(1).alias("ahead"))))
-    d = d.withColumn("copy", F.explode(copies)).select("doc_id", "text", "copy.number", "copy.ahead").withColumn("label", label_of)
-    return d.repartition(n, "label").sortWithinPartitions("number", "ahead", F.col("doc_id").desc_nulls_last(), "text").drop("label")
-
-
-def _below(bounds: list[int]):
-    """How many bounds are at most doc_id, by halving (a chain of comparisons as deep as log2 of their number)."""
-
-    def part(lo: int, hi: int):  # bounds descending: those in bounds[hi:] are at most the id for sure, those in bounds[:lo] above it
-        if lo == hi:
-            return F.lit(len(bounds) - lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= bounds[mid], part(lo, mid)).otherwise(part(mid + 1, hi))
-
-    return part(0, len(bounds))
-
-
-def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    label_of = F.get(F.array(*[F.lit(labels[i % n]) for i in range(len(bounds) + 1 + n)]), F.col("number"))
+    heads = [(top, h, held[i - 1][0]) for i, (_, top, h) in enumerate(held)]
+    heads = spark.createDataFrame(heads, f"top {dict(d.dtypes)['doc_id']}, top_hash long, back int")  # a row for each range
+    d = d.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("hash") == F.col("top_hash")), "left")
+    own = F.struct("number", F.lit(0).alias("ahead"))
+    copies = F.when(F.col("back").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("back").alias("number"), F.lit(1).alias("ahead"))))
+    d = d.withColumn("copy", F.explode(copies)).select("doc_id", "text", "hash", "copy.number", "copy.ahead").withColumn("label", label_of)
+    return d.repartition(n, "label").sortWithinPartitions("number", "ahead", F.col("doc_id").desc_nulls_last(), "hash", "text").select("doc_id", "text", "number", "ahead")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint of each text and of its edited text, and likeness to it and to the next document."""
+    """Fingerprint of each text and of its edited text, and likeness to it and to the next document.
 
-    def run(batches):
-        rows: list[tuple] = []
-        held = None  # (doc_id, text, fingerprint, number)
-
-        def flush():
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(NAMES)
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, KINDS, strict=True)], names=list(NAMES))
-            rows.clear()
-            return batch
+    Only id and text of df are read; the results have names of their own.
+    """
+    id_type = dict(df.dtypes)[id_col]
 
-        size = 0
+    def run(batches):
+        held = None  # (doc_id, text, tree, number)
         for batch in batches:
-            for part in slices(batch, "text"):
-                for doc_id, text, number, ahead in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "number", "ahead")], strict=True):
-                    print_ = fingerprint(text)
+            for part in slices(batch, "text", SLICE):
+                texts = part.column("text").to_pylist()
+                rows = list(zip(part.column("doc_id"), texts, trees(texts), part.column("number").to_pylist(), part.column("ahead").to_pylist(), strict=True))
+                pairs = []
+                for doc_id, text, tree, number, ahead in rows:
                     if held is not None and held[3] == number:
-                        was_id, was, was_print, _ = held
-                        new = edited(was, text)
-                        new_print = fingerprint(new) if new != was else was_print
-                        rows.append((was_id, len(was), sha256(new.encode()).hexdigest(), was_print, new_print, likeness(was_print, new_print), likeness(was_print, print_)))
-                        size += len(was_print) + len(new_print)
-                    held = None if ahead else (doc_id, text, print_, number)
-                    if size > 4 << 20:
-                        yield flush()
-                        size = 0
-        if rows:
-            yield flush()
+                        pairs.append((*held[:3], edited(held[1], text), tree))
+                    held = None if ahead else (doc_id, text, tree, number)
+                if not pairs:
+                    continue
+                out = []
+                for (doc_id, was, tree, new, after), made in zip(pairs, trees([p[3] for p in pairs]), strict=True):
+                    out.append((doc_id.as_py(), len(was), sha256(new.encode()).hexdigest(), str(tree), str(made), compare(tree, made)[0], compare(tree, after)[0]))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.schema.field("doc_id").type), *[pa.array(c, t) for c, t in zip(cols[1:], KINDS, strict=True)]], names=list(NAMES))
 
-    return with_next(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(df, id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))

@@ -343,20 +343,86 @@ def test_fingerprints(spark, corpus, texts):
     assert np.mean([r.near_edited for r in got.values()]) > 0.5 > 0.1 > np.mean([r.near_next for r in got.values()])
 
 
+def plain_tree(text):
+    """The pieces by section and paragraph, cut by the rule as it is told, one character after another."""
+    out, line, piece, blank = [], None, "", True
+    mix = lambda x: int(jaccard_join._mix(np.array([x % (1 << 64)], np.uint64))[0])
+    whole = [0, 0, *map(ord, text)]
+    for i, c in enumerate(text):
+        if line is None:
+            line = []
+        piece += c
+        h = mix(whole[i + 2] * 0x9E3779B1 + whole[i + 1] * 0x85EBCA77 + whole[i] * 0xC2B2AE3D)
+        if h % merkle.CUT == 0 or c == "\n" or i == len(text) - 1:
+            line += [piece[k : k + merkle.MOST] for k in range(0, len(piece), merkle.MOST)]
+            piece = ""
+        if c == "\n" or i == len(text) - 1:
+            empty = not "".join(line).strip()
+            if not out or blank and not empty:
+                out.append([])
+            out[-1].append(line)
+            blank, line = empty, None
+    return out
+
+
+def test_trees_by_brute_force(texts):
+    """Shape, equal hashes for equal pieces, paragraphs and sections only, and likeness as twice the pieces in common."""
+    from collections import Counter
+
+    r = random.Random(31)
+    xs = [x for _, x in texts[:25]] + ["", "a", "\n", "\n\na\n \nb\n\n\nc d", "x" * 100 + "\n" + "中文" * 30] + ["".join(r.choice(["ab", "c ", "\n", "\n\n", "é"]) for _ in range(120)) for _ in range(20)]
+    made, plain = merkle.trees(xs), [plain_tree(x) for x in xs]
+    ids: list[dict] = [{}, {}, {}]
+    for t, p, x in zip(made, plain, xs, strict=True):
+        assert "".join("".join(map("".join, s)) for s in p) == x
+        assert [[len(q) // 4 for _, q in ps] for _, ps in t.sections] == [[len(q) for q in s] for s in p]
+        for (h, ps), s in zip(t.sections, p, strict=True):
+            assert ids[0].setdefault(h, s) == s
+            for (g, leaves), q in zip(ps, s, strict=True):
+                assert ids[1].setdefault(g, q) == q
+                for k, piece in enumerate(q):
+                    assert ids[2].setdefault(leaves[4 * k : 4 * k + 4], piece) == piece
+        assert str(merkle.parse(str(t))) == str(t)
+    flat = [Counter(q for s in p for line in s for q in line) for p in plain]
+    for i in range(len(xs)):
+        for j in range(i):
+            want = 1.0 if xs[i] == xs[j] else 2.0 * sum((flat[i] & flat[j]).values()) / max(1, sum(flat[i].values()) + sum(flat[j].values()))
+            assert merkle.compare(made[i], made[j])[0] >= want - 1e-9 if i == j else abs(merkle.compare(made[i], made[j])[0] - want) < 1e-9
+
+
 def test_branches_locate_edits():
-    a = "one two\nthree four\n\nfive six\nseven eight " * 1 + "x " * 300
+    a = "one two\nthree four\n\nfive six\nseven eight " + "x " * 300
     b = a.replace("seven", "SEVEN")
     assert merkle.differences(merkle.fingerprint(a), merkle.fingerprint(b)) == [(1, 1)]
     assert merkle.differences(merkle.fingerprint(a), merkle.fingerprint(a)) == []
-    assert merkle.likeness(merkle.fingerprint("a  b"), merkle.fingerprint("a b")) == 1.0 and merkle.fingerprint("a  b") != merkle.fingerprint("a b")
+    assert merkle.fingerprint("a  b") != merkle.fingerprint("a b")
+
+
+def test_no_length_is_special():
+    """The same share of change gives about the same likeness at every length, also where an edit crosses one."""
+    r = random.Random(33)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    text, other = (" ".join(word() for _ in range(4000)) for _ in range(2))
+    for n in (200, 300, 390, 410, 420, 500, 2000, 20_000):
+        near = [merkle.likeness(merkle.fingerprint(text[a : a + n]), merkle.fingerprint(merkle.edited(text[a : a + n], other[a : a + n]))) for a in range(0, 900, 100)]
+        cut = [merkle.likeness(merkle.fingerprint(text[a : a + n]), merkle.fingerprint(text[a : a + n - n // 3])) for a in range(0, 900, 100)]
+        assert 0.5 < np.mean(near) < 0.75 and 0.7 < np.mean(cut) < 0.9
 
 
-def test_fingerprints_odd(odd):
+def test_fingerprints_odd(spark, odd):
     got = merkle.edited_fingerprints(odd).collect()
     assert len(got) == 8 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert merkle.fingerprints(odd.withColumn("fingerprint", F.lit(1))).filter("doc_id = 5").first().fingerprint == merkle.fingerprint("")
     one = merkle.edited_fingerprints(odd.filter("doc_id = 2")).first()
     assert one.near_next == 1.0
     assert merkle.edited_fingerprints(odd.limit(0)).count() == 0
+    rows = [(f"k{i:03d}" if i % 3 else None, f"text {i} of some words\nand lines") for i in range(60)]
+    named = merkle.edited_fingerprints(spark.createDataFrame(rows, "name string, body string"), "name", "body").collect()
+    known = sorted((x for x in rows if x[0]), reverse=True)
+    told = {r.doc_id: r for r in named if r.doc_id}
+    assert len(named) == 60 and len(told) == 40
+    for (k, t), (_, after) in zip(known, known[1:], strict=False):
+        assert told[k].edited_sha256 == sha256(merkle.edited(t, after).encode()).hexdigest()
 
 
 # -- 7 mixing
