@@ -1,12 +1,17 @@
 """Mixing sources to target weights by systematic sampling (DataFrame functions only).
 
-Every document of a source has the same rate of copies, target / source_size, which
-would be its expected copies if the offset were uniform.  Within the source the copies are summed in a fixed order,
-one offset from [0, 1) is added for the source, and a document is emitted once for
-each whole number that its part of the sum crosses.  The order is by size, so that
-the emitted words follow the target closely: the error telescopes over sizes.  The
-offset is one of OFFSETS random ones, that whose words come nearest to the target; this
-matters where a few documents are most of a source.
+Every document of a source has the same expected number of copies, target /
+source_size.  These are summed in a fixed order, one random offset from [0, 1) is
+added for the source, and a document is emitted once for each whole number that its
+part of the sum crosses.
+
+What a few large documents give is either there or not.  So a source's large documents
+(of a size class above that of LARGE of its target) are dealt first, and the others'
+expected copies are what is then left of the target by their size: the words that the
+large ones miss or exceed are made up for.  The others are in the order of size, so
+that their words follow what is left closely: the error telescopes over sizes.  It is
+at most LARGE of the target, unless the others can't make up (none, or all of them
+three times, are not enough).
 
 The prefix sum has two levels.  A source is dealt into (size class, hash part)
 cells; the cells' counts are summed over the source (at most CLASSES x PARTS rows),
@@ -29,11 +34,11 @@ from cellweave.llm.common import documents, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target stops at so many times its source's size.
 MOST = 3
-#: Hash parts of a size class.
-PARTS = 64
+#: Share of a target from which a document is large.
+LARGE = 0.05
+#: Hash parts of a size class: a cell of one source and class is a task's work in ranking.
+PARTS = 1024
 SEED = 7
-#: Random offsets of which a source takes one.
-OFFSETS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -75,25 +80,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # a source's key is never null, so that the join finds the rows dealt as the window left them
     named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("key"), size_of(F.col(text_col)).alias("size")]
     celled = lambda x: x.withColumn("cls", size_class(F.col("size"))).withColumn("part", hashed)
-    slim = celled(df.select(*named))
+    slim = stored(celled(df.select(*named)))  # words are counted once; where rows are kept whole, once more
     cells = stored(slim.groupBy("key", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     aims = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30))), weights, most)
-    aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rho"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stored(cells.withColumn("before", before).join(aims, "key").select("key", "cls", "part", "before", "source_size", "target", "rho"))
-
-    def ranked(d: DataFrame, s: DataFrame) -> DataFrame:
+    offset = _hash32(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0)
+    aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rho")).withColumn("u", offset)
+    placed = cells.join(aims, "key").withColumn("large", F.col("cls") > size_class(F.col("target") * LARGE))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "large").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(placed.withColumn("before", before))
+
+    def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        """rows of the cells with their copies."""
         inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
-        return d.withColumn("inside", inside).join(s.hint("merge"), ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+        m = rows.withColumn("inside", inside).join(cells.drop("n", "words").hint("merge"), ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+        return m.withColumn("copies", (F.floor(F.col("rank") * F.col("rho") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rho") + F.col("u"))).cast("long"))
 
-    copies = lambda u: (F.floor(F.col("rank") * F.col("rho") + u) - F.floor((F.col("rank") - 1) * F.col("rho") + u)).cast("long")
-    offset = lambda k: _hash32(F.concat(F.lit(f"{seed}:{k}:"), F.col("key"))) / F.lit(4294967296.0)
-    sums = ranked(slim, starts).groupBy("key").agg(F.max("target").alias("target"), *[F.sum(copies(offset(k)) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset(k).alias("u")) for k in range(OFFSETS)]))
-    starts = starts.join(sums.select("key", best.getField("u").alias("u")), "key")
-    d = celled(df.select(*named, *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else [])))
-    m = ranked(d, stored(starts)).withColumn("copies", copies(F.col("u")))
-    return m.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if keep else []))
+    large = starts.filter("large")
+    took = ranked(slim.join(large.select("key", "cls", "part").hint("merge"), ["key", "cls", "part"], "left_semi"), large).groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("took"))
+    rest = starts.filter("NOT large").groupBy("key").agg(F.sum("words").alias("rest"), F.max("target").alias("aim")).join(took, "key", "left")
+    left = (F.col("aim") - F.coalesce("took", F.lit(0))) / F.col("rest")
+    rest = rest.select("key", F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), left))).otherwise(0.0).alias("rho_rest"))
+    starts = stored(starts.join(rest, "key", "left").withColumn("rho", F.when(F.col("large"), F.col("rho")).otherwise(F.col("rho_rest"))).drop("rho_rest"))
+    d = celled(df.select(*named, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))) if keep else slim
+    return ranked(d, starts).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if keep else []))
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
@@ -116,13 +125,13 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM o) - coalesce(sum(room) OVER (ORD
        / ((SELECT sum(weight) FROM o) - coalesce(sum(weight) OVER (ORDER BY ro ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
 f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ro LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(room::DOUBLE, coalesce(weight * (SELECT level FROM f), room::DOUBLE)) END AS target FROM l),
-c AS (SELECT d.*, floor(16 * log2(size::DOUBLE + 1))::BIGINT AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS part FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id NULLS LAST) AS rank FROM c),
-m AS (SELECT r.*, t.source_size, t.target, coalesce('s' || r.source, 'null') AS key,
-       CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rho
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT key, k, ('0x' || substr(md5('7:' || k || ':' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT key FROM m), (SELECT unnest(range(16)) AS k)),
-g AS (SELECT m.key, k.k, any_value(u) AS u, abs(sum((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size) - any_value(target)) AS off FROM m JOIN k USING (key) GROUP BY 1, 2),
-b AS (SELECT key, arg_min(u, (off, k)) AS u FROM g GROUP BY 1)
-SELECT doc_id, size, source_size, target, ((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size)::BIGINT AS taken FROM m JOIN b USING (key)
+c AS (SELECT d.*, floor(16 * log2(size::DOUBLE + 1))::BIGINT AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS part FROM d),
+m AS (SELECT c.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rho,
+       cls > floor(16 * log2(t.target * 0.05::DOUBLE + 1))::BIGINT AS large,
+       ('0x' || substr(md5('7:' || coalesce('s' || c.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY cls, part, size, doc_id NULLS LAST) AS rank FROM m),
+k AS (SELECT source, coalesce(sum((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size) FILTER (large), 0)::BIGINT AS took, (sum(size) FILTER (NOT large))::BIGINT AS rest FROM r GROUP BY source),
+f2 AS (SELECT r.* REPLACE (CASE WHEN large THEN rho WHEN rest > 0 THEN greatest(0.0, least(3.0::DOUBLE, (target - took) / rest)) ELSE 0.0 END AS rho) FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, ((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size)::BIGINT AS taken FROM f2
 """
