@@ -3,14 +3,17 @@
 A document's own evidence is the log-odds of two logistic models (quality, toxicity)
 over words and over shapes of the text.  They are fitted on at most MAX_FIT labelled
 rows, those with the smallest digest of their id.  Over all documents, the expected
-number of good ones is then summed by host and by path of a host.  A host's rate is
-shrunk toward the global one and a path's toward its host's, each with a strength
-taken from the spread between groups (method of moments), so that sparse sites stay
-near the prior.  A document's posterior joins its evidence with its path's rate.
+numbers of good and of toxic ones are then summed by host and by path of a host.  A
+host's rate is shrunk toward the global one and a path's toward its host's, each with
+a strength taken from the spread between groups (method of moments), so that sparse
+sites stay near the prior.  Either posterior of a document joins its evidence with its
+path's rate.
 
 Defined cases: null text is empty text; null host or path are groups of their own;
-labels that are null, repeated or without a document don't count; without any usable
-labels all evidence is 0, priors are UNKNOWN and every document is kept; repeated rows are scored alike.
+labels that are null or without a document don't count, of repeated ones the least
+does, and of documents under one labelled id the least text; without any usable labels
+all evidence is 0, priors are UNKNOWN and every document is kept; repeated rows are
+scored alike; columns of any name pass through kept_documents.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, documents, map_texts, slices, stored, text_of
+from cellweave.llm.common import cut, documents, map_texts, packed, slices, stored, text_of
 
 #: Most labelled rows that the models are fitted on.
 MAX_FIT = 6000
@@ -135,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits both heads on at most max_fit labelled documents."""
     y = labels.select(F.col("doc_id").alias("__id"), *[F.col(h).cast("double").alias(h) for h in HEADS]).filter(" AND ".join(f"{h} IN (0, 1)" for h in HEADS)).dropna()
     y = y.groupBy("__id").agg(*[F.min(h).alias(h) for h in HEADS]).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(max_fit)
-    d = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(y), "__id").drop("__id")
+    d = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(y), "__id")
+    d = d.groupBy("__id", *HEADS).agg(F.min("__text").alias("__text")).drop("__id")  # a labelled id that many rows have comes once
 
     def run(batches):
         for batch in batches:
@@ -165,14 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df plus __q and __t: evidence of quality and toxicity."""
+    """df plus __quality and __toxic: evidence of either."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def fn(texts):
         e = [held.value.evidence(t) for t in texts]
-        return {f"__{h[0]}": pa.array([x[k] for x in e], pa.float64()) for k, h in enumerate(HEADS)}
+        return {f"__{h}": pa.array([x[k] for x in e], pa.float64()) for k, h in enumerate(HEADS)}
 
-    return map_texts(df.withColumn("__text", text_of(text_col)), fn, "__q double, __t double")
+    return map_texts(df.withColumn("__text", text_of(text_col)), fn, ", ".join(f"__{h} double" for h in HEADS))
 
 
 def _sigmoid(z: Column) -> Column:
@@ -184,39 +188,50 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, level: str) -> float:
+def _strength(groups: DataFrame, head: str) -> float:
     """Prior strength by the method of moments: rate (1 - rate) / variance between groups - 1, with sampling noise taken off."""
-    r = groups.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("k"), F.sum(F.col("n") * (F.col("good") / F.col("n")) * (F.col("good") / F.col("n"))).alias("square")).first()
-    if not r["n"] or r["k"] < 2:
+    rate = F.col(head) / F.col("n")
+    r = groups.agg(F.sum("n").alias("n"), F.sum(head).alias("held"), F.count("*").alias("k"), F.sum(F.col("n") * rate * rate).alias("square")).first()
+    return strength(r["n"], r["held"], r["k"], r["square"])
+
+
+def strength(n: int | None, held: float | None, groups: int, square: float | None) -> float:
+    """From the numbers of documents, of expected hits and of groups, and the sum of n x rate^2 over groups."""
+    if not n or groups < 2:
         return STRENGTH[1]
-    mu = r["good"] / r["n"]
-    noise = mu * (1 - mu) * r["k"] / r["n"]
-    between = max(r["square"] / r["n"] - mu * mu - noise, 1e-9)
+    mu = held / n
+    between = max(square / n - mu * mu - mu * (1 - mu) * groups / n, 1e-9)
     return float(min(max(mu * (1 - mu) / between - 1, STRENGTH[0]), STRENGTH[1]))
 
 
-def path_rates(scores: DataFrame, prior: float, host: str, path: str) -> DataFrame:
-    """(host, path, n_path, host_rate, path_rate): shrunk rates of good documents.
+def path_rates(scores: DataFrame, priors: dict[str, float], host: str, path: str) -> DataFrame:
+    """(__host, __path, n_path, n_host) and each head's shrunk rates, host_<head> and path_<head>.
 
-    scores: rows with __q, host and path.  Counts are combined before they are shuffled;
-    what is kept has a row for each path.
+    scores: rows with __quality and __toxic (evidence), host and path.  Counts are combined
+    before they are shuffled; what is kept has a row for each path.
     """
-    paths = cut(scores.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count("*").alias("n"), F.sum(_sigmoid(F.col("__q") + prior)).alias("good")))
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    mu = (total["good"] + 1.0) / (total["n"] + 2.0) if total["n"] else 0.5
-    k_host, k_path = _strength(hosts, "host"), _strength(paths, "path")
-    hosts = hosts.select(F.col("__host").alias("__h"), F.col("n").alias("n_host"), ((F.col("good") + k_host * mu) / (F.col("n") + k_host)).alias("host_rate"))
-    return paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).select("__host", "__path", F.col("n").alias("n_path"), "n_host", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
-
-
-def with_posteriors(scores: DataFrame, rates: DataFrame, host: str, path: str, toxic_prior: float) -> DataFrame:
-    """scores plus host_rate, path_rate, p_quality, p_toxic and keep."""
+    held = [F.sum(_sigmoid(F.col(f"__{h}") + priors[h])).alias(h) for h in HEADS]
+    paths = cut(scores.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count("*").alias("n"), *held))
+    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS])
+    total = hosts.agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
+    n, by_host, by_path = F.col("n"), [], []
+    for h in HEADS:
+        mu = (total[h] + 1.0) / (total["n"] + 2.0) if total["n"] else 0.5
+        k_host, k_path = _strength(hosts, h), _strength(paths, h)
+        by_host.append(((F.col(h) + k_host * mu) / (n + k_host)).alias(f"host_{h}"))
+        by_path.append(((F.col(h) + k_path * F.col(f"host_{h}")) / (n + k_path)).alias(f"path_{h}"))
+    hosts = hosts.select(F.col("__host").alias("__h"), n.alias("n_host"), *by_host)
+    joined = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h")))
+    return joined.select("__host", "__path", n.alias("n_path"), "n_host", *[f"host_{h}" for h in HEADS], *by_path)
+
+
+def with_posteriors(scores: DataFrame, rates: DataFrame, host: str, path: str) -> DataFrame:
+    """scores plus each head's rates and posterior (p_<head>) and keep."""
     rates = stored(rates)
     if rates.count() <= BROADCAST_PATHS:
         rates = F.broadcast(rates)
     d = scores.join(rates, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    d = d.withColumn("p_quality", _sigmoid(F.col("__q") + _logit(F.col("path_rate")))).withColumn("p_toxic", _sigmoid(F.col("__t") + F.lit(toxic_prior)))
+    d = d.withColumns({f"p_{h}": _sigmoid(F.col(f"__{h}") + _logit(F.col(f"path_{h}"))) for h in HEADS})
     return d.withColumn("keep", (F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") < KEEP_TOXIC)).drop("__host", "__path")
 
 
@@ -225,17 +240,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text_col).alias("text"))
     scores = cut(scored(d, model).drop("text"))
-    rates = path_rates(scores, model.priors["quality"], "host", "path")
-    return with_posteriors(scores, rates, "host", "path", model.priors["toxic"]).select("doc_id", "host", "path", F.col("__q").alias("evidence"), "n_host", "n_path", "host_rate", "path_rate", "p_quality", "p_toxic", "keep")
+    rates = path_rates(scores, model.priors, "host", "path")
+    return with_posteriors(scores, rates, "host", "path").select("doc_id", "host", "path", F.col("__quality").alias("evidence"), F.col("__toxic").alias("evidence_toxic"), "n_host", "n_path", *[f"{x}_{h}" for h in HEADS for x in ("host", "path")], "p_quality", "p_toxic", "keep")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """The documents that are kept, with their columns.  Texts are scored twice rather than shuffled."""
-    model = fit(docs, labels, text_col=text_col)
+    model = fit(docs, labels, id_col, text_col)
     first = scored(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text_col).alias("text")), model).drop("text")
-    rates = path_rates(first, model.priors["quality"], "host", "path")
-    d = with_posteriors(scored(docs, model, text_col), rates, host, path, model.priors["toxic"])
-    return d.filter("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rates = path_rates(first, model.priors, "host", "path")
+    again = scored(packed(docs, host=F.col(host), path=F.col(path), text=F.col(text_col)), model).drop("text")
+    return with_posteriors(again, rates, "host", "path").filter("keep").select("__row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
