@@ -35,7 +35,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     """Cuts a batch so that each part has about `limit` bytes of text."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(np.nan_to_num(sizes).tolist()):
         if held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0

@@ -277,9 +277,8 @@ def extract(html: str) -> str:
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """df's columns but the html, plus its main text."""
-    keep = [c for c in df.columns if c not in (html_col, out)]
-    return map_texts(df.select(*keep, text_of(html_col).alias("__text")), lambda pages: {out: pa.array([extract(h) for h in pages], pa.string())}, f"{out} string")
+    """df's columns but the html, plus its main text, which replaces a column of that name."""
+    return map_texts(df.withColumn("__text", text_of(html_col)).drop(html_col), lambda pages: {out: pa.array([extract(h) for h in pages], pa.string())}, f"`{out}` string")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Media without such a pair (all that one frame holds, 512 samples or fewer) is re
 again with half a frame of silence on each side, so that its ends lie in the middle
 of frames, and peaks of one frame are paired too.
 
-Defined cases: null media has no samples and an empty fingerprint, as has silence;
-any other text has pairs; media of any length is transformed whole, in blocks of
+Defined cases: null media has no samples and an empty fingerprint, as has media of
+one value all through (silence, or one character again and again), which has no peaks;
+media of any length is transformed whole, in blocks of
 FRAMES; equal bytes give equal features.
 """
 
@@ -24,8 +25,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellweave.llm.common import documents, map_texts, text_of
+from cellweave.llm.common import documents, map_texts, slices, text_of
 
 RATE = 8000
 #: Samples of a frame and between frames; peaks of a frame; frames ahead that an anchor is paired with; frames of a block.
@@ -112,15 +115,21 @@ def samples_of(frames: bytes) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df plus times and codes (arrays of equal length) of its WAV column."""
+    """df plus times and codes (arrays of equal length) of its WAV column, which replace columns of those names.
+
+    Media are read a few megabytes at a time; a longer one is a step by itself.
+    """
+    keep = [c for c in df.columns if c.lower() not in ("times", "codes")]
+    schema = T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL("times array<bigint>, codes array<bigint>").fields])
 
     def run(batches):
         for batch in batches:
-            made = [fingerprint(samples_of(from_wav(m))) if m is not None else (np.empty(0, np.int64),) * 2 for m in batch.column(media_col).to_pylist()]
-            lists = [pa.array([x[k].tolist() for x in made], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "times", "codes"])
+            for part in slices(batch, media_col):
+                made = [fingerprint(samples_of(from_wav(m))) if m is not None else (np.empty(0, np.int64),) * 2 for m in part.column(media_col).to_pylist()]
+                lists = [pa.array([x[k].tolist() for x in made], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=schema.names)
 
-    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", times array<bigint>, codes array<bigint>")
+    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -129,8 +138,8 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 
 def text_media(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
-    """df plus the WAV that stores its text."""
-    return map_texts(df.withColumn("__text", text_of(text_col)), lambda texts: {out: pa.array([to_wav(payload_of(t)[1]) for t in texts], pa.binary())}, f"{out} binary")
+    """df plus the WAV that stores its text, which replaces a column of that name."""
+    return map_texts(df.withColumn("__text", text_of(text_col)), lambda texts: {out: pa.array([to_wav(payload_of(t)[1]) for t in texts], pa.binary())}, f"`{out}` binary")
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.bpe import load_ranks
-from cellweave.llm.common import documents, map_texts, text_of
+from cellweave.llm.common import documents, map_texts, packed, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 #: Least length of a candidate, and characters a token under which it counts as random.
@@ -145,42 +145,26 @@ def default_scanner() -> Scanner:
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
-    """df's columns but the text, plus secrets: array of (kind, start, end)."""
+    """df's columns but the text, plus secrets: array of (kind, start, end), which replaces a column of that name."""
     s = scanner or default_scanner()
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def fn(texts):
         return {"secrets": pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s.spans(t)] for t in texts], pa.list_(kind))}
 
-    keep = [c for c in df.columns if c != text_col]
-    d = df.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias("__text"))
-    return _typed(d, fn, "secrets array<struct<kind:string,start:bigint,end:bigint>>", "secrets")
-
-
-def _typed(d: DataFrame, fn, ddl: str, name: str) -> DataFrame:
-    """map_texts for one column whose type holds commas."""
-    keep = [c for c in d.columns if c != "__text"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in d.dtypes if c != "__text"] + [ddl])
-    from cellweave.llm.common import slices
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [fn(part.column("__text").to_pylist())[name]], names=[*keep, name])
-
-    return d.mapInArrow(run, schema)
+    return map_texts(df.withColumn("__text", text_of(text_col)).drop(text_col), fn, "secrets array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redacted(df: DataFrame, text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """df with secrets in its text replaced; other columns as they are, a null text stays null."""
     s = scanner or default_scanner()
-    order = df.columns
 
     def fn(texts):
         return {"__clean": pa.array([s.redact(t) for t in texts], pa.string())}
 
-    d = map_texts(df.withColumn("__text", text_of(text_col)), fn, "__clean string")
-    return d.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__clean"))).select(*[F.col(f"`{c}`") for c in order])
+    d = map_texts(packed(df, __text=text_of(text_col)), fn, "__clean string")
+    clean = F.when(F.col("__row")[text_col].isNotNull(), F.col("__clean")).alias(text_col)
+    return d.select(*[clean if c == text_col else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,20 +108,40 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([(r.p_quality >= 0.5) == bool(r.quality) for r in rows]) > 0.9
 
 
-def test_rates_shrink(spark):
-    rows = [("big", "p", 5.0)] * 200 + [("big", "q", -5.0)] * 200 + [("tiny", "p", -5.0)]
-    s = spark.createDataFrame(rows, "host string, path string, __q double")
-    r = {(x["__host"], x["__path"]): x for x in quality.path_rates(s, 0.0, "host", "path").collect()}
-    assert r["big", "p"]["path_rate"] > 0.9 and r["big", "q"]["path_rate"] < 0.1
-    assert r["tiny", "p"]["path_rate"] > 0.0067 * 2  # one bad document doesn't make the rate its own
+def test_rates_by_brute_force(spark):
+    """Both heads' rates of hosts and paths as the rule has them, group by group; a tiny site stays near the prior."""
+    rows = [("big", "p", 5.0, -4.0)] * 200 + [("big", "q", -5.0, -4.0)] * 200 + [("tiny", "p", -5.0, 4.0)] + [(None, None, 1.0, 1.0)] * 7 + [("bad", "p", 0.0, 3.0)] * 50
+    priors = {"quality": 0.5, "toxic": -1.0}
+    s = spark.createDataFrame(rows, "host string, path string, __quality double, __toxic double")
+    r = {(x["__host"], x["__path"]): x for x in quality.path_rates(s, priors, "host", "path").collect()}
+    assert len(r) == 5 and r[None, None].n_path == 7 and r["big", "p"].n_host == 400
+    for k, h in enumerate(quality.HEADS):
+        p = [1 / (1 + np.exp(-(x[2 + k] + priors[h]))) for x in rows]
+        groups = lambda key: {g: [q for q, x in zip(p, rows, strict=True) if key(x) == g] for g in {key(x) for x in rows}}  # noqa: B023, E731
+        hosts, paths, mu = groups(lambda x: x[0]), groups(lambda x: x[:2]), (sum(p) + 1) / (len(p) + 2)
+        force = lambda gs: quality.strength(len(p), sum(p), len(gs), sum(len(g) * np.mean(g) ** 2 for g in gs.values()))  # noqa: B023, E731
+        for (host, path), got in r.items():
+            at_host = (sum(hosts[host]) + force(hosts) * mu) / (len(hosts[host]) + force(hosts))
+            at_path = (sum(paths[host, path]) + force(paths) * at_host) / (len(paths[host, path]) + force(paths))
+            assert got[f"host_{h}"] == pytest.approx(at_host) and got[f"path_{h}"] == pytest.approx(at_path)
+    assert r["big", "p"]["path_quality"] > 0.9 and r["big", "q"]["path_quality"] < 0.1 and r["tiny", "p"]["path_quality"] > 0.0067 * 2
+    assert r["bad", "p"]["path_toxic"] > 0.6 > 0.1 > r["big", "p"]["path_toxic"]
+
+
+def test_labelled_ids_come_once(spark):
+    """A labelled id that many documents have is one row of the fit."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "good words here")] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels).priors == {"quality": 0.0, "toxic": quality.UNKNOWN["toxic"]}
 
 
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, none).collect()
     assert len(got) == 8 and all(r.keep for r in got)
-    kept = quality.kept_documents(odd, none)
-    assert kept.columns == odd.columns and kept.count() == 8
+    clash = odd.withColumns({c: F.lit("mine") for c in ("keep", "p_quality", "path_rate", "path_toxic", "host", "__row", "__quality")})
+    kept = quality.kept_documents(clash, none)
+    assert kept.columns == clash.columns and kept.count() == 8 and {(r.keep, r.p_quality, r.host) for r in kept.collect()} == {("mine", "mine", "mine")}
     assert quality.classify(odd.limit(0), none).count() == 0
 
 
@@ -158,7 +178,10 @@ def test_secrets_odd(odd):
     assert got.columns == odd.columns and got.count() == 8
     r = got.filter("doc_id = 6").first()
     assert r.text.startswith("<assign>") and got.filter("text IS NULL").count() == 1
-    assert secrets.find_secrets(odd).filter("size(secrets) > 0").count() == 1
+    clash = odd.withColumns({c: F.lit("mine") for c in ("secrets", "__clean", "__row")})
+    assert secrets.find_secrets(clash).filter("size(secrets) > 0").count() == 1
+    assert secrets.redacted(clash).columns == clash.columns and {r["__clean"] for r in secrets.redacted(clash).collect()} == {"mine"}
+    assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
 # -- 4 Jaccard join
@@ -551,6 +574,9 @@ def test_html_odd(spark):
     d = spark.createDataFrame([(1, None, None), (None, "u", "<p>Some text that is here, long enough. Yes it is long enough to be kept.</p>"), (2, "u", "<div>" * 3000 + "x")], "page_id long, url string, html string")
     got = html_extract.extract_text(d).collect()
     assert len(got) == 3 and [r.text for r in got if r.page_id == 1] == [""]
+    again = html_extract.extract_text(d.union(d).withColumn("text", F.lit(5)).withColumn("__row", F.lit(1))).collect()
+    assert len(again) == 6 and sorted(r.text for r in again) == sorted(2 * [r.text for r in got])
+    assert html_extract.extract_text(d.limit(0)).count() == 0
 
 
 # -- 10 media
@@ -587,6 +613,28 @@ def test_short_media_have_features():
 
 
 def test_media_odd(odd):
-    d = media.text_media(odd)
+    d = media.text_media(odd.withColumns({c: F.lit("mine") for c in ("media", "times", "codes")}))
     got = media.fingerprints(d.withColumn("media", F.when(F.col("doc_id") != 5, F.col("media")))).collect()
     assert len(got) == 8 and all(len(r.times) == len(r.codes) for r in got)
+    assert sum(not r.times for r in got) == 4  # three without media, one of a single value all through
+    assert media.fingerprints(media.text_media(odd.limit(0))).count() == 0
+
+
+def test_media_query(spark, small, texts):
+    """The query's digests from the library calls alone."""
+    import io
+    import wave
+    import zlib
+
+    got = {r.doc_id: r for r in media.op10_media_columns(spark, small).collect()}
+    assert len(got) == len(texts)
+    for d, t in texts:
+        raw = t.encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(out.getvalue()), sha256(out.getvalue()).hexdigest())
