@@ -81,6 +81,21 @@ def multiply_mod(a: np.ndarray, v: np.ndarray) -> np.ndarray:
     return _mod(_mod(low) + _mod(_mod(mid_hi) + (mid_lo << lo_bits)) + _mod(high << np.uint64(1)) % p)
 
 
+def least_values(values: np.ndarray, starts: np.ndarray, permutations: list[tuple[int, int]]) -> np.ndarray:
+    """For each range of values (starts ascend from 0) the least (a v + b) mod 2^61 - 1 under each permutation."""
+    a = np.array([x for x, _ in permutations], np.uint64)
+    b = np.array([x for _, x in permutations], np.uint64)
+    out = np.full((len(starts), len(a)), PRIME, np.uint64)
+    for at in range(0, len(values), 4096):
+        v = values[at : at + 4096].astype(np.uint64)
+        low, high = np.searchsorted(starts, (at, at + len(v)), side="left")
+        cuts = np.concatenate([[0], starts[low:high] - at]) if low == len(starts) or starts[low] != at else starts[low:high] - at
+        first = low - (len(cuts) - (high - low))
+        got = np.minimum.reduceat(_mod(multiply_mod(a[None, :], v[:, None]) + b[None, :]), cuts, axis=0)
+        out[first : first + len(got)] = np.minimum(out[first : first + len(got)], got)
+    return out
+
+
 def minhash(values: Column, permutations: list[tuple[int, int]]) -> Column:
     """array<long> of token values -> array<long>: least (a v + b) mod 2^61 - 1 for each permutation; 2^61 - 1 for no values."""
     a = np.array([x for x, _ in permutations], np.uint64)

@@ -7,6 +7,11 @@ how often a feature occurs and where it occurs first.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from cellweave.functions.hashing import digest
 
 AXES = ("x", "y", "z")
 K, WINDOW = 5, 4
+#: Edge of a tile; cells whose neighbours a worker looks for at a time (a tile that has more is taken whole).
+TILE, CELLS = 64, 50_000
 DOMAIN = "cells:runs:v1\x00"
 
 
@@ -35,28 +42,94 @@ def offsets(radius: int = 2) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in r for b in r for c in r if 0 < abs(a) + abs(b) + abs(c) <= radius]
 
 
-def neighbours(cells: DataFrame, radius: int = 2, flat: bool = False) -> DataFrame:
-    """(doc_id, body, x, y, z, near): sorted (dx, dy, dz, sig) of the cells around each place.
-
-    Every cell is sent to the places around it (24 for radius 2, 12 on a flat grid) and
-    gathered there by one aggregation: no theta join, and one shuffle by place.
-    """
-    steps = [o for o in offsets(radius) if not (flat and o[2])]
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), o, strict=True)]) for o in steps])).alias("o")
-    sent = cells.select("doc_id", "body", "x", "y", "z", "sig", step)
-    at = sent.select("doc_id", "body", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), (F.col("z") - F.col("o.dz")).alias("z"), F.struct("o.dx", "o.dy", "o.dz", "sig").alias("n"), F.lit(None).cast("struct<sig:string,ord:bigint>").alias("own"))
-    here = cells.select("doc_id", "body", "x", "y", "z", F.lit(None).cast("struct<dx:int,dy:int,dz:int,sig:string>").alias("n"), F.struct("sig", F.col("ord").cast("long").alias("ord")).alias("own"))
-    both = at.unionByName(here).groupBy("doc_id", "body", "x", "y", "z").agg(F.sort_array(F.collect_list("n")).alias("near"), F.collect_list("own").alias("own"))
-    return both.filter(F.size("own") > 0)
+def tiled(cells: DataFrame, radius: int = 2, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """cells with the tiles (tx, ty, tz) that they matter to: their own, and those whose edge is within the radius (few cells have several)."""
+    d = cells
+    for a in AXES:
+        edge = [F.floor((F.col(a) + s * radius) / TILE).cast("long") for s in (-1, 1)]
+        d = d.withColumn(f"t{a}", F.explode(F.array_distinct(F.array(*edge))) if a in axes else F.floor(F.col(a) / TILE).cast("long"))
+    return d
+
+
+def _near(table: pa.Table, steps: list[tuple[int, int, int]], radius: int, least: int) -> pa.Table | None:
+    """Features of the cells of whole tiles: all neighbours are found by one search for each step over the sorted places."""
+    edge = TILE + 2 * radius
+    marks = np.zeros(table.num_rows, bool)
+    marks[0] = True
+    for c in ("doc_id", "body", "tx", "ty", "tz"):
+        codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        marks[1:] |= codes[1:] != codes[:-1]
+    tile = np.cumsum(marks) - 1
+    local = [table.column(a).to_numpy() - TILE * table.column(f"t{a}").to_numpy() + radius for a in AXES]
+    place = ((tile * edge + local[2]) * edge + local[1]) * edge + local[0]
+    order = pc.sort_indices(pa.table({"place": place, "sig": table.column("sig")}), sort_keys=[("place", "ascending"), ("sig", "ascending")]).to_numpy()
+    place, sig = place[order], table.column("sig").combine_chunks().take(pa.array(order))
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    counts, places = np.diff(np.append(starts, len(place))), place[starts]
+    bounds = pa.array(np.append(starts, len(place)).astype(np.int32))
+    shown, n = [], np.zeros(len(places), np.int64)
+    for dx, dy, dz in steps:
+        want = places + (dz * edge + dy) * edge + dx
+        at = np.minimum(np.searchsorted(places, want), len(places) - 1)
+        found = places[at] == want
+        n += np.where(found, counts[at], 0)
+        said = pc.binary_join_element_wise(f'[{dx},{dy},{dz},"', sig, '"]', "")
+        shown.append(pc.binary_join(pa.ListArray.from_arrays(bounds, said), ",").take(pa.array(at, mask=~found)))
+    ord_ = table.column("ord").to_numpy()[order]
+    since = np.minimum.reduceat(ord_, starts)
+    of = np.repeat(np.arange(len(places)), counts)  # the place of each cell
+    inside = np.ones(len(place), bool)
+    for x in local:
+        inside &= (x[order] >= radius) & (x[order] < radius + TILE)
+    rows = np.flatnonzero(inside & (n[of] >= max(least, 1)))
+    if not len(rows):
+        return None
+    some = np.flatnonzero(n)  # only these have something to join
+    joined = pc.binary_join_element_wise(*[x.take(pa.array(some)) for x in shown], ",", null_handling="skip")
+    whole = pc.binary_join_element_wise('["', sig.take(pa.array(rows)), '",[', joined.take(pa.array(np.searchsorted(some, of[rows]))), "]]", "")
+    cols = {c: table.column(c).take(pa.array(order[rows])) for c in ("doc_id", "body", *AXES)}
+    return pa.table(cols | {"since": pa.array(since[of[rows]], pa.int64()), "hash": pa.array([sha256(x.encode()).hexdigest()[:24] for x in whole.to_pylist()])})
 
 
 def neighbourhood_features(cells: DataFrame, radius: int = 2, least: int = 2, flat: bool = False) -> DataFrame:
-    """One feature for each cell with at least `least` neighbours: the digest of its signature and theirs."""
-    n = neighbours(cells, radius, flat).filter(F.size("near") >= least)
-    shown = F.concat_ws(",", F.transform("near", lambda v: F.format_string('[%d,%d,%d,"%s"]', v["dx"], v["dy"], v["dz"], v["sig"])))
-    placed = n.select("doc_id", "body", "x", "y", "z", shown.alias("shown"), F.explode("own").alias("own"), F.array_min(F.transform("own", lambda o: o["ord"])).alias("since"))
-    f = placed.select("doc_id", "body", "x", "y", "z", "since", digest(F.concat(F.lit('["'), F.col("own.sig"), F.lit('",['), F.col("shown"), F.lit("]]"))).alias("hash"))
-    return _first(f, F.struct("body", "since"))
+    """One feature for each cell with at least `least` neighbours: the digest of its signature and theirs.
+
+    Cells are dealt once, by tile (with the cells around it), and neighbours are found inside a
+    tile over sorted coordinates; tiles of a partition are taken some CELLS at a time.
+    """
+    steps = [o for o in offsets(radius) if not (flat and o[2])]
+    part = ["doc_id", "body", "tx", "ty", "tz"]
+    types = dict(cells.dtypes)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def done(table):
+            if table.num_rows and (got := _near(table, steps, radius, least)) is not None:
+                yield from got.to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < CELLS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = [table.column(c)[rows - 1] for c in part]
+            end = rows - 1  # whole tiles only: the last one may go on
+            for c, v in zip(part, last, strict=True):
+                same = pc.is_null(table.column(c)) if not v.is_valid else pc.equal(table.column(c), v)
+                apart = np.flatnonzero(~pc.fill_null(same, False).to_numpy())
+                end = max(end if c != part[0] else -1, int(apart[-1]) if len(apart) else -1)
+            yield from done(table.slice(0, end + 1))
+            held = table.slice(end + 1).combine_chunks().to_batches()
+            rows -= end + 1
+        if rows:
+            yield from done(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = tiled(cells, radius, ("x", "y") if flat else AXES).select(*part, *AXES, "sig", F.col("ord").cast("long").alias("ord"))
+    near = dealt.repartition(*part).sortWithinPartitions(*part).mapInArrow(run, f"doc_id {types['doc_id']}, body {types['body']}, x long, y long, z long, since long, hash string")
+    return _first(near, F.struct("body", "since"))
 
 
 def _first(features: DataFrame, order) -> DataFrame:

@@ -14,15 +14,23 @@ SCORE_WEIGHT = {"g": 0.55, "w": 0.20, "t": 0.10, "l": 0.07, "m": 0.08}
 EVIDENCE = {"g": 5, "w": 2, "l": 2, "m": 2}
 
 
-def bag_intersection(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, channel, hash, shared): least counts; queries (query_id, channel, hash, cnt), docs (doc_id, channel, hash, cnt)."""
+def bag_intersection(queries: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, channel, hash, shared): least counts; queries (query_id, channel, hash, cnt), docs (doc_id, channel, hash, cnt).
+
+    With pairs (query_id, doc_id), only those are compared: a query's bag goes to its own candidates,
+    and a hash that all documents hold meets no others.
+    """
     d = docs.select("doc_id", "channel", "hash", F.col("cnt").alias("theirs"))
-    return queries.join(d, ["channel", "hash"]).select("query_id", "doc_id", "channel", "hash", F.least("cnt", "theirs").alias("shared"))
+    q = queries.select("query_id", "channel", "hash", "cnt")
+    if pairs is not None:
+        q = q.join(pairs.select("query_id", "doc_id").distinct(), "query_id")
+    both = q.join(d, ["channel", "hash"] if pairs is None else ["doc_id", "channel", "hash"])
+    return both.select("query_id", "doc_id", "channel", "hash", F.least("cnt", "theirs").alias("shared"))
 
 
-def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def containment(queries: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, channel, shared, distinct_shared, query_pct, doc_pct): shares of both bags in their intersection."""
-    shared = bag_intersection(queries, docs).groupBy("query_id", "doc_id", "channel").agg(F.sum("shared").alias("shared"), F.count("*").alias("distinct_shared"))
+    shared = bag_intersection(queries, docs, pairs).groupBy("query_id", "doc_id", "channel").agg(F.sum("shared").alias("shared"), F.count("*").alias("distinct_shared"))
     own = queries.groupBy("query_id", "channel").agg(F.sum("cnt").alias("own"))
     their = docs.groupBy("doc_id", "channel").agg(F.sum("cnt").alias("their"))
     d = shared.join(own, ["query_id", "channel"]).join(their, ["doc_id", "channel"])

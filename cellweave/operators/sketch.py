@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.hashing import BANDS, HASHES, PRIME, ROWS, digest, hash60, minhash, portable_permutations
+from cellweave.functions.hashing import BANDS, HASHES, PRIME, ROWS, digest, hash60, least_values, portable_permutations
 
 
 def signatures(features: DataFrame, key: str = "doc_id", token: str = "token") -> DataFrame:
-    """(key, sig): one signature for each key's distinct tokens (portable profile).
+    """(key, sig): one signature for each key's tokens (portable profile).
 
-    Tokens are hashed in the JVM; the distinct ones of a key meet in one row, as long as
-    the document, and the permutations run over it in NumPy.
+    Tokens are hashed in the JVM and meet by key; least values are kept as tokens pass by,
+    so a key of any size takes no more memory than its signature.
     """
-    values = features.select(key, (hash60(F.col(token)) % PRIME).alias("v")).groupBy(key).agg(F.collect_set("v").alias("vs"))
-    return values.select(key, minhash(F.col("vs"), portable_permutations(HASHES)).alias("sig"))
+    values = features.select(key, (hash60(F.col(token)) % PRIME).alias("v"))
+    permutations, kind = portable_permutations(HASHES), dict(features.dtypes)[key]
+
+    def run(batches):
+        held, best = None, None  # the last key, as a column of one row, and its least values so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+            least = least_values(batch.column(1).to_numpy(), starts, permutations)
+            if held is not None and held[0].equals(keys[0]):
+                least[0] = np.minimum(least[0], best)
+            elif held is not None:
+                yield _signed(key, held, best[None, :])
+            if len(starts) > 1:
+                yield _signed(key, keys.take(pa.array(starts[:-1])), least[:-1])
+            held, best = keys.slice(int(starts[-1]), 1), least[-1]
+        if held is not None:
+            yield _signed(key, held, best[None, :])
+
+    return values.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, sig array<bigint>")
+
+
+def _signed(key: str, keys: pa.Array, least: np.ndarray) -> pa.RecordBatch:
+    sig = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1) * least.shape[1], pa.int32()), pa.array(least.astype(np.int64).ravel()))
+    return pa.RecordBatch.from_arrays([keys, sig], names=[key, "sig"])
 
 
 def bands(sigs: DataFrame, key: str = "doc_id") -> DataFrame:

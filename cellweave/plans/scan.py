@@ -55,9 +55,9 @@ def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: in
     qb = sketch.bands(sketch.signatures(q.filter("channel IN ('g', 'w')").select("doc_id", F.concat_ws(":", "channel", "hash").alias("token")))).select(F.col("doc_id").alias("query_id"), "bucket")
     votes = search.posting_votes(sampled, index.postings, index.files).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files))
     chosen = stored(search.top_candidates(votes, candidates))
-    theirs = index.features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    shared = rank.bag_intersection(queries, theirs).join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    cover = rank.containment(queries, theirs).join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    theirs = stored(index.features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
+    shared = stored(rank.bag_intersection(queries, theirs, chosen))
+    cover = stored(rank.containment(queries, theirs, chosen))
     rare = rank.rare_shared(shared, index.df, index.files)
     anchors = rare.filter("channel = 'g'").join(queries.select("query_id", "channel", "hash", *[F.col(a).alias(f"q{a}") for a in "xyz"]), ["query_id", "channel", "hash"]).join(theirs.select("doc_id", "channel", "hash", *[F.col(a).alias(f"d{a}") for a in "xyz"]), ["doc_id", "channel", "hash"])
     counts = rare.groupBy("query_id", "doc_id", "channel").agg(F.count("*").alias("rare_distinct"), F.sum("shared").alias("rare"))

@@ -16,6 +16,7 @@ from cellweave.functions import hashing, text
 from cellweave.operators import catalog, grid, overlay, postings, rank, report, search, semantics, sketch
 from cellweave.plans import scan as plan
 from cellweave.sources import folders
+from cellweave.sources.store import stored
 from cellweave.streaming import catalog_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,12 +78,23 @@ def word_cells(spark, d, name="documents", key="doc_id"):
     return grid.document_grid(table(spark, d, name), key)
 
 
+#: Tables that a session has saved, by what they hold and of which folder: an index is built once and read by many scans.
+_SAVED: dict[tuple, object] = {}
+
+
+def saved(spark, d, what: str, make):
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _SAVED:
+        _SAVED[key] = make()
+    return _SAVED[key]
+
+
 def runs_of(spark, d, name="documents", key="doc_id"):
-    return grid.winnow_features(word_cells(spark, d, name, key), axes=("x",))
+    return saved(spark, d, f"winnow {name}", lambda: stored(grid.winnow_features(word_cells(spark, d, name, key), axes=("x",))))
 
 
 def signed(spark, d):
-    return sketch.signatures(runs_of(spark, d).withColumnRenamed("hash", "token"))
+    return saved(spark, d, "signatures", lambda: stored(sketch.signatures(runs_of(spark, d).withColumnRenamed("hash", "token"))))
 
 
 def bags(spark, d):
@@ -93,7 +105,7 @@ def bags(spark, d):
 
 
 def n_docs(spark, d) -> int:
-    return table(spark, d, "documents").count()
+    return saved(spark, d, "files", lambda: table(spark, d, "documents").count())
 
 
 def item_rows(spark, d):
@@ -295,7 +307,7 @@ _CUT = "(SELECT greatest(32, least(2000, ceil(0.02 * count(*)))) FROM documents)
 
 
 def _posted(spark, d):
-    return postings.bottom_k(bags(spark, d)[1])
+    return saved(spark, d, "postings", lambda: stored(postings.bottom_k(bags(spark, d)[1])))
 
 
 @query(f"{_SAMPLE} SELECT doc_id, 'w' AS channel, hash FROM ps")
@@ -441,9 +453,9 @@ def confidence_label(spark, d):
 @query()
 def scan_report(spark, d):
     """All passages against all documents: candidates, containment, aligned clusters, labels, best five."""
-    feats = plan.text_features(table(spark, d, "documents"))
+    index = saved(spark, d, "index", lambda: plan.build(plan.text_features(table(spark, d, "documents")), n_docs(spark, d)))
     q = plan.text_features(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
-    return plan.scan(plan.build(feats, n_docs(spark, d)), q).select("query_id", "place", "doc_id", "confidence", "status", "shared", "winnow", "query_pct", "doc_pct", "combined", "cluster")
+    return plan.scan(index, q).select("query_id", "place", "doc_id", "confidence", "status", "shared", "winnow", "query_pct", "doc_pct", "combined", "cluster")
 
 
 # -- space
