@@ -1,4 +1,12 @@
-"""Command line: python -m cellweave index FOLDER OUT | scan FILE INDEX | tags ITEMS [NAME] | page ITEMS [AFTER].
+"""Command line: python -m cellweave COMMAND ...
+
+index FOLDER OUT      brings an index up to date with the XML files below a folder
+upgrade FOLDER OUT    the same, and files of older versions anew
+scan FILE OUT         matches of a file, as lines of JSON
+status OUT            counts of an index; errors OUT its error table
+tags ITEMS            tags of a catalog; page ITEMS numbered items after an id
+queue ITEMS           what is to be fetched, smallest first; sizes ITEMS whose size is to be looked up
+rank ITEMS            numbers of all items by size
 
 Tables are Parquet folders; reports are lines of JSON.
 """
@@ -6,57 +14,66 @@ Tables are Parquet folders; reports are lines of JSON.
 from __future__ import annotations
 
 import argparse
+import json
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import catalog
+from cellweave.operators import catalog, gates
+from cellweave.plans import saved_index
 from cellweave.plans import scan as plan
 from cellweave.session import session
 from cellweave.sources import xml_source
 
+COMMANDS = {"index": ("folder", "out"), "upgrade": ("folder", "out"), "scan": ("file", "out"), "status": ("out",), "errors": ("out",), "tags": ("items",), "page": ("items",), "queue": ("items",), "sizes": ("items",), "rank": ("items",)}
+
 
 def say(df: DataFrame) -> None:
     for line in df.toJSON().toLocalIterator():
         print(line)
 
 
-def xml_features(files: DataFrame) -> DataFrame:
-    """All channels of XML files (doc_id, channel, hash, cnt, x, y, z)."""
-    rows = xml_source.parse_rows(files)
-    logic, micro = xml_source.semantic_features(rows)
-    kinds = rows.filter("kind = 'placed'").groupBy("doc_id", F.col("type").alias("hash")).agg(F.count("*").alias("cnt")).withColumns(dict.fromkeys("xyz", F.lit(None).cast("long")))
-    out = plan.channel_features(xml_source.cells(rows))
-    for channel, df in (("l", logic), ("m", micro), ("t", kinds)):
-        out = out.unionByName(df.withColumn("channel", F.lit(channel)))
-    return out
-
-
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cellweave")
     c = p.add_subparsers(dest="command", required=True)
-    for name, args in {"index": ("folder", "out"), "scan": ("file", "index"), "tags": ("items",), "page": ("items",)}.items():
+    for name, args in COMMANDS.items():
         s = c.add_parser(name)
         for a in args:
             s.add_argument(a)
-    c.choices["scan"].add_argument("--limit", type=int, default=5)
+    for name, limit in (("scan", 5), ("page", 100), ("queue", 100)):
+        c.choices[name].add_argument("--limit", type=int, default=limit)
+    c.choices["scan"].add_argument("--items", help="catalog for titles")
     c.choices["tags"].add_argument("--like", default="")
     c.choices["page"].add_argument("--after", default="")
-    c.choices["page"].add_argument("--limit", type=int, default=100)
+    c.choices["upgrade"].add_argument("--version", type=int, default=saved_index.VERSION)
+    for name in ("queue", "sizes"):
+        c.choices[name].add_argument("--now", type=int, default=None)
     a = p.parse_args(argv)
     spark = session()
-    if a.command == "index":
-        files = xml_source.scan(spark, a.folder).filter(xml_source.sniffed(F.col("content").cast("string")))
-        xml_features(files).write.mode("overwrite").parquet(a.out)
+    if a.command in ("index", "upgrade"):
+        print(json.dumps(saved_index.update(spark, a.folder, a.out, getattr(a, "version", saved_index.VERSION))))
     elif a.command == "scan":
-        features = spark.read.parquet(a.index)
-        n = features.agg(F.count_distinct("doc_id")).first()[0]
-        query = xml_features(spark.read.format("binaryFile").load(a.file)).withColumnRenamed("doc_id", "query_id")
-        say(plan.scan(plan.build(features, n), query, a.limit))
-    elif a.command == "tags":
-        say(catalog.tag_histogram(spark.read.parquet(a.items)).filter(F.lower("tag").contains(a.like.lower())).orderBy(F.desc("items"), "tag_key"))
+        rows = xml_source.parse_rows(spark.read.format("binaryFile").load(a.file))
+        found = plan.scan(saved_index.load(spark, a.out), saved_index.xml_features(rows).withColumnRenamed("doc_id", "query_id"), a.limit)
+        say(saved_index.report(spark, found, a.out, spark.read.parquet(a.items) if a.items else None))
+    elif a.command == "status":
+        say(saved_index.status(spark, a.out))
+    elif a.command == "errors":
+        say(saved_index.table(spark, a.out, "errors"))
     else:
-        say(catalog.page(spark.read.parquet(a.items), a.after, a.limit))
+        items = spark.read.parquet(a.items)
+        now = getattr(a, "now", None) or int(time.time())
+        if a.command == "tags":
+            say(catalog.tag_histogram(items).filter(F.lower("tag").contains(a.like.lower())).orderBy(F.desc("items"), "tag_key"))
+        elif a.command == "page":
+            say(catalog.page(items, a.after, a.limit))
+        elif a.command == "queue":
+            say(catalog.queue(items, now, a.limit))
+        elif a.command == "sizes":
+            say(items.filter(catalog.recheck_sizes(now)))
+        else:
+            say(gates.with_rank(items, F.col("size_bytes").asc_nulls_last(), F.col("id")).orderBy("place"))
 
 
 if __name__ == "__main__":

@@ -104,9 +104,10 @@ def queue(items: DataFrame, now: int, limit: int | None = None, attempted: DataF
 
 
 def batches(ranked: DataFrame, size: int, workers: int) -> DataFrame:
-    """ranked (place from 1) plus batch: batches of min(size, max(1, n / workers))."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return ranked.withColumn("batch", F.floor((F.col("place") - 1) / F.least(F.lit(size), F.greatest(F.lit(1), F.floor(n / workers)))).cast("int"))
+    """ranked (place from 1) plus batch: batches of min(size, max(1, n / workers)); n is one row, sent to all tasks."""
+    n = ranked.agg(F.count("*").alias("__n"))
+    batch = F.floor((F.col("place") - 1) / F.least(F.lit(size), F.greatest(F.lit(1), F.floor(F.col("__n") / workers)))).cast("int")
+    return ranked.crossJoin(F.broadcast(n)).withColumn("batch", batch).drop("__n")
 
 
 def page(items: DataFrame, after: str = "", limit: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators import grid, postings, rank, search, sketch
+from cellweave.operators import gates, grid, postings, rank, search, sketch
 from cellweave.sources.store import stored
 
 
@@ -53,7 +53,7 @@ def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: in
     q = queries.withColumnRenamed("query_id", "doc_id")
     sampled = postings.bottom_k(q).withColumnRenamed("doc_id", "query_id")
     qb = sketch.bands(sketch.signatures(q.filter("channel IN ('g', 'w')").select("doc_id", F.concat_ws(":", "channel", "hash").alias("token")))).select(F.col("doc_id").alias("query_id"), "bucket")
-    votes = search.posting_votes(sampled, index.postings, index.files).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files))
+    votes = search.posting_votes(sampled, index.postings, index.files, search.TOTAL_ROWS).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files))
     chosen = stored(search.top_candidates(votes, candidates))
     theirs = stored(index.features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
     shared = stored(rank.bag_intersection(queries, theirs, chosen))
@@ -61,7 +61,9 @@ def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: in
     rare = rank.rare_shared(shared, index.df, index.files)
     anchors = rare.filter("channel = 'g'").join(queries.select("query_id", "channel", "hash", *[F.col(a).alias(f"q{a}") for a in "xyz"]), ["query_id", "channel", "hash"]).join(theirs.select("doc_id", "channel", "hash", *[F.col(a).alias(f"d{a}") for a in "xyz"]), ["doc_id", "channel", "hash"])
     counts = rare.groupBy("query_id", "doc_id", "channel").agg(F.count("*").alias("rare_distinct"), F.sum("shared").alias("rare"))
-    wide = rank.wide(cover, counts, rank.aligned_cluster(anchors)).filter(rank.reportable())
+    of = lambda d, key: d.filter("channel = 't'").groupBy(F.col(key).alias("id")).agg(F.sum("cnt").alias("components"))
+    components = of(queries, "query_id").union(of(theirs, "doc_id")).groupBy("id").agg(F.max("components").alias("components"))
+    wide = gates.small_exact(rank.wide(cover, counts, rank.aligned_cluster(anchors)), rank.same_bags(queries, theirs), components).filter(rank.reportable(F.col("small_exact")))
     scored = wide.join(rank.combined_score(cover, queries), ["query_id", "doc_id"]).join(chosen.select("query_id", "doc_id", "rank", "votes"), ["query_id", "doc_id"])
     labelled = scored.withColumn("confidence", rank.confidence()).withColumn("partial", rank.partial()).withColumn("status", rank.status(F.col("confidence"), rank.semantic()))
     return rank.ordered(labelled, limit)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import hashing, text
-from cellweave.operators import catalog, grid, overlay, postings, rank, report, search, semantics, sketch
+from cellweave.operators import catalog, gates, grid, overlay, postings, rank, report, search, semantics, sketch
 from cellweave.plans import scan as plan
 from cellweave.sources import folders
 from cellweave.sources.store import stored
@@ -729,10 +729,131 @@ def tag_substring(spark, d):
 
 @query(f"WITH {ITEM_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY size_bytes NULLS LAST, id)::INT AS place, count(*) OVER () AS n FROM it) SELECT id, place, floor((place - 1) / least(20, greatest(1, n // 4)))::INT AS batch FROM b")
 def batch_formation(spark, d):
+    i = gates.with_rank(items_of(spark, d), F.col("size_bytes").asc_nulls_last(), F.col("id"))
+    return catalog.batches(stored(i), 20, 4).select("id", "place", "batch")
+
+
+# -- gates, lookups and pacing
+
+
+@query(f"WITH {tok()}, n AS (SELECT d.doc_id, count(c.doc_id) AS components, count(DISTINCT c.word) FILTER (WHERE length(c.word) > 1) AS features FROM documents d LEFT JOIN cell c USING (doc_id) GROUP BY 1) SELECT doc_id, CASE WHEN components < 3 THEN 'too few components' ELSE 'no features' END AS error FROM n WHERE components < 3 OR features = 0")
+def evidence_errors(spark, d):
+    """The error table of documents with too few words, or none longer than a letter."""
+    c = word_cells(spark, d).groupBy("doc_id").agg(F.count("*").alias("components"), F.count_distinct(F.when(F.char_length("word") > 1, F.col("word"))).alias("features"))
+    n = table(spark, d, "documents").select("doc_id").join(c, "doc_id", "left").fillna(0).withColumn("other", F.lit(0))
+    return gates.evidence_errors(n)
+
+
+@query("SELECT o_custkey AS item_id, max((o_orderstatus = 'F')::INT) AS had_error FROM orders GROUP BY 1")
+def merged_flags(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("item_id"), (F.col("o_orderstatus") == "F").cast("int").alias("had_error"), (F.year("o_orderdate") % 2).alias("y"))
+    return gates.merged_flags(o.filter("y = 0"), o.filter("y = 1"))
+
+
+@query("SELECT o_custkey::VARCHAR AS item_id, o_orderkey::VARCHAR AS path FROM orders WHERE o_custkey::VARCHAR > '1000' OR (o_custkey::VARCHAR = '1000' AND o_orderkey::VARCHAR > '5') ORDER BY item_id, path LIMIT 500")
+def composite_keyset_page(spark, d):
+    files = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("item_id"), F.col("o_orderkey").cast("string").alias("path"))
+    return gates.composite_page(files, "1000", "5")
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def payload_codec(spark, d):
+    """Rows packed to JSON in zlib streams and unpacked again."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    back = gates.unpacked_json(gates.packed_json(F.struct("*")), "p_partkey long, p_name string, p_size int, p_retailprice double")
+    return p.select(back.alias("r")).select("r.*")
+
+
+@query(f"{_Q}, t AS (SELECT q.doc_id AS query_id, hash, df, sum(df) OVER (PARTITION BY q.doc_id ORDER BY df, hash ROWS UNBOUNDED PRECEDING) AS upto FROM qwf q JOIN df USING (hash) WHERE df <= {_CUT}) SELECT query_id, 'w' AS channel, hash, df, CASE WHEN df <= 32 THEN 32 WHEN df <= 128 THEN 128 WHEN df <= 512 THEN 512 ELSE 0 END::INT AS tier FROM t WHERE upto <= 40")
+def budgeted_terms(spark, d):
+    """Rare terms first, within 40 postings a query."""
+    q, _ = bags(spark, d)
+    df = postings.document_frequency(_posted(spark, d)).filter(F.col("df") <= postings.frequency_cutoff(n_docs(spark, d)))
+    return gates.budgeted_terms(q.select("query_id", "channel", "hash").join(df, ["channel", "hash"]), 40).select("query_id", "channel", "hash", "df", "tier")
+
+
+@query(f"{_BAG}, qn AS (SELECT doc_id, count(*) AS c FROM qcell GROUP BY 1), dn AS (SELECT doc_id, count(*) AS c FROM cell GROUP BY 1), qb AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM qwf GROUP BY 1), db AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM wf GROUP BY 1), pr AS (SELECT DISTINCT query_id, doc_id FROM sh) SELECT query_id, pr.doc_id, qb.bag = db.bag AND qn.c = dn.c AS small_exact FROM pr JOIN qb ON qb.doc_id = query_id JOIN db ON db.doc_id = pr.doc_id JOIN qn ON qn.doc_id = query_id JOIN dn ON dn.doc_id = pr.doc_id")
+def small_exact_gate(spark, d):
+    q, docs = bags(spark, d)
+    pairs = rank.bag_intersection(q, docs).select("query_id", "doc_id").distinct()
+    n = lambda name, key, p: word_cells(spark, d, name, key).groupBy("doc_id").agg(F.count("*").alias("components")).select(F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("id"), "components")
+    told = pairs.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
+    same = rank.same_bags(q, docs, "w").select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
+    got = gates.small_exact(told, same, n("benchmark", "item_id", "q").union(n("documents", "doc_id", "d")))
+    return got.select(F.substring("query_id", 2, 40).cast("long").alias("query_id"), F.substring("doc_id", 2, 40).cast("long").alias("doc_id"), "small_exact")
+
+
+@query("SELECT o_orderkey, o_custkey::VARCHAR AS item_id, c_name AS title, c_custkey IS NOT NULL AS listed FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = o_custkey")
+def title_lookup(spark, d):
+    items = table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"))
+    return gates.titled(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("item_id")), items).select("o_orderkey", "item_id", "title", "listed")
+
+
+@query("WITH r AS (SELECT l_suppkey AS query_id, l_orderkey AS file_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_extendedprice) DESC, l_orderkey)::INT AS rank FROM lineitem GROUP BY 1, 2) SELECT query_id, file_id, rank, o_custkey::VARCHAR AS item_id, o_orderstatus || '/' || o_orderkey AS path FROM r JOIN orders ON o_orderkey = file_id WHERE rank <= 5")
+def late_paths(spark, d):
+    """A supplier's five largest orders, whose paths are looked up after the cut."""
     from pyspark.sql import Window
 
-    i = items_of(spark, d).withColumn("place", F.row_number().over(Window.orderBy(F.col("size_bytes").asc_nulls_last(), "id")))
-    return catalog.batches(i, 20, 4).select("id", "place", "batch")
+    v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("file_id")).agg(F.sum("l_extendedprice").alias("v"))
+    r = v.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("v"), "file_id"))).drop("v")
+    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").cast("string").alias("item_id"), F.concat_ws("/", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("path"))
+    return gates.located(r, files, 5).select("query_id", "file_id", "rank", "item_id", "path")
+
+
+@query(f"WITH {_FILES} SELECT 'all' AS scope, count(*) AS searched_files FROM old UNION ALL SELECT 'current', count(*) FILTER (version = 2) FROM old")
+def searched_files(spark, d):
+    m = _files(spark, d, False)
+    return gates.searched_files(m, 2, True).select(F.lit("all").alias("scope"), "searched_files").union(gates.searched_files(m, 2, False).select(F.lit("current").alias("scope"), "searched_files"))
+
+
+@query("WITH k AS (SELECT DISTINCT l_orderkey AS o, p_type AS kind FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderkey > a.o_orderkey WHERE EXISTS (SELECT 1 FROM k x JOIN k y USING (kind) WHERE x.o = a.o_orderkey AND y.o = b.o_orderkey)")
+def shared_kind_pairs(spark, d):
+    """Pairs of a customer's orders that have a type of part in common."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("a"))
+    pairs = o.join(o.withColumnRenamed("a", "b"), "o_custkey").filter("b > a").select("a", "b")
+    k = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("a"), F.col("p_type").alias("kind"))
+    return gates.with_shared_kinds(pairs, k, k.withColumnRenamed("a", "b"))
+
+
+@query(f"WITH {_PTS}, b AS (SELECT pair_id, min(x) AS lx, min(y) AS ly, max(y) - min(y) + 1 AS sy FROM pt GROUP BY 1) SELECT pair_id, x, y, count(*) AS n, any_value((x - lx) * sy + y - ly)::BIGINT AS place FROM pt JOIN b USING (pair_id) GROUP BY 1, 2, 3")
+def linear_places(spark, d):
+    p = _points(spark, d, 1).unionByName(_points(spark, d, 0))
+    return gates.linear_place(p, ["pair_id"]).groupBy("pair_id", "x", "y").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("place"))
+
+
+@query("WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN 'local' ELSE c_custkey::VARCHAR END AS item_id, CASE c_custkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'sure' END AS confidence, c_acctbal / 100 AS query_pct, CASE WHEN c_custkey % 3 = 0 THEN 'https://x/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'http://y' END AS url FROM customer) SELECT c_custkey, coalesce(length(item_id) BETWEEN 1 AND 256 AND confidence <> 'sure' AND query_pct BETWEEN 0 AND 100 AND (url IS NULL OR coalesce(url = CASE WHEN regexp_full_match(item_id, '[0-9]+') THEN 'https://x/' || item_id END, false)), false) AS ok FROM m")
+def result_validation(spark, d):
+    k = F.col("c_custkey")
+    item = F.when(k % 7 == 0, "").when(k % 7 == 1, "local").otherwise(k.cast("string"))
+    level = F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("sure")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://x/"), k.cast("string"))).when(k % 3 == 1, "http://y")
+    m = table(spark, d, "customer").select(k, item.alias("item_id"), level.alias("confidence"), (F.col("c_acctbal") / 100).alias("query_pct"), F.lit(1.0).alias("doc_pct"), F.lit(100.0).alias("combined"), k.alias("shared"), F.lit(0).alias("rare"), url.alias("url"))
+    return m.select("c_custkey", gates.valid_match("https://x/").alias("ok"))
+
+
+_CACHE = "c AS (SELECT user_id AS key, arg_max(CASE event_id % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'empty' ELSE 'error' END, event_id) AS kind, floor(epoch(max(ts)))::BIGINT AS stored, max(event_id) AS used FROM events GROUP BY 1)"
+
+
+@query(f"WITH {_CACHE}, n AS (SELECT max(stored) AS now FROM c) SELECT key, kind FROM c, n WHERE stored + CASE kind WHEN 'found' THEN 86400 WHEN 'empty' THEN 3600 ELSE 120 END > now ORDER BY used DESC, key LIMIT 256")
+def fresh_entries(spark, d):
+    k = F.col("event_id") % 3
+    kind = F.when(k == 0, "found").when(k == 1, "empty").otherwise("error")
+    c = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max_by(kind, "event_id").alias("kind"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("stored"), F.max("event_id").alias("used"))
+    return gates.fresh_entries(c, c.agg(F.max("stored")).first()[0]).select("key", "kind")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 >= 2 AND event_id % 50 > 0 AND event_id % 60 >= event_id % 50 THEN (event_id % 60 - event_id % 50) * (event_id % 100)::DOUBLE / (event_id % 50) END AS left_s, (event_id % 1000 >= 500 AND event_id % 70 >= 30) AS rescan FROM events")
+def progress_rules(spark, d):
+    """Seconds that are left, and whether a scan is run again."""
+    k = F.col("event_id")
+    return table(spark, d, "events").select("event_id", gates.seconds_left(k % 50, k % 60, k % 100).alias("left_s"), gates.rescan_due(k % 1000, F.lit(0), k % 70, F.lit(0)).alias("rescan"))
+
+
+@query()
+def adaptive_workers(spark, d):
+    """Workers of each user after their events in order, errors counting as requests to slow down."""
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("event_type") == "error").alias("limited")))).alias("e"))
+    return e.select("user_id", F.size("e").alias("chunks"), gates.workers_after(F.transform("e", lambda x: x["limited"]), 8).alias("workers"))
 
 
 @query("WITH c AS (SELECT event_id, value > 10 AS has, event_type AS status, event_id % 4 AS searched, event_id % 3 AS indexed, event_id % 2 AS micro, event_id % 5 AS geometry, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'odd' END AS conf FROM events) SELECT event_id, CASE WHEN NOT has THEN CASE WHEN status = 'no index' OR searched = 0 OR searched < indexed THEN 'Uncertain' ELSE 'No match found' END WHEN micro > 0 AND geometry = 0 THEN 'Holds some matched microcontrollers' WHEN conf = 'odd' THEN 'Uncertain' ELSE upper(conf[1]) || conf[2:] END AS certainty FROM c")

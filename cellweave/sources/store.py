@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode where none is set (tests)."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         held = tempfile.mkdtemp(prefix="cellweave-checkpoint-")
@@ -36,3 +38,39 @@ def stored(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def promote(spark: SparkSession, fresh: str, target: str) -> None:
+    """Puts a finished folder in the place of another by renames: the old one is kept beside it until the new one stands, and comes back if that fails."""
+    new, fs = _file_system(spark, fresh)
+    old, _ = _file_system(spark, target)
+    backup, _ = _file_system(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex}")
+    if not fs.exists(new):
+        raise ValueError(f"there is no {fresh}")
+    fs.mkdirs(old.getParent())
+    kept = fs.exists(old)
+    if kept and not fs.rename(old, backup):
+        raise OSError(f"{target} can't be moved")
+    if not fs.rename(new, old):
+        if kept:
+            fs.rename(backup, old)
+        raise OSError(f"{fresh} can't be moved to {target}")
+    if kept:
+        fs.delete(backup, True)
+
+
+def replace_table(df: DataFrame, target: str) -> None:
+    """Writes df beside a table that it may be made of, and then takes the table's place."""
+    fresh = f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    promote(df.sparkSession, fresh, target)

@@ -216,7 +216,7 @@ def semantic_features(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def points_of(data: bytes, key: str) -> list[tuple]:
-    """(key, idx, x, y, z, kind) of a document's places; none if it can't be read."""
+    """(key, idx, x, y, z, kind) of a document's places; a document that can't be read to its end raises ValueError."""
     parser = ET.XMLPullParser(("start", "end"))
     out: list[tuple] = []
     open_: list[str] = []
@@ -230,22 +230,27 @@ def points_of(data: bytes, key: str) -> list[tuple]:
                 open_.pop()
             elif tag == "vp" and event == "start" and open_ and (at := place(e)):
                 out.append((key, len(out), *at, open_[-1]))
-    except ET.ParseError:
-        return []
+        parser.close()
+    except ET.ParseError as e:
+        raise ValueError(f"{key}: {e}") from e
     return out
 
 
 def geometry(files: DataFrame, key: str = "path") -> DataFrame:
-    """(doc_id, idx, x, y, z, category, kind): a point for every place of every component, in document order."""
+    """(doc_id, idx, x, y, z, category, kind, error): a point for every place of every component, in document order; a document that can't be read gives one row with its error."""
     from cellweave.functions.text import category
 
-    schema = pa.schema([("doc_id", pa.string()), ("idx", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("kind", pa.string())])
+    schema = pa.schema([("doc_id", pa.string()), ("idx", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("kind", pa.string()), ("error", pa.string())])
 
     def run(batches):
         for batch in batches:
             for k, data in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist(), strict=True):
-                cols = list(zip(*points_of(data, k), strict=True)) or [()] * 6
+                try:
+                    points = [(*p, None) for p in points_of(data, k)]
+                except ValueError as e:
+                    points = [(k, None, None, None, None, None, str(e))]
+                cols = list(zip(*points, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    d = files.select(key, "content").mapInArrow(run, "doc_id string, idx long, x long, y long, z long, kind string")
+    d = files.select(key, "content").mapInArrow(run, "doc_id string, idx long, x long, y long, z long, kind string, error string")
     return d.withColumn("category", category(F.col("kind")))

@@ -128,16 +128,94 @@ def test_pages_source(spark, tmp_path):
         spark.read.format("pages").option("path", str(tmp_path)).load().count()
 
 
-def test_command_line(spark, tmp_path, capsys):
+def told(capsys):
+    return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+
+def test_index_is_brought_up_to_date(spark, tmp_path, capsys):
+    """New, changed, skipped, removed and failed files; a scan of the saved index finds what a new one would."""
     from cellweave.__main__ import main
+    from cellweave.plans import saved_index
+
+    root, out = tmp_path / "items", str(tmp_path / "index")
+    put = lambda name, data: ((root / name).parent.mkdir(parents=True, exist_ok=True), (root / name).write_bytes(data))
+    big = [(x, y, f"k{(x * 7 + y) % 5}") for x in range(12) for y in range(6)]
+    put("11/a.xml", vehicle(big))
+    put("12/b.xml", vehicle([(x, y, "q") for x, y, _ in big[:30]]))
+    put("12/c.xml", vehicle(PARTS))
+    put("13/broken.xml", b"<vehicle><bodies>")
+    put("13/small.xml", vehicle(PARTS[:2]))
+    main(["index", str(root), out])
+    assert told(capsys) == [{"new": 5, "changed": 0, "skipped": 0, "removed": 0, "failed": 2}]
+    main(["errors", out])
+    assert sorted(r["error"].split(":")[0] for r in told(capsys))[-1] == "too few components"
+    (root / "12/c.xml").unlink()
+    put("12/b.xml", vehicle([(x, y, "other") for x, y, _ in big[:33]]))
+    put("14/d.xml", vehicle([(x + 3, y, k) for x, y, k in big]))
+    main(["index", str(root), out])
+    assert told(capsys) == [{"new": 3, "changed": 1, "skipped": 1, "removed": 1, "failed": 2}]
+    main(["status", out])
+    assert told(capsys) == [{"files": 3, "current": 3, "items": 3, "errors": 2}]
+    fresh = str(tmp_path / "fresh")
+    saved_index.update(spark, str(root), fresh)
+    for name in ("features", "postings", "df", "bands", "manifest", "errors"):
+        assert sorted(map(str, saved_index.table(spark, out, name).collect())) == sorted(map(str, saved_index.table(spark, fresh, name).collect()))
+    main(["scan", str(root / "11/a.xml"), out, "--limit", "2"])
+    assert sorted(r["item_id"] for r in told(capsys)) == ["11", "14"]
+    main(["upgrade", str(root), out, "--version", "2"])
+    assert told(capsys)[0]["changed"] == 3
+
+
+def test_small_exact_copies_are_reported(spark):
+    """Four components are under all limits, and an exact copy is a match all the same."""
+    from cellweave.plans import saved_index
+    from cellweave.plans import scan as plan
+
+    small = vehicle(PARTS[:4])
+    rows = xs.parse_rows(spark.createDataFrame([("a", bytearray(small)), ("b", bytearray(vehicle(PARTS)))], "path string, content binary"))
+    query = saved_index.xml_features(xs.parse_rows(spark.createDataFrame([("q", bytearray(small))], "path string, content binary"))).withColumnRenamed("doc_id", "query_id")
+    got = plan.scan(plan.build(saved_index.xml_features(rows), 2), query).collect()
+    assert [(r.doc_id, r.small_exact, r.confidence) for r in got if r.small_exact] == [("a", True, "low")]
+
+
+def test_promotion(spark, tmp_path):
+    from cellweave.sources import store
+
+    target = str(tmp_path / "t")
+    store.replace_table(spark.range(3), target)
+    store.replace_table(spark.read.parquet(target).union(spark.range(2)), target)
+    assert spark.read.parquet(target).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(ValueError):
+        store.promote(spark, str(tmp_path / "none"), target)
+    assert spark.read.parquet(target).count() == 5
+
+
+def test_workers_by_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
 
-    (tmp_path / "in" / "5").mkdir(parents=True)
-    (tmp_path / "in" / "5" / "v.xml").write_bytes(vehicle(PARTS))
-    (tmp_path / "q.xml").write_bytes(vehicle([(x + 1, y, k) for x, y, k in PARTS]))
-    main(["index", str(tmp_path / "in"), str(tmp_path / "index")])
-    main(["scan", str(tmp_path / "q.xml"), str(tmp_path / "index")])
-    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert report["query_pct"] == 100.0 and report["doc_id"].endswith("v.xml")
+    from cellweave.operators import gates
+
+    r = random.Random(5)
+    rows = [[r.random() < 0.3 for _ in range(r.randint(0, 30))] for _ in range(40)]
+    got = [x.w for x in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, r array<boolean>").orderBy("i").select(gates.workers_after(F.col("r"), 8).alias("w")).collect()]
+    for chunks, w in zip(rows, got, strict=True):
+        n, calm = 8, 0
+        for limited in chunks:
+            if limited:
+                n, calm = max(1, n // 2), 0
+            elif calm >= 1 and n < 8:
+                n, calm = n + 1, 0
+            else:
+                calm += 1
+        assert w == n
+
+
+def test_unreadable_geometry_is_told(spark):
+    d = spark.createDataFrame([("good", bytearray(vehicle(PARTS))), ("bad", bytearray(vehicle(PARTS)[:-40]))], "path string, content binary")
+    got = xs.geometry(d).groupBy("doc_id").agg({"x": "count", "error": "count"}).collect()
+    assert sorted((r["doc_id"], r["count(x)"], r["count(error)"]) for r in got) == [("bad", 0, 1), ("good", 18, 0)]
 
 
 def test_folders(spark, tmp_path):
