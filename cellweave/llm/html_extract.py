@@ -1,23 +1,31 @@
 """HTML main-text extraction by minimum-cut labelling.
 
 A page is cut into blocks: runs of text between block-level tags, each with its path
-of open elements.  A linear classifier gives a block a score from its path, length,
-punctuation and share of link text.  The score is the capacity to one terminal
-(content or boilerplate); neighbours in the page and blocks that share deep elements
-are joined by smoothness edges.  A maximum flow separates the terminals, and the
-blocks on the content side are the main text.  Elements that never hold an article
-(scripts, styles, navigation, forms, ...) are tied to boilerplate for good.
+of open elements.  A logistic classifier gives a block the log-odds of being content
+from its path, length, punctuation and share of link text; it is fitted on labelled
+blocks of pages made for it (train_pages).  The log-odds are the capacity to one
+terminal (content or boilerplate); neighbours in the page and blocks that share deep
+elements are joined by smoothness edges.  A maximum flow separates the terminals, and
+the blocks on the content side are the main text.  What HTML doesn't show as text
+(scripts, styles, templates, ...) never becomes a block.
+
+Tags are read in one pass: wherever a tag, comment or quoted value isn't closed, that
+is found out once and remembered, so that no part of a page is scanned again and again.
 
 Defined cases: null or empty html gives an empty text; html of any length is read
-whole; markup that isn't closed is closed by its parent or the end of the page.
+whole; markup that isn't closed is closed by its parent or the end of the page; a "<"
+that begins no tag is text; repeated rows stay.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import deque
+from collections import Counter, deque
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,22 +48,21 @@ AGAINST = re.compile(
 )
 FOR = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|body|text|article-?body|post-?content|entry-?content|story-?body)(?![a-z])")
 _HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-#: The classifier: weights of what a block shows.
-WEIGHTS = {"base": -0.9, "in_article": 3.0, "for": 1.2, "against": -4.0, "paragraph": 1.0, "heading": 0.6, "sentence": 0.8, "long": 2.4, "links": -3.5, "header": -3.0}
 #: Capacity of the edge between neighbours, and of one for each shared element beyond the body.
 NEXT, SHARED = 0.35, 0.15
-FAST = 1e6
+#: Steps and ridge of the fit; pages that are made for it.
+STEPS, RIDGE, TRAIN_PAGES = 400, 1e-3, 240
 
 
 class Node:
-    __slots__ = ("tag", "up", "depth", "never", "against", "good", "article", "header", "link")
+    __slots__ = ("tag", "up", "depth", "holder", "never", "against", "good", "article", "header", "link")
 
     def __init__(self, tag: str, up: Node | None, attributes: str):
         self.tag, self.up = tag, up
         self.depth = up.depth + 1 if up else 0
+        self.holder = up.holder if up and tag in INLINE else self  # the nearest element that isn't inside a line
         self.never = tag in NEVER or up is not None and up.never or bool(attributes and _HIDES.search(attributes))
         self.article = tag in ("article", "main") or up is not None and up.article
         self.header = tag == "header" or up is not None and up.header
@@ -78,12 +85,93 @@ class Block:
         self.node, self.parts, self.linked = node, [], 0
 
 
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_VALUE = re.compile(r"[^\"'>]*")
+
+
+class Tags:
+    """Reads the markup of a page, each part once: ends that aren't there are looked for once only."""
+
+    def __init__(self, html: str):
+        self.html, self.n, self.missing, self.quotes = html, len(html), set(), True
+        self.lower: str | None = None
+
+    def find(self, what: str, at: int) -> int:
+        """Place of what from at on, -1 for none; after a miss it isn't looked for again."""
+        if what in self.missing:
+            return -1
+        got = self.html.find(what, at)
+        if got < 0:
+            self.missing.add(what)
+        return got
+
+    def read(self, at: int) -> tuple[str, str, str, int]:
+        """(kind, name or text, attributes, end) of the markup at a "<": text, skip, open or close."""
+        html = self.html
+        if html.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return "skip", "", "", self.n if end < 0 else end + 3
+        if html.startswith("<![CDATA[", at):
+            end = self.find("]]>", at + 9)
+            return "text", html[at + 9 : self.n if end < 0 else end], "", self.n if end < 0 else end + 3
+        if html.startswith(("<!", "<?"), at):
+            end = self.find(">", at)
+            return "skip", "", "", self.n if end < 0 else end + 1
+        closing = html.startswith("</", at)
+        name = _NAME.match(html, at + 1 + closing)
+        if not name:
+            return "text", "<", "", at + 1
+        p = name.end()
+        first = self.find(">", p)
+        if first < 0:  # never closed
+            return "skip", "", "", self.n
+        while self.quotes:  # quoted values may hold ">"; a quote that isn't closed is a character
+            p = _VALUE.match(html, p).end()
+            if p >= self.n:  # all that is left is in quotes: from now on, quotes are characters
+                p, self.quotes = first, False
+                break
+            if html[p] == ">":
+                break
+            end = self.find(html[p], p + 1)
+            p = p + 1 if end < 0 else end + 1
+        else:
+            p = first
+        return "close" if closing else "open", name[0].lower(), html[name.end() : p], p + 1
+
+    def after(self, tag: str, at: int) -> int:
+        """Place after the end tag of an element that holds no markup."""
+        if self.lower is None:
+            self.lower = self.html.lower() if len(self.html.lower()) == self.n else self.html
+        key = "</" + tag
+        while key not in self.missing:
+            got = self.lower.find(key, at)
+            if got < 0:
+                self.missing.add(key)
+                break
+            if self.lower[got + len(key) : got + len(key) + 1] in (">", "/", " ", "\t", "\n", "\r", "\f"):
+                end = self.html.find(">", got)
+                return self.n if end < 0 else end + 1
+            at = got + len(key)
+        return self.n
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks of text in page order."""
     root = node = Node("", None, "")
     out: list[Block] = []
     block: Block | None = None
     at, n = 0, len(html)
+    tags, open_ = Tags(html), Counter()
+
+    def leave(tag: str) -> None:
+        """Closes the innermost open element of this name and all in it."""
+        nonlocal node
+        while True:
+            tag_ = node.tag
+            open_[tag_] -= 1
+            node = node.up
+            if tag_ == tag:
+                return
 
     def say(text: str) -> None:
         nonlocal block
@@ -92,63 +180,48 @@ def blocks_of(html: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            holder = node
-            while holder.up is not None and holder.tag in INLINE:
-                holder = holder.up
-            block = Block(holder)
+            block = Block(node.holder)
             out.append(block)
         block.parts.append(text)
         if node.link:
             block.linked += len(text)
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        if start < 0:
             say(unescape(html[at:]))
             break
-        if m.start() > at:
-            say(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            say(m[1])
-        tag = m[3] or m[6]
-        if not tag:
+        if start > at:
+            say(unescape(html[at:start]))
+        kind, tag, attributes, at = tags.read(start)
+        if kind == "text":
+            say(unescape(html[start:at]) if tag == "<" else tag)
+        if kind in ("text", "skip"):
             continue
-        tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        closing = kind == "close"
         if tag not in INLINE:
             block = None
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.up
-            if up is not root:
-                node = up.up
+            if open_[tag]:
+                leave(tag)
             continue
         if tag in VOID:
-            if tag == "wbr":
-                block = block
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            close = end.start() if end else n
-            at = html.find(">", close) + 1 if end and html.find(">", close) >= 0 else n
-            if tag not in INLINE:
-                block = None
+            at = tags.after(tag, at)
             continue
         if tag in CLOSES_P:
-            up = node
-            while up is not root and up.tag in INLINE:
-                up = up.up
-            if up.tag == "p":
-                node = up.up
-        elif tag in OWN_KIND:
+            if open_["p"] and node.holder.tag == "p":
+                leave("p")
+        elif tag in OWN_KIND and any(open_[k] for k in OWN_KIND[tag]):
             up = node
             while up is not root and up.tag not in ("ul", "ol", "dl", "table", "select", "menu") and up.tag not in OWN_KIND[tag]:
                 up = up.up
             if up.tag in OWN_KIND[tag]:
-                node = up.up
+                leave(up.tag)
         if not attributes.endswith("/") or tag in INLINE:
             node = Node(tag, node, attributes)
+            open_[tag] += 1
     kept = []
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -157,29 +230,106 @@ def blocks_of(html: str) -> list[Block]:
     return kept
 
 
-def score(b: Block) -> float:
-    """Above 0 for content."""
-    node, w, n = b.node, WEIGHTS, len(b.text)
-    if node.never:
-        return -FAST
+#: What a block shows, in the order of its features.
+FEATURES = ("base", "never", "article", "good", "against", "against_in_article", "header", "paragraph", "heading", "heading_in_article", "sentence", "long", "links", "list")
+
+
+def features(b: Block) -> list[float]:
+    node, n = b.node, len(b.text)
     tag = node.tag
     heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    s = w["base"] + w["long"] * min(n, 300) / 300 + w["links"] * min(1.0, b.linked / n)
-    if node.article:
-        s += w["in_article"]
-    if node.good:
-        s += w["for"]
-    if node.against:
-        s += w["against"] - (w["in_article"] if node.article else 0)
-    if node.header and not (node.article and heading):
-        s += w["header"]
-    if tag == "p" or tag == "pre" or tag == "blockquote":
-        s += w["paragraph"]
-    if heading:
-        s += w["heading"]
-    if b.text[-1] in ".!?…。\"”" or ". " in b.text:
-        s += w["sentence"]
-    return s
+    return [1.0, node.never, node.article, node.good, node.against, node.against and node.article, node.header and not (node.article and heading), tag in ("p", "pre", "blockquote"), heading, heading and node.article, b.text[-1] in ".!?…。\"”" or ". " in b.text, min(n, 300) / 300, min(1.0, b.linked / n), tag == "li"]
+
+
+def train_pages(n: int = TRAIN_PAGES, seed: int = 17) -> list[tuple[str, list[bool]]]:
+    """Labelled pages: html made of the usual parts in usual orders, and for each of its blocks whether it is content.
+
+    Parts come with and without elements and names that tell them; content holds short and long blocks,
+    boilerplate long ones too, so that no one feature decides alone.
+    """
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9)))
+    words = lambda k: " ".join(word() for _ in range(k))
+    sentence = lambda: words(r.randint(4, 14)).capitalize() + r.choice(".....!?")
+    prose = lambda most: " ".join(sentence() for _ in range(r.randint(1, most)))
+    links = lambda k: "".join(f"<li><a href='#'>{words(r.randint(1, 4))}</a></li>" for _ in range(k))
+    out = []
+    for _ in range(n):
+        parts: list[tuple[str, list[bool]]] = []
+
+        def add(html: str, *labels: bool):
+            parts.append((html, list(labels)))  # noqa: B023
+
+        def list_of(wrap: str, k: int):
+            add(wrap.format(links(k)), *[False] * k)  # noqa: B023
+
+        name = lambda *names: f' {r.choice(["class", "id"])}="{r.choice(names)}"'
+        if r.random() < 0.8:
+            list_of(r.choice(["<nav><ul>{}</ul></nav>", "<div class='menu'><ul>{}</ul></div>", "<header><ul>{}</ul></header>"]), r.randint(2, 7))
+        if r.random() < 0.5:
+            add(f"<header><h1>{words(3)}</h1><p>{sentence()}</p></header>", False, False)
+        if r.random() < 0.5:
+            add(f"<div{name('cookie-notice', 'consent', 'alert', 'newsletter')}><p>{prose(3)}</p></div>", False)
+        own: list[tuple[str, bool]] = []
+        if r.random() < 0.9:
+            own.append((f"<h1>{words(r.randint(2, 9))}</h1>", True))
+        for _ in range(r.randint(1, 9)):
+            kind = r.random()
+            if kind < 0.6:
+                own.append((f"<p>{prose(6)}</p>", True))
+            elif kind < 0.7:
+                own.append((f"<p>{words(r.randint(1, 4)).capitalize()}.</p>", True))
+            elif kind < 0.78:
+                own.append((f"<h2>{words(3)}</h2>", True))
+            elif kind < 0.86:
+                own.append((f"<ul><li>{sentence()}</li></ul>", True))
+            elif kind < 0.93:
+                own.append((f"<div{name('ad', 'promo', 'share', 'related')}>{prose(2)}</div>", False))
+            else:
+                own.append((f"<aside><p>{prose(4)}</p></aside>", False))
+        wrap = r.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div id='post-body'>{}</div>", "<div>{}</div>"])
+        add(wrap.replace("{}", "".join(h for h, _ in own)), *[x for _, x in own])
+        if r.random() < 0.6:
+            k = r.randint(1, 4)
+            add(f"<{(t := r.choice(['div', 'section']))}{name('comments', 'replies', 'comment-list')}>" + "".join(f"<p>{prose(4)}</p>" for _ in range(k)) + f"</{t}>", *[False] * k)
+        if r.random() < 0.5:
+            list_of(r.choice(["<aside><ul>{}</ul></aside>", "<div class='sidebar'><ul>{}</ul></div>"]), r.randint(1, 5))
+        if r.random() < 0.4:
+            add(f"<form><p>{sentence()}</p></form>", False)
+        if r.random() < 0.8:
+            add(r.choice(["<footer>{}</footer>", "<div class='footer'>{}</div>", "<footer><p>{}</p></footer>"]).format(prose(2)), False)
+        out.append(("<html><body>" + "".join(h for h, _ in parts) + "</body></html>", [x for _, xs in parts for x in xs]))
+    return out
+
+
+def fitted(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, with a ridge that leaves none unbounded."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + ridge * np.eye(len(w)), x.T @ (p - y) / len(y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+@lru_cache(1)
+def weights() -> tuple[float, ...]:
+    """The classifier's weights, fitted once for a process; the same everywhere."""
+    x, y = [], []
+    for html, labels in train_pages():
+        blocks = blocks_of(html)
+        if len(blocks) != len(labels):
+            raise AssertionError("a page made for the fit has other blocks than labels")
+        x += map(features, blocks)
+        y += labels
+    return tuple(fitted(np.array(x, float), np.array(y, float)).tolist())
+
+
+def score(b: Block) -> float:
+    """Log-odds of content."""
+    return float(sum(w * f for w, f in zip(weights(), features(b), strict=True)))
 
 
 def shared_depth(a: Node, b: Node) -> int:
