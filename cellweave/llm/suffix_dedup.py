@@ -11,12 +11,15 @@ renamed and no shorter text is sorted first.
 A corpus is not one text.  Every LENGTH-byte window has an anchor, the first least
 GRAM-gram in it by hash, so that equal windows have equal anchors at equal offsets.
 Runs of windows with one anchor are spans of at most 84 bytes.  Spans whose anchor is
-in one document only can't hold a repeated window and go no further.  Distinct spans
-with one anchor meet (a span that thousands of documents hold is one row with the
-least id), their suffix array finds the windows that are equal, and each span's
-windows get the least id that holds them.  Every occurrence of a span then removes
-the bytes of its windows that a smaller id holds.  Groups of more than MANY spans are
-split by longer grams around the anchor: spans that share a window share one of those.
+in one document only can't hold a repeated window and go no further.  Equal spans are
+one row with the least and the greatest id that holds them, and so are equal texts.
+Of the different spans with one anchor, those that share a longer gram around it go
+into one suffix array each group, all of them whole: neighbours in its order with a
+common prefix of a window's length hold equal windows, and these get the least id that
+holds them.  Arrays of many groups are built in lock step.  Every occurrence of a span
+then removes the bytes of its windows that a smaller id holds.  Groups of more than
+MANY spans are split by longer grams around the anchor: spans that share a window
+share one of those.
 
 Defined cases: null text is empty; a row without id comes after all others, and rows
 of one id (or without) don't take from each other; texts under LENGTH bytes lose
@@ -40,10 +43,12 @@ LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 #: Spans of one anchor that meet in one group at most; beyond, they meet by longer grams.
 MANY = 4000
+#: Bytes of spans whose suffix arrays are built at once, and of a group's from which its array is built by itself.
+BATCH, LANE = 1 << 21, 1024
 #: Bytes of text whose grams a worker holds at a time (about 100 bytes for each).
 SLICE = 1 << 20
 #: Steps by which the longer grams around an anchor differ; they have LENGTH - STEP + 1 bytes.
-STEP = 6
+STEP = 9
 
 
 # -- suffix arrays
@@ -55,26 +60,40 @@ def suffix_array(s: bytes | list[int]) -> tuple[list[int], list[int]]:
     counts: dict[int, int] = {}
     for c in s:
         counts[c] = counts.get(c, 0) + 1
-    at, total = {}, 0
+    fill, total = {}, 0
+    end_of = [0] * (n + 1)  # by a group's first place, by which it is known
     for c in sorted(counts):
-        at[c] = total
+        fill[c] = total
         total += counts[c]
-    group = [at[c] for c in s]  # a group is known by its first place
-    fill = dict(at)
+        end_of[fill[c]] = total
+    group = [fill[c] for c in s]
     order, place = [0] * n, [0] * n
     for i, c in enumerate(s):
         p = fill[c]
         order[p] = i
         place[i] = p
         fill[c] = p + 1
-    end_of = {at[c]: fill[c] for c in at}  # group -> its end
     before = [-1] * n
     end = n
     while end:
-        g = group[order[end - 1]]
-        members = order[g:end]
-        if len(members) > 1:
-            members.sort()  # so that a member's pointer is known when a later one passes it
+        i = order[end - 1]
+        g = group[i]
+        if end - g == 1:  # one member: the suffix that it points to becomes a group of its own
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = before[j]
+            before[i] = j
+            if j >= 0:
+                old = group[j]
+                e = end_of[old] - 1
+                if e != old:
+                    p, last = place[j], order[e]
+                    order[p], order[e] = last, j
+                    place[last], place[j] = p, e
+                    end_of[old], end_of[e], group[j] = e, e + 1, e
+            end = g
+            continue
+        members = sorted(order[g:end])  # so that a member's pointer is known when a later one passes it
         pointed: dict[int, int] = {}
         for i in members:
             j = i - 1
@@ -109,13 +128,13 @@ def suffix_array(s: bytes | list[int]) -> tuple[list[int], list[int]]:
                     group[j] = news[group[j]]
         end = g
     # each group's order: a suffix is emitted by the smaller one that follows its Lyndon prefix
-    out, rank, free = [0] * n, [-1] * n, {}
+    out, rank, free = [0] * n, [-1] * n, list(range(n + 1))
     s_at = n
     for k in range(n + 1):
         j = s_at - 1
         while j >= 0 and rank[j] < 0:
             g = group[j]
-            p = free.get(g, g)
+            p = free[g]
             free[g] = p + 1
             out[p] = j
             rank[j] = p
@@ -125,16 +144,16 @@ def suffix_array(s: bytes | list[int]) -> tuple[list[int], list[int]]:
     return out, rank
 
 
-def common_prefixes(s, order: list[int], rank: list[int]) -> list[int]:
-    """Common prefix of each suffix and the one before it in order."""
+def common_prefixes(s, order: list[int], rank: list[int], most: int | None = None) -> list[int]:
+    """Common prefix of each suffix and the one before it in order, counted up to `most` if that is given."""
     n, h = len(s), 0
+    most = n if most is None else most
     lcp = [0] * n
-    for i in range(n):
-        r = rank[i]
+    for i, r in enumerate(rank):
         if r:
             j = order[r - 1]
-            m = n - max(i, j)
-            while h < m and s[i + h] == s[j + h]:
+            stop = min(most, n - (i if i > j else j))
+            while h < stop and s[i + h] == s[j + h]:
                 h += 1
             lcp[r] = h
             if h:
@@ -144,40 +163,149 @@ def common_prefixes(s, order: list[int], rank: list[int]) -> list[int]:
     return lcp
 
 
-def least_owner(spans: list[bytes], owners: list[int], length: int = LENGTH) -> list[list[int]]:
-    """For each window of each span, the least owner among the spans that hold it."""
-    text: list[int] = []
-    of: list[int] = []
-    left: list[int] = []
-    starts = []
-    for k, x in enumerate(spans):
-        starts.append(len(text))
-        text.extend(b + 1 for b in x)
-        text.append(0)
-        of.extend([k] * (len(x) + 1))
-        left.extend(range(len(x), -1, -1))
-    order, rank = suffix_array(text)
-    lcp = common_prefixes(text, order, rank)
-    out = [[owners[k]] * max(0, len(x) - length + 1) for k, x in enumerate(spans)]
-    run: list[int] = []
-
-    def close():
-        if len(run) > 1:
-            least = min(owners[of[i]] for i in run)
-            for i in run:
-                out[of[i]][i - starts[of[i]]] = least
-
-    for r, i in enumerate(order):
-        if left[i] < length:
-            continue  # it has less than a window in common with any window
-        if run and lcp[r] < length:
-            close()
-            run = []
-        run.append(i)
-    close()
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., counts[0] of them, then those of the next."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+
+
+def _moved_up(batch: np.ndarray, order, place, group, end_of, mark) -> None:
+    """Moves the suffixes of batch out of their groups, to new ones right above."""
+    batch = batch[np.argsort(group[batch], kind="stable")]
+    old = group[batch]
+    new = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+    k = np.diff(np.append(new, len(batch)))
+    end = end_of[old[new]]
+    tail = end - k
+    to, low = _ranges(tail, k), np.repeat(tail, k)
+    mark[batch] = True
+    others = ~mark[order[to]]  # what has to leave the tail
+    mark[batch] = False
+    leaving, below = order[to[others]], place[batch] < low
+    vacant, coming = place[batch[below]], batch[below]
+    order[vacant], place[leaving] = leaving, vacant
+    order[to[others]], place[coming] = coming, to[others]
+    end_of[old[new]] = tail
+    end_of[tail] = end
+    group[batch] = low
+
+
+def suffix_arrays(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The suffix arrays of texts that stand one after another (places in all of them), by linear grouping in lock step.
+
+    All texts take their highest group at the same time; a text's steps are those of suffix_array.
+    """
+    n = len(text)
+    begin = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(of.astype(np.int64) << 16 | text, kind="stable").astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], (text[order[1:]] != text[order[:-1]]) | (of[1:] != of[:-1])])) if n else np.empty(0, np.int64)
+    size = np.diff(np.append(first, n))
+    place, group, end_of = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    group[order] = np.repeat(first, size)
+    end_of[first] = first + size
+    before = np.arange(-1, n - 1, dtype=np.int32)
+    mark = np.zeros(n, bool)
+    low, end = begin.copy(), begin + lengths
+    while True:
+        live = end > low
+        if not live.all():
+            low, end = low[live], end[live]
+        if not len(end):
+            break
+        g = group[order[end - 1]]
+        m = end - g
+        members = order[_ranges(g, m)]
+        least, at = np.repeat(low, m), np.repeat(g, m)
+        j = members - 1
+        on = np.flatnonzero(j >= least)
+        while len(on):  # the nearest suffix before it in a lower group
+            on = on[group[j[on]] >= at[on]]
+            j[on] = before[j[on]]
+            on = on[j[on] >= least[on]]
+        before[members] = j
+        j = j[j >= least]
+        if len(j):
+            j.sort()
+            new = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+            times, j = np.diff(np.append(new, len(j))), j[new]
+            most = int(times.max())
+            if most == 1:
+                _moved_up(j, order, place, group, end_of, mark)
+            else:
+                for k in np.unique(times)[::-1]:
+                    _moved_up(j[times == k], order, place, group, end_of, mark)
+        end = g.astype(np.int64)
+    # each group's order, a suffix or a step of the pass at a time
+    out, done, free = np.zeros(n, np.int32), np.zeros(n, bool), np.arange(n + 1, dtype=np.int32)
+    low, j, k, stop = begin.copy(), begin + lengths - 1, begin.copy(), begin + lengths
+    while len(j):
+        # suffixes before the one that is read, along the pointers
+        on = np.flatnonzero(j >= low)
+        on = on[~done[j[on]]]
+        while len(on):
+            x = j[on]
+            done[x] = True
+            p = free[group[x]]
+            free[group[x]] += 1
+            out[p] = x
+            x = before[x]
+            j[on] = x
+            on = on[x >= low[on]]
+            on = on[~done[j[on]]]
+        live = k < stop
+        if not live.all():
+            low, k, stop = low[live], k[live], stop[live]
+        j = out[k].astype(np.int64) - 1
+        k = k + 1
     return out
 
 
+def _window_runs(text: np.ndarray, order: np.ndarray, window: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in suffix order, and where a new run of equal ones begins: common prefixes of neighbours are compared up to a window's length."""
+    at = order[window[order]]
+    new = np.ones(len(at), bool)
+    if len(at) > 1:
+        views = np.lib.stride_tricks.sliding_window_view(text, length)
+        for a in range(1, len(at), 1 << 16):
+            b = min(len(at), a + (1 << 16))
+            new[a:b] = (views[at[a:b]] != views[at[a - 1 : b - 1]]).any(1)
+    return at, new
+
+
+def least_owner(groups: list[list[bytes]], owners: list[list[int]], length: int = LENGTH) -> list[np.ndarray]:
+    """For each window of each span, the least owner among the spans of its group that hold it; spans in the order given."""
+    spans = [x for g in groups for x in g]
+    if not spans:
+        return []
+    text = np.frombuffer(b"".join(x + b"\0" for x in spans), np.uint8).astype(np.uint16) + 1
+    sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+    ends = np.cumsum(sizes + 1)
+    text[ends - 1] = 0  # below all bytes, between spans
+    lengths = np.array([sum(map(len, g)) + len(g) for g in groups], np.int64)
+    order = np.empty(len(text), np.int64)
+    long = lengths > LANE  # in lock step all texts would wait for it
+    begin = np.cumsum(lengths) - lengths
+    if not long.all():
+        own = _ranges(begin[~long], lengths[~long])
+        order[own] = own[suffix_arrays(text[own], lengths[~long])]
+    for k in np.flatnonzero(long).tolist():
+        a = int(begin[k])
+        order[a : a + lengths[k]] = a + np.array(suffix_array(text[a : a + lengths[k]].tolist())[0], np.int64)
+    left = np.repeat(ends, sizes + 1) - 1 - np.arange(len(text))
+    of = np.repeat(np.arange(len(spans)), sizes + 1)
+    at, new = _window_runs(text, order, left >= length, length)
+    held = np.array([o for g in owners for o in g], np.int64)[of]
+    least = held.copy()
+    if len(at):
+        group_of = np.repeat(np.arange(len(groups)), list(map(len, groups)))[of[at]]
+        new[1:] |= group_of[1:] != group_of[:-1]
+        starts = np.flatnonzero(new)
+        least[at] = np.repeat(np.minimum.reduceat(held[at], starts), np.diff(np.append(starts, len(at))))
+    return [least[e - 1 - n : max(e - 1 - n, e - length)] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 # -- anchors
 
 
@@ -252,7 +380,7 @@ class Grams:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """docs: rid, td, __text -> (h, td, rid) for every distinct anchor of a text."""
+    """docs: td, __text -> (h, td) for every distinct anchor of a text."""
 
     def run(batches):
         for batch in batches:
@@ -260,9 +388,9 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 g = Grams([t.encode() for t in part.column("__text").to_pylist()])
                 if len(g.start):
                     k, h = g.anchors()
-                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column("td").take(pa.array(k)), part.column("rid").take(pa.array(k))], names=["h", "td", "rid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column("td").take(pa.array(k))], names=["h", "td"])
 
-    return docs.mapInArrow(run, "h long, td long, rid long")
+    return docs.mapInArrow(run, "h long, td long")
 
 
 def _in_several(rows: DataFrame) -> DataFrame:
@@ -270,9 +398,8 @@ def _in_several(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the last anchor, as long as one text only has it
         last = owner = None
-        several = False
+        told = False  # whether rows of the last anchor have been given out
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -281,22 +408,17 @@ def _in_several(rows: DataFrame) -> DataFrame:
             starts, group = np.flatnonzero(new), np.cumsum(new)  # group 0 goes on from the batch before
             first = np.concatenate([[o[0] if owner is None else owner], o[starts]])
             shared = np.zeros(len(first), bool)
-            shared[0] = several
+            shared[0] = told
             shared[group[o != first[group]]] = True
-            if not new[0] and shared[0]:
-                yield from held
-                held = []
-            if len(starts):
-                held = []
+            if not new[0] and shared[0] and not told:  # all rows so far were of one text: one of them stands for them
+                yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([owner])], names=["h", "td"])
             out = batch.filter(pa.array(shared[group]))
             if out.num_rows:
                 yield out
             end = group[-1]
-            if not shared[end]:
-                held.append(batch.filter(pa.array(group == end)))
-            last, owner, several = h[-1], first[end], bool(shared[end])
+            last, owner, told = h[-1], first[end], bool(shared[end])
 
-    return rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, td long, rid long")
+    return rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, td long")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -340,94 +462,54 @@ def around(span: bytes, off: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _lengthened(members: list[int], text_at) -> dict[int, int]:
-    """By how many bytes, under STEP, the members' common text can be lengthened with another member going along."""
-    extra = dict.fromkeys(members, 0)
-    live = members
-    for more in range(1, STEP):
-        grown: dict[bytes, list[int]] = {}
-        for i in live:
-            if (x := text_at(i, more)) is not None:
-                grown.setdefault(x, []).append(i)
-        live = [i for g in grown.values() if len(g) > 1 for i in g]
-        if not live:
-            break
-        for i in live:
-            extra[i] = more
-    return extra
+def _alike(spans: list[bytes], offs: list[int]) -> list[int]:
+    """The spans of a group that can have a window in common with another: they share a gram around the anchor."""
+    holders: dict[tuple[int, bytes], int] = {}
+    live = set()
+    rest = LENGTH - GRAM
+    for i, (x, o) in enumerate(zip(spans, offs, strict=True)):
+        n = len(x) - o - GRAM
+        for j in range(0, min(o, rest) + 1, STEP):
+            right = rest - j - STEP + 1
+            if right <= 0:
+                right = 0
+            if n >= right and (first := holders.setdefault((j, x[o - j : o + GRAM + right]), i)) != i:
+                live.add(i)
+                live.add(first)
+    return sorted(live)
 
 
-def _reach(spans: list[bytes], offs: list[int]) -> dict[int, tuple[int, int]]:
-    """How far left and right of its anchor a span may have bytes in common windows; only spans that may have one.
+def _window_owners(groups: DataFrame) -> DataFrame:
+    """groups (gid, h, sd, off, span, own) -> (h, sd, least) of spans of which a window has a lower owner.
 
-    The leftmost gram that a span shares bounds what it has in common on the left up to
-    STEP - 1 bytes, and its rightmost gram on the right; those bytes are compared.
+    Dealt by gid; the spans that can have a window in common are collected until they are BATCH bytes, or a
+    group is, and their suffix arrays decide.
     """
-    holders: dict[tuple[int, bytes], list[int]] = {}
-    grams = [around(x, o) for x, o in zip(spans, offs, strict=True)]
-    for i, g in enumerate(grams):
-        for x in g:
-            holders.setdefault(x, []).append(i)
-    ends = {i: (g[-1], g[0]) for i, g in enumerate([x for x in g if len(holders[x]) > 1] for g in grams) if g}
-
-    def left(key):
-        j, r = key[0], len(key[1]) - key[0] - GRAM
-        return _lengthened(holders[key], lambda i, more: spans[i][offs[i] - j - more : offs[i] + GRAM + r] if offs[i] >= j + more else None)
-
-    def right(key):
-        j, r = key[0], len(key[1]) - key[0] - GRAM
-        return _lengthened(holders[key], lambda i, more: spans[i][offs[i] - j : offs[i] + GRAM + r + more] if len(spans[i]) - offs[i] - GRAM >= r + more else None)
-
-    lefts = {k: left(k) for k in {a for a, _ in ends.values()}}
-    rights = {k: right(k) for k in {b for _, b in ends.values()}}
-    return {i: (a[0] + lefts[a][i], len(b[1]) - b[0] - GRAM + rights[b][i]) for i, (a, b) in ends.items()}
-
-
-def _owners(spans: list[bytes], offs: list[int], own: list[int]) -> list[tuple[int, list[int]]]:
-    """Least ids of the windows of a group's spans: (span's number, ids) where one is lower than the span's own."""
-    # what no other span has in common goes, and spans that are then equal are one
-    met: dict[tuple[int, bytes], list[int]] = {}
-    for i, (left, right) in _reach(spans, offs).items():
-        if left + GRAM + right >= LENGTH:
-            met.setdefault((left, spans[i][offs[i] - left : offs[i] + GRAM + right]), []).append(i)
-    if not met:
-        return []
-    keys = list(met)
-    lows = [min(own[i] for i in met[k]) for k in keys]
-    if len(keys) > 1:
-        got = least_owner([k[1] for k in keys], lows)
-    else:  # one text: there is nothing to sort against
-        got = [[lows[0]] * (len(keys[0][1]) - LENGTH + 1)]
-    rows = []
-    for (reach, _), least, members in zip(keys, got, met.values(), strict=True):
-        low = min(least)
-        for i in members:
-            if low < own[i]:
-                whole = [own[i]] * (len(spans[i]) - LENGTH + 1)
-                at = offs[i] - reach
-                whole[at : at + len(least)] = [min(x, own[i]) for x in least]
-                rows.append((i, whole))
-    return rows
-
-
-def _window_owners(groups: DataFrame) -> DataFrame:
-    """groups (gid, h, sd, off, span, own) -> (h, sd, least): dealt by gid, one group at a time; a lone span takes no time."""
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = ("h", "sd", "off", "span", "own")
 
     def run(batches):
         held: list[list] = [[] for _ in cols]  # the group that the last batch ended in
         last = None
-        out: list[tuple] = []
+        waiting: list[tuple] = []  # (h, sd, spans, owners) of groups
+        size = 0
 
-        def close(group):
+        def add(group):
+            nonlocal size
             h, sd, offs, spans, own = group
-            out.extend((h[i], sd[i], x) for i, x in _owners(spans, offs, own))
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["h", "sd", "least"])
-            out.clear()
-            return batch
+            if live := _alike(spans, offs):
+                waiting.append(([h[i] for i in live], [sd[i] for i in live], [spans[i] for i in live], [own[i] for i in live]))
+                size += sum(len(spans[i]) for i in live)
+
+        def solved():
+            nonlocal size
+            least = least_owner([w[2] for w in waiting], [w[3] for w in waiting])
+            h, sd, own = ([x for w in waiting for x in w[k]] for k in (0, 1, 3))
+            rows = [i for i, (x, o) in enumerate(zip(least, own, strict=True)) if (x < o).any()]
+            waiting.clear()
+            size = 0
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(least[i]) for i in rows)]), pa.int32()), pa.array(np.concatenate([least[i] for i in rows]) if rows else [], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for i in rows], pa.int64()), pa.array([sd[i] for i in rows], pa.int64()), lists], names=["h", "sd", "least"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -440,24 +522,20 @@ def _window_owners(groups: DataFrame) -> DataFrame:
                 if start == 0 and last == gid[0]:
                     for kept, new in zip(held, rows, strict=True):
                         kept.extend(new[:end])
-                elif start == 0:
-                    if len(held[0]) > 1:
-                        close(held)
-                    held = [x[:end] for x in rows]
-                elif end == len(gid):
+                elif start == 0 or end == len(gid):
                     if len(held[0]) > 1:
-                        close(held)
+                        add(held)
                     held = [x[start:end] for x in rows]
                 elif end - start > 1:
-                    close([x[start:end] for x in rows])
+                    add([x[start:end] for x in rows])
                 start = end
+                if size > BATCH:
+                    yield solved()
             last = gid[-1]
-            if len(out) > 5000:
-                yield flush()
         if len(held[0]) > 1:
-            close(held)
-        if out:
-            yield flush()
+            add(held)
+        if waiting:
+            yield solved()
 
     return groups.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(run, "h long, sd long, least array<bigint>")
 
@@ -533,9 +611,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = docs.select("rid", "ord", F.md5("__text").alias("sum"), F.octet_length("__text").alias("n"))
     firsts = stored(whole.groupBy("sum").agg(F.min("ord").alias("least"), F.max("ord").alias("last")).filter("last > least"))
     copies = stored(whole.join(firsts, "sum").filter("ord > least").select("rid", "n").distinct())
-    several = _in_several(_anchored(docs.select("rid", F.xxhash64("__text").alias("td"), "__text"))).groupBy("rid").agg(F.collect_list("h").alias("hashes"))
-    several = stored(several.join(copies.select("rid"), "rid", "left_anti"))
-    spans = stored(_spans(docs.select("rid", "ord", "__text").join(several, "rid")))
+    docs = docs.withColumn("td", F.xxhash64("__text"))
+    # anchors are dealt with a text's digest only, which its copies share
+    several = _in_several(_anchored(docs.select("td", "__text"))).groupBy("td").agg(F.collect_set("h").alias("hashes"))
+    live = stored(docs.select("rid", "td").join(copies.select("rid"), "rid", "left_anti").join(several, "td").select("rid", "hashes"))
+    spans = stored(_spans(docs.select("rid", "ord", "__text").join(live, "rid")))
     distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own"), F.max("ord").alias("top")).select("h", "sd", "off", "span", "own", "top"))
     few, split = _grouped(distinct.drop("top"))
     least = stored(_window_owners(few))
