@@ -44,7 +44,7 @@ SPREAD = LENGTH - GRAM + 1
 #: Spans of one anchor that meet in one group at most; beyond, they meet by longer grams.
 MANY = 4000
 #: Bytes of spans whose suffix arrays are built at once, and of a group's from which its array is built by itself.
-BATCH, LANE = 1 << 21, 1024
+BATCH, LANE = 1 << 19, 1024
 #: Bytes of text whose grams a worker holds at a time (about 100 bytes for each).
 SLICE = 1 << 20
 #: Steps by which the longer grams around an anchor differ; they have LENGTH - STEP + 1 bytes.
