@@ -13,9 +13,9 @@ that their words follow what is left closely: the error telescopes over sizes.
 at most LARGE of the target, unless the others can't make up (none, or all of them
 three times, are not enough).
 
-The prefix sum has two levels.  A source is dealt into (size class, hash part)
-cells; the cells' counts are summed over the source (at most CLASSES x PARTS rows),
-and only inside a cell are documents ranked by a window.  A source that holds a
+The prefix sum has three levels.  A source is dealt into (size class, hash part)
+cells; counts are summed over a source's classes (sixteen an octave), over a class's
+cells (at most PARTS), and only inside a cell are documents ranked by a window.  A source that holds a
 third of all rows, or a third of rows of one size, is spread over many tasks.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source of
@@ -86,8 +86,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     offset = _hash32(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0)
     aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rho")).withColumn("u", offset)
     placed = cells.join(aims, "key").withColumn("large", F.col("cls") > size_class(F.col("target") * LARGE))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "large").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stored(placed.withColumn("before", before))
+    # documents before a cell: those of lower classes, from a row for each class, and those of the class's cells before it
+    upto = lambda w, order: F.coalesce(F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = placed.groupBy("key", "large", "cls").agg(F.sum("n").alias("n"))
+    classes = classes.select("key", "cls", upto(Window.partitionBy("key", "large"), "cls").alias("lower"))
+    starts = placed.withColumn("beside", upto(Window.partitionBy("key", "cls"), "part")).join(classes, ["key", "cls"])
+    starts = stored(starts.withColumn("before", F.col("lower") + F.col("beside")).drop("lower", "beside"))
 
     def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
         """rows of the cells with their copies."""
