@@ -85,7 +85,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     aims = targets(cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30))), weights, most)
     offset = _hash32(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0)
     aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rho")).withColumn("u", offset)
-    placed = cells.join(aims, "key").withColumn("large", F.col("cls") > size_class(F.col("target") * LARGE))
+    # written, so that windows over a class aren't dealt by source as the join is
+    placed = stored(cells.join(aims, "key").withColumn("large", F.col("cls") > size_class(F.col("target") * LARGE)))
     # documents before a cell: those of lower classes, from a row for each class, and those of the class's cells before it
     upto = lambda w, order: F.coalesce(F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = placed.groupBy("key", "large", "cls").agg(F.sum("n").alias("n"))
