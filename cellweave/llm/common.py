@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cellweave.sources.store import checkpoint_dir, stored
 
-__all__ = ["checkpoint_dir", "components", "cut", "documents", "map_groups", "map_texts", "packed", "placed_labels", "slices", "stored", "text_of"]
+__all__ = ["checkpoint_dir", "chunked", "components", "cut", "documents", "map_groups", "map_texts", "meet", "packed", "pieces", "placed_labels", "slices", "stored", "text_of"]
 
 #: Bytes of text that one step of a Python operator holds at a time (a single longer text is one step).
 SLICE_BYTES = 4 << 20
@@ -146,3 +146,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if not step.filter("was <> label").limit(1).count():
             return labels
+
+
+#: Bytes of text that share a dictionary of their words (a longer text is a chunk of its own).
+CHUNK_BYTES = 16 << 20
+
+
+def chunked(df: DataFrame, text: str = "__text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """df, stored, with __chunk: rows that were read one after another, about `limit` bytes of text at a time.
+
+    Later jobs read the stored rows, so that a row has one chunk in all of them, whatever was run again.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("__chunk", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in slices(batch, text):
+                held += part.column(text).nbytes
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk, np.int64))], names=schema.names)
+                if held >= limit:
+                    chunk, held = chunk + 1, 0
+
+    return stored(df.mapInArrow(run, schema))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, int, pa.RecordBatch]]:
+    """(first of its group, side, rows) of batches sorted by keys and __side: runs of rows with one key and side."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in keys:
+            codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        side = batch.column("__side").to_numpy()
+        cuts = np.flatnonzero(new[1:] | (side[1:] != side[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(batch.column(c)[a].as_py() for c in keys)
+            yield key != last, int(side[a]), batch.slice(a, b - a)
+            last = key
+
+
+def meet(rows: DataFrame, entries: DataFrame | None, keys: list[str], order: list[str], fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """fn over the groups of rows that share keys, each after the entries that have them too.
+
+    fn is called once a partition with `pieces`: side 0 are entries, in a column e, side 1 rows,
+    in a column d (both structs of all columns); rows of a group are sorted by `order`, columns of rows.
+    A group is never held: fn keeps what it needs of it.
+    """
+    struct = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    kind = T.StructType(rows.schema.fields)
+    d = rows.select(*keys, F.lit(1).alias("__side"), struct(rows).alias("d"))
+    if entries is None:
+        d = d.withColumn("e", F.lit(None).cast("struct<none: int>"))
+    else:
+        e = entries.select(*keys, F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("d"), struct(entries).alias("e"))
+        d = e.union(d.withColumn("e", F.lit(None).cast(T.StructType(entries.schema.fields))))
+    d = d.repartition(*keys).sortWithinPartitions(*keys, "__side", *[F.col(f"d.`{c}`") for c in order])
+    return d.mapInArrow(lambda batches: fn(pieces(batches, keys)), schema)
