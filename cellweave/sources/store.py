@@ -24,7 +24,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: no lineage, no partitioning.
 
     The shuffle files of the write are dropped when it ends; nothing reads them again.
@@ -34,7 +34,7 @@ def stored(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
