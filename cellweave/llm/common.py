@@ -149,7 +149,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Bytes of text that share a dictionary of their words (a longer text is a chunk of its own).
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 
 
 def chunked(df: DataFrame, text: str = "__text", limit: int = CHUNK_BYTES) -> DataFrame:
@@ -170,7 +170,7 @@ def chunked(df: DataFrame, text: str = "__text", limit: int = CHUNK_BYTES) -> Da
                 if held >= limit:
                     chunk, held = chunk + 1, 0
 
-    return stored(df.mapInArrow(run, schema))
+    return stored(df.mapInArrow(run, schema), compression="zstd")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, int, pa.RecordBatch]]:

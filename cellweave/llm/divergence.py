@@ -4,9 +4,10 @@ Terms are runs of ASCII letters (in lower case) and of all that isn't ASCII.  Th
 pass counts exactly in how many documents of its language each term occurs; terms of
 `least` documents and more are kept.  The second pass counts occurrences of kept terms
 only: an Aho-Corasick automaton of terms between delimiters reads texts whose
-delimiters are all alike.  No automaton holds a whole vocabulary: texts are dealt in chunks
-of some megabytes, a chunk's own terms come from the first pass, those of them that are
-kept go to the chunk, and its automaton is made of these.
+delimiters are all alike.  A vocabulary of at most VOCABULARY_BYTES goes to all workers.
+A larger one never meets in one place: texts are dealt in chunks of some megabytes, a chunk's own
+terms come from the first pass, those of them that are kept go to the chunk, and its
+automaton is made of these.
 
 Counts become sparse postings (language, source, term).  Terms that neither of two sources
 has differ alike, so they need a number only; those that one source has are summed by their
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import chunked, documents, meet, stored
+from cellweave.llm.common import chunked, documents, meet, slices, stored
 
 #: Documents that a kept term is in at least; terms that are reported of a group (a fixed length of a report).
 LEAST_DOCS, TOP_TERMS = 10, 10
@@ -34,8 +35,8 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 SCALE, PRIOR = 1_000_000_000, 2
 #: Bytes to bytes: letters in lower case, what isn't ASCII as it is, all else a space.
 SPACED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Counts that a worker holds before they go out.
-HELD = 300_000
+#: Counts that a worker holds before they go out; bytes of terms that automata may hold in each worker (some 25 bytes of memory for each).
+HELD, VOCABULARY_BYTES = 500_000, 8 << 20
 
 
 def spaced(texts: pa.Array) -> list[bytes]:
@@ -57,7 +58,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:
         for chunk, lang, text in zip(batch.column("__chunk").to_pylist(), batch.column("lang").to_pylist(), spaced(batch.column("__text")), strict=True):
-            if chunk != last and last is not None or size > HELD:
+            if last is not None and chunk != last or size > HELD:
                 yield from out()
                 size = 0
             last = chunk
@@ -69,42 +70,98 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _occurrences(stream) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n) of each chunk and language, by an automaton of the kept terms that it holds."""
-    import ahocorasick
+class Audit:
+    """Occurrences by language, source and term, found by one automaton for each language."""
 
-    terms: list[str] = []
-    found: dict[str, Counter] = {}
-    automaton, lang = None, None
+    def __init__(self):
+        self.terms: dict[str, list[str]] = {}
+        self.automata: dict[str, object] = {}
+        self.found: dict[tuple[str, str], Counter] = {}
 
-    def out():
-        for source, counts in found.items():
-            ids = list(counts)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(ids), pa.string()), "source": pa.array([source] * len(ids), pa.string()), "term": pa.array([terms[i] for i in ids], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
-    for new, side, piece in stream:
-        if new:
-            yield from out()
-            terms, found, automaton = [], {}, None
-        if not side:
-            terms += piece.column("e").field("term").to_pylist()
-            continue
-        if not terms:  # no kept term is in this chunk
-            continue
-        if automaton is None:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, t in enumerate(terms):
-                automaton.add_word(f" {t} ", i)
-            automaton.make_automaton()
-        rows = piece.column("d")
-        lang = rows.field("lang")[0].as_py()
-        by: dict[str, list[bytes]] = {}
-        for source, text in zip(rows.field("source").to_pylist(), spaced(rows.field("__text")), strict=True):
-            by.setdefault(source, []).append(text)
-        for source, texts in by.items():
+    def read(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        by: dict[tuple[str, str], list[bytes]] = {}
+        for lang, source, text in zip(langs, sources, texts, strict=True):
+            if lang in self.terms:
+                by.setdefault((lang, source), []).append(text)
+        for (lang, source), own in by.items():
+            if lang not in self.automata:
+                self.automata[lang] = automaton(self.terms[lang])
             # neighbours share a delimiter: matches may overlap in it
-            found.setdefault(source, Counter()).update(map(itemgetter(1), automaton.iter(" " + b" ".join(texts).decode() + " ")))
-    yield from out()
+            found = self.automata[lang].iter(" " + b" ".join(own).decode() + " ")
+            self.found.setdefault((lang, source), Counter()).update(map(itemgetter(1), found))
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in self.found.items():
+            n, terms = len(counts), self.terms[lang]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "source": pa.array([source] * n, pa.string()), "term": pa.array([terms[i] for i in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        self.found = {}
+
+
+def automaton(terms: list[str]):
+    """Finds terms between delimiters; a match's value is the term's number."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, t in enumerate(terms):
+        made.add_word(f" {t} ", i)
+    made.make_automaton()
+    return made
+
+
+COUNTED = "lang string, source string, term string, n long"
+#: The whole vocabulary's audit, kept by a worker for the tasks of one broadcast.
+_WHOLE: dict[int, Audit] = {}
+
+
+def counted_whole(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, term, n) by automata of the whole vocabulary, for one of a checked size: texts aren't shuffled."""
+    vocabulary: dict[str, list[str]] = {}
+    for r in kept.toLocalIterator():
+        vocabulary.setdefault(r["lang"], []).append(r["term"])
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    name = sent._jbroadcast.id()
+
+    def run(batches):
+        from cellweave.llm.divergence import _WHOLE
+
+        if name not in _WHOLE:
+            _WHOLE.clear()
+            _WHOLE[name] = Audit()
+            _WHOLE[name].terms = sent.value
+        audit = _WHOLE[name]
+        audit.found = {}  # of a task that was stopped
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                audit.read(part.column("lang").to_pylist(), part.column("source").to_pylist(), spaced(part.column("__text")))
+                if sum(map(len, audit.found.values())) > HELD:
+                    yield from audit.out()
+        yield from audit.out()
+
+    return docs.mapInArrow(run, COUNTED)
+
+
+def counted_by_chunk(docs: DataFrame, least: int) -> DataFrame:
+    """The same for a vocabulary of any size: each chunk's automata hold the kept terms that occur in the chunk."""
+    docs = chunked(docs)
+    local = stored(docs.mapInArrow(_vocabulary, "__chunk long, lang string, term string, df long"))
+    kept = local.groupBy("lang", "term").agg(F.sum("df").alias("df")).filter(F.col("df") >= least).select("lang", "term")
+    entries = local.select("__chunk", "lang", "term").join(kept, ["lang", "term"])
+
+    def run(stream):
+        audit = Audit()
+        for new, side, piece in stream:
+            if new:
+                yield from audit.out()
+                audit = Audit()
+            if not side:
+                e = piece.column("e")
+                audit.terms.setdefault(e.field("lang")[0].as_py(), []).extend(e.field("term").to_pylist())
+            else:
+                for part in slices(pa.RecordBatch.from_struct_array(piece.column("d")), "__text"):
+                    audit.read(part.column("lang").to_pylist(), part.column("source").to_pylist(), spaced(part.column("__text")))
+        yield from audit.out()
+
+    return meet(docs, entries, ["__chunk", "lang"], [], run, COUNTED)
 
 
 def share(n: str) -> Column:
@@ -117,14 +174,14 @@ def apart(p: str, q: str) -> Column:
     return F.expr(f"(({p}) - ({q})) * (({p}) - ({q})) div (({p}) + ({q}))")
 
 
-def divergence(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def divergence(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST_DOCS, top: int = TOP_TERMS, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): part pair has each other source of the language by divergence, part term the `top` terms that the source has more of than the language."""
     said = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    docs = chunked(df.select(said(lang).alias("lang"), said(source).alias("source"), said(text).alias("__text")))
-    local = stored(docs.select("__chunk", "lang", "__text").mapInArrow(_vocabulary, "__chunk long, lang string, term string, df long"))
+    docs = df.select(said(lang).alias("lang"), said(source).alias("source"), said(text).alias("__text"))
+    local = docs.select(F.lit(0).cast("long").alias("__chunk"), "lang", "__text").mapInArrow(_vocabulary, "__chunk long, lang string, term string, df long")
     kept = stored(local.groupBy("lang", "term").agg(F.sum("df").alias("df")).filter(F.col("df") >= least).select("lang", "term"))
-    entries = local.select("__chunk", "lang", "term").distinct().join(kept, ["lang", "term"])
-    counted = meet(docs, entries, ["__chunk", "lang"], [], _occurrences, "lang string, source string, term string, n long")
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + 1), F.lit(0))).first()[0]
+    counted = counted_whole(docs, kept) if size <= vocabulary_bytes else counted_by_chunk(docs, least)
     posts = stored(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
     sizes = kept.groupBy("lang").agg(F.count("*").alias("vocabulary"))

@@ -33,15 +33,18 @@ def expected(rows, least):
 
 
 def got(df, least):
-    d = divergence.divergence(df, least=least)
+    """Of both ways to hold the vocabulary, which must agree."""
+    d, e = (divergence.divergence(df, least=least, vocabulary_bytes=n) for n in (divergence.VOCABULARY_BYTES, -1))
     assert d.columns == ["lang", "source", "part", "item", "value", "rank"]
-    return sorted(map(tuple, d.collect()))
+    out = sorted(map(tuple, d.collect()))
+    assert out == sorted(map(tuple, e.collect()))
+    return out
 
 
 SCHEMA = "lang string, source string, text string, term string, `__chunk` long"
 
 
-def test_divergence(spark, monkeypatch):
+def test_divergence(spark):
     """Nulls, a language without kept terms, repeated rows, odd characters, delimiters side by side, columns named as the operator's."""
     r = random.Random(5)
     words = ["The", "the", "naïve", "ÀB", "àb", "x", " ", "　y", "ab", "a", "b", "zé", "ÉÉ", "漢字", "😀"] + [f"w{'abcdefgh'[i % 8]}{'xyz'[i % 3]}" for i in range(24)]
