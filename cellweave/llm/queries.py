@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, divergence, html_extract, jaccard_join, manifest, media, merkle, mixing, quality, secrets, suffix_dedup, token_counts
+from cellweave.llm import bpe, divergence, html_extract, jaccard_join, lm_scoring, manifest, media, merkle, mixing, quality, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_media_columns": media.op10_media_columns,
     "op11_dataset_manifest": manifest.op11_dataset_manifest,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
