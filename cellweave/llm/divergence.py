@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,11 +91,10 @@ class Audit:
             found = self.automata[lang].iter(" " + b" ".join(own).decode() + " ")
             self.found.setdefault((lang, source), Counter()).update(map(itemgetter(1), found))
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in self.found.items():
-            n, terms = len(counts), self.terms[lang]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "source": pa.array([source] * n, pa.string()), "term": pa.array([terms[i] for i in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-        self.found = {}
+    def counts(self) -> Iterator[tuple[str, str, Counter]]:
+        """(lang, source, occurrences by the term's number in its language), which then are forgotten."""
+        found, self.found = self.found, {}
+        yield from ((*k, c) for k, c in found.items())
 
 
 def automaton(terms: list[str]):
@@ -108,17 +108,21 @@ def automaton(terms: list[str]):
     return made
 
 
-COUNTED = "lang string, source string, term string, n long"
 #: The whole vocabulary's audit, kept by a worker for the tasks of one broadcast.
 _WHOLE: dict[int, Audit] = {}
 
 
 def counted_whole(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) by automata of the whole vocabulary, for one of a checked size: texts aren't shuffled."""
+    """(lang, source, term, n) by automata of the whole vocabulary, for one of a checked size: texts aren't shuffled, and tasks send terms as numbers."""
+    spark = docs.sparkSession
+    words = pa.Table.from_pylist([{"lang": r["lang"], "term": r["term"]} for r in kept.orderBy("lang", "term").collect()], pa.schema([("lang", pa.string()), ("term", pa.string())]))
+    words = words.append_column("id", pa.array(range(words.num_rows), pa.int32()))
     vocabulary: dict[str, list[str]] = {}
-    for r in kept.toLocalIterator():
-        vocabulary.setdefault(r["lang"], []).append(r["term"])
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    first: dict[str, int] = {}
+    for i, (lang, term) in enumerate(zip(words.column("lang").to_pylist(), words.column("term").to_pylist(), strict=True)):
+        first.setdefault(lang, i)
+        vocabulary.setdefault(lang, []).append(term)
+    sent = spark.sparkContext.broadcast(vocabulary)
     name = sent._jbroadcast.id()
 
     def run(batches):
@@ -130,14 +134,21 @@ def counted_whole(docs: DataFrame, kept: DataFrame) -> DataFrame:
             _WHOLE[name].terms = sent.value
         audit = _WHOLE[name]
         audit.found = {}  # of a task that was stopped
+
+        def out():
+            for lang, source, c in audit.counts():
+                ids = np.fromiter(c.keys(), np.int32, len(c)) + first[lang]
+                yield pa.RecordBatch.from_pydict({"source": pa.repeat(pa.scalar(source, pa.string()), len(c)), "id": pa.array(ids, pa.int32()), "n": pa.array(np.fromiter(c.values(), np.int64, len(c)))})
+
         for batch in batches:
             for part in slices(batch, "__text"):
                 audit.read(part.column("lang").to_pylist(), part.column("source").to_pylist(), spaced(part.column("__text")))
                 if sum(map(len, audit.found.values())) > HELD:
-                    yield from audit.out()
-        yield from audit.out()
+                    yield from out()
+        yield from out()
 
-    return docs.mapInArrow(run, COUNTED)
+    counted = docs.mapInArrow(run, "source string, id int, n long").groupBy("source", "id").agg(F.sum("n").alias("n"))
+    return counted.join(spark.createDataFrame(words), "id").select("lang", "source", "term", "n")
 
 
 def counted_by_chunk(docs: DataFrame, least: int) -> DataFrame:
@@ -149,9 +160,15 @@ def counted_by_chunk(docs: DataFrame, least: int) -> DataFrame:
 
     def run(stream):
         audit = Audit()
+
+        def out():
+            for lang, source, c in audit.counts():
+                terms = audit.terms[lang]
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "source": [source] * len(c), "term": [terms[i] for i in c], "n": pa.array(list(c.values()), pa.int64())})
+
         for new, side, piece in stream:
             if new:
-                yield from audit.out()
+                yield from out()
                 audit = Audit()
             if not side:
                 e = piece.column("e")
@@ -159,14 +176,15 @@ def counted_by_chunk(docs: DataFrame, least: int) -> DataFrame:
             else:
                 for part in slices(pa.RecordBatch.from_struct_array(piece.column("d")), "__text"):
                     audit.read(part.column("lang").to_pylist(), part.column("source").to_pylist(), spaced(part.column("__text")))
-        yield from audit.out()
+        yield from out()
 
-    return meet(docs, entries, ["__chunk", "lang"], [], run, COUNTED)
+    counted = meet(docs, entries, ["__chunk", "lang"], [], run, "lang string, source string, term string, n long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
-def share(n: str) -> Column:
+def share(n: str, total: str = "total") -> Column:
     """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * vocabulary)), exactly."""
-    return F.expr(f"1 + (cast({SCALE} AS decimal(10, 0)) * cast({n} + {PRIOR} AS decimal(20, 0))) div cast(total + {PRIOR} * vocabulary AS decimal(20, 0))")
+    return F.expr(f"1 + (cast({SCALE} AS decimal(10, 0)) * cast({n} + {PRIOR} AS decimal(20, 0))) div cast({total} + {PRIOR} * vocabulary AS decimal(20, 0))")
 
 
 def apart(p: str, q: str) -> Column:
@@ -181,23 +199,22 @@ def divergence(df: DataFrame, lang: str = "lang", source: str = "source", text:
     local = docs.select(F.lit(0).cast("long").alias("__chunk"), "lang", "__text").mapInArrow(_vocabulary, "__chunk long, lang string, term string, df long")
     kept = stored(local.groupBy("lang", "term").agg(F.sum("df").alias("df")).filter(F.col("df") >= least).select("lang", "term"))
     size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + 1), F.lit(0))).first()[0]
-    counted = counted_whole(docs, kept) if size <= vocabulary_bytes else counted_by_chunk(docs, least)
-    posts = stored(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    posts = stored(counted_whole(docs, kept) if size <= vocabulary_bytes else counted_by_chunk(docs, least))
 
     sizes = kept.groupBy("lang").agg(F.count("*").alias("vocabulary"))
     totals = posts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     groups = docs.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["vocabulary", "total", "terms"])
-    groups = stored(groups.withColumn("zero", F.when(F.col("vocabulary") > 0, share("0")).otherwise(0)))
-    known = posts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "zero", share("n").alias("p"))
-    langs = totals.groupBy("lang").agg(F.sum("total").alias("total")).join(sizes, "lang")
-    known = stored(known.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "term"))))
+    groups = groups.withColumn("zero", F.when(F.col("vocabulary") > 0, share("0")).otherwise(0))
+    groups = stored(groups.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang"))))
+    known = posts.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "term"))).join(groups, ["lang", "source"])
+    known = stored(known.select("lang", "source", "term", "zero", share("n").alias("p"), share("`all`", "lang_total").alias("q")))
     group = Window.partitionBy("lang", "source")
 
-    more = known.join(langs, "lang").withColumn("q", share("`all`")).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart("p", "q").alias("value"))
+    more = known.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart("p", "q").alias("value"))
     more = more.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "item"))).filter(F.col("rank") <= top)
 
     # a source's terms where the other has none, by their different probabilities
-    alone = known.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
+    alone = known.drop("q").groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
     other = groups.select("lang", F.col("source").alias("other"), F.col("zero").alias("q"))
     alone = alone.join(other, "lang").filter("source <> other").groupBy("lang", "source", "other").agg(F.sum(F.col("m") * apart("p", "q")).alias("alone"))
     # terms that both have: what they are apart, instead of what was counted for each alone
