@@ -2,6 +2,8 @@
 
 index FOLDER OUT      brings an index up to date with the XML files below a folder
 upgrade FOLDER OUT    the same, and files of older versions anew
+backfill OUT          files of older versions anew by the paths that the index has, in batches that a stopped run goes on after
+compact OUT           an index as one segment; vacuum OUT drops what its newest snapshot doesn't list
 scan FILE OUT         matches of a file, as lines of JSON
 status OUT            counts of an index; errors OUT its error table
 tags ITEMS            tags of a catalog; page ITEMS numbered items after an id
@@ -26,7 +28,7 @@ from cellweave.plans import scan as plan
 from cellweave.session import session
 from cellweave.sources import xml_source
 
-COMMANDS = {"index": ("folder", "out"), "upgrade": ("folder", "out"), "scan": ("file", "out"), "status": ("out",), "errors": ("out",), "tags": ("items",), "page": ("items",), "queue": ("items",), "sizes": ("items",), "rank": ("items",)}
+COMMANDS = {"index": ("folder", "out"), "upgrade": ("folder", "out"), "backfill": ("out",), "compact": ("out",), "vacuum": ("out",), "scan": ("file", "out"), "status": ("out",), "errors": ("out",), "tags": ("items",), "page": ("items",), "queue": ("items",), "sizes": ("items",), "rank": ("items",)}
 
 
 def say(df: DataFrame) -> None:
@@ -46,13 +48,21 @@ def main(argv: list[str] | None = None) -> None:
     c.choices["scan"].add_argument("--items", help="catalog for titles")
     c.choices["tags"].add_argument("--like", default="")
     c.choices["page"].add_argument("--after", default="")
-    c.choices["upgrade"].add_argument("--version", type=int, default=saved_index.VERSION)
+    for name in ("upgrade", "backfill"):
+        c.choices[name].add_argument("--version", type=int, default=saved_index.VERSION)
+    c.choices["backfill"].add_argument("--max-files", type=int, default=0)
     for name in ("queue", "sizes"):
         c.choices[name].add_argument("--now", type=int, default=None)
     a = p.parse_args(argv)
     spark = session()
     if a.command in ("index", "upgrade"):
         print(json.dumps(saved_index.update(spark, a.folder, a.out, getattr(a, "version", saved_index.VERSION))))
+    elif a.command == "backfill":
+        print(json.dumps(saved_index.upgrade(spark, a.out, a.version, most=a.max_files)))
+    elif a.command == "compact":
+        print(json.dumps({"snapshot": saved_index.compact(spark, a.out).number}))
+    elif a.command == "vacuum":
+        print(json.dumps({"dropped": saved_index.vacuum(spark, a.out)}))
     elif a.command == "scan":
         rows = xml_source.parse_rows(spark.read.format("binaryFile").load(a.file))
         found = plan.scan(saved_index.load(spark, a.out), saved_index.xml_features(rows).withColumnRenamed("doc_id", "query_id"), a.limit)

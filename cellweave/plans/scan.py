@@ -7,19 +7,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.functions.hashing import hash60
 from cellweave.operators import gates, grid, postings, rank, search, sketch
 from cellweave.sources.store import stored
 
 
 @dataclass
 class Index:
-    """features (doc_id, channel, hash, cnt, x, y, z), postings, their frequencies, bands, and the number of files."""
+    """features (doc_id, channel, hash, cnt, x, y, z), postings, their frequencies, bands, the number of files, and the buckets' sizes.
+
+    Frequencies and sizes may come in signed parts, which are summed for the terms that a scan asks for.
+    """
 
     features: DataFrame
     postings: DataFrame
     df: DataFrame
     bands: DataFrame
     files: int
+    counts: DataFrame
 
 
 def channel_features(cells: DataFrame, flat: bool = False, axes: tuple[str, ...] = grid.AXES) -> DataFrame:
@@ -40,30 +45,37 @@ def build(features: DataFrame, files: int) -> Index:
     features = stored(features)
     posted = stored(postings.bottom_k(features))
     tokens = features.filter("channel IN ('g', 'w')").select("doc_id", F.concat_ws(":", "channel", "hash").alias("token"))
-    return Index(features, posted, stored(postings.document_frequency(posted)), stored(sketch.bands(sketch.signatures(tokens))), files)
+    banded = stored(sketch.bands(sketch.signatures(tokens)))
+    return Index(features, posted, stored(postings.document_frequency(posted)), banded, files, stored(banded.groupBy("bucket").agg(F.count("*").alias("df"))))
 
 
-def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: int = search.CANDIDATES) -> DataFrame:
+def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: int = search.CANDIDATES, probe_rows: int = search.PROBE_ROWS, total_rows: int = search.TOTAL_ROWS) -> DataFrame:
     """Ranked matches for queries (query_id, channel, hash, cnt, x, y, z).
 
-    Candidates come from shared buckets and rare postings; only they are compared on whole
-    bags.  One plan serves any number of queries.
+    Candidates come from shared buckets and rare postings within each query's budgets of rows; only
+    they are compared on whole bags.  One plan serves any number of queries.
     """
     queries = stored(queries)
     q = queries.withColumnRenamed("query_id", "doc_id")
-    sampled = postings.bottom_k(q).withColumnRenamed("doc_id", "query_id")
-    qb = sketch.bands(sketch.signatures(q.filter("channel IN ('g', 'w')").select("doc_id", F.concat_ws(":", "channel", "hash").alias("token")))).select(F.col("doc_id").alias("query_id"), "bucket")
-    votes = search.posting_votes(sampled, index.postings, index.files, search.TOTAL_ROWS).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files))
+    sampled = stored(search.interleaved(postings.bottom_k(q.filter("channel <> 't'")).withColumnRenamed("doc_id", "query_id"), hash60(F.col("hash"))))
+    qb = stored(sketch.bands(sketch.signatures(q.filter("channel IN ('g', 'w')").select("doc_id", F.concat_ws(":", "channel", "hash").alias("token")))).select(F.col("doc_id").alias("query_id"), "bucket"))
+    df = stored(search.frequencies(queries, index.df, ["channel", "hash"]))
+    sizes = stored(search.frequencies(qb, index.counts, ["bucket"]))
+    terms = search.probed(sampled.join(df, ["channel", "hash"]), qb.join(sizes, "bucket"), index.files, probe_rows, total_rows)
+    votes = search.term_votes(terms, index.postings, index.files).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files, sizes))
     chosen = stored(search.top_candidates(votes, candidates))
     theirs = stored(index.features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
     shared = stored(rank.bag_intersection(queries, theirs, chosen))
     cover = stored(rank.containment(queries, theirs, chosen))
-    rare = rank.rare_shared(shared, index.df, index.files)
+    rare = rank.rare_shared(shared, df, index.files)
     anchors = rare.filter("channel = 'g'").join(queries.select("query_id", "channel", "hash", *[F.col(a).alias(f"q{a}") for a in "xyz"]), ["query_id", "channel", "hash"]).join(theirs.select("doc_id", "channel", "hash", *[F.col(a).alias(f"d{a}") for a in "xyz"]), ["doc_id", "channel", "hash"])
     counts = rare.groupBy("query_id", "doc_id", "channel").agg(F.count("*").alias("rare_distinct"), F.sum("shared").alias("rare"))
     of = lambda d, key: d.filter("channel = 't'").groupBy(F.col(key).alias("id")).agg(F.sum("cnt").alias("components"))
     components = of(queries, "query_id").union(of(theirs, "doc_id")).groupBy("id").agg(F.max("components").alias("components"))
     wide = gates.small_exact(rank.wide(cover, counts, rank.aligned_cluster(anchors)), rank.same_bags(queries, theirs), components).filter(rank.reportable(F.col("small_exact")))
-    scored = wide.join(rank.combined_score(cover, queries), ["query_id", "doc_id"]).join(chosen.select("query_id", "doc_id", "rank", "votes"), ["query_id", "doc_id"])
-    labelled = scored.withColumn("confidence", rank.confidence()).withColumn("partial", rank.partial()).withColumn("status", rank.status(F.col("confidence"), rank.semantic()))
+    # without geometry, a query's controllers need no other evidence
+    shape = queries.groupBy("query_id").agg(F.max((F.col("channel") == "g").cast("int")).cast("boolean").alias("has_geometry"))
+    scored = wide.join(shape, "query_id").join(rank.combined_score(cover, queries), ["query_id", "doc_id"]).join(chosen.select("query_id", "doc_id", "rank", "votes"), ["query_id", "doc_id"])
+    has = F.col("has_geometry")
+    labelled = scored.withColumn("confidence", rank.confidence(has)).withColumn("partial", rank.partial()).withColumn("status", rank.status(F.col("confidence"), rank.semantic(has)))
     return rank.ordered(labelled, limit)

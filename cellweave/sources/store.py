@@ -50,6 +50,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it isn't there."""
+    at, fs = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, _ = _file_system(spark, path)
+    return spark.read.text(str(at.toString()), wholetext=True).first()[0]
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that isn't there yet, whole or not at all: a hidden file is renamed, which fails where the name is taken."""
+    jvm, (at, fs) = spark._jvm, _file_system(spark, path)
+    fresh, _ = _file_system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(fresh, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, at, rename)
+    except Exception:
+        fs.delete(fresh, False)
+        raise
+
+
 def promote(spark: SparkSession, fresh: str, target: str) -> None:
     """Puts a finished folder in the place of another by renames: the old one is kept beside it until the new one stands, and comes back if that fails."""
     new, fs = _file_system(spark, fresh)
