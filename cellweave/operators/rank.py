@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators import clusters
 from cellweave.operators.postings import rare_limit
 
 #: Weights of the channels in the combined score; t are the component types.
@@ -53,36 +54,17 @@ def rare_counts(shared: DataFrame, df: DataFrame, n: int) -> DataFrame:
 
 
 def largest_cluster_of(points: set[tuple[int, int, int]]) -> int:
-    """Most points that hang together: steps of at most 2 on an axis and 3 in all."""
-    steps = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if 0 < abs(a) + abs(b) + abs(c) <= 3]
-    left, best = set(points), 0
-    while left:
-        edge, n = [left.pop()], 0
-        while edge:
-            x, y, z = edge.pop()
-            n += 1
-            near = left.intersection((x + a, y + b, z + c) for a, b, c in steps)
-            left -= near
-            edge.extend(near)
-        best = max(best, n)
-    return best
-
-
-def largest_cluster(points: str) -> Column:
-    """array<struct<x,y,z>> -> size of the largest cluster."""
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda ps: 0 if ps is None else largest_cluster_of({(int(p["x"]), int(p["y"]), int(p["z"])) for p in ps})).astype("int32")
-
-    return F.pandas_udf(run, "int")(F.col(points))
+    """The same of a few points in memory."""
+    at = {p: i for i, p in enumerate(sorted(points))}
+    edges = [(i, at[q]) for (x, y, z), i in at.items() for a, b, c in clusters.steps() if (q := (x + a, y + b, z + c)) in at]
+    return int(np.bincount(clusters.united(len(at), *np.array(edges, np.int64).reshape(-1, 2).T)).max()) if at else 0
 
 
 def aligned_cluster(anchors: DataFrame) -> DataFrame:
     """(query_id, doc_id, cluster): of the anchors (qx, qy, qz, dx, dy, dz) with one shift, the largest cluster on the query's side."""
     shift = [(F.col(f"d{a}") - F.col(f"q{a}")).alias(f"s{a}") for a in "xyz"]
-    at = F.struct(*[F.col(f"q{a}").alias(a) for a in "xyz"])
-    g = anchors.dropna().groupBy("query_id", "doc_id", *shift).agg(F.collect_set(at).alias("points"))
-    return g.withColumn("cluster", largest_cluster("points")).groupBy("query_id", "doc_id").agg(F.max("cluster").alias("cluster"))
+    points = anchors.dropna().select("query_id", "doc_id", *shift, *[F.col(f"q{a}").alias(a) for a in "xyz"])
+    return clusters.largest(points, ["query_id", "doc_id", "sx", "sy", "sz"]).groupBy("query_id", "doc_id").agg(F.max("cluster").alias("cluster"))
 
 
 def combined_score(channels: DataFrame, queries: DataFrame) -> DataFrame:

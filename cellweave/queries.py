@@ -8,12 +8,13 @@ type a tag, a value a size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import hashing, text
-from cellweave.operators import catalog, gates, grid, overlay, postings, rank, report, search, semantics, sketch
+from cellweave.operators import catalog, clusters, gates, grid, overlay, postings, rank, report, search, semantics, sketch
 from cellweave.plans import scan as plan
 from cellweave.sources import folders
 from cellweave.sources.store import stored
@@ -78,34 +79,40 @@ def word_cells(spark, d, name="documents", key="doc_id"):
     return grid.document_grid(table(spark, d, name), key)
 
 
-#: Tables that a session has saved, by what they hold and of which folder: an index is built once and read by many scans.
-_SAVED: dict[tuple, object] = {}
+class Made:
+    """What one call of a query makes of the tables, each at most once; nothing outlives the call's result."""
 
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
 
-def saved(spark, d, what: str, make):
-    key = (spark.sparkContext.applicationId, d, what)
-    if key not in _SAVED:
-        _SAVED[key] = make()
-    return _SAVED[key]
+    def _runs(self, name: str, key: str) -> DataFrame:
+        return stored(grid.winnow_features(word_cells(self.spark, self.d, name, key), axes=("x",)))
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        return self._runs("documents", "doc_id")
 
-def runs_of(spark, d, name="documents", key="doc_id"):
-    return saved(spark, d, f"winnow {name}", lambda: stored(grid.winnow_features(word_cells(spark, d, name, key), axes=("x",))))
+    @cached_property
+    def passages(self) -> DataFrame:
+        return self._runs("benchmark", "item_id")
 
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return stored(sketch.signatures(self.runs.withColumnRenamed("hash", "token")))
 
-def signed(spark, d):
-    return saved(spark, d, "signatures", lambda: stored(sketch.signatures(runs_of(spark, d).withColumnRenamed("hash", "token"))))
+    @cached_property
+    def bags(self) -> tuple[DataFrame, DataFrame]:
+        """Winnowing features of benchmark passages, as queries, and of documents."""
+        docs = self.runs.select("doc_id", F.lit("w").alias("channel"), "hash", "cnt")
+        return self.passages.select(F.col("doc_id").alias("query_id"), F.lit("w").alias("channel"), "hash", "cnt"), docs
 
+    @cached_property
+    def posted(self) -> DataFrame:
+        return stored(postings.bottom_k(self.bags[1]))
 
-def bags(spark, d):
-    """Winnowing features of documents and, as queries, of benchmark passages."""
-    docs = runs_of(spark, d).select("doc_id", F.lit("w").alias("channel"), "hash", "cnt")
-    q = runs_of(spark, d, "benchmark", "item_id").select(F.col("doc_id").alias("query_id"), F.lit("w").alias("channel"), "hash", "cnt")
-    return q, docs
-
-
-def n_docs(spark, d) -> int:
-    return saved(spark, d, "files", lambda: table(spark, d, "documents").count())
+    @cached_property
+    def files(self) -> int:
+        return table(self.spark, self.d, "documents").count()
 
 
 def item_rows(spark, d):
@@ -249,7 +256,8 @@ def kgrams(spark, d):
 
 @query(f"WITH {tok()}, {win()} SELECT doc_id, hash, cnt, loc[1] AS x, loc[2] AS y FROM wf")
 def winnow_features(spark, d):
-    return runs_of(spark, d).select("doc_id", "hash", "cnt", "x", "y")
+    m = Made(spark, d)
+    return m.runs.select("doc_id", "hash", "cnt", "x", "y")
 
 
 # -- sketches
@@ -257,44 +265,49 @@ def winnow_features(spark, d):
 
 @query(f"WITH {tok()}, {win()}, {PERMS}, {MINH} SELECT doc_id, i, m FROM sg")
 def minhash_signature(spark, d):
-    return signed(spark, d).select("doc_id", F.posexplode("sig").alias("i", "m"))
+    m = Made(spark, d)
+    return m.signatures.select("doc_id", F.posexplode("sig").alias("i", "m"))
 
 
 @query(f"WITH {tok()}, {win()}, {PERMS}, {MINH}, {BAND} SELECT doc_id, band, bucket FROM bd")
 def lsh_bands(spark, d):
-    return sketch.bands(signed(spark, d))
+    m = Made(spark, d)
+    return sketch.bands(m.signatures)
 
 
 _PAIR = f"WITH {tok()}, {win()}, {PERMS}, {MINH}, {BAND}, bk AS (SELECT bucket FROM bd GROUP BY 1 HAVING count(*) <= (SELECT greatest(32, least(2000, ceil(0.02 * count(*)))) FROM documents)), pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM bd a JOIN bk USING (bucket) JOIN bd b USING (bucket) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)"
 
 
-def _pairs(spark, d):
-    n = n_docs(spark, d)
-    return sketch.candidate_pairs(sketch.bands(signed(spark, d)), cutoff=max(32, min(2000, -(-n // 50))))
+def _pairs(m):
+    n = m.files
+    return sketch.candidate_pairs(sketch.bands(m.signatures), cutoff=max(32, min(2000, -(-n // 50))))
 
 
 @query(f"{_PAIR} SELECT a, b, shared FROM pr")
 def lsh_candidate_pairs(spark, d):
-    return _pairs(spark, d)
+    return _pairs(Made(spark, d))
 
 
 @query(f"{_PAIR} SELECT a, b, (SELECT count(*) FROM sg x JOIN sg y ON x.i = y.i AND x.m = y.m WHERE x.doc_id = a AND y.doc_id = b) / 64.0::DOUBLE AS likeness FROM pr")
 def jaccard_estimate(spark, d):
-    s = signed(spark, d)
-    p = _pairs(spark, d).select("a", "b")
+    m = Made(spark, d)
+    s = m.signatures
+    p = _pairs(m).select("a", "b")
     j = p.join(s.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     return j.select("a", "b", sketch.estimate(F.col("sa"), F.col("sb")).alias("likeness"))
 
 
 @query(f"{_PAIR}, nn AS (SELECT doc_id, count(*) AS n FROM wf GROUP BY 1), bt AS (SELECT a, b, count(*) AS bth FROM pr JOIN wf x ON x.doc_id = a JOIN wf y ON y.doc_id = b AND y.hash = x.hash GROUP BY 1, 2) SELECT a, b, coalesce(bth, 0)::BIGINT AS shared, coalesce(bth, 0)::DOUBLE / (x.n + y.n - coalesce(bth, 0)) AS jaccard FROM pr LEFT JOIN bt USING (a, b) JOIN nn x ON x.doc_id = a JOIN nn y ON y.doc_id = b")
 def jaccard_exact(spark, d):
-    return sketch.exact_jaccard(_pairs(spark, d), runs_of(spark, d), token="hash").withColumnRenamed("both", "shared")
+    m = Made(spark, d)
+    return sketch.exact_jaccard(_pairs(m), m.runs, token="hash").withColumnRenamed("both", "shared")
 
 
 @query()
 def sketch_compatible(spark, d):
     """Signatures and bands with the published BLAKE2b constants (no SQL has that hash)."""
-    t = runs_of(spark, d).groupBy("doc_id").agg(F.collect_set(F.concat(F.lit("w:"), "hash")).alias("tokens"))
+    m = Made(spark, d)
+    t = m.runs.groupBy("doc_id").agg(F.collect_set(F.concat(F.lit("w:"), "hash")).alias("tokens"))
     s = t.select("doc_id", hashing.minhash(hashing.compatible_values("tokens"), hashing.compatible_permutations()).alias("sig"))
     return s.select("doc_id", "sig", hashing.compatible_buckets("sig").alias("buckets"))
 
@@ -306,35 +319,36 @@ _SAMPLE = f"WITH {tok()}, {win()}, rk AS (SELECT doc_id, hash, count(*) OVER (PA
 _CUT = "(SELECT greatest(32, least(2000, ceil(0.02 * count(*)))) FROM documents)"
 
 
-def _posted(spark, d):
-    return saved(spark, d, "postings", lambda: stored(postings.bottom_k(bags(spark, d)[1])))
-
-
 @query(f"{_SAMPLE} SELECT doc_id, 'w' AS channel, hash FROM ps")
 def bottom_k_sample(spark, d):
-    return _posted(spark, d)
+    m = Made(spark, d)
+    return m.posted
 
 
 @query(f"{_SAMPLE} SELECT 'w' AS channel, hash, df FROM df")
 def document_frequency(spark, d):
-    return postings.document_frequency(_posted(spark, d))
+    m = Made(spark, d)
+    return postings.document_frequency(m.posted)
 
 
 @query(f"{_SAMPLE} SELECT 'w' AS channel, hash, least(df, 3) AS df FROM df")
 def capped_document_frequency(spark, d):
-    return postings.document_frequency(_posted(spark, d), cap=2)
+    m = Made(spark, d)
+    return postings.document_frequency(m.posted, cap=2)
 
 
 @query(f"{_SAMPLE} SELECT doc_id, count(*) AS rare FROM ps JOIN df USING (hash) WHERE df <= (SELECT greatest(2, count(*) // 100) FROM documents) GROUP BY 1")
 def rare_features(spark, d):
-    p = _posted(spark, d)
-    df = postings.document_frequency(p).filter(F.col("df") <= postings.rare_limit(n_docs(spark, d)))
+    m = Made(spark, d)
+    p = m.posted
+    df = postings.document_frequency(p).filter(F.col("df") <= postings.rare_limit(m.files))
     return p.join(df, ["channel", "hash"]).groupBy("doc_id").agg(F.count("*").alias("rare"))
 
 
 @query(f"{_SAMPLE} SELECT hash, df FROM df WHERE df > {_CUT}")
 def frequency_cutoff_filter(spark, d):
-    return postings.document_frequency(_posted(spark, d)).filter(F.col("df") > postings.frequency_cutoff(n_docs(spark, d))).select("hash", "df")
+    m = Made(spark, d)
+    return postings.document_frequency(m.posted).filter(F.col("df") > postings.frequency_cutoff(m.files)).select("hash", "df")
 
 
 def _files(spark, d, changed: bool):
@@ -379,8 +393,9 @@ _VOTE = f"vt AS (SELECT q.doc_id AS query_id, p.doc_id, sum(1.5 * (1 + greatest(
 
 @query(f"{_Q}, {_VOTE} SELECT query_id, doc_id, round(votes, 6) AS votes FROM vt")
 def posting_votes(spark, d):
-    q, _ = bags(spark, d)
-    return search.posting_votes(q, _posted(spark, d), n_docs(spark, d)).withColumn("votes", F.round("votes", 6))
+    m = Made(spark, d)
+    q, _ = m.bags
+    return search.posting_votes(q, m.posted, m.files).withColumn("votes", F.round("votes", 6))
 
 
 _QS = MINH.replace("wf", "qwf").replace("tv", "qtv").replace("sg AS", "qsg AS")
@@ -388,20 +403,23 @@ _QS = MINH.replace("wf", "qwf").replace("tv", "qtv").replace("sg AS", "qsg AS")
 
 @query(f"WITH {tok()}, {win()}, {PERMS}, {MINH}, {BAND}, {tok('benchmark', 'item_id', 'q')}, {win('q')}, {_QS}, {BAND.replace('bd AS', 'qbd AS').replace('FROM sg', 'FROM qsg')}, lv AS (SELECT bucket FROM bd GROUP BY 1 HAVING count(*) <= {_CUT}) SELECT q.doc_id AS query_id, b.doc_id, count(*) * 8.0::DOUBLE AS votes FROM qbd q JOIN lv USING (bucket) JOIN bd b USING (bucket) GROUP BY 1, 2")
 def lsh_votes(spark, d):
-    qs = sketch.bands(sketch.signatures(runs_of(spark, d, "benchmark", "item_id").withColumnRenamed("hash", "token"))).select(F.col("doc_id").alias("query_id"), "bucket")
-    return search.bucket_votes(qs, sketch.bands(signed(spark, d)).select("doc_id", "bucket"), n_docs(spark, d))
+    m = Made(spark, d)
+    qs = sketch.bands(sketch.signatures(m.passages.withColumnRenamed("hash", "token"))).select(F.col("doc_id").alias("query_id"), "bucket")
+    return search.bucket_votes(qs, sketch.bands(m.signatures).select("doc_id", "bucket"), m.files)
 
 
 @query(f"{_Q}, {_VOTE} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(votes, 6) DESC, doc_id)::INT AS rank FROM vt) WHERE rank <= 150")
 def candidate_topk(spark, d):
-    q, _ = bags(spark, d)
-    votes = search.posting_votes(q, _posted(spark, d), n_docs(spark, d)).withColumn("votes", F.round("votes", 6))
+    m = Made(spark, d)
+    q, _ = m.bags
+    votes = search.posting_votes(q, m.posted, m.files).withColumn("votes", F.round("votes", 6))
     return search.top_candidates(votes).select("query_id", "doc_id", "rank")
 
 
 @query(f"{_BAG} SELECT query_id, doc_id, 'w' AS channel, hash, shared FROM sh")
 def bag_intersection_overlap(spark, d):
-    return rank.bag_intersection(*bags(spark, d))
+    m = Made(spark, d)
+    return rank.bag_intersection(*m.bags)
 
 
 _COVER = f"{_BAG}, cv AS (SELECT query_id, doc_id, sum(shared)::BIGINT AS shared, count(*) AS distinct_shared, 100.0::DOUBLE * sum(shared) / any_value(o.n) AS query_pct, 100.0::DOUBLE * sum(shared) / any_value(t.n) AS doc_pct FROM sh JOIN (SELECT doc_id AS query_id, sum(cnt) AS n FROM qwf GROUP BY 1) o USING (query_id) JOIN (SELECT doc_id, sum(cnt) AS n FROM wf GROUP BY 1) t USING (doc_id) GROUP BY 1, 2)"
@@ -409,13 +427,15 @@ _COVER = f"{_BAG}, cv AS (SELECT query_id, doc_id, sum(shared)::BIGINT AS shared
 
 @query(f"{_COVER} SELECT query_id, doc_id, 'w' AS channel, shared, distinct_shared, query_pct, doc_pct FROM cv")
 def directional_containment(spark, d):
-    return rank.containment(*bags(spark, d))
+    m = Made(spark, d)
+    return rank.containment(*m.bags)
 
 
 @query(f"{_COVER}, qt AS (SELECT doc_id, word, count(*) AS cnt FROM qcell GROUP BY 1, 2), dt AS (SELECT doc_id, word, count(*) AS cnt FROM cell GROUP BY 1, 2), ty AS (SELECT q.doc_id AS query_id, t.doc_id, 100.0::DOUBLE * sum(least(q.cnt, t.cnt)) / any_value(o.n) AS pct FROM qt q JOIN dt t USING (word) JOIN (SELECT doc_id, sum(cnt) AS n FROM qt GROUP BY 1) o ON o.doc_id = q.doc_id GROUP BY 1, 2), hw AS (SELECT DISTINCT doc_id AS query_id FROM qwf) SELECT query_id, doc_id, round((coalesce(cv.query_pct, 0) * 0.2::DOUBLE + coalesce(ty.pct, 0) * 0.1::DOUBLE) / (CASE WHEN hw.query_id IS NULL THEN 0.1::DOUBLE ELSE 0.2::DOUBLE + 0.1::DOUBLE END), 6) AS combined FROM cv FULL JOIN ty USING (query_id, doc_id) LEFT JOIN hw USING (query_id)")
 def combined_similarity(spark, d):
     """Weighted coverage over the winnowing and type channels."""
-    q, docs = bags(spark, d)
+    m = Made(spark, d)
+    q, docs = m.bags
     types = lambda name, key, out: grid.component_types(word_cells(spark, d, name, key)).select(F.col("doc_id").alias(out), F.lit("t").alias("channel"), F.col("kind").alias("hash"), "cnt")
     q, docs = q.unionByName(types("benchmark", "item_id", "query_id")), docs.unionByName(types("documents", "doc_id", "doc_id"))
     return rank.combined_score(rank.containment(q, docs), q).withColumn("combined", F.round("combined", 6))
@@ -426,15 +446,17 @@ _RARE = f"{_Q}, ra AS (SELECT q.doc_id AS query_id, w.doc_id, count(*) AS rare_d
 
 @query(f"{_RARE} SELECT query_id, doc_id, rare_distinct, rare FROM ra")
 def rare_shared_counts(spark, d):
-    q, docs = bags(spark, d)
-    df = postings.document_frequency(_posted(spark, d))
-    return rank.rare_counts(rank.bag_intersection(q, docs), df, n_docs(spark, d)).select("query_id", "doc_id", "rare_distinct", "rare")
+    m = Made(spark, d)
+    q, docs = m.bags
+    df = postings.document_frequency(m.posted)
+    return rank.rare_counts(rank.bag_intersection(q, docs), df, m.files).select("query_id", "doc_id", "rare_distinct", "rare")
 
 
 @query(f"{_Q} SELECT query_id, doc_id, hash, place, shared FROM (SELECT q.doc_id AS query_id, w.doc_id, hash, least(q.cnt, w.cnt) AS shared, row_number() OVER (PARTITION BY q.doc_id, w.doc_id ORDER BY coalesce(df, (SELECT count(*) FROM documents) + 1), least(q.cnt, w.cnt) DESC, hash)::INT AS place FROM qwf q JOIN wf w USING (hash) LEFT JOIN df USING (hash)) WHERE place <= 2")
 def evidence_topn(spark, d):
-    q, docs = bags(spark, d)
-    return rank.evidence(rank.bag_intersection(q, docs), postings.document_frequency(_posted(spark, d)), n_docs(spark, d)).select("query_id", "doc_id", "hash", "place", "shared")
+    m = Made(spark, d)
+    q, docs = m.bags
+    return rank.evidence(rank.bag_intersection(q, docs), postings.document_frequency(m.posted), m.files).select("query_id", "doc_id", "hash", "place", "shared")
 
 
 @query("""WITH m AS (SELECT l_orderkey AS doc_id, count(*) * 7 AS shared, sum(l_quantity) / 2 AS query_pct, count(*) AS winnow, (max(l_linenumber) - 1)::BIGINT AS micro, (count(*) * 5)::BIGINT AS rare_g, max(l_linenumber)::BIGINT AS rare_w, min(l_linenumber)::BIGINT AS rare_l, max(l_linenumber)::BIGINT AS rare_m, (count(*) * 2)::BIGINT AS cluster FROM lineitem GROUP BY 1),
@@ -450,12 +472,15 @@ def confidence_label(spark, d):
     return m.select("doc_id", "partial", "semantic", "confidence", "status", rank.certainty(F.lit(True), F.col("status"), F.lit(1), F.lit(1), F.col("micro"), F.col("shared"), F.col("confidence")).alias("certainty"))
 
 
+def passage_features(spark, d):
+    return plan.text_features(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
+
+
 @query()
 def scan_report(spark, d):
     """All passages against all documents: candidates, containment, aligned clusters, labels, best five."""
-    index = saved(spark, d, "index", lambda: plan.build(plan.text_features(table(spark, d, "documents")), n_docs(spark, d)))
-    q = plan.text_features(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
-    return plan.scan(index, q).select("query_id", "place", "doc_id", "confidence", "status", "shared", "winnow", "query_pct", "doc_pct", "combined", "cluster")
+    m = Made(spark, d)
+    return plan.scan(plan.build(plan.text_features(table(spark, d, "documents")), m.files), passage_features(spark, d)).select("query_id", "place", "doc_id", "confidence", "status", "shared", "winnow", "query_pct", "doc_pct", "combined", "cluster")
 
 
 # -- space
@@ -495,15 +520,21 @@ SELECT g, max(n)::INT AS cluster FROM (SELECT g, l, count(*) AS n FROM l GROUP B
 def largest_cluster(spark, d):
     """Largest cluster of each customer's orders, placed by number."""
     k = F.col("o_orderkey")
-    p = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("g")).agg(F.collect_set(F.struct((k % 64).alias("x"), (F.floor(k / 64) % 64).alias("y"), F.lit(0).cast("long").alias("z"))).alias("points"))
-    return p.select("g", rank.largest_cluster("points").alias("cluster"))
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), (k % 64).alias("x"), (F.floor(k / 64) % 64).alias("y"), F.lit(0).cast("long").alias("z"))
+    return clusters.largest(p, ["g"])
 
 
-@query()
+@query(f"""{_Q.replace("WITH ", "WITH RECURSIVE ", 1)}, an AS MATERIALIZED (SELECT DISTINCT q.doc_id AS query_id, w.doc_id, w.loc[2] - q.loc[2] AS sx, w.loc[1] - q.loc[1] AS sy, q.loc[2] AS x, q.loc[1] AS y FROM qwf q JOIN wf w USING (hash) JOIN df USING (hash) WHERE df <= (SELECT greatest(2, count(*) // 100) FROM documents)),
+gp AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY query_id, doc_id, sx, sy) AS g FROM an),
+e AS MATERIALIZED (SELECT a.g, (a.x, a.y) AS a, (b.x, b.y) AS b FROM gp a JOIN gp b ON a.g = b.g AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) + abs(a.y - b.y) <= 3),
+r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b),
+l AS (SELECT g, a, min(b) AS l FROM r GROUP BY 1, 2)
+SELECT query_id, doc_id, max(n)::INT AS cluster FROM (SELECT g, l, count(*) AS n FROM l GROUP BY 1, 2) JOIN (SELECT DISTINCT g, query_id, doc_id FROM gp) USING (g) GROUP BY 1, 2""")
 def aligned_cluster(spark, d):
     """Largest clusters of shared rare places with one shift, passages against documents."""
-    docs, q = runs_of(spark, d), runs_of(spark, d, "benchmark", "item_id")
-    df = postings.document_frequency(_posted(spark, d)).filter(F.col("df") <= postings.rare_limit(n_docs(spark, d))).select("hash")
+    m = Made(spark, d)
+    docs, q = m.runs, m.passages
+    df = postings.document_frequency(m.posted).filter(F.col("df") <= postings.rare_limit(m.files)).select("hash")
     a = q.select(F.col("doc_id").alias("query_id"), "hash", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")).join(df, "hash").join(docs.select("doc_id", "hash", F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("z").alias("dz")), "hash")
     return rank.aligned_cluster(a)
 
@@ -695,7 +726,8 @@ def projection(spark, d):
 
 @query(f"{_COVER} SELECT query_id, doc_id, 'Winnowing: ' || format('{{:,}}', shared) || ' (' || printf('%.1f', query_pct) || '% of input)' AS matched FROM cv")
 def matched_data(spark, d):
-    return report.matched_data(rank.containment(*bags(spark, d)))
+    m = Made(spark, d)
+    return report.matched_data(rank.containment(*m.bags))
 
 
 @query("WITH f AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 50 = 1 THEN 'q' ELSE 'g' END AS channel, CASE WHEN o_orderkey % 40 = 3 THEN 'short' ELSE substr(sha256(o_orderkey::VARCHAR), 1, 24) END AS hash, o_orderkey % 30 AS cnt, o_orderkey * 70000 AS x FROM orders), b AS (SELECT doc_id, min(CASE WHEN channel NOT IN ('g') THEN 'channel' WHEN NOT regexp_full_match(hash, '[0-9a-f]{24}') THEN 'hash' WHEN cnt NOT BETWEEN 1 AND 500000 THEN 'count' WHEN abs(x) > 1000000000 THEN 'position' END) AS bad, count(*) - count(DISTINCT (channel, hash)) AS repeats FROM f GROUP BY 1) SELECT doc_id, coalesce(bad, CASE WHEN repeats > 0 THEN 'repeats' END) AS error FROM b WHERE bad IS NOT NULL OR repeats > 0")
@@ -767,14 +799,16 @@ def payload_codec(spark, d):
 @query(f"{_Q}, t AS (SELECT q.doc_id AS query_id, hash, df, sum(df) OVER (PARTITION BY q.doc_id ORDER BY df, hash ROWS UNBOUNDED PRECEDING) AS upto FROM qwf q JOIN df USING (hash) WHERE df <= {_CUT}) SELECT query_id, 'w' AS channel, hash, df, CASE WHEN df <= 32 THEN 32 WHEN df <= 128 THEN 128 WHEN df <= 512 THEN 512 ELSE 0 END::INT AS tier FROM t WHERE upto <= 40")
 def budgeted_terms(spark, d):
     """Rare terms first, within 40 postings a query."""
-    q, _ = bags(spark, d)
-    df = postings.document_frequency(_posted(spark, d)).filter(F.col("df") <= postings.frequency_cutoff(n_docs(spark, d)))
+    m = Made(spark, d)
+    q, _ = m.bags
+    df = postings.document_frequency(m.posted).filter(F.col("df") <= postings.frequency_cutoff(m.files))
     return gates.budgeted_terms(q.select("query_id", "channel", "hash").join(df, ["channel", "hash"]), 40).select("query_id", "channel", "hash", "df", "tier")
 
 
 @query(f"{_BAG}, qn AS (SELECT doc_id, count(*) AS c FROM qcell GROUP BY 1), dn AS (SELECT doc_id, count(*) AS c FROM cell GROUP BY 1), qb AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM qwf GROUP BY 1), db AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM wf GROUP BY 1), pr AS (SELECT DISTINCT query_id, doc_id FROM sh) SELECT query_id, pr.doc_id, qb.bag = db.bag AND qn.c = dn.c AS small_exact FROM pr JOIN qb ON qb.doc_id = query_id JOIN db ON db.doc_id = pr.doc_id JOIN qn ON qn.doc_id = query_id JOIN dn ON dn.doc_id = pr.doc_id")
 def small_exact_gate(spark, d):
-    q, docs = bags(spark, d)
+    m = Made(spark, d)
+    q, docs = m.bags
     pairs = rank.bag_intersection(q, docs).select("query_id", "doc_id").distinct()
     n = lambda name, key, p: word_cells(spark, d, name, key).groupBy("doc_id").agg(F.count("*").alias("components")).select(F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("id"), "components")
     told = pairs.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
@@ -865,14 +899,16 @@ def certainty_label(spark, d):
 
 @query(f"{_BAG}, df AS (SELECT hash, count(DISTINCT doc_id) AS df FROM wf GROUP BY 1), lim AS (SELECT greatest(20, count(*) // 10) AS lim, count(*) AS n FROM documents), kn AS (SELECT q.doc_id AS query_id, hash, df, df <= lim AS rare, n FROM (SELECT DISTINCT doc_id, hash FROM qwf) q JOIN df USING (hash), lim), rk AS (SELECT *, bool_or(rare) OVER (PARTITION BY query_id) AS anyr, row_number() OVER (PARTITION BY query_id ORDER BY rare DESC, df, hash) AS k FROM kn), tm AS (SELECT * FROM rk WHERE (anyr AND rare AND k <= 300) OR (NOT anyr AND k <= 100)), v AS (SELECT query_id, w.doc_id, sum(1 + ln((n + 1) / (df + 1)::DOUBLE)) AS votes FROM tm JOIN wf w USING (hash) GROUP BY 1, 2) SELECT query_id, doc_id, round(votes, 6) AS votes FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, doc_id) <= 80")
 def legacy_candidates(spark, d):
-    q, docs = bags(spark, d)
-    return search.older_candidates(q, docs, n_docs(spark, d)).select("query_id", "doc_id", F.round("votes", 6).alias("votes"))
+    m = Made(spark, d)
+    q, docs = m.bags
+    return search.older_candidates(q, docs, m.files).select("query_id", "doc_id", F.round("votes", 6).alias("votes"))
 
 
 @query(f"WITH {tok()}, {win()}, bg AS (SELECT doc_id, sha256(string_agg(hash || ':' || cnt, ',' ORDER BY hash || ':' || cnt)) AS bag FROM wf GROUP BY 1) SELECT a.doc_id AS query_id, b.doc_id FROM bg a JOIN bg b USING (bag) WHERE a.doc_id <> b.doc_id AND a.doc_id % 100 = 0")
 def small_exact_copy(spark, d):
     """Documents with the bag of one whose id is divisible by 100."""
-    docs = runs_of(spark, d).select("doc_id", F.lit("w").alias("channel"), "hash", "cnt")
+    m = Made(spark, d)
+    docs = m.runs.select("doc_id", F.lit("w").alias("channel"), "hash", "cnt")
     q = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     return rank.same_bags(q, docs, "w").filter("query_id <> doc_id")
 
