@@ -22,7 +22,8 @@ MANY spans are split by longer grams around the anchor: spans that share a windo
 share one of those.
 
 Defined cases: null text is empty; a row without id comes after all others, and rows
-of one id (or without) don't take from each other; texts under LENGTH bytes lose
+of one id (or without), equal ones too, don't take from each other; an equal row's spans
+are made once, however many there are; ids that aren't whole numbers come in their own order; texts under LENGTH bytes lose
 nothing; an empty table gives no rows.
 """
 
@@ -35,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.llm.common import documents, slices, stored, text_of
 from cellweave.llm.jaccard_join import _P, _PINV, _mix, _powers
@@ -603,10 +605,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _ordered(docs: DataFrame) -> DataFrame:
+    """docs plus ord, a whole number in the order of doc_id, the largest for null: whole numbers as they are, ids of other types by their place in a range sort."""
+    last = F.lit((1 << 63) - 1)
+    if isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), last))
+    ids = stored(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    ids = stored(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("ord", F.monotonically_increasing_id()))
+    return docs.join(ids, "doc_id", "left").withColumn("ord", F.coalesce("ord", last))
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows as (doc_id, rid, __text, spans): spans are the byte ranges (a, b) to remove, unmerged; null for none."""
-    docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "__text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    """df's rows as (doc_id, rid, __text, spans): spans are the byte ranges (a, b) to remove, unmerged and each once; null for none.
+
+    Ids of any type that sorts go; rows of one id, equal ones too, remove nothing from each other; a null id comes after all.
+    """
+    docs = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text")).withColumn("rid", F.xxhash64("doc_id", "__text"))
+    docs = _ordered(docs)
     # a copy of a whole text goes whole, and takes no part in what follows
     whole = docs.select("rid", "ord", F.md5("__text").alias("sum"), F.octet_length("__text").alias("n"))
     firsts = stored(whole.groupBy("sum").agg(F.min("ord").alias("least"), F.max("ord").alias("last")).filter("last > least"))
@@ -614,7 +629,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.withColumn("td", F.xxhash64("__text"))
     # anchors are dealt with a text's digest only, which its copies share
     several = _in_several(_anchored(docs.select("td", "__text"))).groupBy("td").agg(F.collect_set("h").alias("hashes"))
-    live = stored(docs.select("rid", "td").join(copies.select("rid"), "rid", "left_anti").join(several, "td").select("rid", "hashes"))
+    live = stored(docs.select("rid", "td").distinct().join(copies.select("rid"), "rid", "left_anti").join(several, "td").select("rid", "hashes"))
     spans = stored(_spans(docs.select("rid", "ord", "__text").join(live, "rid")))
     distinct = stored(spans.groupBy("h", "sd").agg(F.max("span").alias("span"), F.max("off").alias("off"), F.min("ord").alias("own"), F.max("ord").alias("top")).select("h", "sd", "off", "span", "own", "top"))
     few, split = _grouped(distinct.drop("top"))
@@ -627,7 +642,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = stored(later.join(least, ["h", "sd"], "full_outer"))
     rows = spans.select("h", "sd", "ord", "rid", "first").join(known, ["h", "sd"]).filter("ord > own OR least IS NOT NULL")
     entire = copies.filter(F.col("n") >= LENGTH).select("rid", F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))
-    gone = stored(_removed(rows).union(entire).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    gone = stored(_removed(rows).union(entire).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     return docs.join(gone, "rid", "left").select("doc_id", "rid", "__text", "spans")
 
 
