@@ -19,8 +19,9 @@ cells (at most PARTS), and only inside a cell are documents ranked by a window.
 third of all rows, or a third of rows of one size, is spread over many tasks.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source of
-its own and comes last; rows without doc_id rank last in their cell; repeated rows
-are separate documents; an empty table gives no rows; a source of size 0 has target 0.
+its own and comes last; rows without doc_id go to hash parts by their text and rank last in their
+cell; rows of one id and size are in the order of a digest of their texts, so that reruns
+emit the same ones; repeated rows are separate documents, of which it doesn't matter which is emitted; an empty table gives no rows; a source of size 0 has target 0.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def _hash32(text: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(0))
 
 
+def tie_of(text: Column) -> Column:
+    """60 bits of the text's digest, never null."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long"), F.lit(0))
+
+
 def size_class(size: Column) -> Column:
     """Sixteen classes an octave: the whole part of 16 log2(size + 1)."""
     return F.coalesce(F.floor(16 * F.log2(size.cast("double") + 1)).cast("long"), F.lit(0))
@@ -76,9 +82,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken, and df's columns in `keep` as struct `row`."""
-    hashed = F.pmod(_hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(PARTS))
+    hashed = F.pmod(_hash32(F.coalesce(F.col("doc_id").cast("string"), F.col("tie").cast("string"))), F.lit(PARTS))
     # a source's key is never null, so that the join finds the rows dealt as the window left them
-    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("key"), size_of(F.col(text_col)).alias("size")]
+    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("key"), size_of(F.col(text_col)).alias("size"), tie_of(F.col(text_col)).alias("tie")]
     celled = lambda x: x.withColumn("cls", size_class(F.col("size"))).withColumn("part", hashed)
     slim = stored(celled(df.select(*named)))  # words are counted once; where rows are kept whole, once more
     cells = stored(slim.groupBy("key", "cls", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
@@ -96,7 +102,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
         """rows of the cells with their copies."""
-        inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
+        inside = F.row_number().over(Window.partitionBy("key", "cls", "part").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie"))
         m = rows.withColumn("inside", inside).join(cells.drop("n", "words").hint("merge"), ["key", "cls", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
         return m.withColumn("copies", (F.floor(F.col("rank") * F.col("rho") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rho") + F.col("u"))).cast("long"))
 
@@ -122,7 +128,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS tie FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM d GROUP BY source),
 w AS (SELECT *, CASE (rk - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3 * source_size AS room FROM s),
 o AS (SELECT *, room / weight AS ratio, row_number() OVER (ORDER BY room / weight, source IS NULL, source) AS ro FROM w),
@@ -130,12 +136,12 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM o) - coalesce(sum(room) OVER (ORD
        / ((SELECT sum(weight) FROM o) - coalesce(sum(weight) OVER (ORDER BY ro ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
 f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ro LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(room::DOUBLE, coalesce(weight * (SELECT level FROM f), room::DOUBLE)) END AS target FROM l),
-c AS (SELECT d.*, floor(16 * log2(size::DOUBLE + 1))::BIGINT AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS part FROM d),
+c AS (SELECT d.*, floor(16 * log2(size::DOUBLE + 1))::BIGINT AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, tie::VARCHAR)), 1, 8))::BIGINT % 1024 AS part FROM d),
 m AS (SELECT c.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rho,
        cls > floor(16 * log2(t.target * 0.05::DOUBLE + 1))::BIGINT AS large,
        ('0x' || substr(md5('7:' || coalesce('s' || c.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
       FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY cls, part, size, doc_id NULLS LAST) AS rank FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY cls, part, size, doc_id NULLS LAST, tie) AS rank FROM m),
 k AS (SELECT source, coalesce(sum((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size) FILTER (large), 0)::BIGINT AS took, (sum(size) FILTER (NOT large))::BIGINT AS rest FROM r GROUP BY source),
 f2 AS (SELECT r.* REPLACE (CASE WHEN large THEN rho WHEN rest > 0 THEN greatest(0.0, least(3.0::DOUBLE, (target - took) / rest)) ELSE 0.0 END AS rho) FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target, ((floor(rank * rho + u) - floor((rank - 1) * rho + u))::BIGINT * size)::BIGINT AS taken FROM f2
