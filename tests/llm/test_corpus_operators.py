@@ -396,6 +396,45 @@ def test_removal_odd(odd):
     assert suffix_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def plain_spans(rows):
+    """By brute force, {(id, text): kept bytes}: rows of one id take nothing from each other."""
+    first = {}
+    for d, t in rows:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            key = raw[i : i + 50]
+            first[key] = min(first.get(key, d), d)
+    out = {}
+    for d, t in rows:
+        raw, gone = t.encode(), set()
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < d:
+                gone |= set(range(i, i + 50))
+        out[d, t] = bytes(b for i, b in enumerate(raw) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_removal_of_repeated_rows(spark, kind):
+    """A thousand equal rows with an id, a thousand without, texts that share passages with them; each by value, and no more span rows than rows."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    passage = word(90)
+    many, lone = "x" * 20 + passage + word(40), passage[:70] + word(60)
+    rows = [(3, word(80) + passage)] + [(7, many)] * 1000 + [(None, lone)] * 1000 + [(9, lone), (9, many[20:]), (10, "short")]
+    last = 10**6
+    want = plain_spans({(last if d is None else d, t) for d, t in rows})
+    # text ids in an order of their own: "b10" is before "b3"
+    named = {None: None, 3: "a", 7: "b10", 9: "b3", 10: "c"} if kind == "string" else {k: k for k in (None, 3, 7, 9, 10)}
+    df = spark.createDataFrame([(named[d], t) for d, t in rows], f"doc_id {kind}, text string")
+    spans = suffix_dedup.repeated_spans(df)
+    assert spans.count() == len(rows) and spans.selectExpr("max(size(spans))").first()[0] < 200
+    back = {v: k for k, v in named.items()}
+    for d, t, s in spans.select("doc_id", "__text", "spans").collect():
+        kept = suffix_dedup.kept_bytes(t.encode(), suffix_dedup.merged([(x["a"], x["b"]) for x in s or ()]))
+        assert kept == want[last if back[d] is None else back[d], t]
+
+
 # -- 6 Merkle trees
 
 
@@ -538,6 +577,16 @@ def test_mix_odd(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mix_of_ties_reruns(spark):
+    """Texts of one id and size, and rows without id: the same ones are emitted whatever their order, and no part gets them all."""
+    rows = [(1, f"a{i} b c", "s") for i in range(40)] + [(None, f"n{i} x y", "s") for i in range(300)] + [(None, "same same same", "t")] * 30 + [(2, "p " * 500, "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda x: sorted(tuple(r) for r in mixing.mixed_documents(x).select("text", "source").collect())
+    assert taken(d) == taken(d.repartition(5).orderBy("text")) == taken(d.orderBy(F.desc("text")))
+    parts = d.select(F.pmod(mixing._hash32(F.coalesce(F.col("doc_id").cast("string"), mixing.tie_of(F.col("text")).cast("string"))), F.lit(mixing.PARTS)).alias("p")).groupBy("p").count()
+    assert parts.count() > 200
+
+
 # -- 8 BPE
 
 
