@@ -687,6 +687,55 @@ def test_classifier_on_pages_it_has_not_seen():
     assert w["never"] < -3 and w["against"] < -3 and w["links"] < 0 < w["article"]
 
 
+def test_names_alone_decide_nothing():
+    """Articles under names that speak against them stay; boilerplate under unheard names goes."""
+    body = "<h1>Title</h1><p>The text of it is here, and it is long enough. More of it.</p><p>Second paragraph of the text, also of a length. It goes on.</p>"
+    text = "Title The text of it is here, and it is long enough. More of it. Second paragraph of the text, also of a length. It goes on."
+    assert html_extract.extract("<article><div class='post-comments-intro'><p>Real text. More.</p></div></article>") == "Real text. More."
+    for wrap in ("<div class='tags-page text'>{}</div>", "<div class='menu'>{}</div>", "<div id='sidebar'><div>{}</div></div>", "<div class='x1 q7'>{}</div>", "<article>{}</article>"):
+        assert html_extract.extract(f"<html><body>{wrap.format(body)}</body></html>") == text
+    said = "<p>Great post! I liked it.</p>"
+    for more in (f"<div class='responses'>{said}</div>", f"<div id='feedback'>{said}</div>", "<div class='bottom'>(c) 2020 Example. All rights reserved.</div>", "<div class='privacy'><p>We use cookies. They are good.</p></div>"):
+        assert html_extract.extract(f"<article>{body}</article>{more}") == text == html_extract.extract(f"{more}<article>{body}</article>")
+    alike = "<div class='responses'>" + "".join(f"<div class='r'><b>{x}</b>{said}</div>" for x in ("Bob", "Al", "Cy", "Di")) + "</div>"
+    assert html_extract.extract(f"<div>{body}</div>{alike}<div class='bottom'>(c) 2020 Example. All rights reserved.</div>") == text
+
+
+@pytest.mark.parametrize(("naming", "most"), [("odd", 0.035), ("none", 0.035)])
+def test_the_cut_mends_pages_of_unseen_naming(naming, most):
+    """On pages whose names say nothing, the cut changes labels, and more of them to right than to wrong."""
+    wrong = alone = changed = n = 0
+    for html, labels in html_extract.train_pages(150, seed=99, naming=naming):
+        blocks = html_extract.blocks_of(html)
+        cut, by_score = html_extract.labels_of(blocks), [html_extract.score(b) > 0 for b in blocks]
+        wrong += sum(x != y for x, y in zip(cut, labels, strict=True))
+        alone += sum(x != y for x, y in zip(by_score, labels, strict=True))
+        changed += sum(x != y for x, y in zip(cut, by_score, strict=True))
+        n += len(blocks)
+    assert changed >= 0.01 * n and wrong <= 0.85 * alone and wrong <= most * n
+
+
+def test_whole_pages_by_brute_force(monkeypatch):
+    """Labels of a page have the least cost of all labellings, with the page's own capacities."""
+    from itertools import product
+
+    asked = []
+    real = html_extract.min_cut
+    monkeypatch.setattr(html_extract, "min_cut", lambda scores, edges: asked.append((scores, edges)) or real(scores, edges))
+    seen = 0
+    for html, _ in html_extract.train_pages(120, seed=5):
+        blocks = html_extract.blocks_of(html)
+        if len(blocks) > 11:
+            continue
+        got = html_extract.labels_of(blocks)
+        scores, edges = asked[-1]
+        cost = lambda cut: sum((-s if on else 0) if s < 0 else (0 if on else s) for s, on in zip(scores, cut, strict=True)) + sum(c for i, j, c in edges if cut[i] != cut[j])  # noqa: B023, E731
+        assert cost(got) == pytest.approx(min(map(cost, product([False, True], repeat=len(blocks)))))
+        assert html_extract.extract(html) == " ".join(b.text for b, x in zip(blocks, got, strict=True) if x)
+        seen += 1
+    assert seen >= 15
+
+
 def test_html_odd(spark):
     d = spark.createDataFrame([(1, None, None), (None, "u", "<p>Some text that is here, long enough. Yes it is long enough to be kept.</p>"), (2, "u", "<div>" * 3000 + "x")], "page_id long, url string, html string")
     got = html_extract.extract_text(d).collect()
