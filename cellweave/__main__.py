@@ -10,7 +10,8 @@ tags ITEMS            tags of a catalog; page ITEMS numbered items after an id
 queue ITEMS           what is to be fetched, smallest first; sizes ITEMS whose size is to be looked up
 rank ITEMS            numbers of all items by size
 
-Tables are Parquet folders; reports are lines of JSON.
+Tables are Parquet folders; reports are lines of JSON, or with --text before the command lines of text: a header,
+then values between tabs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.functions import text
 from cellweave.operators import catalog, gates
 from cellweave.plans import saved_index
 from cellweave.plans import scan as plan
@@ -31,13 +33,17 @@ from cellweave.sources import xml_source
 COMMANDS = {"index": ("folder", "out"), "upgrade": ("folder", "out"), "backfill": ("out",), "compact": ("out",), "vacuum": ("out",), "scan": ("file", "out"), "status": ("out",), "errors": ("out",), "tags": ("items",), "page": ("items",), "queue": ("items",), "sizes": ("items",), "rank": ("items",)}
 
 
-def say(df: DataFrame) -> None:
-    for line in df.toJSON().toLocalIterator():
+def say(df: DataFrame, as_text: bool = False) -> None:
+    if as_text:
+        print("\t".join(df.columns))
+        df = df.select(F.concat_ws("\t", *[F.coalesce(text.scrub(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]))
+    for line in (r[0] for r in df.toLocalIterator()) if as_text else df.toJSON().toLocalIterator():
         print(line)
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cellweave")
+    p.add_argument("--text", action="store_true")
     c = p.add_subparsers(dest="command", required=True)
     for name, args in COMMANDS.items():
         s = c.add_parser(name)
@@ -55,6 +61,7 @@ def main(argv: list[str] | None = None) -> None:
         c.choices[name].add_argument("--now", type=int, default=None)
     a = p.parse_args(argv)
     spark = session()
+    tell = lambda df: say(df, a.text)
     if a.command in ("index", "upgrade"):
         print(json.dumps(saved_index.update(spark, a.folder, a.out, getattr(a, "version", saved_index.VERSION))))
     elif a.command == "backfill":
@@ -66,24 +73,24 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "scan":
         rows = xml_source.parse_rows(spark.read.format("binaryFile").load(a.file))
         found = plan.scan(saved_index.load(spark, a.out), saved_index.xml_features(rows).withColumnRenamed("doc_id", "query_id"), a.limit)
-        say(saved_index.report(spark, found, a.out, spark.read.parquet(a.items) if a.items else None))
+        tell(saved_index.report(spark, found, a.out, spark.read.parquet(a.items) if a.items else None))
     elif a.command == "status":
-        say(saved_index.status(spark, a.out))
+        tell(saved_index.status(spark, a.out))
     elif a.command == "errors":
-        say(saved_index.table(spark, a.out, "errors"))
+        tell(saved_index.table(spark, a.out, "errors"))
     else:
         items = spark.read.parquet(a.items)
         now = getattr(a, "now", None) or int(time.time())
         if a.command == "tags":
-            say(catalog.tag_histogram(items).filter(F.lower("tag").contains(a.like.lower())).orderBy(F.desc("items"), "tag_key"))
+            tell(catalog.tag_histogram(items).filter(F.lower("tag").contains(a.like.lower())).orderBy(F.desc("items"), "tag_key"))
         elif a.command == "page":
-            say(catalog.page(items, a.after, a.limit))
+            tell(catalog.page(items, a.after, a.limit))
         elif a.command == "queue":
-            say(catalog.queue(items, now, a.limit))
+            tell(catalog.queue(items, now, a.limit))
         elif a.command == "sizes":
-            say(items.filter(catalog.recheck_sizes(now)))
+            tell(items.filter(catalog.recheck_sizes(now)))
         else:
-            say(gates.with_rank(items, F.col("size_bytes").asc_nulls_last(), F.col("id")).orderBy("place"))
+            tell(gates.with_rank(items, F.col("size_bytes").asc_nulls_last(), F.col("id")).orderBy("place"))
 
 
 if __name__ == "__main__":

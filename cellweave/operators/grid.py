@@ -7,8 +7,6 @@ how often a feature occurs and where it occurs first.
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,7 +50,7 @@ def tiled(cells: DataFrame, radius: int = 2, axes: tuple[str, ...] = AXES) -> Da
 
 
 def _near(table: pa.Table, steps: list[tuple[int, int, int]], radius: int, least: int) -> pa.Table | None:
-    """Features of the cells of whole tiles: all neighbours are found by one search for each step over the sorted places."""
+    """What is digested to the features of the cells of whole tiles: all neighbours are found by one search for each step over the sorted places."""
     edge = TILE + 2 * radius
     marks = np.zeros(table.num_rows, bool)
     marks[0] = True
@@ -88,7 +86,7 @@ def _near(table: pa.Table, steps: list[tuple[int, int, int]], radius: int, least
     joined = pc.binary_join_element_wise(*[x.take(pa.array(some)) for x in shown], ",", null_handling="skip")
     whole = pc.binary_join_element_wise('["', sig.take(pa.array(rows)), '",[', joined.take(pa.array(np.searchsorted(some, of[rows]))), "]]", "")
     cols = {c: table.column(c).take(pa.array(order[rows])) for c in ("doc_id", "body", *AXES)}
-    return pa.table(cols | {"since": pa.array(since[of[rows]], pa.int64()), "hash": pa.array([sha256(x.encode()).hexdigest()[:24] for x in whole.to_pylist()])})
+    return pa.table(cols | {"since": pa.array(since[of[rows]], pa.int64()), "said": whole})
 
 
 def neighbourhood_features(cells: DataFrame, radius: int = 2, least: int = 2, flat: bool = False) -> DataFrame:
@@ -128,8 +126,8 @@ def neighbourhood_features(cells: DataFrame, radius: int = 2, least: int = 2, fl
             yield from done(pa.Table.from_batches(held).combine_chunks())
 
     dealt = tiled(cells, radius, ("x", "y") if flat else AXES).select(*part, *AXES, "sig", F.col("ord").cast("long").alias("ord"))
-    near = dealt.repartition(*part).sortWithinPartitions(*part).mapInArrow(run, f"doc_id {types['doc_id']}, body {types['body']}, x long, y long, z long, since long, hash string")
-    return _first(near, F.struct("body", "since"))
+    near = dealt.repartition(*part).sortWithinPartitions(*part).mapInArrow(run, f"doc_id {types['doc_id']}, body {types['body']}, x long, y long, z long, since long, said string")
+    return _first(near.withColumn("hash", digest(F.col("said"))).drop("said"), F.struct("body", "since"))
 
 
 def _first(features: DataFrame, order) -> DataFrame:

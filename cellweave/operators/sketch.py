@@ -13,32 +13,72 @@ from cellweave.functions.hashing import BANDS, HASHES, PRIME, ROWS, digest, hash
 def signatures(features: DataFrame, key: str = "doc_id", token: str = "token") -> DataFrame:
     """(key, sig): one signature for each key's tokens (portable profile).
 
-    Tokens are hashed in the JVM and meet by key; least values are kept as tokens pass by,
-    so a key of any size takes no more memory than its signature.
+    Tokens are hashed in the JVM.  Before they are shuffled, those of a key that a worker has at hand
+    become their least values, where that is less: at most HASHES numbers for each key and batch meet by key.
+    Least values are kept as they pass by, so a key of any size takes no more memory than its signature.
     """
     values = features.select(key, (hash60(F.col(token)) % PRIME).alias("v"))
     permutations, kind = portable_permutations(HASHES), dict(features.dtypes)[key]
 
+    def part(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, order, starts = _by_key(batch.column(0))
+            v = batch.column(1).to_numpy()[order]
+            counts = np.diff(np.append(starts, len(v)))
+            many = counts > HASHES
+            if many.any():
+                some = np.repeat(many, counts)
+                at = np.cumsum(np.concatenate([[0], counts[many][:-1]]))
+                least = least_values(v[some], at, permutations)
+                yield _rows(key, keys.take(pa.array(np.flatnonzero(many))), True, least.astype(np.int64).ravel(), np.full(len(least), HASHES))
+            if not many.all():
+                yield _rows(key, keys.take(pa.array(np.flatnonzero(~many))), False, v[np.repeat(~many, counts)], counts[~many])
+
     def run(batches):
         held, best = None, None  # the last key, as a column of one row, and its least values so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0)
-            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            rows, least = batch.column(0), np.empty((batch.num_rows, HASHES), np.int64)
+            done = batch.column(1).to_numpy(zero_copy_only=False)
+            lists = batch.column(2)
+            for made in (True, False):
+                mine = np.flatnonzero(done == made)
+                if len(mine):
+                    own = lists.take(pa.array(mine))
+                    flat = own.flatten().to_numpy()
+                    least[mine] = flat.reshape(-1, HASHES) if made else least_values(flat, own.offsets.to_numpy()[:-1] - own.offsets[0].as_py(), permutations)
+            codes = rows.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
-            least = least_values(batch.column(1).to_numpy(), starts, permutations)
-            if held is not None and held[0].equals(keys[0]):
+            least = np.minimum.reduceat(least, starts, axis=0)
+            if held is not None and held[0].equals(rows[0]):
                 least[0] = np.minimum(least[0], best)
             elif held is not None:
                 yield _signed(key, held, best[None, :])
             if len(starts) > 1:
-                yield _signed(key, keys.take(pa.array(starts[:-1])), least[:-1])
-            held, best = keys.slice(int(starts[-1]), 1), least[-1]
+                yield _signed(key, rows.take(pa.array(starts[:-1])), least[:-1])
+            held, best = rows.slice(int(starts[-1]), 1), least[-1]
         if held is not None:
             yield _signed(key, held, best[None, :])
 
-    return values.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, sig array<bigint>")
+    parts = values.mapInArrow(part, f"`{key}` {kind}, least boolean, v array<bigint>")
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, sig array<bigint>")
+
+
+def _by_key(keys: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct keys, an order of rows in which they lie together, and where each begins in it."""
+    codes = keys.dictionary_encode(null_encoding="encode")
+    order = np.argsort(codes.indices.to_numpy(zero_copy_only=False), kind="stable")
+    at = codes.indices.to_numpy(zero_copy_only=False)[order]
+    starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    return keys.take(pa.array(order[starts])), order, starts
+
+
+def _rows(key: str, keys: pa.Array, least: bool, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), least)), lists], names=[key, "least", "v"])
 
 
 def _signed(key: str, keys: pa.Array, least: np.ndarray) -> pa.RecordBatch:

@@ -49,11 +49,20 @@ def build(features: DataFrame, files: int) -> Index:
     return Index(features, posted, stored(postings.document_frequency(posted)), banded, files, stored(banded.groupBy("bucket").agg(F.count("*").alias("df"))))
 
 
-def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: int = search.CANDIDATES, probe_rows: int = search.PROBE_ROWS, total_rows: int = search.TOTAL_ROWS) -> DataFrame:
+@dataclass
+class Older:
+    """Files that are known in an older form only, and the queries in that form: both (id, channel, hash, cnt, x, y, z)."""
+
+    features: DataFrame
+    queries: DataFrame
+
+
+def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: int = search.CANDIDATES, probe_rows: int = search.PROBE_ROWS, total_rows: int = search.TOTAL_ROWS, older: Older | None = None) -> DataFrame:
     """Ranked matches for queries (query_id, channel, hash, cnt, x, y, z).
 
     Candidates come from shared buckets and rare postings within each query's budgets of rows; only
-    they are compared on whole bags.  One plan serves any number of queries.
+    they are compared on whole bags.  One plan serves any number of queries.  Files of an older form have candidates
+    by the older rule, compared in that form; a file that is a candidate in both is compared in the newer one.
     """
     queries = stored(queries)
     q = queries.withColumnRenamed("query_id", "doc_id")
@@ -64,10 +73,22 @@ def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: in
     terms = search.probed(sampled.join(df, ["channel", "hash"]), qb.join(sizes, "bucket"), index.files, probe_rows, total_rows)
     votes = search.term_votes(terms, index.postings, index.files).union(search.bucket_votes(qb, index.bands.select("doc_id", "bucket"), index.files, sizes))
     chosen = stored(search.top_candidates(votes, candidates))
-    theirs = stored(index.features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = matched(queries, index.features, chosen, df, index.files)
+    if older is not None:
+        old = stored(older.queries)
+        left = search.older_candidates(old, older.features, index.files).join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        left = stored(left.withColumn("rank", F.col("rank") + candidates))  # after all of the newer form
+        df = stored(older.features.groupBy("channel", "hash").agg(F.count_distinct("doc_id").alias("df")))
+        found = found.withColumn("older", F.lit(False)).unionByName(matched(old, older.features, left, df, index.files).withColumn("older", F.lit(True)))
+    return rank.ordered(found, limit)
+
+
+def matched(queries: DataFrame, features: DataFrame, chosen: DataFrame, df: DataFrame, files: int) -> DataFrame:
+    """Chosen pairs (query_id, doc_id, rank, votes) that have enough in common, with what they share and what that says."""
+    theirs = stored(features.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
     shared = stored(rank.bag_intersection(queries, theirs, chosen))
     cover = stored(rank.containment(queries, theirs, chosen))
-    rare = rank.rare_shared(shared, df, index.files)
+    rare = rank.rare_shared(shared, df, files)
     anchors = rare.filter("channel = 'g'").join(queries.select("query_id", "channel", "hash", *[F.col(a).alias(f"q{a}") for a in "xyz"]), ["query_id", "channel", "hash"]).join(theirs.select("doc_id", "channel", "hash", *[F.col(a).alias(f"d{a}") for a in "xyz"]), ["doc_id", "channel", "hash"])
     counts = rare.groupBy("query_id", "doc_id", "channel").agg(F.count("*").alias("rare_distinct"), F.sum("shared").alias("rare"))
     of = lambda d, key: d.filter("channel = 't'").groupBy(F.col(key).alias("id")).agg(F.sum("cnt").alias("components"))
@@ -77,5 +98,4 @@ def scan(index: Index, queries: DataFrame, limit: int | None = 5, candidates: in
     shape = queries.groupBy("query_id").agg(F.max((F.col("channel") == "g").cast("int")).cast("boolean").alias("has_geometry"))
     scored = wide.join(shape, "query_id").join(rank.combined_score(cover, queries), ["query_id", "doc_id"]).join(chosen.select("query_id", "doc_id", "rank", "votes"), ["query_id", "doc_id"])
     has = F.col("has_geometry")
-    labelled = scored.withColumn("confidence", rank.confidence(has)).withColumn("partial", rank.partial()).withColumn("status", rank.status(F.col("confidence"), rank.semantic(has)))
-    return rank.ordered(labelled, limit)
+    return scored.withColumn("confidence", rank.confidence(has)).withColumn("partial", rank.partial()).withColumn("status", rank.status(F.col("confidence"), rank.semantic(has)))

@@ -61,10 +61,15 @@ def win(p: str = "") -> str:
 {p}wf AS (SELECT doc_id, hash, count(*) AS cnt, arg_min((x, y), (y, i)) AS loc FROM {p}sel GROUP BY 1, 2)"""
 
 
-NEAR = """
-st AS (SELECT a.dx, b.dy FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS dx) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) b WHERE abs(dx) + abs(dy) BETWEEN 1 AND 2),
-nb AS (SELECT c.doc_id, c.y, c.x, c.sig, list(st.dx || ',' || st.dy || ',0,"' || n.sig || '"' ORDER BY st.dx, st.dy, n.sig) AS near FROM cell c CROSS JOIN st JOIN cell n ON n.doc_id = c.doc_id AND n.x = c.x + st.dx AND n.y = c.y + st.dy GROUP BY 1, 2, 3, 4),
-nf AS (SELECT doc_id, substr(sha256('["' || sig || '",[[' || array_to_string(near, '],[') || ']]]'), 1, 24) AS hash, y, x FROM nb WHERE len(near) >= 2)"""
+STEPS = "st AS (SELECT a.dx, b.dy FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS dx) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) b WHERE abs(dx) + abs(dy) BETWEEN 1 AND 2)"
+
+
+def near(p: str = "") -> str:
+    return f"""{p}nb AS (SELECT c.doc_id, c.y, c.x, c.sig, list(st.dx || ',' || st.dy || ',0,"' || n.sig || '"' ORDER BY st.dx, st.dy, n.sig) AS near FROM {p}cell c CROSS JOIN st JOIN {p}cell n ON n.doc_id = c.doc_id AND n.x = c.x + st.dx AND n.y = c.y + st.dy GROUP BY 1, 2, 3, 4),
+{p}nf AS (SELECT doc_id, substr(sha256('["' || sig || '",[[' || array_to_string(near, '],[') || ']]]'), 1, 24) AS hash, y, x FROM {p}nb WHERE len(near) >= 2)"""
+
+
+NEAR = f"{STEPS}, {near()}"
 
 H60 = "('0x' || substr(sha256({}), 1, 15))::BIGINT"
 PERMS = "pm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(hashing.portable_permutations())) + ") t(i, a, b))"
@@ -476,7 +481,43 @@ def passage_features(spark, d):
     return plan.text_features(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
 
 
-@query()
+def _both(p: str) -> str:
+    """Features of both channels, their samples, signatures and bands."""
+    return f"""{p}fe AS MATERIALIZED (SELECT doc_id, 'g' AS c, hash, count(*) AS cnt, arg_min((x, y), (y, x)) AS loc FROM {p}nf GROUP BY 1, 3 UNION ALL SELECT doc_id, 'w', hash, cnt, loc FROM {p}wf),
+{p}sm AS (SELECT doc_id, c, hash FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, c) AS n, row_number() OVER (PARTITION BY doc_id, c ORDER BY {H60.format('hash')}, hash) AS k FROM {p}fe) WHERE k <= least(4096, greatest(512, ceil(n * 0.1)))),
+{p}tv AS (SELECT DISTINCT doc_id, {H60.format("c || ':' || hash")} % {hashing.PRIME} AS v FROM {p}fe),
+{p}sg AS (SELECT doc_id, i, min((a * v + b) % {hashing.PRIME})::BIGINT AS m FROM {p}tv, pm GROUP BY 1, 2),
+{BAND.replace('bd AS', p + 'bd AS').replace('FROM sg', 'FROM ' + p + 'sg')}"""
+
+
+_SCAN = f"""WITH RECURSIVE {tok()}, {win()}, {tok('benchmark', 'item_id', 'q')}, {win('q')}, {STEPS}, {near()}, {near('q')}, {PERMS}, {_both('')}, {_both('q')},
+df AS MATERIALIZED (SELECT c, hash, count(*) AS df FROM sm GROUP BY 1, 2),
+nn AS (SELECT count(*) AS n FROM documents),
+vt AS (SELECT q.doc_id AS query_id, s.doc_id, CASE q.c WHEN 'g' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END * (1 + greatest(0.0, ln((n + 1) / (df + 1)::DOUBLE))) AS v FROM qsm q JOIN df USING (c, hash) JOIN sm s USING (c, hash), nn WHERE df <= {_CUT}
+  UNION ALL SELECT q.doc_id, b.doc_id, 8.0::DOUBLE FROM qbd q JOIN bd b USING (bucket) JOIN (SELECT bucket FROM bd GROUP BY 1 HAVING count(*) <= {_CUT}) USING (bucket)),
+ch AS MATERIALIZED (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(v, 6) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(v) AS v FROM vt GROUP BY 1, 2) QUALIFY rank <= 150),
+sh AS MATERIALIZED (SELECT ch.query_id, ch.doc_id, q.c, q.hash, least(q.cnt, f.cnt) AS shared, q.loc AS ql, f.loc AS fl FROM ch JOIN qfe q ON q.doc_id = ch.query_id JOIN fe f ON f.doc_id = ch.doc_id AND f.c = q.c AND f.hash = q.hash),
+qo AS (SELECT doc_id AS query_id, c, sum(cnt) AS own FROM qfe GROUP BY 1, 2), fo AS (SELECT doc_id, c, sum(cnt) AS their FROM fe GROUP BY 1, 2),
+cv AS (SELECT query_id, doc_id, c, sum(shared)::BIGINT AS shared, 100.0::DOUBLE * sum(shared) / any_value(own) AS query_pct, 100.0::DOUBLE * sum(shared) / any_value(their) AS doc_pct FROM sh JOIN qo USING (query_id, c) JOIN fo USING (doc_id, c) GROUP BY 1, 2, 3),
+ra AS MATERIALIZED (SELECT sh.* FROM sh JOIN df USING (c, hash), nn WHERE df <= greatest(2, n // 100)),
+an AS MATERIALIZED (SELECT DISTINCT query_id, doc_id, fl[1] - ql[1] AS sx, fl[2] - ql[2] AS sy, ql[1] AS x, ql[2] AS y FROM ra WHERE c = 'g'),
+gp AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY query_id, doc_id, sx, sy) AS g FROM an),
+e AS MATERIALIZED (SELECT a.g, (a.x, a.y) AS a, (b.x, b.y) AS b FROM gp a JOIN gp b ON a.g = b.g AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) + abs(a.y - b.y) <= 3),
+r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b),
+cl AS (SELECT query_id, doc_id, max(n)::INT AS cluster FROM (SELECT g, l, count(*) AS n FROM (SELECT g, a, min(b) AS l FROM r GROUP BY 1, 2) GROUP BY 1, 2) JOIN (SELECT DISTINCT g, query_id, doc_id FROM gp) USING (g) GROUP BY 1, 2),
+bg AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM fe WHERE c = 'g' GROUP BY 1), qbg AS (SELECT doc_id, string_agg(hash || ':' || cnt, ',' ORDER BY hash) AS bag FROM qfe WHERE c = 'g' GROUP BY 1),
+wd AS (SELECT query_id, doc_id, coalesce(max(shared) FILTER (c = 'g'), 0) AS shared, coalesce(max(query_pct) FILTER (c = 'g'), 0.0::DOUBLE) AS query_pct, coalesce(max(doc_pct) FILTER (c = 'g'), 0.0::DOUBLE) AS doc_pct, coalesce(max(shared) FILTER (c = 'w'), 0) AS winnow,
+  sum(query_pct * CASE c WHEN 'g' THEN 0.55::DOUBLE ELSE 0.2::DOUBLE END) AS s FROM cv GROUP BY 1, 2),
+rc AS (SELECT query_id, doc_id, count(*) FILTER (c = 'g') AS rare_g, count(*) FILTER (c = 'w') AS rare_w FROM ra GROUP BY 1, 2),
+qt AS (SELECT doc_id AS query_id, sum(CASE c WHEN 'g' THEN 0.55::DOUBLE ELSE 0.2::DOUBLE END) AS total FROM (SELECT DISTINCT doc_id, c FROM qfe) GROUP BY 1),
+al AS (SELECT wd.*, s / total AS combined, coalesce(rare_g, 0) AS rare_g, coalesce(rare_w, 0) AS rare_w, coalesce(cluster, 0) AS cluster, ch.rank AS rank, qbg.bag IS NOT NULL AND qbg.bag = bg.bag AS same
+  FROM wd JOIN qt USING (query_id) JOIN ch USING (query_id, doc_id) LEFT JOIN rc USING (query_id, doc_id) LEFT JOIN cl USING (query_id, doc_id) LEFT JOIN qbg ON qbg.doc_id = query_id LEFT JOIN bg ON bg.doc_id = wd.doc_id),
+cf AS (SELECT *, CASE WHEN shared >= 40 AND query_pct >= 65 AND rare_g >= 25 THEN 'high' WHEN (shared >= 20 AND query_pct >= 35 AND rare_g >= 10) OR (query_pct >= 12 AND query_pct < 65 AND shared >= 20 AND rare_g >= 10 AND cluster >= 8 AND (winnow >= 3 OR rare_g >= 25)) OR (winnow >= 8 AND rare_w >= 4 AND shared >= 10) THEN 'medium' ELSE 'low' END AS confidence FROM al WHERE shared >= 5 OR winnow >= 3 OR same),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, round_even(combined, 1) DESC, round_even(query_pct, 1) DESC, shared DESC, rank, doc_id)::INT AS place FROM cf)
+SELECT query_id, place, doc_id, confidence, CASE confidence WHEN 'high' THEN 'strong overlap' WHEN 'medium' THEN 'possible shared structure' ELSE 'no strong match in indexed set' END AS status, shared, winnow, query_pct, doc_pct, combined, cluster::INT AS cluster FROM pl WHERE place <= 5"""
+
+
+@query(_SCAN)
 def scan_report(spark, d):
     """All passages against all documents: candidates, containment, aligned clusters, labels, best five."""
     m = Made(spark, d)
@@ -966,3 +1007,59 @@ def recheck_schedule(spark, d):
 def valid_detail_rows(spark, d):
     k = F.col("event_id")
     return table(spark, d, "events").select("event_id", catalog.valid_detail(k % 3, k, F.when(k % 4 != 0, k % 5), "2").alias("valid"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low within indexed set' END AS suspicion, CASE WHEN event_id % 4 = 0 THEN 'No matched source (local index)' WHEN event_type = 'error' OR event_id % 4 = 1 THEN 'Other indexed source (local index)' ELSE 'Catalog (local index)' END AS source, round_even(value, 1) AS score FROM events")
+def result_labels(spark, d):
+    """What a reader is told of a match: suspicion, where it is from, its rounded score."""
+    k = F.col("event_id")
+    conf = F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), (k % 3 + 1).cast("int"))
+    item = F.when(k % 4 == 1, F.concat(F.lit("x"), k.cast("string"))).when(k % 4 > 1, k.cast("string"))
+    where = F.when(F.col("event_type") == "error", "other").otherwise("catalog")
+    return table(spark, d, "events").select("event_id", rank.suspicion(conf).alias("suspicion"), report.source_label(item, where, False).alias("source"), F.bround("value", 1).alias("score"))
+
+
+_SCRUBBED = r"trim(regexp_replace(regexp_replace(text, '\p{C}', ' ', 'g'), '[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{1680}\x{2028}\x{2029}\x{0085}\x0b]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5(t) AS clean, CASE WHEN length(t) > 80 THEN t[1:77] || '...' ELSE t END AS short FROM (SELECT doc_id, {_SCRUBBED} AS t FROM documents)")
+def scrubbed_text(spark, d):
+    """Texts without control characters, whole and cut to a line."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.scrub(t)).alias("clean"), text.scrub(t, 80).alias("short"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'vehicle' ELSE 'c' || o_orderkey END AS tag, CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 7 > 0 THEN (o_orderkey * 1234567890123 * (o_orderkey % 7)::HUGEINT)::VARCHAR END AS id FROM orders")
+def names_and_ids(spark, d):
+    """Names without namespaces, and ids of at most 64 bits in one spelling; zeros in front, letters and 0 on the way."""
+    k = F.col("o_orderkey")
+    tag = F.when(k % 5 == 0, "{urn:x}vehicle").otherwise(F.concat(F.lit("{a}{b}c"), k.cast("string")))
+    whole = (k.cast("decimal(10,0)") * F.lit(1234567890123).cast("decimal(14,0)") * (k % 7).cast("decimal(2,0)")).cast("decimal(38,0)").cast("string")
+    said = F.when(k % 3 == 0, F.concat(F.lit("x"), whole)).otherwise(F.concat(F.lit("00"), whole))
+    return table(spark, d, "orders").select("o_orderkey", text.strip_namespace(tag).alias("tag"), text.unsigned_id(said).alias("id"))
+
+
+@query(f"WITH {TAG_SQL}, b AS (SELECT user_id::VARCHAR AS item_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE ['Seen', event_type] END AS tags FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id)) SELECT item_id, tag, tag_key FROM tg WHERE item_id NOT IN (SELECT item_id FROM b WHERE tags IS NOT NULL) UNION ALL SELECT DISTINCT item_id, t AS tag, lower(t) AS tag_key FROM (SELECT item_id, unnest(tags) AS t FROM b)")
+def replaced_item_tags(spark, d):
+    """Tags after a page: a user's last event says which tags it has from now on, or, for every third one, nothing."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("type"))
+    rows = last.select(F.col("user_id").cast("string").alias("item_id"), F.when(F.col("user_id") % 3 != 0, F.array(F.lit("Seen"), F.col("type"))).alias("tags"))
+    return catalog.replaced_tags(tags_of(spark, d), rows)
+
+
+@query(f"WITH {ITEM_SQL}, {TAG_SQL}, c AS (SELECT *, {NOW} - (id::BIGINT % 15) * {DAY} AS checked FROM it) SELECT id FROM c WHERE checked >= {NOW - 7 * DAY} AND id IN (SELECT item_id FROM tg WHERE tag_key = 'click') AND id NOT IN (SELECT item_id FROM tg WHERE tag_key = 'error' AND item_id::BIGINT % 2 = 0)")
+def fresh_tags_only(spark, d):
+    """Items whose tags were looked up in the last week, with a tag and without another."""
+    k = F.col("id").cast("long")
+    i = items_of(spark, d).withColumn("tag_checked", NOW - k % 15 * DAY)
+    tags = tags_of(spark, d).filter("tag_key <> 'error' OR cast(item_id AS bigint) % 2 = 0")
+    return catalog.with_tags(i, tags, ["CLICK"], ["Error"], now=NOW).select("id")
+
+
+@query(f"WITH {ITEM_SQL} SELECT id, row_number() OVER (ORDER BY size_bytes NULLS LAST, id)::INT AS place FROM it WHERE id::BIGINT % 4 <> 1")
+def queue_without_attempted(spark, d):
+    """The queue of one run: what it has tried already is left out; the rest by size."""
+    i = items_of(spark, d)
+    tried = i.filter(F.col("id").cast("long") % 4 == 1)
+    return gates.with_rank(catalog.queue(i, NOW, attempted=tried), F.col("size_bytes").asc_nulls_last(), F.col("id")).select("id", "place")

@@ -205,3 +205,30 @@ def test_a_query_of_controllers_only(spark):
     got = {r.query_id: (r.confidence, r.status) for r in plan.scan(index, spark.createDataFrame(q, schema.format("query_id"))).collect()}
     assert got == {"bare": ("medium", "possible shared controller"), "solid": ("low", "no strong match in indexed set")}
 
+
+def test_older_forms_in_one_scan(spark):
+    """Files of an older form are found by the older rule; one that the newer form finds isn't compared twice."""
+    row = lambda i, c, h, n=0: (i, h, 1, n, 0, 0, c)
+    schema = "{} string, hash string, cnt long, x long, y long, z long, channel string"
+    frame = lambda rows, key: spark.createDataFrame(rows, schema.format(key))
+    new = [row("both", "g", f"n{i}", i) for i in range(12)] + [row("other", "g", f"o{i}", i) for i in range(9)]
+    old = [row(d, "g", f"v{i}", i) for d in ("both", "old") for i in range(12)] + [row("far", "g", f"u{i}", i) for i in range(9)]
+    index = plan.build(frame(new, "doc_id"), 4)
+    q, was = frame([row("q", "g", f"n{i}", i) for i in range(12)], "query_id"), frame([row("q", "g", f"v{i}", i) for i in range(10)], "query_id")
+    got = [(r.doc_id, r.older, r.shared) for r in plan.scan(index, q, older=plan.Older(frame(old, "doc_id"), was)).orderBy("place").collect()]
+    assert got == [("both", False, 12), ("old", True, 10)]
+    assert [r.doc_id for r in plan.scan(index, q).collect()] == ["both"]
+
+
+def test_text_reports(spark, tree, tmp_path, capsys):
+    from cellweave.__main__ import main
+
+    out = str(tmp_path / "index")
+    main(["index", str(tree), out])
+    capsys.readouterr()
+    main(["--text", "status", out])
+    lines = [x for x in capsys.readouterr().out.splitlines() if "\t" in x]
+    assert lines == ["files\tcurrent\titems\terrors", "5\t5\t5\t0"]
+    main(["compact", out])
+    main(["vacuum", out])
+    assert '{"dropped": 1}' in capsys.readouterr().out
