@@ -184,6 +184,17 @@ def test_secrets_odd(odd):
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_base_kinds_against_sql(spark):
+    """The numbers of the base kinds, recounted by another engine."""
+    from oracle import connection
+
+    d = "/root/testdata/sf0.01"
+    want = connection(d).sql(r"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)),
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""".replace("\\x20", "\x20")).fetchall()
+    got = secrets.op3_secret_scans(spark, d).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r[1] for r in want) > 0 and sum(r[3] for r in want) > 0
+
+
 # -- 4 Jaccard join
 
 
