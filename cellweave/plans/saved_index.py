@@ -123,7 +123,7 @@ def write_segment(spark: SparkSession, seen: Snapshot, made: dict[str, DataFrame
     segment = f"{seen.number + 1:012d}-{uuid.uuid4().hex[:12]}"
     for name in TABLES:
         d = _typed(made[name], name) if name in made else spark.createDataFrame([], TABLES[name])
-        d = d.withColumn("part", _part(PATH.get(name, "hash" if name == "df" else "bucket")))
+        d = d.withColumn("part", _part(PATH[name]) if name in PATH else F.lit(0))  # counts are never read by path
         d.write.partitionBy("part").parquet(f"{seen.out.rstrip('/')}/data/{name}/seg={segment}")
     return segment
 

@@ -108,24 +108,17 @@ class Pages(InputPartition):
 
 
 class PagesReader(DataSourceReader):
-    """Pages in partitions; a null in a compared column passes no filter, as in SQL."""
+    """Pages in partitions."""
 
     def __init__(self, options):
         self.folder, self.tests = options["path"], []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            test = test_of(f)
-            if test is None:
-                yield f
-            else:
-                self.tests.append(test)
-
     def partitions(self):
         pages = list(walk(self.folder, "start", 0))
         return [Pages(pages[i : i + PAGES]) for i in range(0, len(pages), PAGES)]
 
     def passes(self, row: tuple) -> bool:
+        """Whether the pushed filters let a row through; a null in a compared column passes none, as in SQL."""
         for column, kind, value, negated in self.tests:
             x = row[NAMES.index(column)]
             if x is None or bool(_COMPARE[kind](x, value)) is negated:
@@ -138,6 +131,23 @@ class PagesReader(DataSourceReader):
             yield from filter(self.passes, rows_of(page, number))
 
 
+class FilteringReader(PagesReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            test = test_of(f)
+            if test is None:
+                yield f
+            else:
+                self.tests.append(test)
+
+
+class FilteredPages(PagesSource):
+    """The same for sessions in which filters are pushed to Python sources."""
+
+    def reader(self, schema):
+        return FilteringReader(self.options)
+
+
 class PagesStream(DataSourceStreamReader):
     """At most PAGES pages a batch; the offset is {page, next, mark, power}."""
 
@@ -183,7 +193,7 @@ class PagesStream(DataSourceStreamReader):
 def register(spark: SparkSession) -> None:
     """Makes the source known to a session, with filters pushed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PagesSource)
+    spark.dataSource.register(FilteredPages)
 
 
 def tagged(pages: DataFrame, required: list[str] = (), excluded: list[str] = ()) -> DataFrame:
