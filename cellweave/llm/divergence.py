@@ -164,7 +164,8 @@ def counted_by_chunk(docs: DataFrame, least: int) -> DataFrame:
         def out():
             for lang, source, c in audit.counts():
                 terms = audit.terms[lang]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "source": [source] * len(c), "term": [terms[i] for i in c], "n": pa.array(list(c.values()), pa.int64())})
+                same = lambda x: pa.repeat(pa.scalar(x, pa.string()), len(c))  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"lang": same(lang), "source": same(source), "term": pa.array([terms[i] for i in c], pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
         for new, side, piece in stream:
             if new:
