@@ -64,6 +64,11 @@ def test_sizes_up_to_a_largest_unit(spark):
     assert one(spark, text.bytes_text(F.col("n")), n=3 << 40) == "3.0 TiB" and one(spark, text.bytes_text(F.col("n"), "GiB"), n=1 << 20) == "1.0 MiB"
 
 
+def test_one_decimal_of_the_exact_value_with_ties_to_even(spark):
+    assert [one(spark, text.percent_text(F.col("v")), v=v) for v in (6.25, 6.75, 0.35, 100.0)] == ["6.2%", "6.8%", "0.3%", "100.0%"]
+    assert one(spark, text.percent_text(F.lit(None))) is None and one(spark, text.bytes_text(F.col("n")), n=1280) == "1.2 KiB"
+
+
 def test_pass_mode():
     day = 86_400
     assert pass_mode(100 * day, False, None, False, None) == "full"
