@@ -150,3 +150,34 @@ def test_queue_order(spark):
     rows = [("300", 5, 0, 1), ("200", None, 0, 1), ("400", 9, 0, 1), ("x", 1, 0, 1), ("100", 1, 99, 1)]
     items = spark.createDataFrame(rows, "id string, size_bytes long, retry_after long, updated long").withColumn("downloaded", F.lit(0))
     assert [r["id"] for r in catalog.queue(items, 50).collect()] == ["300", "400", "200"]
+
+
+def test_bags_in_place_are_the_winnowing_features_of_the_grid(spark):
+    """Repeats within and across lines, lines under the window, none at all, and a bag that is sampled."""
+    docs = spark.createDataFrame([(1, "a b c d e f a b c d e f g\n\na b c d e\nx y"), (2, None), (3, "one two three four"), (4, " ".join(f"w{i}" for i in range(3000))), (5, "Ä b c d e " * 9)], "doc_id long, text string")
+    whole = grid.text_bags(docs)
+    rows = lambda d: sorted(map(tuple, d.select("doc_id", "hash", "cnt", "x", "y", "z").collect()))
+    assert rows(grid.bag_rows(whole)) == rows(grid.winnow_features(grid.document_grid(docs), axes=("x",)))
+    kinds = lambda d: sorted(map(tuple, d.select("doc_id", "kind", "cnt").collect()))
+    assert kinds(grid.text_types(docs)) == kinds(grid.component_types(grid.document_grid(docs)))
+    posts = lambda d: sorted(map(tuple, d.select("doc_id", "channel", "hash").collect()))
+    assert posts(postings.bottom_k_of_bags(whole, "w")) == posts(postings.bottom_k(grid.bag_rows(whole).withColumn("channel", F.lit("w"))))
+    assert "Exchange" not in grid.bag_rows(whole)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_copies_by_classes(spark):
+    banded = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (2, "q"), (3, "p"), (4, "q"), (4, "r")], "doc_id long, bucket string")
+    classes = banded.filter("doc_id <> 2").withColumnRenamed("doc_id", "rep").withColumn("size", F.when(F.col("rep") == 1, 2).otherwise(1))
+    members = spark.createDataFrame([(1, 1), (1, 2), (3, 3), (4, 4)], "rep long, doc_id long")
+    for cutoff in (None, 3, 2):
+        want = sorted(map(tuple, sketch.candidate_pairs(banded, cutoff=cutoff).collect()))
+        assert sorted(map(tuple, sketch.expanded(sketch.class_pairs(classes, cutoff), members).select("a", "b", "shared").collect())) == want
+
+
+def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
+    much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
+    rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
+    rows += [(1000 + i, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms for i in range(t - 2)]
+    f = spark.createDataFrame(rows, "doc_id long, hash string")
+    q = f.filter("doc_id < 3").select(F.lit(7).alias("query_id"), "hash")
+    assert [r.doc_id for r in search.older_candidates(q, f, 10**6).orderBy("rank").filter("doc_id < 3").collect()] == [2, 1]
