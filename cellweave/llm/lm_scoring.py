@@ -10,8 +10,7 @@ a symbol's class, then the symbol within the class; classes hold like shares of
 square roots of frequency.  It starts as the unigram model (biases are logarithms of exact
 shares) and learns by truncated backpropagation: documents lie in lanes, a window of a few
 steps is unrolled at a time, and the state is carried to the next window and never over
-the end of a document.  All training documents are read whole; LEARN_EVERY sets how many of the
-windows give a gradient, at any size of the input.  In a round each task trains a copy
+the end of a document.  All training documents are read whole, and every window gives a gradient.  In a round each task trains a copy
 of the weights over its documents, and copies are averaged by the words that they saw, in blocks,
 so that what the driver holds is one model.
 
@@ -38,8 +37,8 @@ from cellweave.llm.common import chunked, documents, meet, packed, slices, store
 
 #: Words of the model's own, classes, units, seed of the first weights.
 WORDS, CLASSES, UNITS, SEED = 2046, 40, 16, 1
-#: Training: documents side by side, steps of a window, windows for each one with a gradient, rounds, step size, longest gradient.
-LANES, STEPS, LEARN_EVERY, ROUNDS, RATE, CLIP = 256, 16, 6, 2, 0.15, 50.0
+#: Training: documents side by side, steps of a window, rounds, step size, longest gradient.
+LANES, STEPS, ROUNDS, RATE, CLIP = 256, 16, 2, 0.15, 50.0
 #: Scoring: documents side by side, and least steps of a window (it gets longer where fewer documents are left).
 SCORE_LANES, SCORE_STEPS = 512, 32
 #: Words that are trained on or scored at a time: long documents among them are side by side, and few steps have few documents.
@@ -278,7 +277,7 @@ class Trainer:
 
     def __init__(self, w: Weights, s: Symbols):
         self.w, self.s = {n: v.copy() for n, v in w.items()}, s
-        self.seen, self.windows = 0, 0
+        self.seen = 0
         self.past = {n: np.ones_like(v) for n, v in w.items()}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -298,20 +297,17 @@ class Trainer:
         in_lanes(ids, starts, LANES, STEPS, self.s.end, UNITS, self.window)
 
     def window(self, xs, ys, valid, state, docs):
-        learn = self.windows % LEARN_EVERY == 0
-        self.windows += 1
-        kept = recur(self.w, xs, state, keep=learn)
-        if learn:
-            grads: Weights = {}
-            pull = np.zeros_like(kept[0])
-            _, pull[valid] = emitted(self.w, self.s, kept[0][valid], ys[valid], grads)
-            grads |= back(self.w, xs, state, kept, pull)
-            for n, g in grads.items():
-                length = float(np.sqrt((g * g).sum()))
-                if length > CLIP:
-                    g *= CLIP / length
-                self.past[n] += g * g
-                self.w[n] -= RATE * g / np.sqrt(self.past[n])
+        kept = recur(self.w, xs, state, keep=True)
+        grads: Weights = {}
+        pull = np.zeros_like(kept[0])
+        _, pull[valid] = emitted(self.w, self.s, kept[0][valid], ys[valid], grads)
+        grads |= back(self.w, xs, state, kept, pull)
+        for n, g in grads.items():
+            length = float(np.sqrt((g * g).sum()))
+            if length > CLIP:
+                g *= CLIP / length
+            self.past[n] += g * g
+            self.w[n] -= RATE * g / np.sqrt(self.past[n])
         return kept[0][-1]
 
 

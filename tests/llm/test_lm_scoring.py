@@ -87,6 +87,17 @@ def test_gradients():
             assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.03, abs=3e-3), n
 
 
+def test_every_window_teaches():
+    """Symbols that only later windows hold are learnt from, too."""
+    s = symbols()
+    w = odd_weights(s)
+    t = lm.Trainer(w, s)
+    ids = np.repeat(np.array([1, 5, 7], np.int32), lm.STEPS)
+    t.held.append((ids, np.array([0, len(ids)])))
+    t.close()
+    assert np.flatnonzero((t.w["inputs"] != w["inputs"]).any(1)).tolist() == sorted([1, 5, 7, s.end])
+
+
 def write(spark, rows, path):
     spark.createDataFrame(rows, "doc_id long, text string, word string, score int").write.parquet(f"{path}/documents.parquet")
     return {tuple(r[:2]) + tuple(r[2:]) for r in map(tuple, lm.op12_lm_scoring(spark, str(path)).collect())}
