@@ -165,6 +165,33 @@ def test_bags_in_place_are_the_winnowing_features_of_the_grid(spark):
     assert "Exchange" not in grid.bag_rows(whole)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_features_in_place_are_those_of_the_grid(spark):
+    """Both channels, their samples and signatures; two texts that lie next to each other don't become neighbours."""
+    from cellweave.plans import scan
+
+    docs = spark.createDataFrame([(1, "a b c d e f a b c d e f g\n\na b c d e\nx y"), (2, None), (3, "one two three four"), (4, " ".join(f"w{i}" for i in range(3000))), (5, "Ä b c d e " * 9)], "doc_id long, text string")
+    made = grid.text_features(docs, {c: postings.Sample(c) for c in "gw"})
+    want = scan.text_features(docs)
+    rows = lambda d, *c: sorted(map(tuple, d.select("doc_id", "channel", "hash", *c).collect()))
+    assert rows(made.filter("hash IS NOT NULL"), "cnt", "x", "y", "z") == rows(want, "cnt", "x", "y", "z")
+    assert rows(made.filter("sampled")) == rows(postings.bottom_k(want))
+    signed = lambda d: sorted((r["doc_id"], tuple(r["sig"])) for r in d.select("doc_id", "sig").collect())
+    assert signed(made.filter("sig IS NOT NULL")) == signed(sketch.signatures(want.select("doc_id", F.concat_ws(":", "channel", "hash").alias("token"))))
+
+
+def test_a_scan_of_known_queries_writes_less_than_it_reads(spark, small):
+    """The rows of its queries only: an index of all features is several times the texts."""
+    import os
+
+    from cellweave.queries import QUERIES
+    from cellweave.sources.store import checkpoint_dir
+
+    held = lambda: sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(checkpoint_dir(spark)) for name in names)
+    before = held()
+    assert QUERIES["scan_report"](spark, small).count() > 0
+    assert held() - before < 2 * os.path.getsize(f"{small}/documents.parquet")
+
+
 def test_pairs_of_copies_by_classes(spark):
     banded = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (2, "q"), (3, "p"), (4, "q"), (4, "r")], "doc_id long, bucket string")
     classes = banded.filter("doc_id <> 2").withColumnRenamed("doc_id", "rep").withColumn("size", F.when(F.col("rep") == 1, 2).otherwise(1))
