@@ -192,6 +192,14 @@ def test_a_scan_of_known_queries_writes_less_than_it_reads(spark, small):
     assert held() - before < 2 * os.path.getsize(f"{small}/documents.parquet")
 
 
+def test_queries_on_passages_read_documents_once(spark, small):
+    """What is left of a plan reads rows that were written, not texts a second time."""
+    from cellweave.queries import QUERIES
+
+    for name in ("matched_data", "directional_containment", "rare_shared_counts", "evidence_topn", "aligned_cluster"):
+        assert not any("documents.parquet" in f for f in QUERIES[name](spark, small).inputFiles()), name
+
+
 def test_pairs_of_copies_by_classes(spark):
     banded = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (2, "q"), (3, "p"), (4, "q"), (4, "r")], "doc_id long, bucket string")
     classes = banded.filter("doc_id <> 2").withColumnRenamed("doc_id", "rep").withColumn("size", F.when(F.col("rep") == 1, 2).otherwise(1))
