@@ -49,6 +49,8 @@ MANY = 4000
 BATCH, LANE = 1 << 19, 1024
 #: Bytes of text whose grams a worker holds at a time (about 100 bytes for each).
 SLICE = 1 << 20
+#: Spans whose grams are hashed at once.
+ROWS = 10_000
 #: Steps by which the longer grams around an anchor differ; they have LENGTH - STEP + 1 bytes.
 STEP = 9
 
@@ -281,11 +283,21 @@ def least_owner(groups: list[list[bytes]], owners: list[list[int]], length: int
     spans = [x for g in groups for x in g]
     if not spans:
         return []
-    text = np.frombuffer(b"".join(x + b"\0" for x in spans), np.uint8).astype(np.uint16) + 1
     sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+    held = np.array([o for g in owners for o in g], np.int64)
+    least, windows = _least_owners(np.frombuffer(b"".join(spans), np.uint8), sizes, np.array(list(map(len, groups)), np.int64), held, length)
+    return np.split(least, np.cumsum(windows)[:-1])
+
+
+def _least_owners(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The same for spans of these sizes that stand one after another in data, so many in each group: owners of all windows, and each span's number of windows."""
     ends = np.cumsum(sizes + 1)
-    text[ends - 1] = 0  # below all bytes, between spans
-    lengths = np.array([sum(map(len, g)) + len(g) for g in groups], np.int64)
+    text = np.zeros(int(ends[-1]), np.uint16)  # 0, below all bytes, between spans
+    inside = np.ones(len(text), bool)
+    inside[ends - 1] = False
+    text[inside] = data.astype(np.uint16) + 1
+    # a group without spans has no text
+    lengths = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
     order = np.empty(len(text), np.int64)
     long = lengths > LANE  # in lock step all texts would wait for it
     begin = np.cumsum(lengths) - lengths
@@ -296,16 +308,17 @@ def least_owner(groups: list[list[bytes]], owners: list[list[int]], length: int
         a = int(begin[k])
         order[a : a + lengths[k]] = a + np.array(suffix_array(text[a : a + lengths[k]].tolist())[0], np.int64)
     left = np.repeat(ends, sizes + 1) - 1 - np.arange(len(text))
-    of = np.repeat(np.arange(len(spans)), sizes + 1)
+    of = np.repeat(np.arange(len(sizes)), sizes + 1)
     at, new = _window_runs(text, order, left >= length, length)
-    held = np.array([o for g in owners for o in g], np.int64)[of]
+    held = owners[of]
     least = held.copy()
     if len(at):
-        group_of = np.repeat(np.arange(len(groups)), list(map(len, groups)))[of[at]]
+        group_of = np.repeat(np.arange(len(counts)), counts)[of[at]]
         new[1:] |= group_of[1:] != group_of[:-1]
         starts = np.flatnonzero(new)
         least[at] = np.repeat(np.minimum.reduceat(held[at], starts), np.diff(np.append(starts, len(at))))
-    return [least[e - 1 - n : max(e - 1 - n, e - length)] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    windows = np.maximum(sizes - length + 1, 0)
+    return least[_ranges(ends - 1 - sizes, windows)], windows
 
 
 # -- anchors
@@ -464,21 +477,44 @@ def around(span: bytes, off: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _alike(spans: list[bytes], offs: list[int]) -> list[int]:
-    """The spans of a group that can have a window in common with another: they share a gram around the anchor."""
-    holders: dict[tuple[int, bytes], int] = {}
-    live = set()
+def _bytes_of(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after another, and where each begins and the last ends."""
+    spans = spans.cast(pa.binary())
+    at = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1].astype(np.int64) if len(spans) else np.zeros(1, np.int64)
+    data = np.frombuffer(spans.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    return data, at - at[0]
+
+
+def _alike(spans: pa.Array | list[bytes], offs, groups=None) -> list[int]:
+    """The spans that can have a window in common with another of their group (without groups, all are one): they share a gram around the anchor.
+
+    Grams are told by hash; spans whose grams meet by chance are told apart by their suffix array.
+    """
+    spans = spans if isinstance(spans, pa.Array) else pa.array(spans, pa.binary())
+    offs = np.asarray(offs, np.int64)
+    own = np.zeros(len(spans), np.uint64) if groups is None else np.asarray(groups).astype(np.int64).view(np.uint64)
     rest = LENGTH - GRAM
-    for i, (x, o) in enumerate(zip(spans, offs, strict=True)):
-        n = len(x) - o - GRAM
-        for j in range(0, min(o, rest) + 1, STEP):
-            right = rest - j - STEP + 1
-            if right <= 0:
-                right = 0
-            if n >= right and (first := holders.setdefault((j, x[o - j : o + GRAM + right]), i)) != i:
-                live.add(i)
-                live.add(first)
-    return sorted(live)
+    keys, rows = [], []
+    for start in range(0, len(spans), ROWS):
+        data, at = _bytes_of(spans.slice(start, ROWS))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_of(_P, len(data)), out=sums[1:])
+        back = _powers_of(_PINV, len(data) + 1)
+        off, group = offs[start : start + ROWS], own[start : start + ROWS]
+        for j in range(0, rest + 1, STEP):
+            right = max(0, rest - j - STEP + 1)
+            k = np.flatnonzero((off >= j) & (np.diff(at) - off - GRAM >= right))
+            a, b = (at[:-1] + off)[k] - j, (at[:-1] + off)[k] + GRAM + right
+            keys.append(_mix(_mix((sums[b] - sums[a]) * back[a] + np.uint64(j)) + group[k]))
+            rows.append(k + start)
+    if not keys:
+        return []
+    key, row = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    live = np.zeros(len(spans), bool)
+    live[row[order[1:][same]]] = live[row[order[:-1][same]]] = True
+    return np.flatnonzero(live).tolist()
 
 
 def _window_owners(groups: DataFrame) -> DataFrame:
@@ -488,58 +524,61 @@ def _window_owners(groups: DataFrame) -> DataFrame:
     group is, and their suffix arrays decide.
     """
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ("h", "sd", "off", "span", "own")
 
     def run(batches):
-        held: list[list] = [[] for _ in cols]  # the group that the last batch ended in
-        last = None
-        waiting: list[tuple] = []  # (h, sd, spans, owners) of groups
+        held: list[pa.RecordBatch] = []  # rows of the group that the last batch ended in
+        waiting: list[pa.RecordBatch] = []  # alike spans of whole groups
         size = 0
 
-        def add(group):
-            nonlocal size
-            h, sd, offs, spans, own = group
-            if live := _alike(spans, offs):
-                waiting.append(([h[i] for i in live], [sd[i] for i in live], [spans[i] for i in live], [own[i] for i in live]))
-                size += sum(len(spans[i]) for i in live)
-
         def solved():
             nonlocal size
-            least = least_owner([w[2] for w in waiting], [w[3] for w in waiting])
-            h, sd, own = ([x for w in waiting for x in w[k]] for k in (0, 1, 3))
-            rows = [i for i, (x, o) in enumerate(zip(least, own, strict=True)) if (x < o).any()]
+            rows = pa.concat_batches(waiting)
             waiting.clear()
             size = 0
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(least[i]) for i in rows)]), pa.int32()), pa.array(np.concatenate([least[i] for i in rows]) if rows else [], pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([h[i] for i in rows], pa.int64()), pa.array([sd[i] for i in rows], pa.int64()), lists], names=["h", "sd", "least"])
+            gid, own = rows.column("gid").to_numpy(), rows.column("own").to_numpy()
+            data, at = _bytes_of(rows.column("span"))
+            first = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+            least, windows = _least_owners(data, np.diff(at), np.diff(np.append(first, len(gid))), own)
+            lower = np.logical_or.reduceat(least < np.repeat(own, windows), np.cumsum(windows) - windows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows[lower])]), pa.int32()), pa.array(least[np.repeat(lower, windows)]))
+            mine = pa.array(np.flatnonzero(lower))
+            return pa.RecordBatch.from_arrays([rows.column("h").take(mine), rows.column("sd").take(mine), lists], names=["h", "sd", "least"])
+
+        def add(rows):
+            """Rows of whole groups."""
+            nonlocal size
+            gid = rows.column("gid").to_numpy()
+            new = np.concatenate([[True], gid[1:] != gid[:-1]])
+            several = ~(new & np.append(new[1:], True))
+            rows = rows.take(pa.array(np.flatnonzero(several)))
+            rows = rows.take(pa.array(_alike(rows.column("span"), rows.column("off").to_numpy(), rows.column("gid").to_numpy()), pa.int64()))
+            gid, at = rows.column("gid").to_numpy(), _bytes_of(rows.column("span"))[1]
+            start = 0
+            for end in [*(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]:
+                if size + at[end] - at[start] > BATCH or end == len(gid):
+                    if end > start:
+                        waiting.append(rows.slice(start, end - start))
+                        size += int(at[end] - at[start])
+                        start = end
+                    if size > BATCH:
+                        yield solved()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             gid = batch.column("gid").to_numpy()
-            rows = [batch.column(c).to_pylist() for c in cols]
-            ends = [*(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
-            start = 0
-            for end in ends:
-                if start == 0 and last == gid[0]:
-                    for kept, new in zip(held, rows, strict=True):
-                        kept.extend(new[:end])
-                elif start == 0 or end == len(gid):
-                    if len(held[0]) > 1:
-                        add(held)
-                    held = [x[start:end] for x in rows]
-                elif end - start > 1:
-                    add([x[start:end] for x in rows])
-                start = end
-                if size > BATCH:
-                    yield solved()
-            last = gid[-1]
-        if len(held[0]) > 1:
-            add(held)
+            cut = int(np.searchsorted(gid, gid[-1]))  # where the last group begins
+            if cut or held and held[0].column("gid")[0].as_py() != gid[0]:
+                yield from add(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held.clear()
+            held.append(batch.slice(cut))
+        if held:
+            yield from add(pa.concat_batches(held))
         if waiting:
             yield solved()
 
-    return groups.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(run, "h long, sd long, least array<bigint>")
+    cols = groups.select("gid", "h", "sd", "off", "span", "own")
+    return cols.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(run, "h long, sd long, least array<bigint>")
 
 
 def _grouped(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -574,27 +613,35 @@ def _removed(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rids, starts, ends = [], [], []
-            for o, rid, first, own, n, least in zip(*[batch.column(c).to_pylist() for c in ("ord", "rid", "first", "own", "windows", "least")], strict=True):
-                if own is not None and own < o:
-                    rids.append(rid)
-                    starts.append(first)
-                    ends.append(first + n - 1 + LENGTH)
-                    continue
-                end = -1
-                for i, x in enumerate(least):
-                    if x < o:
-                        if first + i > end:
-                            rids.append(rid)
-                            starts.append(first + i)
-                            ends.append(end := first + i + LENGTH)
-                        else:
-                            ends[-1] = end = first + i + LENGTH
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["rid", "a", "b"])
+            ord_, rid, first, windows = (batch.column(c).fill_null(0).to_numpy() for c in ("ord", "rid", "first", "windows"))
+            own, lists = batch.column("own"), batch.column("least")
+            whole = own.is_valid().to_numpy(zero_copy_only=False) & (own.fill_null(0).to_numpy() < ord_)
+            a, b = first.astype(np.int64), first + windows.astype(np.int64) - 1 + LENGTH
+            # a span's windows are fewer than a window's bytes, so those that go are one range
+            k = np.flatnonzero(~whole & lists.is_valid().to_numpy(zero_copy_only=False))
+            lists = lists.take(pa.array(k))
+            n = lists.value_lengths().to_numpy()
+            i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            of = np.repeat(k, n)
+            lower = lists.flatten().to_numpy() < ord_[of]
+            of, i = of[lower], i[lower]
+            new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+            a[of[new]] += i[new]
+            b[of[new]] = first[of[new]] + i[np.append(new[1:], len(of)) - 1] + LENGTH if len(of) else 0
+            whole[of] = True
+            yield pa.RecordBatch.from_arrays([pa.array(rid[whole]), pa.array(a[whole].astype(np.int32)), pa.array(b[whole].astype(np.int32))], names=["rid", "a", "b"])
 
     return rows.mapInArrow(run, "rid long, a int, b int")
 
 
+def _pairs_of(lists: pa.Array) -> list[list[tuple[int, int]]]:
+    """Lists of structs (a, b) as lists of pairs; none for null."""
+    flat, n = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+    pairs = list(zip(flat.field("a").to_numpy().tolist(), flat.field("b").to_numpy().tolist(), strict=True))
+    ends = np.cumsum(n)
+    return [pairs[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -651,7 +698,7 @@ def _with_spans(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "__text"):
                 raw = [t.encode() for t in part.column("__text").to_pylist()]
-                gone = [merged([(s["a"], s["b"]) for s in x or ()]) for x in part.column("spans").to_pylist()]
+                gone = [merged(x) for x in _pairs_of(part.column("spans"))]
                 yield fn(part, raw, gone)
 
     return df.mapInArrow(run, schema)

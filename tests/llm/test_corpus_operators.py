@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,6 +402,39 @@ def test_arrays_decide(monkeypatch):
     assert calls == [2] and got[0].tolist() == [5, 5, 5] + [3] * 18 and got[2].tolist()[:5] == [9, 5, 5, 5, 3] and got[4].tolist() == [2] * 21
 
 
+def test_alike_of_many_groups(monkeypatch):
+    """Spans of many groups are looked through at once, and only those of one group meet (before, a call took one group)."""
+    monkeypatch.setattr(suffix_dedup, "ROWS", 7)
+    r = random.Random(8)
+    spans, offs, groups = [], [], []
+    for g in range(40):
+        anchor = bytes(r.choice(b"ab") for _ in range(16))
+        front, back = (bytes(r.choice(b"ab") for _ in range(34)) for _ in range(2))
+        for _ in range(r.randint(1, 6)):
+            left, right = (r.randint(0, 34) for _ in range(2))
+            x = front[34 - left :] + anchor + back[:right]
+            at = r.randrange(len(x))
+            if len(x) >= 50:
+                spans.append(x[:at] + b"c" + x[at + 1 :] if r.random() < 0.5 and not left <= at < left + 16 else x)
+                offs.append(left)
+                groups.append(g // 2)
+    live = suffix_dedup._alike(spans, offs, groups)
+    windows = [{x[i : i + 50] for i in range(len(x) - 49)} for x in spans]
+    for i, w in enumerate(windows):
+        if any(w & v for j, v in enumerate(windows) if j != i and groups[j] == groups[i]):
+            assert i in live
+    assert live == sorted({i for g in set(groups) for k in [[i for i in range(len(spans)) if groups[i] == g]] for i in (k[j] for j in suffix_dedup._alike([spans[i] for i in k], [offs[i] for i in k]))})
+
+
+def test_removed_ranges(spark):
+    """What goes of each span, whole arrays at a time: of one that an earlier text holds all, of others from the first to the last lower window; bounds and nulls."""
+    rows = [(5, 1, 10, 3, 4, None), (5, 2, 10, 5, 4, [5, 5, 3, 5]), (5, 3, 0, None, None, [9, 4, 5, 4, 5]), (5, 4, 7, 5, 3, None), (5, 5, 7, 5, 2, [5, 6]), (5, 6, 1, 2, 2, [1, 2]), (5, 7, 1, None, None, [0])]
+    df = spark.createDataFrame(rows, "ord long, rid long, first int, own long, windows int, least array<long>")
+    got = sorted(map(tuple, suffix_dedup._removed(df).collect()))
+    assert got == [(1, 10, 63), (2, 12, 62), (3, 1, 53), (6, 1, 52), (7, 1, 51)]
+    assert suffix_dedup._pairs_of(pa.array([[{"a": 1, "b": 3}], None, [], [{"a": 2, "b": 4}, {"a": 0, "b": 9}]])) == [[(1, 3)], [], [], [(2, 4), (0, 9)]]
+
+
 def test_removal_odd(odd):
     got = suffix_dedup.deduplicated(odd).collect()
     assert len(got) == 8 and sum(len(r.spans) for r in got) == 0
