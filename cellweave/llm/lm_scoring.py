@@ -24,11 +24,12 @@ only symbol besides the end is a word that was never seen.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,29 +54,38 @@ def words_of(texts: pa.Array) -> list[list[bytes]]:
     return [t.translate(LOWER).split() for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def all_words(texts: pa.Array) -> pa.Array:
+    """The same words one after another."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()))).flatten()
+    return words.filter(pc.greater(pc.binary_length(words), 0))
+
+
 def _local_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(__chunk, word, n): the words of a chunk and how often its training documents have them; "" is the end.  A chunk may come in several parts."""
-    held: Counter = Counter()
+    held: defaultdict[str, int] = defaultdict(int)
     last = None
 
     def out():
         n = len(held)
-        yield pa.RecordBatch.from_pydict({"__chunk": pa.array([last] * n, pa.int64()), "word": pa.array(list(held), pa.binary()).cast(pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"__chunk": pa.array([last] * n, pa.int64()), "word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
         held.clear()
 
     for batch in batches:
         for part in slices(batch, "__text"):
-            for chunk, test, words in zip(part.column("__chunk").to_pylist(), part.column("__held_out").to_pylist(), words_of(part.column("__text")), strict=True):
-                if last is not None and (chunk != last or len(held) > HELD):
+            chunks, tests = part.column("__chunk").to_numpy(), part.column("__held_out").to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(chunks)], strict=True):
+                if last is not None and (chunks[a] != last or len(held) > HELD):
                     yield from out()
-                last = chunk
-                if not test:
-                    held.update(words)
-                    held[b""] += 1
-                else:
-                    for w in words:
-                        if w not in held:
-                            held[w] = 0
+                last = int(chunks[a])
+                texts, test = part.column("__text").slice(a, b - a), pa.array(tests[a:b])
+                for words, own in ((all_words(texts.filter(pc.invert(test))), 1), (all_words(texts.filter(test)), 0)):
+                    met = words.value_counts()
+                    counts = met.field("counts").to_numpy() * own
+                    for w, c in zip(met.field("values").to_numpy(zero_copy_only=False).tolist(), counts.tolist(), strict=True):
+                        held[w] += c
+                if n := int((~tests[a:b]).sum()):
+                    held[""] += n
     if last is not None:
         yield from out()
 
@@ -147,28 +157,34 @@ def unflat(v: np.ndarray, like: Weights) -> Weights:
 
 
 def recur(w: Weights, xs: np.ndarray, state: np.ndarray, keep: bool = False):
-    """States after each step (steps, lanes, units); with keep, also the gates, the proposed states and their carried part."""
+    """States after each step (steps, lanes, units); with keep, also the gates, the proposed states and their carried part (steps, units, lanes).
+
+    A step works on units by lanes, so that gates and states are whole blocks of memory.
+    """
     k = state.shape[1]
     fed = w["inputs"][xs]
+    carry = np.ascontiguousarray(w["carry"].T)
     states = np.empty((*xs.shape, k), np.float32)
-    gates, news, parts = (np.empty((*xs.shape, n), np.float32) if keep else None for n in (2 * k, k, k))
+    gates, news, parts = (np.empty((len(xs), n, xs.shape[1]), np.float32) if keep else None for n in (2 * k, k, k))
+    state = np.ascontiguousarray(state.T)
     for t in range(len(xs)):
-        a = state @ w["carry"]
-        g = fed[t, :, : 2 * k] + a[:, : 2 * k]
+        a = carry @ state
+        x = np.ascontiguousarray(fed[t].T)
+        g = x[: 2 * k]
+        g += a[: 2 * k]
         np.negative(g, out=g)
         np.exp(g, out=g)
         g += 1
         np.reciprocal(g, out=g)
-        new = g[:, :k] * a[:, 2 * k :]
-        new += fed[t, :, 2 * k :]
+        new = g[:k] * a[2 * k :]
+        new += x[2 * k :]
         np.tanh(new, out=new)
         if keep:
-            gates[t], news[t], parts[t] = g, new, a[:, 2 * k :]
-        out = states[t]
-        np.subtract(state, new, out=out)
-        out *= g[:, k:]
-        out += new
-        state = out
+            gates[t], news[t], parts[t] = g, new, a[2 * k :]
+        state = state - new
+        state *= g[k:]
+        state += new
+        states[t] = state.T
     return states, gates, news, parts
 
 
@@ -176,69 +192,99 @@ def back(w: Weights, xs: np.ndarray, first: np.ndarray, kept, pull: np.ndarray)
     """Gradients of a window, from pull, the states' own gradients; what came before the window is given."""
     states, gates, news, parts = kept
     k = first.shape[1]
-    before = np.concatenate([first[None], states[:-1]])
-    to_carry, to_inputs = (np.empty((*xs.shape, 3 * k), np.float32) for _ in range(2))
-    later = np.zeros_like(first)
+    to_inputs = np.empty((*xs.shape, 3 * k), np.float32)
+    later = np.zeros(first.shape[::-1], pull.dtype)
+    d_sum, d_fed = (np.empty((3 * k, xs.shape[1]), pull.dtype) for _ in range(2))
+    to_carry = np.zeros((k, 3 * k), pull.dtype)
     for t in range(len(xs) - 1, -1, -1):
-        d = pull[t] + later
-        r, z, new = gates[t, :, :k], gates[t, :, k:], news[t]
-        d_new = d * (1 - z) * (1 - new * new)
-        d_gate = np.concatenate([d_new * parts[t], d * (before[t] - new)], 1) * gates[t] * (1 - gates[t])
-        to_carry[t, :, : 2 * k] = to_inputs[t, :, : 2 * k] = d_gate
-        to_carry[t, :, 2 * k :] = d_new * r
-        to_inputs[t, :, 2 * k :] = d_new
-        later = d * z + to_carry[t] @ w["carry"].T
-    out = {"carry": before.reshape(-1, k).T @ to_carry.reshape(-1, 3 * k), "inputs": np.zeros_like(w["inputs"])}
+        d = pull[t].T + later
+        g, new, before = gates[t], news[t], np.ascontiguousarray((states[t - 1] if t else first).T)
+        z = g[k:]
+        d_new = d_fed[2 * k :]
+        np.multiply(new, new, out=d_new)
+        np.subtract(1, d_new, out=d_new)
+        d_new *= d
+        d_gate = d_fed[: 2 * k]
+        np.multiply(d_new, z, out=d_gate[k:])
+        d_new -= d_gate[k:]
+        np.multiply(d_new, parts[t], out=d_gate[:k])
+        np.subtract(before, new, out=d_gate[k:])
+        d_gate[k:] *= d
+        slope = 1 - g
+        slope *= g
+        d_gate *= slope
+        d_sum[: 2 * k] = d_gate
+        np.multiply(d_new, g[:k], out=d_sum[2 * k :])
+        to_inputs[t] = d_fed.T
+        to_carry += before @ d_sum.T
+        d *= z
+        d += w["carry"] @ d_sum
+        later = d
+    out = {"carry": to_carry, "inputs": np.zeros_like(w["inputs"])}
     ids, rows = xs.ravel(), to_inputs.reshape(-1, 3 * k)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.min_scalar_type(len(w["inputs"]))), kind="stable")  # few bytes sort by digits
     ids = ids[order]
     at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     out["inputs"][ids[at]] = np.add.reduceat(rows[order], at, axis=0)
     return out
 
 
-def _picked(x: np.ndarray, at: tuple[np.ndarray, np.ndarray], small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logarithm of the softmax at one place of each row of x; also e and z, whose quotient is the softmax.  x is overwritten; where it is small, no power of it overflows."""
+def _softmax(x: np.ndarray, at: tuple[np.ndarray, np.ndarray], small: bool, picked: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """e, whose quotient by z is the softmax of x by rows; picked gets x at one place of each row.  x is overwritten; where it is small, no power of it overflows."""
     if not small:
         x -= x.max(1, keepdims=True)
-    picked = x[at]
+    picked[:] = x[at]
     e = np.exp(x, out=x)
-    z = e @ np.ones(x.shape[1], x.dtype)
-    return picked - np.log(z), e, z
+    np.dot(e, np.ones(x.shape[1], x.dtype), out=z)
+    return e
 
 
 def emitted(w: Weights, s: Symbols, states: np.ndarray, ys: np.ndarray, grads: Weights | None = None):
-    """Natural logarithms of the symbols' probabilities; with grads, which then gets those of the output, also the states' gradients."""
+    """Natural logarithms of the symbols' probabilities; with grads, which then gets those of the output, also the states' gradients.
+
+    A row's softmax is never divided by its sum: what it is multiplied with is, which is narrower.
+    """
+    k = states.shape[1]
     rows = np.arange(len(ys))
-    cls = s.cls[ys]
+    cls = s.cls[ys].astype(np.min_scalar_type(len(s.starts)))  # few bytes sort by digits
     order = np.argsort(cls, kind="stable")  # rows of a class lie together
-    states, ys, cls = states[order], ys[order], cls[order]
+    ys, cls = ys[order], cls[order]
+    one = np.ones((len(ys), k + 1), states.dtype)  # biases are weights of a constant
+    one[:, :k] = states[order]
+    to_class, to_word = (np.concatenate([w[a], w[b][None]]) for a, b in (("to_class", "class_bias"), ("to_word", "word_bias")))
     # states lie within -1 and 1
-    small = all(float((np.abs(w[a]).sum(0) + np.abs(w[b])).max()) < 60 for a, b in (("to_class", "class_bias"), ("to_word", "word_bias")))
-    out, e, z = _picked(states @ w["to_class"] + w["class_bias"], (rows, cls), small)
-    out = out.astype(np.float64)
-    pull = None
+    small = all(float(np.abs(m).sum(0).max()) < 60 for m in (to_class, to_word))
+    picked, z, inner, inner_z = (np.zeros(len(ys), to_word.dtype) for _ in range(4))
+    inner_z += 1
+    e = _softmax(one @ to_class, (rows, cls), small, picked, z)
+    pull = inner_pull = None
     if grads is not None:
-        e /= z[:, None]
-        e[rows, cls] -= 1
-        grads |= {"to_class": states.T @ e, "class_bias": e.sum(0), "to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        e[rows, cls] -= z
+        made = (one / z[:, None]).T @ e
+        grads |= {"to_class": made[:k], "class_bias": made[k]}
         pull = e @ w["to_class"].T
-    ends = np.searchsorted(cls, np.arange(len(s.starts)))
-    for c in range(len(s.starts) - 1):
-        a, b, u, v = ends[c], ends[c + 1], s.starts[c], s.starts[c + 1]
+        pull /= z[:, None]
+        inner_pull, made = np.zeros_like(pull), np.zeros_like(to_word)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=len(s.starts) - 1))]).tolist()
+    starts = s.starts.tolist()
+    place = ys - s.starts[cls]
+    for c in range(len(starts) - 1):
+        a, b, u, v = ends[c], ends[c + 1], starts[c], starts[c + 1]
         if a == b or v - u == 1:  # not met, or its only symbol is certain
             continue
-        at = (rows[: b - a], ys[a:b] - u)
-        got, e, z = _picked(states[a:b] @ w["to_word"][:, u:v] + w["word_bias"][u:v], at, small)
-        out[a:b] += got
+        at = (rows[: b - a], place[a:b])
+        e = _softmax(one[a:b] @ to_word[:, u:v], at, small, inner[a:b], inner_z[a:b])
         if grads is not None:
-            e /= z[:, None]
-            e[at] -= 1
-            grads["to_word"][:, u:v] = states[a:b].T @ e
-            grads["word_bias"][u:v] = e.sum(0)
-            pull[a:b] += e @ w["to_word"][:, u:v].T
+            e[at] -= inner_z[a:b]
+            np.matmul((one[a:b] / inner_z[a:b, None]).T, e, out=made[:, u:v])
+            np.matmul(e, w["to_word"][:, u:v].T, out=inner_pull[a:b])
+    out = (picked - np.log(z)).astype(np.float64) + (inner - np.log(inner_z))
     back_ = np.empty(len(ys), np.int64)
     back_[order] = rows
+    if grads is not None:
+        grads |= {"to_word": made[:k], "word_bias": made[k]}
+        inner_pull /= inner_z[:, None]
+        pull += inner_pull
     return out[back_], None if pull is None else pull[back_]
 
 
@@ -303,11 +349,16 @@ class Trainer:
         _, pull[valid] = emitted(self.w, self.s, kept[0][valid], ys[valid], grads)
         grads |= back(self.w, xs, state, kept, pull)
         for n, g in grads.items():
-            length = float(np.sqrt((g * g).sum()))
+            square = g * g
+            length = float(np.sqrt(square.sum()))
             if length > CLIP:
                 g *= CLIP / length
-            self.past[n] += g * g
-            self.w[n] -= RATE * g / np.sqrt(self.past[n])
+                np.multiply(g, g, out=square)
+            self.past[n] += square
+            np.sqrt(self.past[n], out=square)
+            g *= RATE
+            g /= square
+            self.w[n] -= g
         return kept[0][-1]
 
 

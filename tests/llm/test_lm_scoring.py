@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cellweave.llm import lm_scoring as lm
@@ -98,6 +99,41 @@ def test_every_window_teaches():
     assert np.flatnonzero((t.w["inputs"] != w["inputs"]).any(1)).tolist() == sorted([1, 5, 7, s.end])
 
 
+def test_words_of_a_chunk():
+    """Words counted over whole columns are those of texts one at a time, held-out ones with 0, in each chunk (before, no column was split whole)."""
+    texts = ["One two\x0btwo", "", " \x1cA\x85 B\tb\r\n", "né\u3000x ÀB àb \x0c", "\n", "two ONE three", "İ I\u2028i"]
+    assert lm.all_words(pa.array(texts)).cast(pa.binary()).to_pylist() == [w for ws in lm.words_of(pa.array(texts)) for w in ws]
+    batch = pa.RecordBatch.from_pydict({"__chunk": [0, 0, 0, 1, 1, 1, 1], "__held_out": [False, True, False, False, True, True, False], "__text": texts})
+    got = {(r["__chunk"], r["word"]): r["n"] for b in lm._local_words(iter([batch])) for r in b.to_pylist()}
+    want = Counter()
+    for c, test, ws in zip(batch.column("__chunk").to_pylist(), batch.column("__held_out").to_pylist(), lm.words_of(batch.column("__text")), strict=True):
+        for w in ws if test else [*ws, b""]:
+            want[c, w.decode()] += not test
+    assert got == dict(want)
+
+
+def test_wide_sums_are_not_divided():
+    """Windows' gradients and log-probabilities against a plain softmax where classes are met once, often or not at all."""
+    s = symbols()
+    w = odd_weights(s)
+    r = np.random.default_rng(5)
+    ys = np.concatenate([[0, s.end, s.other], r.integers(0, 9, 40)])
+    states = r.uniform(-1, 1, (len(ys), lm.UNITS)).astype(np.float32)
+    grads = {}
+    said, pull = lm.emitted(w, s, states, ys, grads)
+    a, b = states @ w["to_class"] + w["class_bias"], states @ w["to_word"] + w["word_bias"]
+    p = np.exp(a) / np.exp(a).sum(1, keepdims=True)
+    q = np.exp(b) * (s.cls[None, :] == s.cls[ys][:, None])
+    q /= q.sum(1, keepdims=True)
+    rows = np.arange(len(ys))
+    assert said == pytest.approx(np.log(p[rows, s.cls[ys]]) + np.log(q[rows, ys]), rel=1e-4, abs=1e-5)
+    p[rows, s.cls[ys]] -= 1
+    q[rows, ys] -= 1
+    for n, want in {"to_class": states.T @ p, "class_bias": p.sum(0), "to_word": states.T @ q, "word_bias": q.sum(0)}.items():
+        assert np.allclose(grads[n], want, atol=2e-5), n
+    assert np.allclose(pull, p @ w["to_class"].T + q @ w["to_word"].T, atol=2e-5)
+
+
 def write(spark, rows, path):
     spark.createDataFrame(rows, "doc_id long, text string, word string, score int").write.parquet(f"{path}/documents.parquet")
     return {tuple(r[:2]) + tuple(r[2:]) for r in map(tuple, lm.op12_lm_scoring(spark, str(path)).collect())}
