@@ -209,6 +209,25 @@ def test_pairs_of_copies_by_classes(spark):
         assert sorted(map(tuple, sketch.expanded(sketch.class_pairs(classes, cutoff), members).select("a", "b", "shared").collect())) == want
 
 
+def test_sketches_in_place_are_those_of_the_features(spark):
+    """Repeats, copies, a text without features, one of many, and none; a bag's features in order are its set."""
+    texts = ["a b c d e f a b c d e f g\n\na b c d e\nx y", None, "one two three four", " ".join(f"w{i}" for i in range(3000)), "Ä b c d e " * 9, "a b c d e f a b c d e f g\n\na b c d e\nx y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bags = grid.text_bags(docs)
+    made = grid.text_sketches(docs, tokens=True)
+    got = {r["doc_id"]: r for r in made.collect()}
+    want = sketch.signatures(grid.bag_rows(bags).withColumnRenamed("hash", "token"))
+    assert {k: tuple(r["sig"]) for k, r in got.items()} == {r["doc_id"]: tuple(r["sig"]) for r in want.collect()} and set(got) == {0, 3, 4, 5}
+    assert {k: [t.hex() for t in r["tokens"]] for k, r in got.items()} == {r["doc_id"]: [f["hash"] for f in r["bag"]] for r in bags.collect() if r["bag"]}
+    assert got[0]["set"] == got[5]["set"] and len({bytes(r["set"]) for r in got.values()}) == 3
+
+
+def test_bands_of_documents_shuffle_nothing(spark, small):
+    from cellweave.queries import QUERIES
+
+    assert "Exchange" not in QUERIES["lsh_bands"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
     much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
     rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
