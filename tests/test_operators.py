@@ -228,6 +228,17 @@ def test_bands_of_documents_shuffle_nothing(spark, small):
     assert "Exchange" not in QUERIES["lsh_bands"](spark, small)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_votes_of_buckets_deal_no_documents(spark, small, monkeypatch):
+    """Documents' buckets are made where their texts lie; only those that passages have are written."""
+    from cellweave import queries
+
+    plans = []
+    monkeypatch.setattr(queries, "stored", lambda df, *how, to=queries.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or to(df, *how))
+    queries.QUERIES["lsh_votes"](spark, small)
+    mine = [p for p in plans if "documents.parquet" in p]
+    assert mine and not any("hashpartitioning(doc_id" in p for p in mine)
+
+
 def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
     much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
     rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
