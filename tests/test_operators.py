@@ -220,6 +220,8 @@ def test_sketches_in_place_are_those_of_the_features(spark):
     assert {k: tuple(r["sig"]) for k, r in got.items()} == {r["doc_id"]: tuple(r["sig"]) for r in want.collect()} and set(got) == {0, 3, 4, 5}
     assert {k: [t.hex() for t in r["tokens"]] for k, r in got.items()} == {r["doc_id"]: [f["hash"] for f in r["bag"]] for r in bags.collect() if r["bag"]}
     assert got[0]["set"] == got[5]["set"] and len({bytes(r["set"]) for r in got.values()}) == 3
+    keys = {(r["doc_id"], bytes(k)) for r in made.select("doc_id", sketch.bucket_keys("sig").alias("keys")).collect() for k in r["keys"]}
+    assert keys == {(r["doc_id"], bytes.fromhex(r["bucket"].replace(":", ""))) for r in sketch.bands(want).collect()}
 
 
 def test_bands_of_documents_shuffle_nothing(spark, small):
@@ -239,6 +241,21 @@ def test_votes_of_buckets_deal_no_documents(spark, small, monkeypatch):
     assert mine and not any("hashpartitioning(doc_id" in p for p in mine)
 
 
+def test_candidate_pairs_keep_less_than_a_quarter_of_the_texts(spark, small):
+    """Buckets of documents and of classes, no features: those take more room than the texts."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from cellweave.queries import QUERIES
+    from cellweave.sources.store import checkpoint_dir
+
+    held = lambda: sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(checkpoint_dir(spark)) for name in names if name.endswith(".parquet"))
+    before = held()
+    assert QUERIES["lsh_candidate_pairs"](spark, small).count() > 0
+    assert held() - before < sum(map(len, pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0).cast("binary").to_pylist())) / 4
+
+
 def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
     much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
     rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
