@@ -256,6 +256,19 @@ def test_candidate_pairs_keep_less_than_a_quarter_of_the_texts(spark, small):
     assert held() - before < sum(map(len, pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0).cast("binary").to_pylist())) / 4
 
 
+def test_frequencies_deal_terms_once(spark, small):
+    """One exchange, of counted terms, and nothing is kept: no cells, runs or grams."""
+    import os
+
+    from cellweave.queries import QUERIES
+    from cellweave.sources.store import checkpoint_dir
+
+    for name in ("frequency_cutoff_filter",):
+        before = set(os.listdir(checkpoint_dir(spark)))
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and set(os.listdir(checkpoint_dir(spark))) == before, name
+
+
 def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
     much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
     rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
