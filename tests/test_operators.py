@@ -263,7 +263,7 @@ def test_frequencies_deal_terms_once(spark, small):
     from cellweave.queries import QUERIES
     from cellweave.sources.store import checkpoint_dir
 
-    for name in ("frequency_cutoff_filter",):
+    for name in ("capped_document_frequency", "frequency_cutoff_filter"):
         before = set(os.listdir(checkpoint_dir(spark)))
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and set(os.listdir(checkpoint_dir(spark))) == before, name
