@@ -269,6 +269,19 @@ def test_frequencies_deal_terms_once(spark, small):
         assert plan.count("Exchange") == 1 and set(os.listdir(checkpoint_dir(spark))) == before, name
 
 
+def test_exact_copies_keep_digests_only(spark, small):
+    import os
+
+    from cellweave.queries import QUERIES
+    from cellweave.sources.store import checkpoint_dir
+
+    held = lambda: sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(checkpoint_dir(spark)) for name in names if name.endswith(".parquet"))
+    before = held()
+    got = QUERIES["small_exact_copy"](spark, small)
+    assert got.columns == ["query_id", "doc_id"]
+    assert held() - before < 100 * spark.read.parquet(f"{small}/documents.parquet").count() + 2000
+
+
 def test_older_votes_that_differ_past_six_places_keep_their_order(spark):
     much, less = (33, 41, 51, 61), (38, 43, 46, 56)  # frequencies plus one; their products differ by one
     rows = [(doc, f"{doc}:{t}") for doc, terms in ((2, much), (1, less)) for t in terms]
